@@ -4,7 +4,9 @@ from importlib import import_module
 
 #: Query and the module of this package that has it; a module's SQL is its oracle, where SQL can tell.
 MODULES = {
+    "op5_minhash": "minhash",
     "op7_sentencepiece": "pieces",
+    "op8_secrets": "secrets",
     "op10_mixing": "mixing",
 }
 
