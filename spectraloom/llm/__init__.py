@@ -6,6 +6,7 @@ from importlib import import_module
 MODULES = {
     "op1_suffixes": "suffixes",
     "op5_minhash": "minhash",
+    "op6_fingerprints": "sampling",
     "op7_sentencepiece": "pieces",
     "op8_secrets": "secrets",
     "op10_mixing": "mixing",
