@@ -5,6 +5,7 @@ from importlib import import_module
 #: Query and the module of this package that has it; a module's SQL is its oracle, where SQL can tell.
 MODULES = {
     "op1_suffixes": "suffixes",
+    "op3_audio": "audio",
     "op5_minhash": "minhash",
     "op6_fingerprints": "sampling",
     "op7_sentencepiece": "pieces",
