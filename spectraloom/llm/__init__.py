@@ -6,6 +6,7 @@ from importlib import import_module
 MODULES = {
     "op1_suffixes": "suffixes",
     "op3_audio": "audio",
+    "op4_html": "html",
     "op5_minhash": "minhash",
     "op6_fingerprints": "sampling",
     "op7_sentencepiece": "pieces",
