@@ -161,6 +161,10 @@ def observed(nodes: list[Node]) -> list[list[str]]:
 WORDS = "of the and time people water small light house river market city paper garden music winter summer train letter table window answer question number story morning evening road bridge forest".split()
 
 
+#: Marks of content and other text while a labelled page is parsed.
+YES, NO = "\ue000", "\ue001"
+
+
 def labelled_pages(n: int = 240, seed: int = 3) -> list[list[tuple[str, bool]]]:
     """Pages as runs of (markup, whether its text is content)."""
     r = random.Random(seed)
@@ -201,7 +205,7 @@ def labelled_pages(n: int = 240, seed: int = 3) -> list[list[tuple[str, bool]]]:
         if kind == 5:
             return f"<div {named('cookie', 'cookies', 'cookie-notice', 'notice', 'consent', 'gdpr', 'popup', 'modal', 'alert', 'banner', 'disclaimer', 'paywall')}><p>{prose(2)}</p></div>"
         if kind == 6:
-            return f"<form><p>{sentence()}</p><fieldset>{sentence(1, 5)}</fieldset></form>"
+            return f"<form>{r.choice((sentence(1, 4), f'<p>{sentence()}</p>'))}{r.choice(('', f'<fieldset>{sentence(1, 5)}</fieldset>'))}</form>"
         if kind == 7:
             inner = "".join(f"<div {named('comment', 'reply', 'comment-body')}><p>{r.choice(WORDS)}: {prose(3)}</p></div>" for _ in range(r.randint(1, 4)))
             return f"<{(t := r.choice(('div', 'section')))} {named('comments', 'comment-list', 'discussion', 'disqus', 'responses', 'comments-area')}><h2>{sentence(1, 3)}</h2>{inner}</{t}>"
@@ -243,7 +247,7 @@ def labelled_pages(n: int = 240, seed: int = 3) -> list[list[tuple[str, bool]]]:
         page.append((start, False))
         for x in body():
             page.append((x, True))
-            if r.random() < 0.06:
+            if r.random() < 0.12:
                 page.append((aside(), False))
         page.append((end, False))
         page += [(aside(), False) for _ in range(r.randint(0, 4))]
@@ -257,11 +261,11 @@ def labelled_pages(n: int = 240, seed: int = 3) -> list[list[tuple[str, bool]]]:
 
 def labelled_tree(page: list[tuple[str, bool]]) -> tuple[list[Node], list[bool]]:
     """The tree of a page and a label for each node: whether most of its text is content."""
-    runs = "".join(re.sub(r"(^|>)(?=[^<>]*[^<>\s])", rf"\g<1>{'K' if yes else 'N'}", x) for x, yes in page)
+    runs = "".join(re.sub(r"(^|>)(?=[^<>]*[^<>\s])", rf"\g<1>{YES if yes else NO}", x) for x, yes in page)
     nodes, texts = parse(runs)
     yes, no = [0] * len(nodes), [0] * len(nodes)
     for i, t in texts:
-        k, n = t.count("K"), t.count("N")
+        k, n = t.count(YES), t.count(NO)
         yes[i] += k * len(t)
         no[i] += n * len(t)
     nodes, _ = parse("".join(x for x, _ in page))
