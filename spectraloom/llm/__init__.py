@@ -5,12 +5,14 @@ from importlib import import_module
 #: Query and the module of this package that has it; a module's SQL is its oracle, where SQL can tell.
 MODULES = {
     "op1_suffixes": "suffixes",
+    "op2_toxicity": "toxicity",
     "op3_audio": "audio",
     "op4_html": "html",
     "op5_minhash": "minhash",
     "op6_fingerprints": "sampling",
     "op7_sentencepiece": "pieces",
     "op8_secrets": "secrets",
+    "op9_chaining": "chaining",
     "op10_mixing": "mixing",
 }
 
