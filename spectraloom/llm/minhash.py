@@ -34,7 +34,7 @@ AGREE = 82
 BROADCAST_IDS = 500_000
 #: Buckets with up to this many representatives in several components are compared pair by pair; larger ones block by block.
 PAIRWISE = 64
-BLOCK = 128
+BLOCK = 1024
 #: Large buckets first get up to so many further hubs, drawn by hash.
 TURNS = 3
 
@@ -162,7 +162,7 @@ def block_links(left: DataFrame, sigs: DataFrame, docs: DataFrame, store: Tables
         import numpy as np
         import pyarrow as pa
 
-        rows = group.select(["doc_id", "comp", "s", "block"]).to_pydict()
+        rows = group.select(["key", "doc_id", "comp", "s", "block"]).to_pydict()
         ids, comp, block = np.array(rows["doc_id"]), rows["comp"], np.array(rows["block"])
         sets = [np.array(s, np.int64) for s in rows["s"]]
         sig = np.array(group["sig"].to_pylist(), np.int32)
@@ -170,12 +170,15 @@ def block_links(left: DataFrame, sigs: DataFrame, docs: DataFrame, store: Tables
         number = {c: k for k, c in enumerate(sorted(set(comp)))}
         root = np.array([number[c] for c in comp])  # of each member, kept up to date
         two, out = len(set(rows["block"])) > 1, []
+        band = int(np.flatnonzero(band_keys(sig[0].view(np.uint32).astype(np.uint64)) == rows["key"][0])[0])
         for x in range(1, len(ids)):
             open_ = (root[:x] != root[x]) & (OF * np.minimum(n[:x], n[x]) >= LEAST * np.maximum(n[:x], n[x]))
             if two:
                 open_ &= block[:x] != block[x]  # pairs within a block have a group of their own
             at = np.flatnonzero(open_)
-            at = at[(sig[at] == sig[x]).sum(axis=1) >= AGREE]
+            same = sig[at] == sig[x]
+            first = same.reshape(len(at), BANDS, ROWS).all(axis=2).argmax(axis=1)
+            at = at[(same.sum(axis=1) >= AGREE) & (first == band)]  # of all buckets they share, the first
             for y in at:
                 if root[x] != root[y]:
                     both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
@@ -188,13 +191,23 @@ def block_links(left: DataFrame, sigs: DataFrame, docs: DataFrame, store: Tables
     return store.save(left.groupBy("key", "i", "j").applyInArrow(solve, "u long, v long"), "block-links")
 
 
-def unsettled(keys: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Components (doc_id, comp) by the links so far, and the buckets that hold several of them."""
-    found = components(links).select(F.col("u").alias("doc_id"), F.col("v").alias("comp"))
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (doc_id, comp) after further links: only the graph of the components that the
+    links join is solved anew."""
+    u = found.select(F.col("doc_id").alias("u"), F.col("comp").alias("cu"))
+    v = found.select(F.col("doc_id").alias("v"), F.col("comp").alias("cv"))
+    between = links.join(u, "u", "left").join(v, "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
+    moved = components(between.distinct()).select(F.col("u").alias("comp"), F.col("v").alias("to"))
+    own = moved.select(F.col("comp").alias("doc_id"), F.col("to").alias("comp"))
+    return found.join(moved, "comp", "left").select("doc_id", F.coalesce("to", "comp").alias("comp")).union(own)
+
+
+def unsettled(keys: DataFrame, found: DataFrame) -> DataFrame:
+    """The buckets that hold several components."""
     at = keys.join(found, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
     by_key = Window.partitionBy("key")
     several = (F.min("comp").over(by_key) < F.max("comp").over(by_key)).alias("several")
-    return found, at.select("key", "doc_id", "comp", "company", several).where("several").drop("several")
+    return at.select("key", "doc_id", "comp", "company", several).where("several").drop("several")
 
 
 def cluster(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -214,7 +227,8 @@ def cluster(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     hubs = keys.join(degree, "doc_id").select("key", "doc_id", hub.alias("hub")).where("doc_id <> hub")
     pairs = store.save(hubs.select(F.greatest("doc_id", "hub").alias("u"), F.least("doc_id", "hub").alias("v")).distinct(), "pairs")
     links = linked(pairs, reps, docs, store, "hub")
-    found, left = unsettled(keys, links)
+    found = store.save(components(links).select(F.col("u").alias("doc_id"), F.col("v").alias("comp")), "found")
+    left = unsettled(keys, found)
     for turn in range(TURNS):
         large = store.save(left.where(F.col("company") > PAIRWISE), f"large{turn}")
         if large.isEmpty():
@@ -223,17 +237,18 @@ def cluster(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
         other = F.min(F.struct(dice, "doc_id", "comp")).over(by_key)
         tried = large.select("doc_id", "comp", other["doc_id"].alias("hub"), other["comp"].alias("hub_comp")).where("comp <> hub_comp")
         tried = tried.select(F.greatest("doc_id", "hub").alias("u"), F.least("doc_id", "hub").alias("v")).distinct()
-        links = links.union(linked(store.save(tried, f"pairs{turn}"), reps, docs, store, f"turn{turn}"))
-        found, left = unsettled(keys, links)
+        links = linked(store.save(tried, f"pairs{turn}"), reps, docs, store, f"turn{turn}")
+        found = store.save(merged(found, links), f"found{turn}")
+        left = unsettled(keys, found)
     left = store.save(left, "left")
     small = left.where(F.col("company") <= PAIRWISE)
     other = small.select("key", F.col("doc_id").alias("v"), F.col("comp").alias("c2"))
     more = small.join(other, "key").where("doc_id > v and comp <> c2").select(F.col("doc_id").alias("u"), "v").distinct()
-    links = links.union(linked(store.save(more.join(pairs, ["u", "v"], "left_anti"), "more"), reps, docs, store, "more"))
+    links = linked(store.save(more.join(pairs, ["u", "v"], "left_anti"), "more"), reps, docs, store, "more")
     large = left.where(F.col("company") > PAIRWISE).drop("company")
     if not large.isEmpty():
         links = links.union(block_links(large, reps, docs, store))
-    found, _ = unsettled(keys, links)
+    found = store.save(merged(found, links), "found-last")
     own = sigs.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left")
     own = own.join(found.withColumnRenamed("doc_id", "rep"), "rep", "left")
     component = F.coalesce("comp", "rep", "doc_id")
