@@ -1,4 +1,298 @@
 """Queries over the driver's tables, by name, and SQL that gives the same rows."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from spectraloom.functions import isotopes, peptides
+from spectraloom.operators import joins, proteins, ranking
+
 QUERIES = {}
 SQL = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+c = F.col
+ITEM = ["l_orderkey", "l_linenumber"]
+
+
+def matches(spark, sf_dir: str) -> DataFrame:
+    """lineitem as candidate matches: orders are spectra, price the score, small quantities decoys."""
+    return read(spark, sf_dir, "lineitem").withColumn("is_decoy", c("l_quantity") < 10)
+
+
+@query("""SELECT l_orderkey, l_linenumber, p_partkey FROM part JOIN lineitem ON l_extendedprice BETWEEN p_retailprice - 0.5 AND p_retailprice + 0.5""")
+def band_join(spark, sf_dir):
+    pairs = joins.band_join(read(spark, sf_dir, "part"), read(spark, sf_dir, "lineitem"), "p_retailprice", "l_extendedprice", [(-0.5, 0.5)])
+    return pairs.select(*ITEM, "p_partkey")
+
+
+@query("""SELECT l_orderkey, l_linenumber, p_partkey FROM part JOIN lineitem ON
+  l_extendedprice BETWEEN p_retailprice + (-1.003355 - 0.01) AND p_retailprice + (-1.003355 + 0.01)
+  OR l_extendedprice BETWEEN p_retailprice + (0 - 0.01) AND p_retailprice + (0 + 0.01)
+  OR l_extendedprice BETWEEN p_retailprice + (1.003355 - 0.01) AND p_retailprice + (1.003355 + 0.01)""")
+def mass_window_join(spark, sf_dir):
+    windows = joins.mass_windows([-1, 0, 1], 0.01)
+    pairs = joins.band_join(read(spark, sf_dir, "part"), read(spark, sf_dir, "lineitem"), "p_retailprice", "l_extendedprice", windows)
+    return pairs.select(*ITEM, "p_partkey")
+
+
+@query("""WITH near AS (SELECT p_partkey, l_orderkey, l_linenumber, round(abs(l_extendedprice - p_retailprice), 6) AS gap,
+  row_number() OVER (PARTITION BY p_partkey ORDER BY abs(l_extendedprice - p_retailprice), l_extendedprice, l_orderkey * 10 + l_linenumber) AS n
+  FROM part JOIN lineitem ON l_extendedprice BETWEEN p_retailprice - 2.0 AND p_retailprice + 2.0 WHERE abs(l_extendedprice - p_retailprice) < 2.0)
+SELECT p_partkey, l_orderkey, l_linenumber, gap FROM near WHERE n = 1""")
+def nearest_join(spark, sf_dir):
+    got = joins.nearest_join(read(spark, sf_dir, "part"), read(spark, sf_dir, "lineitem"), "p_partkey", "p_retailprice", "l_extendedprice", 2.0, c("l_orderkey") * 10 + c("l_linenumber"))
+    return got.select("p_partkey", *ITEM, F.round(F.abs(c("l_extendedprice") - c("p_retailprice")), 6).alias("gap"))
+
+
+@query("""WITH near AS (SELECT p_partkey, l_orderkey, l_linenumber, l_quantity,
+  row_number() OVER (PARTITION BY p_partkey ORDER BY -(l_quantity * 1e9 + l_orderkey * 10 + l_linenumber), l_extendedprice) AS n
+  FROM part JOIN lineitem ON l_extendedprice BETWEEN p_retailprice - 2.0 AND p_retailprice + 2.0 WHERE abs(l_extendedprice - p_retailprice) < 2.0)
+SELECT p_partkey, l_orderkey, l_linenumber, l_quantity FROM near WHERE n = 1""")
+def best_in_tolerance(spark, sf_dir):
+    order = c("l_quantity") * 1e9 + c("l_orderkey") * 10 + c("l_linenumber")
+    got = joins.nearest_join(read(spark, sf_dir, "part"), read(spark, sf_dir, "lineitem"), "p_partkey", "p_retailprice", "l_extendedprice", 2.0, order, "largest")
+    return got.select("p_partkey", *ITEM, "l_quantity")
+
+
+@query("""WITH v AS (SELECT o_orderkey AS k, o_totalprice AS p FROM orders WHERE o_orderstatus = 'F')
+SELECT a.o_orderkey, max(v.k) AS found_at, arg_max(v.p, v.k) AS value FROM orders a JOIN v ON v.k BETWEEN a.o_orderkey - 2 AND a.o_orderkey GROUP BY a.o_orderkey""")
+def back_off(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    right = o.select(c("o_orderkey").alias("k"), "o_orderstatus", "o_totalprice")
+    return joins.back_off(o.select("o_orderkey"), right, "o_orderkey", "k", F.when(c("o_orderstatus") == "F", c("o_totalprice")))
+
+
+CUT = """WITH m AS (SELECT *, l_quantity < 10 AS is_decoy {more} FROM lineitem),
+counted AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {first} ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS f FROM m) WHERE f = 1 OR {all}),
+run AS (SELECT *, sum(CASE WHEN is_decoy THEN 0 ELSE 1 END) OVER w AS t, sum(CASE WHEN is_decoy THEN 1 ELSE 0 END) OVER w AS d FROM counted
+  WINDOW w AS ({by} ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING)),
+cut AS (SELECT {cols} min(l_extendedprice) AS cut FROM run WHERE t > 0 AND d <= 0.1 * t {group})
+SELECT {out} l_orderkey, l_linenumber, l_extendedprice FROM m JOIN cut ON {on} l_extendedprice >= cut"""
+ORDER = ["l_orderkey", "l_linenumber"]
+
+
+@query(CUT.format(more="", first="l_orderkey", all="true", by="", cols="", group="", out="", on=""))
+def fdr_cutoff(spark, sf_dir):
+    return ranking.fdr_cutoff(matches(spark, sf_dir), "l_extendedprice", "is_decoy", 0.1, ORDER).select(*ITEM, "l_extendedprice")
+
+
+@query(CUT.format(more="", first="l_partkey", all="false", by="", cols="", group="", out="", on=""))
+def fdr_cutoff_peptide(spark, sf_dir):
+    return ranking.fdr_cutoff(matches(spark, sf_dir), "l_extendedprice", "is_decoy", 0.1, ORDER, first_of=["l_partkey"]).select(*ITEM, "l_extendedprice")
+
+
+@query(CUT.format(more=", least(l_linenumber, 3) AS class", first="l_orderkey", all="true", by="PARTITION BY class", cols="class,", group="GROUP BY class", out="m.class,", on="m.class = cut.class AND"))
+def charge_classes(spark, sf_dir):
+    m = matches(spark, sf_dir).withColumn("class", F.least("l_linenumber", F.lit(3)))
+    return ranking.fdr_cutoff(m, "l_extendedprice", "is_decoy", 0.1, ORDER, ["class"]).select("class", *ITEM, "l_extendedprice")
+
+
+@query("""WITH sums AS (SELECT l_extendedprice AS s, sum(CASE WHEN l_quantity < 10 THEN 0 ELSE 1 END) AS t, sum(CASE WHEN l_quantity < 10 THEN 1 ELSE 0 END) AS d FROM lineitem GROUP BY 1),
+r AS (SELECT s, sum(d) OVER w / greatest(sum(t) OVER w, 1) AS r FROM sums WINDOW w AS (ORDER BY s DESC ROWS UNBOUNDED PRECEDING)),
+q AS (SELECT s, min(r) OVER (ORDER BY s ROWS UNBOUNDED PRECEDING) AS q FROM r)
+SELECT l_orderkey, l_linenumber, round(q, 6) AS q_value FROM lineitem JOIN q ON s = l_extendedprice WHERE q <= 0.15""")
+def q_values(spark, sf_dir):
+    q = ranking.q_values(matches(spark, sf_dir), "l_extendedprice", "is_decoy").where("q_value <= 0.15")
+    return q.select(*ITEM, F.round("q_value", 6).alias("q_value"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_extendedprice, n AS rank FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS n FROM lineitem) WHERE n <= 2""")
+def top_k(spark, sf_dir):
+    return ranking.top_k(read(spark, sf_dir, "lineitem"), ["l_orderkey"], [F.desc("l_extendedprice"), F.asc("l_linenumber")], 2).select(*ITEM, "l_extendedprice", "rank")
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey) AS rank_l_extendedprice,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey, l_suppkey) AS rank_l_quantity,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_linenumber, l_partkey, l_suppkey) AS rank_l_discount FROM lineitem)
+SELECT l_orderkey, l_linenumber, rank_l_extendedprice, rank_l_quantity, rank_l_discount FROM r WHERE least(rank_l_extendedprice, rank_l_quantity, rank_l_discount) <= 1""")
+def rank_per_score(spark, sf_dir):
+    scores = ["l_extendedprice", "l_quantity", "l_discount"]
+    return ranking.rank_scores(read(spark, sf_dir, "lineitem"), ["l_orderkey"], scores, ["l_linenumber", "l_partkey", "l_suppkey"], 1).select(*ITEM, *(f"rank_{s}" for s in scores))
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(max(l_extendedprice) OVER (PARTITION BY l_orderkey) - l_extendedprice, 6) AS to_top,
+  round(coalesce(l_extendedprice - lead(l_extendedprice) OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber), 0), 6) AS to_next FROM lineitem""")
+def delta_scores(spark, sf_dir):
+    d = read(spark, sf_dir, "lineitem")
+    return d.select(*ITEM, F.round(ranking.delta_to_top(d, ["l_orderkey"], "l_extendedprice"), 6).alias("to_top"), F.round(ranking.delta_to_next(["l_orderkey"], "l_extendedprice", ["l_linenumber"]), 6).alias("to_next"))
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER w AS n, first_value(l_returnflag) OVER w AS f, first_value(l_quantity) OVER w AS q FROM lineitem
+  WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_returnflag DESC, l_quantity, l_linenumber)),
+u AS (SELECT l_orderkey, string_agg(DISTINCT s, ',' ORDER BY s) AS suppliers FROM (SELECT l_orderkey, CAST(l_suppkey AS VARCHAR) AS s FROM r WHERE l_returnflag = f AND l_quantity = q) GROUP BY 1)
+SELECT r.l_orderkey, r.l_linenumber, u.suppliers FROM r JOIN u USING (l_orderkey) WHERE n = 1""")
+def best_per_spectrum(spark, sf_dir):
+    d = read(spark, sf_dir, "lineitem").withColumn("suppliers", F.array(c("l_suppkey").cast("string")))
+    best = ranking.best_with_ties(d, ["l_orderkey"], [F.desc("l_returnflag"), F.asc("l_quantity"), F.asc("l_linenumber")], ["l_returnflag", "l_quantity"], "suppliers")
+    return best.select(*ITEM, F.array_join("suppliers", ",").alias("suppliers"))
+
+
+DIGEST = r"""WITH s AS (SELECT doc_id, regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACDEFGHIJKLMNPQRSTVWY]', '', 'g') AS s FROM documents),
+p AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(s, '^M', ''), '([KR])', '\1|', 'g'), '|') AS raw FROM s),
+q AS (SELECT doc_id, list_filter(raw, lambda x: x <> '') AS p FROM p),
+i AS (SELECT doc_id, p, unnest(range(len(p))) AS first_piece FROM q),
+m AS (SELECT doc_id, p, first_piece, unnest([0, 1, 2]) AS missed FROM i)
+SELECT doc_id, CAST(first_piece AS INTEGER) AS first_piece, CAST(missed AS INTEGER) AS missed, array_to_string(p[first_piece + 1 : first_piece + missed + 1], '') AS peptide
+FROM m WHERE first_piece + missed < len(p) AND len(array_to_string(p[first_piece + 1 : first_piece + missed + 1], '')) BETWEEN 7 AND 60"""
+
+
+def sequences(spark, sf_dir: str) -> DataFrame:
+    """Texts as sequences: ASCII letters in upper case that are residues."""
+    d = read(spark, sf_dir, "documents")
+    return d.select("doc_id", peptides.clean(F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))).alias("sequence"))
+
+
+@query(DIGEST)
+def digest_fragments(spark, sf_dir):
+    return peptides.digest(sequences(spark, sf_dir), "sequence").select("doc_id", "first_piece", "missed", "peptide")
+
+
+@query(r"""SELECT 'Decoy_' || CAST(doc_id AS VARCHAR) AS protein, reverse(regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACDEFGHIJKLMNPQRSTVWY]', '', 'g')) AS sequence FROM documents
+UNION ALL SELECT CAST(doc_id AS VARCHAR), regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACDEFGHIJKLMNPQRSTVWY]', '', 'g') FROM documents""")
+def target_and_decoy(spark, sf_dir):
+    s = sequences(spark, sf_dir).select(c("doc_id").cast("string").alias("protein"), "sequence")
+    return s.union(peptides.decoys(s, "protein", "sequence"))
+
+
+@query("""SELECT vec_id, [round(CAST(embedding[1] AS DOUBLE) * embedding[1], 6), round(2 * CAST(embedding[1] AS DOUBLE) * embedding[2], 6),
+  round(2 * CAST(embedding[1] AS DOUBLE) * embedding[3] + CAST(embedding[2] AS DOUBLE) * embedding[2], 6),
+  round(2 * CAST(embedding[2] AS DOUBLE) * embedding[3], 6), round(CAST(embedding[3] AS DOUBLE) * embedding[3], 6)] AS probs FROM embeddings""")
+def isotope_convolution(spark, sf_dir):
+    e = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double"))
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.transform(isotopes.convolve(e, e), lambda x: F.round(x, 6)).alias("probs"))
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS a, l_quantity * 700 AS b, (l_extendedprice - l_quantity * 700) % 1.003355::DOUBLE AS r FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(CASE WHEN r > 0.5016775 THEN r - 1.003355::DOUBLE WHEN r < -0.5016775 THEN r + 1.003355::DOUBLE ELSE r END, 5) AS error,
+  CAST(round(abs(a - b) / 1.003355::DOUBLE) AS INTEGER) AS shift FROM r""")
+def mass_fold(spark, sf_dir):
+    b = c("l_quantity") * 700
+    return read(spark, sf_dir, "lineitem").select(*ITEM, F.round(peptides.mass_error(c("l_extendedprice"), b), 5).alias("error"), peptides.window_shift(c("l_extendedprice"), b).alias("shift"))
+
+
+@query("""SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS o_orderkey, string_agg(o_orderpriority, ',' ORDER BY o_orderkey) AS o_orderpriority FROM orders GROUP BY 1""")
+def protein_concat(spark, sf_dir):
+    return proteins.concat_ordered(read(spark, sf_dir, "orders"), "o_custkey", ["o_orderkey"], ["o_orderkey", "o_orderpriority"])
+
+
+@query("""WITH s AS (SELECT l_orderkey, list_sort(list(DISTINCT l_suppkey % 5)) AS p FROM lineitem GROUP BY 1)
+SELECT array_to_string(p, ',') AS peptides, count(*) AS n, min(l_orderkey) AS first FROM s GROUP BY 1""")
+def identical_sets(spark, sf_dir):
+    e = read(spark, sf_dir, "lineitem").select("l_orderkey", (c("l_suppkey") % 5).alias("p"))
+    m = proteins.merge_indistinguishable(e, "l_orderkey", "p")
+    return m.select(F.array_join(F.transform("peptides", lambda x: x.cast("string")), ",").alias("peptides"), F.size("proteins").cast("long").alias("n"), c("proteins")[0].alias("first"))
+
+
+@query("""WITH e AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), n AS (SELECT l_partkey, count(*) AS n FROM e GROUP BY 1)
+SELECT l_suppkey, CAST(sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) AS BIGINT) AS unique_count, count(*) AS total_count, round(sum(1.0::DOUBLE / n), 6) AS balanced FROM e JOIN n USING (l_partkey) GROUP BY 1""")
+def balanced_counts(spark, sf_dir):
+    got = proteins.peptide_counts(read(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey")
+    return got.withColumn("balanced", F.round("balanced", 6))
+
+
+@query("""WITH k AS (SELECT l_suppkey, year(l_shipdate) AS run, count(*) AS n FROM lineitem GROUP BY 1, 2), s AS (SELECT run, sum(n) AS s FROM k GROUP BY 1)
+SELECT l_suppkey, run, n, round(n * (SELECT avg(s) FROM s) / s, 2) AS normalised FROM k JOIN s USING (run)""")
+def normalised_counts(spark, sf_dir):
+    k = read(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.year("l_shipdate").cast("long").alias("run")).agg(F.count("*").alias("n"))
+    return proteins.normalised(k, "run", "n").select("l_suppkey", "run", "n", "normalised")
+
+
+@query("""SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity < 10)""")
+def decoy_anti(spark, sf_dir):
+    seen = matches(spark, sf_dir).where("is_decoy").select(c("l_partkey").alias("p_partkey"))
+    return read(spark, sf_dir, "part").join(seen, "p_partkey", "left_anti").select("p_partkey")
+
+
+@query("""SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)""")
+def semi_subset(spark, sf_dir):
+    ids = read(spark, sf_dir, "lineitem").where("l_quantity > 49").select(c("l_partkey").alias("p_partkey"))
+    return read(spark, sf_dir, "part").join(ids, "p_partkey", "left_semi").select("p_partkey", "p_name")
+
+
+@query("""SELECT o_custkey, o_orderpriority, count(*) AS spectral_count, max(o_totalprice) AS best_score, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS psms, bool_or(o_orderstatus = 'F') AS any_target FROM orders GROUP BY 1, 2""")
+def peptide_rollup(spark, sf_dir):
+    g = read(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderpriority")
+    psms = F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string")), ",")
+    return g.agg(F.count("*").alias("spectral_count"), F.max("o_totalprice").alias("best_score"), psms.alias("psms"), F.bool_or(c("o_orderstatus") == "F").alias("any_target"))
+
+
+@query("""SELECT o_custkey AS c_custkey, count(*) FILTER (o_orderstatus = 'F') AS f_n, round(coalesce(sum(o_totalprice) FILTER (o_orderstatus = 'F'), 0), 2) AS f_total, count(*) FILTER (o_orderstatus = 'O') AS o_n FROM orders GROUP BY 1""")
+def left_pivot(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    wide = joins.left_pivot(o.select("c_custkey").distinct(), o, "c_custkey", "o_orderstatus", ["F", "O"], n=F.count(F.lit(1)), total=F.sum("o_totalprice"))
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    return wide.select("c_custkey", zero(c("F_n")).alias("f_n"), F.round(F.coalesce("F_total", F.lit(0.0)), 2).alias("f_total"), zero(c("O_n")).alias("o_n"))
+
+
+@query("""SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(string_split(source || ',' || lang || ',' || source, ',')) AS word FROM documents) GROUP BY 1, 2""")
+def explode_list(spark, sf_dir):
+    listed = F.concat(F.lit("{"), c("source"), F.lit(","), c("lang"), F.lit(", "), c("source"), F.lit("}"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.explode(peptides.names(listed)).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+
+
+@query("""WITH s AS (SELECT l_orderkey, list_sort(list(DISTINCT l_linenumber)) AS a, list_sort(list(DISTINCT CAST(l_quantity AS INTEGER) % 7)) AS b FROM lineitem GROUP BY 1)
+SELECT l_orderkey, len(list_filter(a, lambda x: NOT list_contains(b, x))) AS missing, len(list_distinct(list_concat(a, b))) AS united, len(list_filter(a, lambda x: NOT list_contains(b, x))) = 0 AS is_subset FROM s""")
+def set_operations(spark, sf_dir):
+    s = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_linenumber").alias("a"), F.collect_set(c("l_quantity").cast("int") % 7).alias("b"))
+    left = F.size(F.array_except("a", "b"))
+    return s.select("l_orderkey", left.cast("long").alias("missing"), F.size(F.array_union("a", "b")).cast("long").alias("united"), (left == 0).alias("is_subset"))
+
+
+@query("""WITH r AS (SELECT *, sum(l_extendedprice) OVER (PARTITION BY l_orderkey) AS total,
+  sum(l_extendedprice) OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber ROWS UNBOUNDED PRECEDING) - l_extendedprice AS before FROM lineitem)
+SELECT l_orderkey, l_linenumber FROM r WHERE before < 0.8 * total""")
+def intensity_cut(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("l_orderkey")
+    p = c("l_extendedprice")
+    before = F.sum(p).over(w.orderBy(F.desc("l_extendedprice"), "l_linenumber").rowsBetween(Window.unboundedPreceding, 0)) - p
+    d = read(spark, sf_dir, "lineitem").select(*ITEM, before.alias("before"), F.sum(p).over(w).alias("total"))
+    return d.where("before < 0.8 * total").select(*ITEM)
+
+
+@query("""SELECT CAST(p AS INTEGER) AS pct, greatest(2, CAST(round(5 * (1 - 2 * (p / 100.0::DOUBLE - 0.5) * (p / 100.0::DOUBLE - 0.5))) AS INTEGER)) AS half_width FROM range(0, 101) t(p)""")
+def enrichment_grid(spark, sf_dir):
+    p = c("pct") / 100
+    return spark.range(101).select(c("id").cast("int").alias("pct")).withColumn("half_width", F.greatest(F.lit(2), F.round(5 * (1 - 2 * (p - 0.5) * (p - 0.5))).cast("int")))
+
+
+@query("""SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_orderkey, l_partkey) AS consensus FROM lineitem""")
+def consensus_count(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    return read(spark, sf_dir, "lineitem").select(*ITEM, F.count("*").over(Window.partitionBy("l_orderkey", "l_partkey")).alias("consensus"))
+
+
+@query("""SELECT s_nationkey, count(*) AS n, round(avg(s_acctbal), 6) AS mean, round(stddev_pop(s_acctbal), 6) AS deviation FROM supplier GROUP BY 1""")
+def cluster_stats(spark, sf_dir):
+    return read(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n"), F.round(F.avg("s_acctbal"), 6).alias("mean"), F.round(F.stddev_pop("s_acctbal"), 6).alias("deviation"))
+
+
+@query("""WITH pairs AS (SELECT l_orderkey, l_linenumber, l_extendedprice, l_quantity, p_partkey FROM part JOIN lineitem ON l_extendedprice BETWEEN p_retailprice - 5 AND p_retailprice + 5),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS n FROM pairs) WHERE n = 1),
+run AS (SELECT *, sum(CASE WHEN l_quantity < 2 THEN 0 ELSE 1 END) OVER w AS t, sum(CASE WHEN l_quantity < 2 THEN 1 ELSE 0 END) OVER w AS d FROM best
+  WINDOW w AS (ORDER BY l_extendedprice DESC, p_partkey ROWS UNBOUNDED PRECEDING))
+SELECT p_partkey, l_orderkey, l_linenumber FROM best WHERE l_extendedprice >= (SELECT min(l_extendedprice) FROM run WHERE t > 0 AND d <= 0.5 * t)""")
+def search_slice(spark, sf_dir):
+    """Band join, best candidate of each part, and error-rate cutoff, in one plan."""
+    pairs = joins.band_join(read(spark, sf_dir, "part"), read(spark, sf_dir, "lineitem"), "p_retailprice", "l_extendedprice", [(-5.0, 5.0)])
+    best = ranking.top_k(pairs, ["p_partkey"], [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")], 1)
+    best = best.withColumn("is_decoy", c("l_quantity") < 2)
+    return ranking.fdr_cutoff(best, "l_extendedprice", "is_decoy", 0.5, ["p_partkey"]).select("p_partkey", *ITEM)
