@@ -29,9 +29,9 @@ from spectraloom.llm.common import map_rows, pick, table
 SPACE = "▁"
 Entry = tuple[str, tuple[int, ...]]
 #: Stretches of at most KEEP_CHARS characters are kept, KEEP of them at most; then keeping starts anew.
-KEEP, KEEP_CHARS = 300_000, 32
+KEEP, KEEP_CHARS = 150_000, 32
 #: After so many tested pairs their outcomes are forgotten, to bound memory.
-TESTS = 1_500_000
+TESTS = 600_000
 
 
 class PrefixTable:
