@@ -259,26 +259,54 @@ def leaders(dealt: DataFrame) -> DataFrame:
 
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("ranges", pa.list_(pa.int32()))])
 
+        def rows(group, ranges):
+            return pa.RecordBatch.from_arrays([pa.array([g[1] for g in group], pa.int64()), pa.array([g[2] for g in group], pa.int32()), pa.array([[g[2] + x for x in r] for g, r in zip(group, ranges)], pa.list_(pa.int32()))], schema=schema)
+
         def solved(group):
             order = sorted(range(len(group)), key=lambda i: group[i][1:])
             rank = [0] * len(group)
             for place, i in enumerate(order):
                 rank[i] = place
-            ranges = covered([g[0] for g in group], rank)
-            return pa.RecordBatch.from_arrays([pa.array([g[1] for g in group], pa.int64()), pa.array([g[2] for g in group], pa.int32()), pa.array([[g[2] + x for x in r] for g, r in zip(group, ranges)], pa.list_(pa.int32()))], schema=schema)
+            return rows(group, covered([g[0] for g in group], rank))
+
+        def repeats(group):
+            seen, n = set(), 0
+            for s, _, _ in group:
+                seen.update(hash(s[i : i + WIDTH]) for i in range(len(s) - WIDTH + 1))
+                n += len(s) - WIDTH + 1
+            return len(seen) < n  # equal windows have equal hashes; others seldom
+
+        # the distinct stretches of one key; those to sort together; those that nothing in their key can equal
+        key_group, group, alone, size, last_key, last = [], [], [], 0, None, None
+
+        def close():
+            nonlocal size
+            if repeats(key_group):
+                group.extend(key_group)
+                size += sum(len(g[0]) for g in key_group)
+            else:
+                alone.extend(key_group)
+            key_group.clear()
 
-        group, size, last_key, last = [], 0, None, None
         for batch in batches:
             for key, s, doc, start in zip(*(c.to_pylist() for c in batch.columns)):
-                if key != last_key and size >= BATCH:
-                    yield solved(group)
-                    group, size = [], 0
+                if key != last_key:
+                    close()
+                    if size >= BATCH:
+                        yield solved(group)
+                        group.clear()
+                        size = 0
+                    if len(alone) > 10_000:
+                        yield rows(alone, [()] * len(alone))
+                        alone.clear()
                 if s != last or key != last_key:
-                    group.append((s, doc, start))
-                    size += len(s)
+                    key_group.append((s, doc, start))
                 last_key, last = key, s
+        close()
         if group:
             yield solved(group)
+        if alone:
+            yield rows(alone, [()] * len(alone))
 
     return dealt.mapInArrow(run, "doc_id long, start int, ranges array<int>")
 
