@@ -28,6 +28,8 @@ from spectraloom.llm.common import map_batches, map_rows, pick, table
 CATEGORIES = ("quality", "toxic")
 #: At most so many labelled documents are trained on, and so many features kept.
 LABELLED, FEATURES, FOLDS, ROUNDS, RIDGE = 4000, 400, 5, 120, 0.05
+#: Features with a smaller chi-square tell nothing (p = 0.0005).
+CHI_SQUARE = 12.0
 THRESHOLD = 0.5
 WORD = re.compile(r"[^\W\d_]+")
 REMEMBER = 400_000
@@ -99,7 +101,7 @@ def fit(lists: list[list[int]], labels: list[tuple[int, ...]], categories=CATEGO
             chi = (hit - want) ** 2 / np.maximum(want * (1 - share) * (1 - df / max(n, 1)), 1e-9)
         best = np.maximum(best, np.where((df >= 2) & (df < n), chi, 0))
     keep = np.sort(np.argsort(-best, kind="stable")[:FEATURES])
-    keep = keep[best[keep] > 0]
+    keep = keep[best[keep] >= CHI_SQUARE]
     place = np.full(len(names), -1)
     place[keep] = np.arange(len(keep))
     ok = place[cols] >= 0 if len(cols) else np.zeros(0, bool)
