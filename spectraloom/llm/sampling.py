@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spectraloom.llm.common import Tables, map_rows, pick, table
+from spectraloom.llm.common import Tables, arrow_schema, map_rows, pick, table
 
 SAMPLES, TABLE_BITS, SEED = 64, 18, 11
 BLOCK = 1024
@@ -110,61 +110,55 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    docs = pick(docs, doc_id=doc_id, text=text).withColumn("text", F.coalesce("text", F.lit("")))
-    return sampled(paired(docs))
+DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
 
+def measure(key, text: str, after: str) -> tuple:
+    changed = edited(text, after)
+    a, b, c = sample(text), sample(changed), sample(after)
+    return key, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), tell(a), tell(b), likeness(a, b), likeness(a, c)
+
+
+def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-def paired(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, after): each row with the text that follows it by id; after the last the
-    first. Rows are dealt by ranges of ids and sorted. A task sees its rows in order and holds
-    one of them back; the first row of every range, written as a row of its own, follows the
-    last of the range before."""
+    Rows are dealt by ranges of ids and sorted. A task sees its rows in order, holds one of them
+    back and measures it with the next. Only the texts of the first and last row of each range are
+    written: the last of a range is measured with the first of the next range, or the very first."""
+    docs = pick(docs, doc_id=doc_id, text=text).withColumn("text", F.coalesce("text", F.lit("")))
     spark = docs.sparkSession
     store = Tables(spark, "sampling")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.repartitionByRange(parts, "doc_id", "text").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
+    kind, schema = arrow_schema("part int, edge int, text string, " + DDL)
 
     def run(batches):
         import pyarrow as pa
 
         held = None
-        schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("text", pa.string()), ("after", pa.string()), ("edge", pa.int32())])
+        none = (None,) * 6
 
         def out(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
+            for at in range(0, batch.num_rows, 128):
                 rows = []
-                for key, text, part in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
-                    rows.append((part, None, None, text, 0) if held is None else (*held, text, 1))
-                    held = (part, key, text)
+                for key, text, part in zip(*(c.to_pylist() for c in batch.slice(at, 128).columns)):
+                    rows.append((part, 0, text, key, *none) if held is None else (part, 1, None, *measure(*held, text)))
+                    held = (key, text)
                 yield out(rows)
         if held is not None:
-            yield out([(*held, None, 2)])
+            yield out([(part, 2, held[1], held[0], *none)])
 
-    rows = store.save(dealt.mapInArrow(run, "part int, doc_id long, text string, after string, edge int"), "paired")
-    # edges: at most two rows for each range. A part's last row is followed by the next part's first.
+    rows = store.save(dealt.mapInArrow(run, kind), "measured")
+    # at most two rows for each range
     edges = rows.where("edge <> 1")
     w = Window.orderBy("part", "edge")
     every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    lasts = edges.withColumn("after", F.coalesce(F.lead("after").over(w), F.first("after").over(every))).where("edge = 2")
-    return rows.where("edge = 1").select("doc_id", "text", "after").union(lasts.select("doc_id", "text", "after"))
-
-
-def sampled(pairs: DataFrame) -> DataFrame:
-    def setup():
-        def one(key, text, after):
-            changed = edited(text, after)
-            a, b, c = sample(text), sample(changed), sample(after)
-            return key, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), tell(a), tell(b), likeness(a, b), likeness(a, c)
-
-        return one
-
-    ddl = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return map_rows(pairs, ddl, setup, 128)
+    lasts = edges.withColumn("after", F.coalesce(F.lead("text").over(w), F.first("text").over(every))).where("edge = 2")
+    rest = map_rows(lasts.select("doc_id", "text", "after"), DDL, lambda: measure)
+    return rows.where("edge = 1").select(*(f.name for f in kind.fields[3:])).union(rest)
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
