@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectraloom.functions import isotopes, peptides
-from spectraloom.operators import joins, proteins, ranking
+from spectraloom.functions import isotopes, peptides, variants
+from spectraloom.operators import joins, proteins, ranking, rescoring
 
 QUERIES = {}
 SQL = {}
@@ -296,3 +296,16 @@ def search_slice(spark, sf_dir):
     best = ranking.top_k(pairs, ["p_partkey"], [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")], 1)
     best = best.withColumn("is_decoy", c("l_quantity") < 2)
     return ranking.fdr_cutoff(best, "l_extendedprice", "is_decoy", 0.5, ["p_partkey"]).select("p_partkey", *ITEM)
+
+
+@query("""WITH p AS (SELECT p_partkey, regexp_replace(upper(p_name), '[^A-Z]', '', 'g') AS name FROM part)
+SELECT p_partkey, name AS form FROM p UNION ALL
+SELECT p_partkey, substr(name, 1, i) || '~' || substr(name, i + 1) FROM (SELECT p_partkey, name, unnest(generate_series(1, length(name))) AS i FROM p) WHERE contains('ST', substr(name, i, 1))""")
+def modified_forms(spark, sf_dir):
+    name = F.regexp_replace(F.upper("p_name"), "[^A-Z]", "")
+    return read(spark, sf_dir, "part").select("p_partkey", F.explode(variants.modified(name, {"~": "ST"}, 1)).alias("form"))
+
+
+@query()
+def clusters_1d(spark, sf_dir):
+    return rescoring.clusters(read(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice", 5.0)
