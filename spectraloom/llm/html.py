@@ -10,8 +10,10 @@ on labelled pages, which ``labelled_pages`` writes from a seed; others can be gi
 Blocks are joined by two line ends; white space within one becomes one space (``<br>`` and table
 cells too); character references are decoded. Scripts, styles, titles, form controls and comments
 of the markup never reach the model. Cases: null and empty pages give empty text; unclosed and
-stray tags are tolerated; a tag or comment cut off by the end is dropped; repeated rows give equal
-rows; long pages are read whole in linear time; an empty table stays empty.
+stray tags are tolerated; a tag, comment, script, style, title or text area cut off by the end is
+dropped; other elements that are ignored end with their end tag, or where that is missing with their
+parent or before the next block, and self-closed ones are empty; repeated rows give equal rows; long
+pages are read whole in linear time; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import html as references
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 from math import exp, log
 
@@ -27,13 +30,16 @@ from pyspark.sql import DataFrame, SparkSession
 from spectraloom.llm.common import map_rows, pick, table
 
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|title|textarea|noscript|template|iframe|select|button|svg|object)\b[^>]*+>.*?(?:</\1\s*+>|\Z)|<(/?)([a-z][a-z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+>|<[a-z/!?][^>]*+\Z""",
+    r"""<!--.*?(?:-->|\Z)|<(script|style|title|textarea)(?![a-z0-9:-])[^>]*+>.*?(?:</\1\s*+>|\Z)|<(/?)([a-z][a-z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+>|<[a-z/!?][^>]*+\Z""",
     re.S | re.I,
 )
 BLOCKS = frozenset("html body article aside section main nav header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr blockquote pre figure figcaption form fieldset address details summary dialog center hgroup menu caption".split())
 SPACES = frozenset("br td th img hr input wbr".split()) - {"wbr"}
 CLOSES_P = BLOCKS - {"html", "body"}
 VOID = frozenset("br hr img input meta link wbr area base col embed source track".split())
+#: Elements whose contents are no text of the page, and those of them that do not nest.
+IGNORED = frozenset("noscript template iframe select button svg object".split())
+ALONE = IGNORED - {"template", "svg", "object"}
 #: A start tag ends an open element of these kinds, up to the nearest of the others.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "p": ({"p"}, set())}
 NAMED = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -52,6 +58,53 @@ class Node:
         self.gold = None
 
 
+def ignored(page: str, tokens: list[re.Match]) -> dict[int, tuple[int, int]]:
+    """For each token that starts an ignored element: the token and the place to go on from."""
+    names = [m[3].lower() if m[3] else "" for m in tokens]
+    if IGNORED.isdisjoint(names):
+        return {}
+    on: dict[int, tuple[int, int]] = {}
+    cut: dict[int, int] = {}
+    stack, count = [], Counter()
+
+    def close(tag: str, i: int) -> int:
+        """Ends open elements up to the nearest of the tag, which is returned."""
+        while True:
+            k = stack.pop()
+            count[names[k]] -= 1
+            if names[k] in IGNORED:
+                cut[k] = i
+            if names[k] == tag:
+                return k
+
+    for i, (tag, m) in enumerate(zip(names, tokens)):
+        if not tag or tag in VOID:
+            continue
+        if m[2]:
+            if count[tag]:
+                k = close(tag, i)
+                if cut.pop(k, None) is not None:
+                    on[k] = i + 1, m.end()
+            continue
+        if tag in ALONE and count[tag]:
+            close(tag, i)
+        if tag not in BLOCKS and m[4].rstrip().endswith("/"):
+            if tag in IGNORED:
+                on[i] = i + 1, m.end()
+            continue
+        stack.append(i)
+        count[tag] += 1
+    cut.update((k, len(tokens)) for k in stack if names[k] in IGNORED)
+    following = len(tokens)
+    for i in range(len(tokens) - 1, -1, -1):
+        if i in cut:
+            k = min(cut[i], following)
+            on[i] = k, tokens[k].start() if k < len(tokens) else len(page)
+        if names[i] in BLOCKS or names[i] in ("td", "th"):
+            following = i
+    return on
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block elements, parents first, and (element, text) of every block of text in page order."""
     nodes, texts = [Node("html", -1, [])], []
@@ -80,9 +133,16 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if link:
             linked += len(piece)
 
-    for m in TOKEN.finditer(page):
+    tokens = list(TOKEN.finditer(page))
+    skips, following = ignored(page, tokens), 0
+    for i, m in enumerate(tokens):
+        if i < following:
+            continue
         if m.start() > at:
             say(page[at : m.start()])
+        if i in skips:
+            following, at = skips[i]
+            continue
         at = m.end()
         tag = m[3]
         if tag is None:

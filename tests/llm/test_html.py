@@ -46,3 +46,15 @@ def test_texts(spark):
     got = sorted((tuple(r) for r in H.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, HTML string")).collect()), key=lambda r: r[0])
     assert got == [(1, "u", want, len(want))] * 2 + [(2, None, "", 0), (3, "v", "", 0)]
     assert H.extracted(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_ignored_elements_end():
+    said = lambda page: [x for _, x in H.parse(page)[1]]
+    want = ["One.", "Two.", "Three."]
+    for x in ('<svg class="i"/>', '<svg class="i"><path d="a>b"/></svg>', '<svg><path/>', "<button>", "<button>Menu", "<select><option>A<option>B", "<object data=x>", "<object><object>x</object>y</object>", "<button>A<button>B</button>", "<template/>", "<noscript><p>no</p></noscript>", "<iframe>"):
+        assert said(f"<article><p>One.</p>{x}<p>Two.</p><p>Three.</p></article>") == want, x
+        assert said(f"<article><p>One.</p>{x}<p>Two.</p>{x}<p>Three.</p></article>") == want, x
+    assert said("<p>One.</p><svg-icon>Two.</svg-icon><p>Three.</p>") == want
+    assert said("<p>One. <b><button>x</b></p>Two. <svg/> <p>Three.") == want
+    assert said("<p>One.</p><script>if (a<b) <p>x") == ["One."]
+    assert len(said("<p>a</p><button>" * 20000 + "</i>" * 20000)) == 20000
