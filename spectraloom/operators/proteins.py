@@ -36,17 +36,19 @@ def concat_ordered(df: DataFrame, key: str, order: list[str], values: list[str])
     return out.select(key, *(F.array_join(F.col("_r")[v].cast("array<string>"), ",").alias(v) for v in values))
 
 
-def labels(edges: DataFrame, protein: str, peptide: str, rounds: int = 50) -> DataFrame:
-    """Connected component of each protein: the least protein that it reaches through peptides."""
+def labels(edges: DataFrame, protein: str, peptide: str) -> DataFrame:
+    """Connected component of each protein: the least protein that it reaches through peptides.
+    Each round takes the least label of all that share a peptide, and then the label that this one
+    had, so that labels go twice as far from round to round; the last round is one without a change."""
     pairs = edges.select(F.col(protein).alias("p"), F.col(peptide).alias("q")).distinct()
     at = pairs.select("p").distinct().withColumn("c", F.col("p"))
-    for _ in range(rounds):
+    while True:
         least = pairs.join(at, "p").groupBy("q").agg(F.min("c").alias("m"))
-        new = pairs.join(least, "q").groupBy("p").agg(F.min("m").alias("c")).checkpoint()
+        hop = pairs.join(least, "q").groupBy("p").agg(F.min("m").alias("m"))
+        new = hop.join(at.toDF("m", "o"), "m").select("p", F.least("m", "o").alias("c")).checkpoint()
         if new.join(at.withColumnRenamed("c", "o"), "p").where("c <> o").isEmpty():
             return new
         at = new
-    return at
 
 
 def _cover(groups: list[tuple[str, frozenset]], least: int, unique: int) -> list[str]:

@@ -42,6 +42,13 @@ def test_parsimony(spark):
     assert got == {"{A,B}", "E", "F"}
 
 
+def test_parsimony_of_a_long_chain(spark):
+    sets = [(f"p{k:03}", frozenset(f"q{x}" for x in (k - 1, k) if 0 <= x < 119)) for k in range(120)]
+    edges = spark.createDataFrame([(p, q) for p, s in sets for q in s], "p string, q string")
+    assert {r.c for r in proteins.labels(edges, "p", "q").collect()} == {"p000"}
+    assert sorted(r.protein_group for r in proteins.parsimony(edges, "p", "q").collect()) == proteins._cover(sets, 1, 0)
+
+
 def test_fdr_within_ties(spark):
     df = spark.createDataFrame([(1, 9.0, False), (2, 8.0, False), (3, 8.0, True), (4, 7.0, True)], "id int, s double, d boolean")
     assert {r.id for r in ranking.fdr_cutoff(df, "s", "d", 0.1, ["id"]).collect()} == {1, 2, 3}
