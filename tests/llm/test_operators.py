@@ -91,6 +91,16 @@ def test_secrets():
     assert [m for m in secrets.scan("ſecret=abcdefghij")] == []
 
 
+def test_short_random_values():
+    for value in ("kX9$vQ2z!", "zq9!Lm", "xK4#pW7", "vT8%nR2q", "wzkqvxpjm", "hunter2"):
+        for text in (f"pwd: {value}", f"my passcode is {value} ok", f"password: {value}"):
+            at = text.index(value)
+            assert (at, 3, at + len(value)) in secrets.scan(text), text
+            assert secrets.redact(text).find(value) < 0
+    for value in ("required", "important", "missing.", "incorrect", "changeme", "password1", "letmein!", "abc123", "aaaaaaaa", "12345678", "20240131", "qwertyui"):
+        assert not secrets.scan(f"the passcode is {value} now"), value
+
+
 def brute_guess(value):
     ends = secrets._candidates(value)
     best = {0: 0.0}
