@@ -11,8 +11,9 @@ Draws come from one table of 2 ** TABLE_BITS entries, indexed by a hash of (t, k
 keeps the term's own 64-bit hash, so terms that share an entry do not count as equal.
 
 Cases: null counts as empty; a text without words has the fingerprint of no terms, which equals
-itself (likeness 1) and nothing else (0); equal texts have equal fingerprints; ids that repeat
-are ordered by text; long texts are sampled in blocks of terms; an empty table stays empty.
+itself (likeness 1) and nothing else (0); equal texts have equal fingerprints; rows that repeat an
+id are ordered by a 64-bit hash of their text, then by the text; long texts are sampled in blocks of
+terms; an empty table stays empty; other columns do not matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -98,11 +99,11 @@ def likeness(a, b) -> float:
     return float((a == b).sum()) / SAMPLES
 
 
-def tell(s) -> str:
-    """A fingerprint as text: 8 hex digits for each sample."""
+def tell(s) -> bytes:
+    """A fingerprint as bytes: four for each sample."""
     import numpy as np
 
-    return ((s ^ (s >> np.uint64(32))) & np.uint64(0xFFFFFFFF)).astype(">u4").tobytes().hex()
+    return ((s ^ (s >> np.uint64(32))) & np.uint64(0xFFFFFFFF)).astype(">u4").tobytes()
 
 
 def edited(text: str, after: str) -> str:
@@ -110,26 +111,28 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
-DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+DDL = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def measure(key, text: str, after: str) -> tuple:
     changed = edited(text, after)
     a, b, c = sample(text), sample(changed), sample(after)
-    return key, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), tell(a), tell(b), likeness(a, b), likeness(a, c)
+    return key, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).digest(), tell(a), tell(b), likeness(a, b), likeness(a, c)
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Rows are dealt by ranges of ids and sorted. A task sees its rows in order, holds one of them
-    back and measures it with the next. Only the texts of the first and last row of each range are
-    written: the last of a range is measured with the first of the next range, or the very first."""
-    docs = pick(docs, doc_id=doc_id, text=text).withColumn("text", F.coalesce("text", F.lit("")))
+    Rows are dealt by ranges of ids (and hashes of texts, so that no text is sampled to find the
+    ranges) and sorted. A task sees its rows in order, holds one of them back and measures it with
+    the next. Only the texts of the first and last row of each range are written: the last of a
+    range is measured with the first of the next range, or the very first. Digests and fingerprints
+    are written as bytes and told in hexadecimal digits when they are read."""
+    docs = pick(docs, doc_id=doc_id, text=text).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("h", F.xxhash64("text"))
     spark = docs.sparkSession
     store = Tables(spark, "sampling")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.repartitionByRange(parts, "doc_id", "text").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
+    dealt = docs.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text", F.spark_partition_id().alias("part"))
     kind, schema = arrow_schema("part int, edge int, text string, " + DDL)
 
     def run(batches):
@@ -158,7 +161,8 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     lasts = edges.withColumn("after", F.coalesce(F.lead("text").over(w), F.first("text").over(every))).where("edge = 2")
     rest = map_rows(lasts.select("doc_id", "text", "after"), DDL, lambda: measure)
-    return rows.where("edge = 1").select(*(f.name for f in kind.fields[3:])).union(rest)
+    every = rows.where("edge = 1").select(*(f.name for f in kind.fields[3:])).union(rest)
+    return every.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
