@@ -313,13 +313,13 @@ def wdp(series, z: int, mz, intensity, charge, tol: float, labelled: bool = Fals
 
 # --- the search
 
-SCORED = "scan long, z int, parent_mass double, peptide string, mvh double, xcorr double, wdp double"
+SCORED = "run string, scan long, z int, parent_mass double, peptide string, mvh double, xcorr double, wdp double"
 
 
-def score_blocks(blocks: DataFrame, lo: float, hi: float, tol: float, parent_tol: float, enriched=None, keep: int | None = None) -> DataFrame:
-    """blocks: scan, z, parent_mass, parent_mz, mz / intensity / charge arrays, peptides array.
-    Regular: the ``keep`` (50) best by MVH get the other scores and a zero score drops the match;
-    with ``enriched`` the 10 best by WDP."""
+def score_blocks(blocks: DataFrame, tol: float, parent_tol: float, enriched=None, keep: int | None = None) -> DataFrame:
+    """blocks: run, scan, z, parent_mass, parent_mz, lo, hi (m/z bounds of the run), mz / intensity /
+    charge arrays, peptides array. Regular: the ``keep`` (50) best by MVH get the other scores and a zero
+    score drops the match; with ``enriched`` the 10 best by WDP."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -332,7 +332,7 @@ def score_blocks(blocks: DataFrame, lo: float, hi: float, tol: float, parent_tol
 
         masses, table = monoisotopic(), residue_distributions(enriched)
 
-        def block(scan, z, parent, parent_mz, mz, intensity, charge, names):
+        def block(name, scan, z, parent, parent_mz, lo, hi, mz, intensity, charge, names):
             mz, intensity, charge = (np.array(x, float) for x in (mz, intensity, charge))
             order = np.argsort(mz, kind="stable")
             mz, intensity, charge = mz[order], intensity[order], charge[order]
@@ -347,6 +347,8 @@ def score_blocks(blocks: DataFrame, lo: float, hi: float, tol: float, parent_tol
 
             best = sorted(((-first(p), p) for p in names))[:keep]
             for minus, p in best:
+                if not enriched and not minus:
+                    continue
                 series = envelopes(p, table)
                 if enriched:
                     ions = np.concatenate([m + PROTON for m, _ in series[0] + series[1]])
@@ -355,7 +357,7 @@ def score_blocks(blocks: DataFrame, lo: float, hi: float, tol: float, parent_tol
                     row = (-minus, xcorr(p, z, cross, masses), wdp(series, z, mz, intensity, charge, tol))
                     if 0.0 in row:
                         continue
-                yield (scan, z, parent, p, *row)
+                yield (name, scan, z, parent, p, *row)
 
         for batch in batches:
             for at in range(batch.num_rows):
@@ -363,24 +365,28 @@ def score_blocks(blocks: DataFrame, lo: float, hi: float, tol: float, parent_tol
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
 
-    return blocks.select("scan", "z", "parent_mass", "parent_mz", "mz", "intensity", "charge", "peptides").mapInArrow(run, kind)
-
-
-def search(scans: DataFrame, peptides: DataFrame, windows, tol: float = 0.01, parent_tol: float = 0.05, blocks: int = 16, enriched=None, keep: int | None = None) -> DataFrame:
-    """scans: scan, z, parent_mz, peaks (mz, intensity, z); peptides: peptide, mass. The matches of
-    each (scan, z) with three scores and their ranks, those with any rank up to 10. Scans without
-    peaks or m/z, and peptides without mass, match nothing; repeated peptides count once."""
-    keep = keep or (10 if enriched else 50)
-    s = scans.where(F.col("parent_mz").isNotNull() & (F.size("peaks") > 0)).withColumn("parent_mass", F.col("parent_mz") * F.col("z") - F.col("z") * PROTON)
-    ends = s.agg(F.min(F.array_min("peaks.mz")), F.max(F.array_max("peaks.mz"))).first()
-    if ends[0] is None:
-        return s.sparkSession.createDataFrame([], SCORED + ", rank_mvh int, rank_xcorr int, rank_wdp int")
-    pairs = band_join(peptides.select("peptide", "mass"), s.select("scan", "z", "parent_mass"), "mass", "parent_mass", windows)
-    grouped = pairs.groupBy("scan", "z", F.pmod(F.xxhash64("peptide"), F.lit(blocks)).alias("block")).agg(F.collect_set("peptide").alias("peptides"))
-    whole = grouped.join(s.select("scan", "z", "parent_mass", "parent_mz", F.col("peaks.mz").alias("mz"), F.col("peaks.intensity").alias("intensity"), F.col("peaks.z").alias("charge")), ["scan", "z"])
-    scored = score_blocks(whole, float(ends[0]), float(ends[1]), tol, parent_tol, enriched, keep)
-    by = lambda c: Window.partitionBy("scan", "z").orderBy(F.desc(c), "peptide")
+    return blocks.select("run", "scan", "z", "parent_mass", "parent_mz", "lo", "hi", "mz", "intensity", "charge", "peptides").mapInArrow(run, kind)
+
+
+def search(scans: DataFrame, peptides: DataFrame, windows, tol: float = 0.01, parent_tol: float = 0.05, block: int = 2000, enriched=None, keep: int | None = None, run: str | None = None) -> DataFrame:
+    """scans: scan, z, parent_mz, peaks (mz, intensity, z) and, if named, the run (file) that scans are
+    numbered in and that m/z bounds hold for; peptides: peptide, mass. The matches of each (run, scan, z)
+    with three scores and their ranks, those with any rank up to 10. Scans without peaks or m/z, and
+    peptides without mass, match nothing; repeated peptides count once. The candidates of a scan are
+    counted and dealt to blocks of about ``block``, so no list grows with the database."""
+    keep, own = keep or (10 if enriched else 50), ["run", "scan", "z"]
+    s = scans.withColumn("run", F.col(run).cast("string") if run else F.lit(""))
+    s = s.where(F.col("parent_mz").isNotNull() & (F.size("peaks") > 0)).withColumn("parent_mass", F.col("parent_mz") * F.col("z") - F.col("z") * PROTON)
+    ends = s.groupBy("run").agg(F.min(F.array_min("peaks.mz")).alias("lo"), F.max(F.array_max("peaks.mz")).alias("hi"))
+    pairs = band_join(peptides.select("peptide", "mass"), s.select(*own, "parent_mass"), "mass", "parent_mass", windows).select(*own, "peptide").distinct()
+    counts = pairs.groupBy(*own).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    dealt = pairs.join(counts, own).withColumn("block", F.pmod(F.xxhash64("peptide"), F.col("blocks")))
+    grouped = dealt.groupBy(*own, "block").agg(F.collect_list("peptide").alias("peptides"))
+    spectra = s.join(ends, "run").select(*own, "parent_mass", "parent_mz", "lo", "hi", F.col("peaks.mz").alias("mz"), F.col("peaks.intensity").alias("intensity"), F.col("peaks.z").alias("charge"))
+    scored = score_blocks(grouped.join(spectra, own), tol, parent_tol, enriched, keep)
+    by = lambda c: Window.partitionBy(*own).orderBy(F.desc(c), "peptide")
     best = scored.withColumn("_n", F.row_number().over(by("wdp" if enriched else "mvh"))).where(F.col("_n") <= keep).drop("_n")
     for score in ("mvh", "xcorr", "wdp"):
         best = best.withColumn(f"rank_{score}", F.row_number().over(by(score)))
-    return best.where(F.least("rank_mvh", "rank_xcorr", "rank_wdp") <= 10)
+    best = best.where(F.least("rank_mvh", "rank_xcorr", "rank_wdp") <= 10)
+    return best.withColumnRenamed("run", run) if run else best.drop("run")

@@ -42,6 +42,18 @@ def substituted(df: DataFrame, peptide: str, alphabet: str = "ACDEFGHIKLMNPQRSTV
     return out.withColumn("piece", F.explode(F.when(cuts, pieces(F.col("mutant"), after=after, drop_first_m=False)).otherwise(F.array("mutant"))))
 
 
+def silenced(df: DataFrame, seq: str, alphabet: str = "ACDEFGHIKLMNPQRSTVWY", after: str = "KR", least: int = 7, most: int = 60) -> DataFrame:
+    """A row for each substitution that takes a cut away: the last residue of a piece becomes one that does
+    not cut, so the piece is joined to the next: cut (from 0), residue, mutant, with lengths in range."""
+    p = df.withColumn("_p", pieces(F.col(seq), after=after))
+    kept = [r for r in alphabet if r not in after]
+    p = p.select("*", F.explode(F.sequence(F.lit(0), F.size("_p") - 1)).alias("cut")).where(F.col("cut") < F.size("_p") - 1)
+    p = p.withColumns({"_a": F.get("_p", F.col("cut")), "_b": F.get("_p", F.col("cut") + 1)}).drop("_p")
+    p = p.where(F.length("_a") + F.length("_b") <= most).where(F.length("_a") + F.length("_b") >= least)
+    p = p.withColumn("residue", F.explode(F.array(*map(F.lit, kept))))
+    return p.withColumn("mutant", F.concat(F.substring("_a", F.lit(1), F.length("_a") - 1), F.col("residue"), F.col("_b"))).drop("_a", "_b")
+
+
 def neutral_loss(peptide: Column, losses: dict[str, str]) -> Column:
     """Symbols replaced by others, or removed, for scoring only."""
     for old, new in losses.items():
@@ -59,6 +71,13 @@ def precursors(df: DataFrame, tol: float = 0.01) -> DataFrame:
     return df.withColumn("_x", F.explode(rows)).withColumn("z", F.col("_x.z")).withColumn("precursor_mz", F.col("_x.mz")).drop("_x")
 
 
+def with_guessed_charges(df: DataFrame, charge: str, peaks: str, parent_mz: str) -> DataFrame:
+    """A row for each charge: the known one, and where it is 0 or null those guessed from the peaks."""
+    guess = guessed_charges(F.transform(F.col(peaks), lambda p: p["mz"]), F.col(parent_mz))
+    known = F.coalesce(F.col(charge), F.lit(0)) != 0
+    return df.withColumn(charge, F.explode(F.when(known, F.array(F.col(charge).cast("int"))).otherwise(guess)))
+
+
 def guessed_charges(peaks_mz: Column, parent_mz: Column) -> Column:
     """1 where the top twentieth of m/z lies below the parent, else 2 and 3."""
     at = F.greatest(F.ceil(F.size(peaks_mz) * 0.95).cast("int"), F.lit(1))

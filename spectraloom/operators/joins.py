@@ -39,7 +39,9 @@ def band_join(left: DataFrame, right: DataFrame, left_value: str, right_value: s
 
 def nearest_join(left: DataFrame, right: DataFrame, left_key: str, left_value: str, right_value: str, tolerance: float, order: Column | None = None, best: str = "nearest") -> DataFrame:
     """For each left row the nearest right value within a strict tolerance, or with best='largest'
-    the one with the largest ``order``; ties go to the smaller right value."""
+    the one with the largest ``order``, which must be given; ties go to the smaller right value."""
+    if best == "largest" and order is None:
+        raise ValueError("best='largest' needs an order")
     pairs = band_join(left, right, left_value, right_value, [(-tolerance, tolerance)])
     gap = F.abs(F.col(right_value) - F.col(left_value))
     first = gap if best == "nearest" else -order

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spectraloom.store import checkpointed
+
 
 def merge_indistinguishable(edges: DataFrame, protein: str, peptide: str) -> DataFrame:
     """One row for each distinct set of peptides, with all proteins that have it."""
@@ -45,35 +47,35 @@ def labels(edges: DataFrame, protein: str, peptide: str) -> DataFrame:
     while True:
         least = pairs.join(at, "p").groupBy("q").agg(F.min("c").alias("m"))
         hop = pairs.join(least, "q").groupBy("p").agg(F.min("m").alias("m"))
-        new = hop.join(at.toDF("m", "o"), "m").select("p", F.least("m", "o").alias("c")).checkpoint()
+        new = checkpointed(hop.join(at.toDF("m", "o"), "m").select("p", F.least("m", "o").alias("c")))
         if new.join(at.withColumnRenamed("c", "o"), "p").where("c <> o").isEmpty():
             return new
         at = new
 
 
 def _cover(groups: list[tuple[str, frozenset]], least: int, unique: int) -> list[str]:
-    """Greedy cover of one component: first proteins with enough peptides of their own, then the
-    largest that remain, each taking its peptides away; ties by name."""
+    """Greedy cover of one component: first proteins with enough peptides of their own, each of which
+    takes away those that have no peptide but its own; then, again and again, the one with the most
+    peptides that remains, which takes away all that share a peptide with it; ties by name."""
     chosen, left = [], dict(groups)
     owners: dict = {}
     for p, s in groups:
         for q in s:
             owners.setdefault(q, set()).add(p)
-    taken: set = set()
     for p, s in sorted(groups):
         if len(s) >= least and sum(len(owners[q]) == 1 for q in s) >= max(unique, 1):
             chosen.append(p)
-            taken |= s
-    left = {p: s for p, s in left.items() if p not in chosen and not s <= taken}
-    while left:
-        p = min(left, key=lambda p: (-len(left[p]), p))
-        s = left.pop(p)
+            for o in {o for q in s for o in owners[q]}:
+                if o == p or o in left and left[o] <= s:
+                    left.pop(o, None)
+    for p, s in sorted(left.items(), key=lambda x: (-len(x[1]), x[0])):
+        if p not in left or sum(len(owners[q]) == 1 for q in s) < unique:
+            continue
         if len(s) < least:
             break
-        if unique and sum(len(owners[q]) == 1 for q in s) < unique:
-            continue
         chosen.append(p)
-        left = {o: t for o, t in left.items() if not t & s}
+        for o in {o for q in s for o in owners[q]}:
+            left.pop(o, None)
     return sorted(chosen)
 
 

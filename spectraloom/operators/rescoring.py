@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType, _parse_datatype_string
 from pyspark.sql.window import Window
 
 from spectraloom.operators import ranking
@@ -45,46 +47,68 @@ def clusters(df: DataFrame, group: str, value: str, threshold: float, least: int
     w = Window.partitionBy(group).orderBy("_v")
     cut = F.when(F.col("_v") - F.lag("_v").over(w) > threshold, 1).otherwise(0)
     rows = rows.withColumn("_cut", cut).withColumn("_s", F.sum("_cut").over(w))
-    kind = next(f.dataType.simpleString() for f in df.schema.fields if f.name == group)
-
-    def solve(key, pdf):
-        import heapq
-
-        import pandas as pd
-
-        pdf = pdf.sort_values("_v")
-        v, k = pdf["_v"].tolist(), pdf["_n"].tolist()
-        size, total, square = list(k), [a * b for a, b in zip(v, k)], [a * a * b for a, b in zip(v, k)]
-        n = len(v)
-        after, before, version = list(range(1, n + 1)), list(range(-1, n - 1)), [0] * n
-        heap = [(v[i + 1] - v[i], i, i + 1, 0, 0) for i in range(n - 1)]
-        heapq.heapify(heap)
-        alive = [True] * n
-        mean = lambda i: total[i] / size[i]
-        while heap:
-            gap, i, j, a, b = heapq.heappop(heap)
-            if gap > threshold:
-                break
-            if not (alive[i] and alive[j]) or version[i] != a or version[j] != b:
-                continue
-            alive[j] = False
-            size[i], total[i], square[i] = size[i] + size[j], total[i] + total[j], square[i] + square[j]
-            version[i] += 1
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                heapq.heappush(heap, (mean(after[i]) - mean(i), i, after[i], version[i], version[after[i]]))
-            if before[i] >= 0:
-                heapq.heappush(heap, (mean(i) - mean(before[i]), before[i], i, version[before[i]], version[i]))
-        live = [i for i in range(n) if alive[i]]
-        spread = [max(square[i] / size[i] - mean(i) ** 2, 0.0) ** 0.5 for i in live]
-        return pd.DataFrame({"g": [key[0]] * len(live), "n": [size[i] for i in live], "mean": [mean(i) for i in live], "deviation": spread})
-
-    out = rows.groupBy(group, "_s").applyInPandas(solve, f"g {kind}, n long, mean double, deviation double").withColumnRenamed("g", group)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(group, "_s", "_v", "_n").repartition(parts, group, "_s").sortWithinPartitions(group, "_s", "_v")
+    kind = StructType([next(f for f in df.schema.fields if f.name == group), *_parse_datatype_string("n long, mean double, deviation double").fields])
+
+    def run(batches):
+        import pyarrow as pa
+
+        schema = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in kind.fields])
+        last, values, counts = None, [], []
+
+        def rows(key):
+            found = _merged(values, counts, threshold)
+            return pa.RecordBatch.from_arrays([pa.array([key] * len(found), schema[0].type), *(pa.array([f[k] for f in found], schema[k + 1].type) for k in range(3))], schema=schema)
+
+        for batch in batches:
+            for g, s, v, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if (g, s) != last and values:
+                    yield rows(last[0])
+                    values.clear()
+                    counts.clear()
+                last = g, s
+                values.append(v)
+                counts.append(n)
+        if values:
+            yield rows(last[0])
+
+    out = dealt.mapInArrow(run, kind)
     number = F.row_number().over(Window.partitionBy(group).orderBy("mean"))
     return out.where(F.col("n") >= least).withColumn("cluster", number)
 
 
+def _merged(v: list[float], k: list[int], threshold: float) -> list[tuple[int, float, float]]:
+    """(n, mean, deviation) of the clusters of ascending values, each of which occurs so many times."""
+    import heapq
+
+    n = len(v)
+    size, total, spread = list(k), [a * b for a, b in zip(v, k)], [0.0] * n  # spread: squares about the mean
+    after, before, version = list(range(1, n + 1)), list(range(-1, n - 1)), [0] * n
+    heap = [(v[i + 1] - v[i], i, i + 1, 0, 0) for i in range(n - 1)]
+    heapq.heapify(heap)
+    alive = [True] * n
+    mean = lambda i: total[i] / size[i]
+    while heap:
+        gap, i, j, a, b = heapq.heappop(heap)
+        if gap > threshold:
+            break
+        if not (alive[i] and alive[j]) or version[i] != a or version[j] != b:
+            continue
+        alive[j] = False
+        apart = mean(j) - mean(i)
+        spread[i] += spread[j] + apart * apart * size[i] * size[j] / (size[i] + size[j])
+        size[i], total[i] = size[i] + size[j], total[i] + total[j]
+        version[i] += 1
+        after[i] = after[j]
+        if after[i] < n:
+            before[after[i]] = i
+            heapq.heappush(heap, (mean(after[i]) - mean(i), i, after[i], version[i], version[after[i]]))
+        if before[i] >= 0:
+            heapq.heappush(heap, (mean(i) - mean(before[i]), before[i], i, version[before[i]], version[i]))
+    return [(size[i], mean(i), (spread[i] / size[i]) ** 0.5) for i in range(n) if alive[i]]
+
+
 def semi_supervised(df: DataFrame, features: list[str], score: str, keys: list[str], decoy: str = "is_decoy", rounds: int = 3, folds: int = 3, at: float = 0.01) -> DataFrame:
     """df with ``rescored`` and ``q_value``: in each round, targets under the cutoff by the score so
     far and all decoys train a regression, which scores the fold that it did not see. Folds are dealt

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectraloom.functions import isotopes, peptides, variants
-from spectraloom.operators import joins, proteins, ranking, rescoring
+from spectraloom.functions import elements, isotopes, peptides, scoring, variants
+from spectraloom.operators import envelopes, joins, merging, proteins, ranking, reports, rescoring
+from spectraloom.sources import sinks
 
 QUERIES = {}
 SQL = {}
@@ -170,11 +171,13 @@ def target_and_decoy(spark, sf_dir):
     return s.union(peptides.decoys(s, "protein", "sequence"))
 
 
-@query("""SELECT vec_id, [round(CAST(embedding[1] AS DOUBLE) * embedding[1], 6), round(2 * CAST(embedding[1] AS DOUBLE) * embedding[2], 6),
-  round(2 * CAST(embedding[1] AS DOUBLE) * embedding[3] + CAST(embedding[2] AS DOUBLE) * embedding[2], 6),
-  round(2 * CAST(embedding[2] AS DOUBLE) * embedding[3], 6), round(CAST(embedding[3] AS DOUBLE) * embedding[3], 6)] AS probs FROM embeddings""")
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+p AS (SELECT vec_id, e, unnest(range(2 * len(e) - 1)) AS k FROM e),
+q AS (SELECT vec_id, e, k, unnest(range(greatest(0, k - len(e) + 1), least(k, len(e) - 1) + 1)) AS i FROM p),
+r AS (SELECT vec_id, k, sum(e[i + 1] * e[k - i + 1]) AS v FROM q GROUP BY 1, 2)
+SELECT vec_id, list(round(v, 6) ORDER BY k) AS probs FROM r GROUP BY 1""")
 def isotope_convolution(spark, sf_dir):
-    e = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double"))
+    e = F.transform("embedding", lambda x: x.cast("double"))
     return read(spark, sf_dir, "embeddings").select("vec_id", F.transform(isotopes.convolve(e, e), lambda x: F.round(x, 6)).alias("probs"))
 
 
@@ -191,10 +194,10 @@ def protein_concat(spark, sf_dir):
     return proteins.concat_ordered(read(spark, sf_dir, "orders"), "o_custkey", ["o_orderkey"], ["o_orderkey", "o_orderpriority"])
 
 
-@query("""WITH s AS (SELECT l_orderkey, list_sort(list(DISTINCT l_suppkey % 5)) AS p FROM lineitem GROUP BY 1)
+@query("""WITH s AS (SELECT l_orderkey, list_sort(list(DISTINCT l_suppkey)) AS p FROM lineitem GROUP BY 1)
 SELECT array_to_string(p, ',') AS peptides, count(*) AS n, min(l_orderkey) AS first FROM s GROUP BY 1""")
 def identical_sets(spark, sf_dir):
-    e = read(spark, sf_dir, "lineitem").select("l_orderkey", (c("l_suppkey") % 5).alias("p"))
+    e = read(spark, sf_dir, "lineitem").select("l_orderkey", c("l_suppkey").alias("p"))
     m = proteins.merge_indistinguishable(e, "l_orderkey", "p")
     return m.select(F.array_join(F.transform("peptides", lambda x: x.cast("string")), ",").alias("peptides"), F.size("proteins").cast("long").alias("n"), c("proteins")[0].alias("first"))
 
@@ -225,11 +228,10 @@ def semi_subset(spark, sf_dir):
     return read(spark, sf_dir, "part").join(ids, "p_partkey", "left_semi").select("p_partkey", "p_name")
 
 
-@query("""SELECT o_custkey, o_orderpriority, count(*) AS spectral_count, max(o_totalprice) AS best_score, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS psms, bool_or(o_orderstatus = 'F') AS any_target FROM orders GROUP BY 1, 2""")
+@query("""SELECT o_custkey, o_orderpriority, count(*) AS spectral_count, max(o_totalprice) AS best_score, string_agg(o_orderstatus || '[' || CAST(o_orderkey AS VARCHAR) || ']', ',' ORDER BY o_orderstatus, o_orderkey) AS psms, bool_or(o_orderstatus = 'F') AS any_target FROM orders GROUP BY 1, 2""")
 def peptide_rollup(spark, sf_dir):
-    g = read(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderpriority")
-    psms = F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string")), ",")
-    return g.agg(F.count("*").alias("spectral_count"), F.max("o_totalprice").alias("best_score"), psms.alias("psms"), F.bool_or(c("o_orderstatus") == "F").alias("any_target"))
+    got = reports.roll_up(read(spark, sf_dir, "orders"), ["o_custkey", "o_orderpriority"], "o_totalprice", "o_orderstatus", "o_orderkey", c("o_orderstatus") == "F")
+    return got.withColumn("psms", F.array_join("psms", ","))
 
 
 @query("""SELECT o_custkey AS c_custkey, count(*) FILTER (o_orderstatus = 'F') AS f_n, round(coalesce(sum(o_totalprice) FILTER (o_orderstatus = 'F'), 0), 2) AS f_total, count(*) FILTER (o_orderstatus = 'O') AS o_n FROM orders GROUP BY 1""")
@@ -254,35 +256,32 @@ def set_operations(spark, sf_dir):
     return s.select("l_orderkey", left.cast("long").alias("missing"), F.size(F.array_union("a", "b")).cast("long").alias("united"), (left == 0).alias("is_subset"))
 
 
-@query("""WITH r AS (SELECT *, sum(l_extendedprice) OVER (PARTITION BY l_orderkey) AS total,
+@query("""WITH r AS (SELECT *, sum(l_extendedprice) OVER (PARTITION BY l_orderkey) AS total, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS n,
   sum(l_extendedprice) OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber ROWS UNBOUNDED PRECEDING) - l_extendedprice AS before FROM lineitem)
-SELECT l_orderkey, l_linenumber FROM r WHERE before < 0.8 * total""")
+SELECT l_orderkey, l_linenumber FROM r WHERE before < 0.8 * total AND n <= 5""")
 def intensity_cut(spark, sf_dir):
-    from pyspark.sql.window import Window
+    return reports.neighbours_cut(read(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_extendedprice", ["l_linenumber"], 0.8, 5).select(*ITEM)
 
-    w = Window.partitionBy("l_orderkey")
-    p = c("l_extendedprice")
-    before = F.sum(p).over(w.orderBy(F.desc("l_extendedprice"), "l_linenumber").rowsBetween(Window.unboundedPreceding, 0)) - p
-    d = read(spark, sf_dir, "lineitem").select(*ITEM, before.alias("before"), F.sum(p).over(w).alias("total"))
-    return d.where("before < 0.8 * total").select(*ITEM)
 
-
-@query("""SELECT CAST(p AS INTEGER) AS pct, greatest(2, CAST(round(5 * (1 - 2 * (p / 100.0::DOUBLE - 0.5) * (p / 100.0::DOUBLE - 0.5))) AS INTEGER)) AS half_width FROM range(0, 101) t(p)""")
+@query("""WITH g AS (SELECT p / 2.0::DOUBLE AS percentage FROM range(0, 200) t(p) UNION ALL SELECT 100.0)
+SELECT percentage, 'N15_' || printf('%07.3f', percentage) || 'Pct' AS search_name,
+  greatest(2, CAST(floor(5 * (1 - 2 * (percentage / 100 - 0.5) * (percentage / 100 - 0.5)) + 0.5) AS INTEGER)) AS half_width FROM g""")
 def enrichment_grid(spark, sf_dir):
-    p = c("pct") / 100
-    return spark.range(101).select(c("id").cast("int").alias("pct")).withColumn("half_width", F.greatest(F.lit(2), F.round(5 * (1 - 2 * (p - 0.5) * (p - 0.5))).cast("int")))
+    return sinks.grid_table(spark, "N15", 0.0, 100.0, 0.5).select("percentage", "search_name", "half_width")
 
 
-@query("""SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_orderkey, l_partkey) AS consensus FROM lineitem""")
+@query("""WITH k AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_returnflag, l_linestatus) AS consensus FROM lineitem),
+a AS (SELECT *, max(CASE WHEN consensus = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey, l_returnflag) AS agreed FROM k)
+SELECT l_orderkey, l_linenumber, consensus, CAST(CASE WHEN greatest(3 - consensus, 0) = 2 AND agreed = 1 THEN 3 ELSE greatest(3 - consensus, 0) END AS INTEGER) AS local_rank FROM a""")
 def consensus_count(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    return read(spark, sf_dir, "lineitem").select(*ITEM, F.count("*").over(Window.partitionBy("l_orderkey", "l_partkey")).alias("consensus"))
+    got = reports.consensus(read(spark, sf_dir, "lineitem"), "l_orderkey", "l_returnflag", "l_linestatus")
+    return got.select(*ITEM, "consensus", "local_rank")
 
 
-@query("""SELECT s_nationkey, count(*) AS n, round(avg(s_acctbal), 6) AS mean, round(stddev_pop(s_acctbal), 6) AS deviation FROM supplier GROUP BY 1""")
+@query("""SELECT s_nationkey, count(*) AS n, round(avg(s_acctbal), 6) AS mean, round(stddev_pop(s_acctbal), 6) AS deviation, count(DISTINCT s_name) AS spectra FROM supplier GROUP BY 1 HAVING count(*) >= 3""")
 def cluster_stats(spark, sf_dir):
-    return read(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n"), F.round(F.avg("s_acctbal"), 6).alias("mean"), F.round(F.stddev_pop("s_acctbal"), 6).alias("deviation"))
+    got = reports.cluster_summary(read(spark, sf_dir, "supplier"), ["s_nationkey"], "s_acctbal", ["s_name"], 3)
+    return got.withColumns({"mean": F.round("mean", 6), "deviation": F.round("deviation", 6)})
 
 
 @query("""WITH pairs AS (SELECT l_orderkey, l_linenumber, l_extendedprice, l_quantity, p_partkey FROM part JOIN lineitem ON l_extendedprice BETWEEN p_retailprice - 5 AND p_retailprice + 5),
@@ -298,14 +297,365 @@ def search_slice(spark, sf_dir):
     return ranking.fdr_cutoff(best, "l_extendedprice", "is_decoy", 0.5, ["p_partkey"]).select("p_partkey", *ITEM)
 
 
-@query("""WITH p AS (SELECT p_partkey, regexp_replace(upper(p_name), '[^A-Z]', '', 'g') AS name FROM part)
+@query("""WITH p AS (SELECT p_partkey, regexp_replace(upper(p_name), '[^A-Z]', '', 'g') AS name FROM part),
+spots AS (SELECT p_partkey, name, i, unnest(CASE WHEN contains('ST', substr(name, i, 1)) THEN ['~', '!'] WHEN contains('Y', substr(name, i, 1)) THEN ['~'] WHEN substr(name, i, 1) = 'M' THEN ['!'] ELSE [] END) AS s
+  FROM (SELECT p_partkey, name, unnest(generate_series(1, length(name))) AS i FROM p))
 SELECT p_partkey, name AS form FROM p UNION ALL
-SELECT p_partkey, substr(name, 1, i) || '~' || substr(name, i + 1) FROM (SELECT p_partkey, name, unnest(generate_series(1, length(name))) AS i FROM p) WHERE contains('ST', substr(name, i, 1))""")
+SELECT p_partkey, substr(name, 1, i) || s || substr(name, i + 1) FROM spots UNION ALL
+SELECT a.p_partkey, substr(a.name, 1, a.i) || a.s || substr(a.name, a.i + 1, b.i - a.i) || b.s || substr(a.name, b.i + 1) FROM spots a JOIN spots b ON a.p_partkey = b.p_partkey AND a.i < b.i""")
 def modified_forms(spark, sf_dir):
     name = F.regexp_replace(F.upper("p_name"), "[^A-Z]", "")
-    return read(spark, sf_dir, "part").select("p_partkey", F.explode(variants.modified(name, {"~": "ST"}, 1)).alias("form"))
+    return read(spark, sf_dir, "part").select("p_partkey", F.explode(variants.modified(name, {"~": "STY", "!": "STM"}, 2)).alias("form"))
 
 
 @query()
 def clusters_1d(spark, sf_dir):
     return rescoring.clusters(read(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice", 5.0)
+
+
+def as_peptides(spark, sf_dir: str) -> DataFrame:
+    """part names as peptides: letters that are residues, in upper case."""
+    return read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", peptides.clean(F.upper("p_name"), "ACDEFGHIKLMNPQRSTVWY").alias("peptide"))
+
+
+PEPTIDE = "regexp_replace(upper(p_name), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g')"
+
+
+def _atoms_sql() -> str:
+    """Atoms of ``peptide`` by the table of residues, the SQL of a count for each letter."""
+    out = []
+    for k, e in enumerate(elements.ELEMENTS):
+        parts = [f"{n[k]} * (length(peptide) - length(replace(peptide, '{r}', '')))" for r, n in scoring.RESIDUES.items() if r.isalpha() and n[k]]
+        out.append(f"CAST({' + '.join(parts)} + {dict(H=2, O=1).get(e, 0)} AS INTEGER) AS {e.lower()}")
+    return ", ".join(out)
+
+
+def _mass_sql() -> str:
+    light = " + ".join(f"{e.lower()} * {scoring.ISOTOPES[e][0][0]}::DOUBLE" for e in elements.ELEMENTS)
+    shares, over, under = elements.shares({"N": 0.5}), [], []
+    for e in elements.ELEMENTS:
+        masses, probs = scoring.ISOTOPES[e][0], shares[e]
+        steps = [(masses[k] - masses[k - 1], probs[k]) for k in range(1, len(masses))]
+        weight = sum(w for _, w in steps)
+        over.append(f"{e.lower()} * {weight}::DOUBLE * {sum(d * w for d, w in steps) / weight}::DOUBLE")
+        under.append(f"{e.lower()} * {weight}::DOUBLE")
+    return f"round({light}, 4) AS lightest, round({light} + floor(n * 0.5::DOUBLE + c * {shares['C'][-1]}::DOUBLE) * (({' + '.join(over)}) / ({' + '.join(under)})), 4) AS enriched"
+
+
+@query(f"WITH p AS (SELECT p_partkey, {PEPTIDE} AS peptide FROM part), a AS (SELECT p_partkey, {_atoms_sql()} FROM p) SELECT *, {_mass_sql()} FROM a")
+def precursor_masses(spark, sf_dir):
+    """Atoms of each peptide, its lightest mass and the one at half of the nitrogen enriched."""
+    p = as_peptides(spark, sf_dir).withColumn("a", elements.atom_counts(c("peptide")))
+    masses = F.round(elements.base_mass(c("a")), 4).alias("lightest"), F.round(elements.precursor_mass(c("a"), "N", {"N": 0.5}), 4).alias("enriched")
+    return p.select("p_partkey", "a.*", *masses)
+
+
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)) + 0.001) AS p, list_transform(range(len(embedding)), lambda i: 100 + i * 1.003355::DOUBLE) AS m FROM embeddings)
+SELECT vec_id, round(m[list_position(p, list_max(p))], 6) AS most_abundant, round(list_sum(list_transform(range(1, len(p) + 1), lambda i: p[i] * m[i])) / list_sum(p), 6) AS average, round(list_min(m), 6) AS lowest,
+  list_transform(p, lambda x: round(x / list_max(p), 6)) AS scaled FROM e""")
+def distribution_masses(spark, sf_dir):
+    p = F.transform("embedding", lambda x: F.abs(x.cast("double")) + 0.001)
+    m = F.transform("embedding", lambda x, i: 100 + i * F.lit(1.003355))
+    e = read(spark, sf_dir, "embeddings").select("vec_id", p.alias("p"), m.alias("m"))
+    scaled = F.transform(elements.scaled_to_top(c("p")), lambda x: F.round(x, 6))
+    return e.select("vec_id", F.round(elements.most_abundant(c("m"), c("p")), 6).alias("most_abundant"), F.round(elements.average_mass(c("m"), c("p")), 6).alias("average"), F.round(elements.lowest_mass(c("m")), 6).alias("lowest"), scaled.alias("scaled"))
+
+
+@query("""WITH d AS (SELECT l_orderkey, l_linenumber, l_extendedprice / 10 AS a, l_quantity * 70 AS b FROM lineitem), e AS (SELECT *, a - b AS d FROM d),
+u AS (SELECT *, ceil(d) * 1.00867108694132::DOUBLE AS up, floor(d) * 1.00867108694132::DOUBLE AS down FROM e),
+v AS (SELECT *, CASE WHEN d >= 0 AND up - 1.00867108694132 > d THEN up - 1.00867108694132 WHEN d < 0 AND up < d THEN up + 1.00867108694132 ELSE up END AS up2,
+  CASE WHEN d >= 0 AND down > d THEN down - 1.00867108694132 WHEN d < 0 AND down + 1.00867108694132 < d THEN down + 1.00867108694132 ELSE down END AS down2 FROM u)
+SELECT l_orderkey, l_linenumber, round(least(abs(d), abs(up2 - d), abs(d - down2)), 6) AS distance FROM v""")
+def legacy_mass_distance(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").select(*ITEM, F.round(peptides.mass_distance(c("l_extendedprice") / 10, c("l_quantity") * 70), 6).alias("distance"))
+
+
+@query("""WITH d AS (SELECT l_orderkey, l_linenumber, l_discount * 40 - l_tax * 55 AS d FROM lineitem),
+f AS (SELECT *, list_min(list_transform(range(-4, 4), lambda i: abs(d - i * 1.00867108694132::DOUBLE))) AS size FROM d)
+SELECT l_orderkey, l_linenumber, round(least(abs(d), size), 6) AS size FROM f""")
+def nearest_multiple(spark, sf_dir):
+    left = peptides.nearest_multiple(c("l_discount") * 40, c("l_tax") * 55)
+    return read(spark, sf_dir, "lineitem").select(*ITEM, F.round(F.abs(left), 6).alias("size"))
+
+
+@query(f"""WITH p AS (SELECT p_partkey, p_size, p_brand, {PEPTIDE} AS peptide FROM part)
+SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN 1.07 ELSE p_size / 8.0::DOUBLE END AS abundance, CASE WHEN p_size % 10 <> 0 THEN p_size / 8.0::DOUBLE END AS percentage, 'run' || CAST(p_size AS VARCHAR) AS sample,
+  length(peptide) - length(regexp_replace(peptide, '[KR]([ACDEFGHIJKLMNPQRSTVWY])', '\\1', 'g')) AS pairs FROM p""".replace("\\\\", "\\"))
+def name_functions(spark, sf_dir):
+    """Percentages and samples from names, and pairs of residues that are cut."""
+    p = as_peptides(spark, sf_dir)
+    name = F.when(c("p_size") % 10 == 0, "SE").otherwise(F.concat(F.lit("C13_"), F.format_string("%07.3f", c("p_size") / 8), F.lit("Pct")))
+    sample = peptides.sample_name(F.concat(F.lit("run"), c("p_size").cast("string"), F.lit(".12.1")))
+    plain = F.regexp_replace("peptide", "[KR]([ACDEFGHIJKLMNPQRSTVWY])", "$1")
+    return p.select("p_partkey", peptides.abundance(name).alias("abundance"), peptides.percentage(name).alias("percentage"), sample.alias("sample"), (F.length("peptide") - F.length(plain)).cast("long").alias("pairs"))
+
+
+@query("""WITH n AS (SELECT o_custkey, list_sort(list(DISTINCT o_orderpriority)) AS names FROM orders GROUP BY 1),
+l AS (SELECT o_custkey, names, list_filter(names, lambda x: NOT starts_with(x, '1-')) AS a, list_filter(names, lambda x: NOT starts_with(x, '1-') AND NOT starts_with(x, '2-')) AS b FROM n)
+SELECT o_custkey, CASE WHEN len(a) = 0 THEN 'reserve' WHEN len(b) = 0 THEN 'train' WHEN len(list_filter(b, lambda x: NOT starts_with(x, '3-'))) = 0 THEN 'test' ELSE 'target' END AS kind, '{' || array_to_string(b, ',') || '}' AS cleaned FROM l""")
+def protein_classes(spark, sf_dir):
+    n = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("names"))
+    return n.select("o_custkey", peptides.protein_class(c("names"), "1-", "2-", "3-").alias("kind"), peptides.listed(peptides.clean_names(c("names"), "1-", "2-")).alias("cleaned"))
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey) AS a, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey, l_suppkey) AS b, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_linenumber, l_partkey, l_suppkey) AS c FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(1.0::DOUBLE / (a * b * c), 9) AS product, CAST((CASE WHEN a = 1 THEN 1 ELSE 0 END) + (CASE WHEN b = 1 THEN 2 ELSE 0 END) + (CASE WHEN c = 1 THEN 4 ELSE 0 END) AS INTEGER) AS agreement FROM r""")
+def rank_products(spark, sf_dir):
+    ranked = ranking.rank_scores(read(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_extendedprice", "l_quantity", "l_discount"], ["l_linenumber", "l_partkey", "l_suppkey"])
+    ranks = [c(f"rank_{s}") for s in ("l_extendedprice", "l_quantity", "l_discount")]
+    return ranked.select(*ITEM, F.round(peptides.rank_product(*ranks), 9).alias("product"), peptides.agreement(*ranks).cast("int").alias("agreement"))
+
+
+@query(f"""WITH p AS (SELECT p_partkey, {PEPTIDE} AS s, p_size % 7 + 1 AS a FROM part)
+SELECT p_partkey, substr(s, a, 4) AS peptide, CASE WHEN a > 1 THEN substr(s, a - 1, 1) ELSE '-' END AS prefix, CASE WHEN a + length(substr(s, a, 4)) <= length(s) THEN substr(s, a + length(substr(s, a, 4)), 1) ELSE '-' END AS suffix FROM p""")
+def flank_residues(spark, sf_dir):
+    p = as_peptides(spark, sf_dir).select("p_partkey", c("peptide").alias("s"), (c("p_size") % 7 + 1).alias("a"))
+    p = p.withColumn("peptide", F.substring("s", c("a"), F.lit(4)))
+    return peptides.flanks(p, "s", "peptide", "a").select("p_partkey", "peptide", "prefix", "suffix")
+
+
+@query("""WITH once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 20 ORDER BY l_extendedprice DESC, l_linenumber) AS k FROM lineitem) WHERE k = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_suppkey % 20) AS rank FROM once)
+SELECT l_orderkey, l_linenumber, rank FROM r WHERE rank <= 3""")
+def top_across(spark, sf_dir):
+    d = read(spark, sf_dir, "lineitem").withColumn("peptide", c("l_suppkey") % 20)
+    return merging.top_across(d, ["l_orderkey"], "peptide", "l_extendedprice", 3, ("l_linenumber",)).select(*ITEM, "rank")
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY l_quantity DESC, l_tax, l_orderkey, l_linenumber) AS n FROM lineitem),
+u AS (SELECT l_suppkey, l_returnflag, string_agg(DISTINCT s, ',' ORDER BY s) AS proteins FROM (SELECT l_suppkey, l_returnflag, CAST(l_partkey AS VARCHAR) AS s FROM lineitem) GROUP BY 1, 2)
+SELECT l_suppkey, l_returnflag, l_orderkey, l_linenumber, l_quantity, l_tax, proteins FROM r JOIN u USING (l_suppkey, l_returnflag) WHERE n = 1""")
+def best_of_peptide(spark, sf_dir):
+    d = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_returnflag", *ITEM, "l_quantity", "l_tax", F.array(c("l_partkey").cast("string")).alias("proteins"))
+    got = merging.best_of_peptide(d, ["l_suppkey"], "l_returnflag", "l_quantity", "proteins", "l_tax", ("l_orderkey", "l_linenumber"))
+    return got.withColumn("proteins", F.array_join("proteins", ","))
+
+
+@query("""WITH t AS (SELECT * FROM lineitem WHERE l_quantity >= 10), d AS (SELECT * FROM lineitem x WHERE l_quantity < 10 AND NOT EXISTS (SELECT 1 FROM t WHERE t.l_linestatus = x.l_linestatus AND t.l_partkey = x.l_partkey)),
+u AS (SELECT *, false AS is_decoy FROM t UNION ALL SELECT *, true FROM d)
+SELECT l_orderkey, l_linenumber, is_decoy, row_number() OVER (PARTITION BY l_linestatus, l_suppkey, l_returnflag ORDER BY l_extendedprice DESC, is_decoy, l_partkey, l_orderkey, l_linenumber) AS rank FROM u""")
+def decoy_merge(spark, sf_dir):
+    d = read(spark, sf_dir, "lineitem")
+    got = merging.with_decoys(d.where("l_quantity >= 10"), d.where("l_quantity < 10"), "l_linestatus", ["l_linestatus", "l_suppkey", "l_returnflag"], "l_partkey", "l_extendedprice", tuple(ITEM))
+    return got.select(*ITEM, "is_decoy", "rank")
+
+
+@query("""WITH r AS (SELECT *, count(*) OVER (PARTITION BY l_suppkey) AS size, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS a, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC, l_orderkey, l_linenumber) AS b FROM lineitem)
+SELECT l_orderkey, l_linenumber FROM r WHERE size <= 100 OR least(a, b) <= 20""")
+def purged(spark, sf_dir):
+    return merging.purged(read(spark, sf_dir, "lineitem"), ["l_suppkey"], ["l_extendedprice", "l_quantity"], ITEM).select(*ITEM)
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER w AS n, lead(l_extendedprice) OVER w AS after, first_value(l_extendedprice) OVER w AS top FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber))
+SELECT l_orderkey, l_linenumber, round(CASE WHEN n = 1 THEN CASE WHEN after IS NULL THEN 0 WHEN after = 0 THEN 1 ELSE l_extendedprice / after - 1 END ELSE l_extendedprice / top - 1 END, 9) AS lead FROM r""")
+def relative_leads(spark, sf_dir):
+    got = merging.relative_leads(read(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_extendedprice"], ["l_linenumber"])
+    return got.select(*ITEM, F.round("lead_l_extendedprice", 9).alias("lead"))
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_discount DESC, abs(l_tax - 0.04::DOUBLE), l_quantity, upper(l_returnflag), l_orderkey, l_linenumber) AS n FROM lineitem)
+SELECT l_suppkey, l_orderkey, l_linenumber FROM r WHERE n = 1""")
+def re_rank(spark, sf_dir):
+    """The best match of a spectrum: probability, mass error, modifications, peptide."""
+    d = read(spark, sf_dir, "lineitem").withColumn("error", c("l_tax") - 0.04).withColumn("names", F.array("l_returnflag"))
+    order = [*merging.re_rank_order("l_discount", "error", "l_quantity", "l_returnflag"), *map(F.col, ITEM)]
+    return ranking.best_with_ties(d, ["l_suppkey"], order, ["l_discount", "error", "l_quantity", "l_returnflag"], "names").select("l_suppkey", *ITEM)
+
+
+@query("""SELECT count(*) FILTER (o_orderstatus = 'O') AS n_target, count(*) FILTER (o_orderstatus = 'train') AS n_train, count(*) FILTER (o_orderstatus = 'F') AS n_test, count(*) FILTER (o_orderstatus = 'P') AS n_reserve, round(count(*) FILTER (o_orderstatus = 'F') / count(*) FILTER (o_orderstatus = 'O'), 9) AS test_ratio FROM orders""")
+def label_counts(spark, sf_dir):
+    kind = F.when(c("o_orderstatus") == "O", "target").when(c("o_orderstatus") == "F", "test").when(c("o_orderstatus") == "P", "reserve")
+    got = reports.label_counts(read(spark, sf_dir, "orders").withColumn("kind", kind), "kind")
+    return got.withColumn("test_ratio", F.round("test_ratio", 9))
+
+
+@query("""WITH e AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_quantity > 25), n AS (SELECT l_partkey, count(*) AS n FROM e GROUP BY 1), s AS (SELECT l_partkey, count(*) AS s FROM lineitem GROUP BY 1),
+f AS (SELECT l_partkey, l_returnflag, count(*) AS f FROM lineitem GROUP BY 1, 2),
+p AS (SELECT l_suppkey, count(*) AS pp, count(*) FILTER (n = 1) AS up, count(*) FILTER (n > 1) AS sp, sum(s) AS spectra FROM e JOIN n USING (l_partkey) JOIN s USING (l_partkey) GROUP BY 1),
+b AS (SELECT l_partkey, max(pp) AS pp, max(CASE WHEN n = 1 THEN up ELSE 0 END) AS up, max(CASE WHEN n > 1 THEN sp ELSE 0 END) AS sp, bool_or(n = 1) AS is_unique, max(spectra) AS most FROM e JOIN n USING (l_partkey) JOIN p USING (l_suppkey) GROUP BY 1)
+SELECT l_orderkey, l_linenumber, f AS same_form, s AS same_peptide, coalesce(pp, 0) AS protein_peptides, coalesce(up, 0) AS unique_peptides, coalesce(sp, 0) AS shared_peptides, coalesce(is_unique, false) AS is_unique, CAST(greatest(coalesce(most, 1) - 1, 0) AS BIGINT) AS protein_spectra
+FROM lineitem JOIN f USING (l_partkey, l_returnflag) JOIN s USING (l_partkey) LEFT JOIN b USING (l_partkey)""")
+def match_features(spark, sf_dir):
+    d = read(spark, sf_dir, "lineitem")
+    got = reports.match_features(d.select(*ITEM, "l_partkey", "l_returnflag"), d.where("l_quantity > 25").select("l_partkey", "l_suppkey"), "l_returnflag", "l_partkey", "l_suppkey")
+    return got.select(*ITEM, "same_form", "same_peptide", "protein_peptides", "unique_peptides", "shared_peptides", "is_unique", "protein_spectra")
+
+
+RUNS = """WITH pep AS (SELECT l_partkey, year(l_shipdate) AS run, count(*) AS spectra FROM lineitem GROUP BY 1, 2), e AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem),
+a AS (SELECT l_partkey, count(*) AS n FROM e GROUP BY 1), k AS (SELECT e.* FROM e JOIN supplier ON s_suppkey = l_suppkey WHERE s_acctbal > 0), h AS (SELECT l_partkey, count(*) AS share FROM k GROUP BY 1),
+g AS (SELECT l_suppkey, run, count(*) FILTER (n = 1) AS unique_peptides, count(*) AS total_peptides, CAST(coalesce(sum(spectra) FILTER (n = 1), 0) AS BIGINT) AS unique_spectra, CAST(sum(spectra) AS BIGINT) AS total_spectra, sum(spectra / share) AS balanced FROM pep JOIN k USING (l_partkey) JOIN a USING (l_partkey) JOIN h USING (l_partkey) GROUP BY 1, 2),
+s AS (SELECT run, sum(balanced) AS s FROM g GROUP BY 1), r AS (SELECT g.*, balanced * (SELECT avg(s) FROM s) / s AS scaled FROM g JOIN s USING (run))
+"""
+
+
+def run_rows(spark, sf_dir):
+    d = read(spark, sf_dir, "lineitem").withColumn("run", F.year("l_shipdate").cast("long"))
+    good = read(spark, sf_dir, "supplier").where("s_acctbal > 0").select(c("s_suppkey").alias("l_suppkey"))
+    return reports.run_counts(d.groupBy("l_partkey", "run").agg(F.count("*").alias("spectra")), d, good, "l_partkey", "l_suppkey", "run", "spectra")
+
+
+@query(RUNS + "SELECT l_suppkey, run, unique_peptides, total_peptides, unique_spectra, total_spectra, round(balanced, 6) AS balanced, round(scaled, 2) AS normalised FROM r")
+def run_counts(spark, sf_dir):
+    return run_rows(spark, sf_dir).withColumn("balanced", F.round("balanced", 6))
+
+
+@query(RUNS + """, w AS (SELECT l_suppkey, max(CASE WHEN run = 1995 THEN total_spectra ELSE 0 END) AS a, max(CASE WHEN run = 1996 THEN total_spectra ELSE 0 END) AS b FROM r GROUP BY 1)
+SELECT l_suppkey, a AS spectra_1995, b AS spectra_1996, coalesce(CASE WHEN s_nationkey < 12 THEN s_name END, 'N/A') AS description, 'T' AS target_match FROM w JOIN supplier ON s_suppkey = l_suppkey""")
+def protein_table(spark, sf_dir):
+    known = read(spark, sf_dir, "supplier").where("s_nationkey < 12").select(c("s_suppkey").alias("protein_id"), c("s_name").alias("description"))
+    got = reports.protein_table(run_rows(spark, sf_dir), "l_suppkey", "run", [1995, 1996], known)
+    return got.select("l_suppkey", c("1995_total_spectra").alias("spectra_1995"), c("1996_total_spectra").alias("spectra_1996"), "description", "target_match")
+
+
+@query("""WITH n AS (SELECT DISTINCT o_custkey, o_orderpriority FROM orders), a AS (SELECT o_custkey, string_agg(o_orderpriority, ',' ORDER BY o_orderpriority) AS proteins FROM n GROUP BY 1)
+SELECT o_orderkey, proteins FROM orders JOIN a USING (o_custkey)""")
+def back_filled(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.array("o_orderpriority").alias("proteins"))
+    return reports.back_filled(o, "o_custkey", "proteins").select("o_orderkey", F.array_join("proteins", ",").alias("proteins"))
+
+
+@query("""WITH w AS (SELECT DISTINCT lower(substr(p_type, 1, 4)) AS word FROM part UNION SELECT DISTINCT lower(substr(p_name, 2, 7)) FROM part WHERE p_partkey % 10 = 0)
+SELECT word, p_partkey FROM w JOIN part ON contains(lower(p_name), word) WHERE word <> ''""")
+def containing(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    words = p.select(F.lower(F.substring("p_type", 1, 4)).alias("word")).union(p.where("p_partkey % 10 = 0").select(F.lower(F.substring("p_name", 2, 7)))).distinct()
+    return reports.containing(words, p.select("p_partkey", F.lower("p_name").alias("name")), "word", "name").select("word", "p_partkey")
+
+
+@query("""SELECT o_orderkey, c_mktsegment FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_nationkey < 10) ON o_custkey = c_custkey""")
+def with_features(spark, sf_dir):
+    rows = read(spark, sf_dir, "customer").where("c_nationkey < 10").select("c_custkey", "c_mktsegment")
+    return reports.with_features(read(spark, sf_dir, "orders"), rows, "o_custkey", "c_custkey").select("o_orderkey", "c_mktsegment")
+
+
+@query("""WITH p AS (SELECT l_partkey AS base, l_quantity < 10 AS d, max(l_extendedprice) AS score FROM lineitem GROUP BY 1, 2),
+m AS (SELECT base, d, score FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY score DESC, d) AS n FROM p) WHERE n = 1),
+b AS (SELECT score AS s, sum(CASE WHEN d THEN 1 ELSE 0 END) AS d, sum(CASE WHEN d THEN 0 ELSE 1 END) AS t FROM m GROUP BY 1),
+r AS (SELECT s, sum(d) OVER w / greatest(sum(t) OVER w, 1) AS r FROM b WINDOW w AS (ORDER BY s DESC ROWS UNBOUNDED PRECEDING)), q AS (SELECT s, min(r) OVER (ORDER BY s ROWS UNBOUNDED PRECEDING) AS q FROM r)
+SELECT CASE WHEN d THEN 'Decoy_' ELSE '' END || CAST(base AS VARCHAR) AS protein, score, d AS is_decoy, round(q, 9) AS q_value FROM m JOIN q ON s = score""")
+def picked(spark, sf_dir):
+    d = matches(spark, sf_dir).withColumn("protein", F.concat(F.when(c("is_decoy"), "Decoy_").otherwise(""), c("l_partkey").cast("string"))).withColumn("score", c("l_extendedprice"))
+    return reports.picked(d, "protein", "score").withColumn("q_value", F.round("q_value", 9))
+
+
+@query("""SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_discount <= 0.05 AND l_tax < 0.06 AND l_linenumber = 1 AND l_quantity >= 20 AND coalesce(l_returnflag, '') NOT IN ('R') AND abs(l_extendedprice - l_quantity * 1500) / (l_quantity * 1500) * 1e6 <= 200000""")
+def filtered_matches(spark, sf_dir):
+    """The filters of a report, one after the other."""
+    d = read(spark, sf_dir, "lineitem").withColumn("guess", c("l_quantity") * 1500)
+    d = reports.accepted(d, "l_discount", 0.05, "l_tax", 0.06)
+    d = reports.without_kinds(reports.labelled_only(d, "l_linenumber", "l_quantity", 20.0, "l_discount", 0.05), "l_returnflag", "R")
+    return reports.within_error(d, "l_extendedprice", "guess", 200000.0, ppm=True).select(*ITEM)
+
+
+@query("""WITH s AS (SELECT l_suppkey, l_linestatus, list_sort(list(DISTINCT l_linenumber)) AS s FROM lineitem WHERE l_quantity > 45 GROUP BY 1, 2)
+SELECT string_agg(k, ',' ORDER BY k) AS clusters, CAST(len(s) AS INTEGER) AS spectra FROM (SELECT CAST(l_suppkey AS VARCHAR) || l_linestatus AS k, s FROM s) GROUP BY s""")
+def same_spectra(spark, sf_dir):
+    d = read(spark, sf_dir, "lineitem").where("l_quantity > 45").withColumn("cluster", F.concat(c("l_suppkey").cast("string"), "l_linestatus"))
+    return reports.same_spectra(d, "cluster", "l_linenumber").select(F.array_join("clusters", ",").alias("clusters"), "spectra")
+
+
+@query("""SELECT l_suppkey, max(l_extendedprice) AS most_mass, max(l_linenumber) AS most_charge FROM lineitem GROUP BY 1""")
+def parent_bounds(spark, sf_dir):
+    return reports.parent_bounds(read(spark, sf_dir, "lineitem"), "l_extendedprice", "l_linenumber", ["l_suppkey"])
+
+
+@query("""SELECT l_orderkey, round(sum(l_extendedprice), 4) AS total_intensity, max(l_extendedprice) AS top_intensity FROM lineitem GROUP BY 1""")
+def intensity_sums(spark, sf_dir):
+    peak = F.struct(c("l_quantity").alias("mz"), c("l_extendedprice").alias("intensity"))
+    scans = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(peak)).alias("peaks"))
+    return reports.intensity_sums(scans).select("l_orderkey", F.round("total_intensity", 4).alias("total_intensity"), "top_intensity")
+
+
+@query("""SELECT r_name, n_name, s AS search FROM region, nation, (VALUES ('target'), ('decoy')) t(s)""")
+def task_list(spark, sf_dir):
+    kinds = spark.createDataFrame([("target",), ("decoy",)], "search string")
+    return reports.task_list(read(spark, sf_dir, "region").select("r_name"), read(spark, sf_dir, "nation").select("n_name"), kinds)
+
+
+@query(f"""WITH p AS (SELECT p_partkey, {PEPTIDE} AS s FROM part), i AS (SELECT p_partkey, s, unnest(range(1, length(s) + 1)) AS position FROM p), r AS (SELECT *, unnest(['A', 'G', 'W']) AS residue FROM i)
+SELECT p_partkey, CAST(position AS INTEGER) AS position, residue, substr(s, 1, position - 1) || residue || substr(s, position + 1) AS mutant FROM r WHERE substr(s, position, 1) <> residue""")
+def substitutions(spark, sf_dir):
+    got = variants.substituted(as_peptides(spark, sf_dir).select("p_partkey", "peptide"), "peptide", "AGW")
+    return got.select("p_partkey", "position", "residue", "mutant")
+
+
+@query(f"""WITH p AS (SELECT p_partkey, list_filter(string_split(regexp_replace(regexp_replace({PEPTIDE}, '^M', ''), '([KR])', '\\1|', 'g'), '|'), lambda x: x <> '') AS p FROM part),
+i AS (SELECT p_partkey, p, unnest(range(len(p))) AS cut FROM p), r AS (SELECT *, unnest(['A', 'G']) AS residue FROM i WHERE cut < len(p) - 1 AND length(p[cut + 1]) + length(p[cut + 2]) BETWEEN 5 AND 60)
+SELECT p_partkey, CAST(cut AS INTEGER) AS cut, residue, substr(p[cut + 1], 1, length(p[cut + 1]) - 1) || residue || p[cut + 2] AS mutant FROM r""".replace("\\\\", "\\"))
+def silenced_cuts(spark, sf_dir):
+    return variants.silenced(as_peptides(spark, sf_dir).select("p_partkey", "peptide"), "peptide", "AGK", least=5).select("p_partkey", "cut", "residue", "mutant")
+
+
+@query(f"""SELECT p_partkey, replace(replace({PEPTIDE}, 'S', 'S~'), 'ES~', 'E') AS peptide FROM part""")
+def neutral_losses(spark, sf_dir):
+    return as_peptides(spark, sf_dir).select("p_partkey", variants.neutral_loss(c("peptide"), {"S": "S~", "ES~": "E"}).alias("peptide"))
+
+
+@query("""WITH s AS (SELECT l_orderkey, list_sort(list({'z': l_linenumber, 'mz': l_extendedprice})) AS l FROM lineitem GROUP BY 1), o AS (SELECT l_orderkey, CAST(l_orderkey % 3 AS INTEGER) AS charge, l[1].mz AS parent_mz, l FROM s),
+own AS (SELECT l_orderkey, charge AS z, parent_mz AS precursor_mz FROM o WHERE charge <> 0),
+listed AS (SELECT l_orderkey, charge, parent_mz, unnest(l) AS x FROM o)
+SELECT * FROM own UNION ALL SELECT l_orderkey, x.z, x.mz FROM listed WHERE charge = 0 OR abs(x.mz - parent_mz) > 0.01 OR x.z <> charge""")
+def listed_precursors(spark, sf_dir):
+    s = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(c("l_linenumber").alias("z"), c("l_extendedprice").alias("mz")))).alias("precursors"))
+    s = s.select("l_orderkey", (c("l_orderkey") % 3).cast("int").alias("charge"), c("precursors")[0]["mz"].alias("parent_mz"), "precursors")
+    return variants.precursors(s).select("l_orderkey", "z", "precursor_mz")
+
+
+@query("""WITH r AS (SELECT *, '*' || chr(9) || 'K' || l_partkey || chr(9) || 'K' || l_partkey || chr(9) || printf('%.4f', l_extendedprice) || chr(9) || printf('%.4f', l_quantity) || chr(9) || printf('%.4f', l_tax) || chr(9) || printf('%.4f', l_discount) || chr(9) || '{S' || l_suppkey || '}' || chr(9) || l_linenumber || chr(9) || printf('%.4f', l_extendedprice) AS m FROM lineitem)
+SELECT l_orderkey AS scan, '+' || chr(9) || 'run' || chr(9) || l_orderkey || chr(9) || '2' || chr(9) || '500.00000' || chr(9) || 'MS2' || chr(9) || 'SE' || chr(9) || '1.5' || chr(9) || (l_orderkey - 1) || chr(10) || string_agg(m, chr(10) ORDER BY -l_quantity, 'K' || l_partkey, m) AS line FROM r GROUP BY l_orderkey""")
+def result_lines(spark, sf_dir):
+    """Search results as their text file has them, a row for each spectrum."""
+    k = F.concat(F.lit("K"), c("l_partkey").cast("string"))
+    d = read(spark, sf_dir, "lineitem").select(
+        F.lit("run").alias("filename"), c("l_orderkey").alias("scan"), F.lit(2).alias("charge"), F.lit(500.0).alias("window_mz"), F.lit("MS2").alias("scan_type"), F.lit("SE").alias("search_name"), F.lit("1.5").alias("rt"), (c("l_orderkey") - 1).alias("parent_scan"),
+        k.alias("identified"), k.alias("original"), c("l_extendedprice").alias("calculated_mass"), c("l_quantity").alias("wdp"), c("l_tax").alias("xcorr"), c("l_discount").alias("mvh"), F.array(F.concat(F.lit("S"), c("l_suppkey").cast("string"))).alias("proteins"), c("l_linenumber").alias("measured_charge"), c("l_extendedprice").alias("measured_mass"),
+    )
+    return sinks.spe2pep_lines(d).select("scan", "line")
+
+
+@query("""SELECT 'run.' || l_orderkey || '.' || l_linenumber AS "SpecId", CASE WHEN l_quantity < 10 THEN -1 ELSE 1 END AS "Label", l_extendedprice AS "ExpMass", round(greatest(0, least(100, l_quantity * 3)), 6) AS "MS1IsotopicAbundances", round(abs(greatest(0, least(100, l_quantity * 3)) - 1.07), 6) AS "isotopicAbundanceDiffs",
+  round(CASE WHEN l_discount > 0 THEN log10(l_discount) ELSE 0 END, 6) AS "log10_precursorIntensities", l_returnflag || chr(9) || l_linestatus AS "Proteins" FROM lineitem""")
+def feature_table(spark, sf_dir):
+    d, zero = matches(spark, sf_dir), F.lit(0)
+    names = dict(filename=F.lit("run"), scan=c("l_orderkey"), rank=c("l_linenumber"), calculated_mass=c("l_extendedprice"), ms1_abundance=c("l_quantity") * 3, ms2_abundance=F.lit(1.07), precursor_intensity=c("l_discount"), proteins=F.array("l_returnflag", "l_linestatus"), isotopic_peaks=F.array(), peptide=c("l_linestatus"))
+    rest = "rt charge mass_error_ppm window_shift mz_shift peptide_length missed ptms wdp xcorr mvh delta_score".split()
+    got = sinks.pin_table(d.select("is_decoy", *(v.alias(n) for n, v in names.items()), *(zero.alias(n) for n in rest)))
+    numbers = ["MS1IsotopicAbundances", "isotopicAbundanceDiffs", "log10_precursorIntensities"]
+    return got.select("SpecId", "Label", "ExpMass", *(F.round(n, 6).alias(n) for n in numbers), "Proteins")
+
+
+@query()
+def survey_envelopes(spark, sf_dir):
+    """Survey scans made of orders: the peaks of lines, and one, two and three neutrons above each."""
+    d = read(spark, sf_dir, "lineitem")
+    peak = lambda k: F.struct((c("l_extendedprice") / 100 + k * 1.003355 / 2).alias("mz"), (c("l_quantity") * (4 - k)).alias("intensity"), F.lit(0).alias("z"))
+    surveys = d.groupBy(F.lit("run").alias("file"), c("l_suppkey").alias("scan")).agg(F.flatten(F.collect_list(F.array(*(peak(k) for k in range(4))))).alias("peaks"))
+    mass = (c("l_extendedprice") / 100 - peptides.PROTON) * 2
+    asked = d.where("l_linenumber = 1").select(c("l_orderkey").alias("key"), F.lit("run").alias("file"), c("l_suppkey").alias("parent_scan"), F.lit(2).alias("charge"), mass.alias("observed_mass"), mass.alias("calculated_mass"), F.lit("PEPTIDEK").alias("naked"))
+    got = envelopes.precursor_envelopes(asked, surveys, "key")
+    return got.select("key", "ms1_scan", F.round("precursor_intensity", 4).alias("precursor_intensity"), F.size("isotopic_peaks").alias("peaks"), F.round("ms1_abundance", 4).alias("ms1_abundance"))
+
+
+@query()
+def peptide_search(spark, sf_dir):
+    """Every part name is a peptide and a spectrum of its own ions; each spectrum is searched among all."""
+    p = as_peptides(spark, sf_dir).where("length(peptide) >= 6").select("p_partkey", "peptide")
+    light = scoring.monoisotopic()
+    masses = F.create_map(*(F.lit(x) for r, m in light.items() for x in (r, m)))
+    each = F.transform(F.split("peptide", ""), lambda r: F.coalesce(F.try_element_at(masses, r), F.lit(0.0)))
+    sums = lambda n: F.aggregate(F.slice("m", F.lit(1), n), F.lit(0.0), lambda s, x: s + x)
+    whole = F.aggregate("m", F.lit(scoring.WATER), lambda s, x: s + x)
+    at = F.sequence(F.lit(1), F.size("m") - 1)
+    ion = lambda mz, n: F.struct(mz.alias("mz"), (F.lit(100.0) + n).alias("intensity"), F.lit(1).alias("z"))
+    b = F.transform(at, lambda n: ion(sums(n) + peptides.PROTON, n))
+    y = F.transform(at, lambda n: ion(c("mass") - sums(n) + peptides.PROTON, n))
+    known = p.select("p_partkey", "peptide", each.alias("m")).withColumn("mass", whole)
+    scans = known.select(c("p_partkey").alias("scan"), F.lit(2).alias("z"), (c("mass") / 2 + peptides.PROTON).alias("parent_mz"), F.concat(b, y).alias("peaks"))
+    got = scoring.search(scans, known.select("peptide", "mass").distinct(), [(-0.05, 0.05)])
+    return got.where("rank_wdp = 1").select("scan", "peptide", F.round("mvh", 4).alias("mvh"), F.round("xcorr", 4).alias("xcorr"), F.round("wdp", 4).alias("wdp"))
+
+
+@query()
+def error_probabilities(spark, sf_dir):
+    got = reports.error_probabilities(matches(spark, sf_dir), "l_extendedprice", "is_decoy")
+    return got.select(*ITEM, F.round("posterior_error_prob", 6).alias("posterior_error_prob"))

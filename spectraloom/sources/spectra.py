@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
+from spectraloom.sources import numpress
+
 SPECTRUM = "file string, scan long, ms_level int, charge int, parent_mz double, rt double, peaks array<struct<mz:double,intensity:double>>"
 
 
@@ -58,10 +60,13 @@ def parse_mzml(stream):
         arrays = {}
         for a in (x for x in node.iter() if _name(x.tag) == "binaryDataArray"):
             kinds = {x.get("name") for x in a.iter() if _name(x.tag) == "cvParam"}
-            if any("MS-Numpress" in k for k in kinds if k):
-                raise ValueError("numerically compressed arrays are not read")
             data = next((x.text for x in a.iter() if _name(x.tag) == "binary"), "")
-            found = _decode(data, 64 if "64-bit float" in kinds else 32, "zlib compression" in kinds, "<")
+            way = next((w for k in kinds if k and "numpress" in k.lower() for w in numpress.WAYS if w in k.lower()), None)
+            if way:
+                packed = any(k and "zlib" in k.lower() for k in kinds)
+                found = numpress.decode(data, way, packed)
+            else:
+                found = _decode(data, 64 if "64-bit float" in kinds else 32, "zlib compression" in kinds, "<")
             arrays["mz" if "m/z array" in kinds else "intensity" if "intensity array" in kinds else "other"] = found
         scan = dict(x.split("=", 1) for x in node.get("id", "").split() if "=" in x).get("scan") or int(node.get("index", 0)) + 1
         yield int(scan), value("ms level", int, 1), value("charge state", int, 0), value("selected ion m/z", float, None), rt, arrays.get("mz", ()), arrays.get("intensity", ())
@@ -122,6 +127,47 @@ def _xml(spark: SparkSession, path: str, parse, level: int | None) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, kind)
 
 
+def parse_binary(stream, packed: bool):
+    """As ``parse_mzml`` from the binary form of MS1 / MS2 text, of versions up to 5: a file header of 2056
+    bytes (type, version, 16 lines of 128), then for each scan its numbers, times and counts, its charges,
+    and its peaks, plain or as two packed arrays. The level is that of the file's type (odd: 1)."""
+    import struct
+    import zlib
+
+    import numpy as np
+
+    take = lambda form: struct.unpack("<" + form, stream.read(struct.calcsize("<" + form)))
+    kind, version = take("ii")
+    stream.read(16 * 128)
+    while len(first := stream.read(4)) == 4:
+        scan = struct.unpack("<i", first)[0]
+        take("i")
+        mzs = take(f"{take('i')[0]}d") if version >= 5 else take("d")
+        (rt,) = take("f")
+        if version >= 2:
+            take("f3d" + ("4d" if version >= 4 else "") + "df")
+        (states,) = take("i")
+        (exact,) = take("i") if version >= 3 else (0,)
+        (points,) = take("i")
+        charges = [take("id")[0] for _ in range(states)]
+        for _ in range(exact):
+            take("idff")
+        if packed:
+            a, b = take("ii")
+            mz, height = np.frombuffer(zlib.decompress(stream.read(a)), "<f8"), np.frombuffer(zlib.decompress(stream.read(b)), "<f4")
+        else:
+            both = np.frombuffer(stream.read(12 * points), np.dtype([("mz", "<f8"), ("height", "<f4")]))
+            mz, height = both["mz"], both["height"]
+        level = 1 if kind % 2 else 2
+        yield scan, level, charges[0] if charges else 0, mzs[0] if level == 2 and mzs else None, rt * 60, mz, height.astype(float)
+
+
+def binary_scans(spark: SparkSession, path: str, level: int | None = None) -> DataFrame:
+    """Binary scans (bms1, bms2), packed ones by their ending (cms1, cms2)."""
+    packed = path.lower().removesuffix(".gz").rsplit(".", 1)[-1].startswith("c")
+    return _xml(spark, path, lambda stream: parse_binary(stream, packed), level)
+
+
 def mzml(spark: SparkSession, path: str, level: int | None = 2) -> DataFrame:
     return _xml(spark, path, parse_mzml, level)
 
@@ -130,16 +176,18 @@ def mzxml(spark: SparkSession, path: str, level: int | None = 2) -> DataFrame:
     return _xml(spark, path, parse_mzxml, level)
 
 
-READERS = {"mgf": mgf, "mzml": mzml, "mzxml": mzxml}
+READERS = {"mgf": mgf, "mzml": mzml, "mzxml": mzxml, **dict.fromkeys(("bms1", "bms2", "cms1", "cms2"), binary_scans)}
+#: Text formats of scans, and how their S lines are laid out.
+TEXTS = {"ft1": "ft", "ft2": "ft", "ms1": "ms", "ms2": "ms", "zs": "ms", "uzs": "ms"}
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """By the ending of the name, one deeper for .gz."""
+    """By the ending of the name, one deeper for .gz (text formats are split only if they are not packed)."""
     from spectraloom.sources import readers
 
     ending = path.lower().removesuffix(".gz").rsplit(".", 1)[-1]
-    if ending in ("ft1", "ft2", "ms1", "ms2"):
-        return readers.scans(spark, path)
+    if ending in TEXTS:
+        return readers.scans(spark, path, TEXTS[ending])
     if ending not in READERS:
         raise ValueError(f"no reader for .{ending}")
     return READERS[ending](spark, path)
@@ -165,7 +213,7 @@ def pepxml(df: DataFrame, scores: list[str]) -> DataFrame:
     """A spectrum_query element for each match: file, scan, charge, parent_mass, peptide, mass, proteins, rank."""
     safe = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
     each = F.concat(*(F.concat(F.lit(f'<search_score name="{s}" value="'), F.coalesce(F.col(s).cast("string"), F.lit("")), F.lit('"/>')) for s in scores))
-    others = F.array_join(F.transform(F.slice("proteins", 2, 1_000_000), lambda p: F.concat(F.lit('<alternative_protein protein="'), safe(p), F.lit('"/>'))), "")
+    others = F.array_join(F.transform(F.slice("proteins", 2, F.greatest(F.size("proteins"), F.lit(0))), lambda p: F.concat(F.lit('<alternative_protein protein="'), safe(p), F.lit('"/>'))), "")
     text = F.concat(
         F.lit('<spectrum_query spectrum="'), safe(F.concat_ws(".", "file", "scan", "scan", "charge")), F.lit('" start_scan="'), F.col("scan").cast("string"), F.lit('" end_scan="'), F.col("scan").cast("string"),
         F.lit('" precursor_neutral_mass="'), F.col("parent_mass").cast("string"), F.lit('" assumed_charge="'), F.col("charge").cast("string"), F.lit('"><search_result><search_hit hit_rank="'), F.col("rank").cast("string"),

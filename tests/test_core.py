@@ -55,6 +55,6 @@ def test_fdr_within_ties(spark):
 
 
 def test_small_functions(spark):
-    r = spark.sql("SELECT '[M~AK]R' AS p").select(peptides.naked(F.col("p")).alias("n"), peptides.ptm_count(peptides.naked(F.col("p"))).alias("k"), peptides.missed_sites(F.lit("AKRCK")).alias("m"), peptides.abundance(F.lit("x_C13_5000Pct")).alias("a"), peptides.mass_error(F.lit(101.0), F.lit(100.0)).alias("e")).first()
-    assert (r.n, r.k, r.m, r.a) == ("M~AK", 1, 2, 5.0) and r.e == pytest.approx(1 - 1.003355)
+    r = spark.sql("SELECT '[M~AK]R' AS p").select(peptides.naked(F.col("p")).alias("n"), peptides.ptm_count(peptides.naked(F.col("p"))).alias("k"), peptides.missed_sites(F.lit("AKRCK")).alias("m"), peptides.abundance(F.lit("x_C13_001.020Pct")).alias("a"), peptides.mass_error(F.lit(101.0), F.lit(100.0)).alias("e")).first()
+    assert (r.n, r.k, r.m, r.a) == ("M~AK", 1, 2, 1.02) and r.e == pytest.approx(1 - 1.003355)
     assert readers.config("[A]\nx = 1 # c\nx = 2\n[B]\ny{s} = 3") == {"[A]x": "1", "[B]y{s}": "3"}
