@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 
 def convolve(a: Column, b: Column) -> Column:
-    """Convolution of two arrays of probabilities."""
-    n = F.size(a) + F.size(b) - 1
-    at = lambda x, i: F.coalesce(F.try_element_at(x, i.cast("int") + 1), F.lit(0.0))
-    one = lambda k: F.aggregate(F.transform(F.sequence(F.greatest(F.lit(0), k - F.size(b) + 1), F.least(k, F.size(a) - 1)), lambda i: at(a, i) * at(b, k - i)), F.lit(0.0), lambda s, x: s + x)
-    return F.transform(F.sequence(F.lit(0), n - 1), one)
+    """Convolution of two arrays of probabilities. Both are bound once, so an argument that is computed
+    is not computed again for every product."""
+
+    def both(x):
+        p, q = x["a"], x["b"]
+        places = lambda k: F.sequence(F.greatest(F.lit(0), k - F.size(q) + 1), F.least(k, F.size(p) - 1))
+        one = lambda k: F.aggregate(places(k), F.lit(0.0), lambda s, i: s + F.get(p, i) * F.get(q, k - i))
+        return F.transform(F.sequence(F.lit(0), F.size(p) + F.size(q) - 2), one)
+
+    return F.get(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), both), F.lit(0))
 
 
 def convolve_peaks(masses_a, probs_a, masses_b, probs_b, least: float = 1e-6):
