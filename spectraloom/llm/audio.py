@@ -126,10 +126,10 @@ def read_id3v2(data: bytes, at: int) -> tuple[int, dict[str, str], bool | None]
     if flags & 0x80:
         body = body.replace(b"\xff\x00", b"\xff")
     tags, right = {}, None
-    if flags & 0x40 and len(body) >= 10:
+    if flags & 0x40 and len(body) >= 14:  # a shorter one is no extended header
         if major >= 4:
             skip, has = syncsafe(body[:4]), body[5] & 0x20
-            if has:
+            if has and skip >= 12:
                 five = body[7:12]
                 right = (five[0] << 28 | syncsafe(five[1:5])) == zlib.crc32(body[skip:])
             body = body[skip:]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from spectraloom.store import shared_folder
+
 #: The words of a text everywhere in this package: runs of anything but space, tab and line ends.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -28,21 +29,12 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return plain.select(*(F.col(f"_{at[old]}").alias(new) for new, old in columns.items()))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='spectraloom-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 class Tables:
     """Intermediate results as Parquet in the shared folder: they cut lineage, survive lost
     executors and are read more than once without being computed again."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"

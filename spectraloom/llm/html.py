@@ -7,8 +7,9 @@ the leaves up and from the root down, give each node's marginal probability of b
 and the text directly in nodes at 0.5 or more is the result. Both kinds of potentials are fitted
 on labelled pages, which ``labelled_pages`` writes from a seed; others can be given.
 
-Blocks are joined by two line ends; white space within one becomes one space (``<br>`` and table
-cells too); character references are decoded. Scripts, styles, titles, form controls and comments
+Blocks are joined by two line ends, also where only ``<hr>`` stands between them; white space within one
+becomes one space (``<br>`` and table cells too); an image leaves no space; the contents of noscript are a
+block like any other; character references are decoded. Scripts, styles, titles, form controls and comments
 of the markup never reach the model. Cases: null and empty pages give empty text; unclosed and
 stray tags are tolerated; a tag, comment, script, style, title or text area cut off by the end is
 dropped; other elements that are ignored end with their end tag, or where that is missing with their
@@ -30,15 +31,15 @@ from pyspark.sql import DataFrame, SparkSession
 from spectraloom.llm.common import map_rows, pick, table
 
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|title|textarea)(?![a-z0-9:-])[^>]*+>.*?(?:</\1\s*+>|\Z)|<(/?)([a-z][a-z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+>|<[a-z/!?][^>]*+\Z""",
+    r"""<!--.*?(?:-->|\Z)|<(script|style|title|textarea)(?![a-z0-9:-])[^>]*+>.*?(?:</\1\s*+>|\Z)|<(/?)([a-z][a-z0-9:-]*+)((?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)>|<[!?/][^>]*+>|<[a-z/!?][^>]*+\Z""",
     re.S | re.I,
 )
-BLOCKS = frozenset("html body article aside section main nav header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr blockquote pre figure figcaption form fieldset address details summary dialog center hgroup menu caption".split())
-SPACES = frozenset("br td th img hr input wbr".split()) - {"wbr"}
+BLOCKS = frozenset("html body article aside section main nav header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr blockquote pre figure figcaption form fieldset address details summary dialog center hgroup menu caption noscript".split())
+SPACES = frozenset("br td th".split())
 CLOSES_P = BLOCKS - {"html", "body"}
 VOID = frozenset("br hr img input meta link wbr area base col embed source track".split())
 #: Elements whose contents are no text of the page, and those of them that do not nest.
-IGNORED = frozenset("noscript template iframe select button svg object".split())
+IGNORED = frozenset("template iframe select button svg object".split())
 ALONE = IGNORED - {"template", "svg", "object"}
 #: A start tag ends an open element of these kinds, up to the nearest of the others.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "p": ({"p"}, set())}
@@ -109,7 +110,12 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block elements, parents first, and (element, text) of every block of text in page order."""
     nodes, texts = [Node("html", -1, [])], []
     stack, buffer, at, link = [0], [], 0, False
-    linked = 0
+    linked, count = 0, Counter({"html": 1})  # open elements
+
+    def close(k: int):
+        for i in stack[k:]:
+            count[nodes[i].tag] -= 1
+        del stack[k:]
 
     def flush():
         nonlocal linked, link
@@ -151,15 +157,17 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if m[2]:
             if tag in BLOCKS:
                 flush()
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if count[tag] else ():
                     if nodes[stack[k]].tag == tag:
-                        del stack[k:]
+                        close(k)
                         break
             elif tag == "a":
                 link = False
             continue
         if tag in SPACES:
             buffer.append(" ")
+        elif tag == "hr":
+            flush()
         elif tag == "a":
             link = True
         elif tag in BLOCKS:
@@ -167,11 +175,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if tag in ("html", "body") and len(stack) > 1 or tag == "html":
                 continue
             if tag in CLOSES_P and nodes[stack[-1]].tag == "p":
-                stack.pop()
+                close(len(stack) - 1)
             same, stop = ENDS.get(tag, ((), ()))
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if any(count[t] for t in same) else ():
                 if nodes[stack[k]].tag in same:
-                    del stack[k:]
+                    close(k)
                     break
                 if nodes[stack[k]].tag in stop or nodes[stack[k]].tag not in ("p", "div"):
                     break
@@ -183,6 +191,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             nodes[stack[-1]].kids += 1
             if tag not in VOID:
                 stack.append(len(nodes) - 1)
+                count[tag] += 1
     if at < len(page):
         say(page[at:])
     flush()
@@ -193,8 +202,13 @@ def _bucket(x: float, *edges: float) -> int:
     return sum(x >= e for e in edges)
 
 
-def observed(nodes: list[Node]) -> list[list[str]]:
-    """Names of the features that each node has; lengths are those of whole subtrees."""
+def surroundings(x: Node) -> list[str]:
+    """The features that a node gives to all below it."""
+    return ([f"in={x.tag}"] if x.tag in SECTIONS else []) + [f"in:{w}" for w in x.words]
+
+
+def below(nodes: list[Node]) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Characters, linked characters, stops and paragraphs of each subtree."""
     n = len(nodes)
     chars, linked, stops, paragraphs = [x.chars for x in nodes], [x.linked for x in nodes], [x.stops for x in nodes], [int(x.tag == "p" and x.chars > 60) for x in nodes]
     for i in range(n - 1, 0, -1):
@@ -203,21 +217,54 @@ def observed(nodes: list[Node]) -> list[list[str]]:
         linked[p] += linked[i]
         stops[p] += stops[i]
         paragraphs[p] += paragraphs[i]
-    out, within = [], []
+    return chars, linked, stops, paragraphs
+
+
+def own_features(nodes: list[Node]) -> list[list[str]]:
+    """Names of the features that each node has itself; lengths are those of whole subtrees."""
+    chars, linked, _, paragraphs = below(nodes)
+    out = []
     for i, x in enumerate(nodes):
-        above = within[x.parent] if i else frozenset()
-        own = [f"in={x.tag}"] if x.tag in SECTIONS else []
-        within.append(above.union(own, (f"in:{w}" for w in x.words)) if own or x.words else above)
         size = _bucket(chars[i], 1, 20, 60, 150, 400, 1500)
         links = _bucket(linked[i] / chars[i] if chars[i] else 0, 0.01, 0.2, 0.5, 0.9)
         f = ["bias", f"tag={x.tag}", f"size={size}", f"links={links}", f"p={_bucket(paragraphs[i], 1, 2, 4)}"]
         f += [f"word={w}" for w in dict.fromkeys(x.words)]
         if i:
-            f += [f"under={nodes[x.parent].tag}", *sorted(above)]
+            f.append(f"under={nodes[x.parent].tag}")
         out.append(f)
     return out
 
 
+def observed(nodes: list[Node]) -> list[list[str]]:
+    """All features of each node, for training: its own and the distinct ones of those above it."""
+    within: list[frozenset] = []
+    for i, x in enumerate(nodes):
+        above = within[x.parent] if i else frozenset()
+        within.append(above.union(surroundings(x)))
+    return [f + sorted(within[x.parent]) if i else f for i, (x, f) in enumerate(zip(nodes, own_features(nodes)))]
+
+
+def scores(nodes: list[Node], weight: dict[str, float]) -> list[float]:
+    """The sum of the weights of ``observed`` for each node. Nodes come parents first and in page order, so
+    what stands above is kept as one path, with a sum and a count of each feature: the time is linear."""
+    out, path, count, sums = [], [], Counter(), [0.0]
+    for i, (x, f) in enumerate(zip(nodes, own_features(nodes))):
+        while path and path[-1][0] != x.parent:
+            for w in path.pop()[1]:
+                count[w] -= 1
+            sums.pop()
+        out.append(sum(weight.get(w, 0.0) for w in f) + (sums[-1] if i else 0.0))
+        gives = surroundings(x)
+        more = 0.0
+        for w in gives:
+            if not count[w]:
+                more += weight.get(w, 0.0)
+            count[w] += 1
+        path.append((i, gives))
+        sums.append(sums[-1] + more)
+    return out
+
+
 WORDS = "of the and time people water small light house river market city paper garden music winter summer train letter table window answer question number story morning evening road bridge forest".split()
 
 
@@ -376,8 +423,7 @@ def marginals(nodes: list[Node], model: dict) -> list[float]:
     weight, ((e00, e01), (e10, e11)) = model["weights"], model["edge"]
     n = len(nodes)
     own = []
-    for f in observed(nodes):
-        s = sum(weight.get(x, 0.0) for x in f)
+    for s in scores(nodes, weight):
         own.append((-_add(0.0, s), -_add(0.0, -s)))  # log P(0), log P(1)
     up0, up1 = [o[0] for o in own], [o[1] for o in own]  # own potential and messages of children
     to0, to1 = [0.0] * n, [0.0] * n  # message to the parent, by the parent's label

@@ -149,7 +149,8 @@ def linked(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, store: Tables, na
 def block_links(left: DataFrame, sigs: DataFrame, docs: DataFrame, store: Tables) -> DataFrame:
     """Links between components within large buckets (key, doc_id, comp). The members of a bucket
     are dealt into blocks and every pair of blocks is one group of at most 2 * BLOCK sets, of
-    which only links that join components come out, so nothing grows with the square but time."""
+    which only links that join components come out. Its time, and the sets that travel (each once for
+    every block of its bucket), grow with the square of such a bucket over BLOCK; memory does not."""
     place = F.row_number().over(Window.partitionBy("key").orderBy("doc_id")) - 1
     left = left.withColumn("block", F.floor(place / BLOCK).cast("int"))
     blocks = left.groupBy("key").agg((F.max("block") + 1).alias("blocks"))
@@ -249,6 +250,9 @@ def cluster(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     if not large.isEmpty():
         links = links.union(block_links(large, reps, docs, store))
     found = store.save(merged(found, links), "found-last")
+    spent = [f"{part}{turn}" for turn in range(TURNS) for part in ("large", "pairs", "found")]
+    spent += [f"{name}-{part}" for name in ("hub", "more", *(f"turn{turn}" for turn in range(TURNS))) for part in ("close", "ids", "links")]
+    store.drop("reps", "keys", "pairs", "found", "left", "more", "block-ids", "block-sets", "block-links", *spent)
     own = sigs.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left")
     own = own.join(found.withColumnRenamed("doc_id", "rep"), "rep", "left")
     component = F.coalesce("comp", "rep", "doc_id")

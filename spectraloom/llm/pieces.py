@@ -42,6 +42,9 @@ class PrefixTable:
         import sentencepiece
 
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+        probe = "a  b \u00e9\ufb01\uff21 c"
+        if sp.decode(sp.encode(probe)) != probe:
+            raise ValueError("the model changes texts before it encodes them, which the table does not")
         n = sp.get_piece_size()
         plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))]
         self.ids = {sp.id_to_piece(i): i for i in plain}

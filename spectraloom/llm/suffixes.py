@@ -200,7 +200,9 @@ def scan(lcp: list[int], sa: list[int], left: list[int], place: list[int], cover
 
 
 def found_keys(docs: DataFrame) -> DataFrame:
-    """(key, doc_id) for each chosen place."""
+    """(key, doc_id, places) for the chosen places. Of a key that occurs several times in a batch only the
+    first place is to be counted with those of other batches, for all of them; the others are known to be
+    repeated and have places 0, so a key that many documents have is counted over few rows."""
 
     def setup():
         import numpy as np
@@ -213,11 +215,17 @@ def found_keys(docs: DataFrame) -> DataFrame:
                     keys.append(window_keys(data)[1].view(np.int64))
                     ids.append(key)
                     counts.append(len(keys[-1]))
-            return [np.concatenate(keys), np.repeat(np.array(ids, np.int64), counts)] if keys else []
+            if not keys:
+                return []
+            every = np.concatenate(keys)
+            _, first, n = np.unique(every, return_index=True, return_counts=True)
+            places = np.zeros(len(every), np.int32)
+            places[first] = n
+            return [every, np.repeat(np.array(ids, np.int64), counts), places]
 
         return batch
 
-    return map_batches(docs, "key long, doc_id long", setup, 128)
+    return map_batches(docs, "key long, doc_id long, places int", setup, 128)
 
 
 def repeated_stretches(marked: DataFrame) -> DataFrame:
@@ -355,7 +363,8 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     copies = store.save(digest.join(firsts, "d").where("doc_id > first").select(F.col("doc_id")).distinct(), "copies")
     few = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
     own = docs.where(F.octet_length("text") >= WIDTH).join(few, "doc_id", "left_anti")
-    keys = found_keys(own).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
+    alone = F.when(F.col("places") == 0, F.col("doc_id"))  # known to be repeated: in partitions of their own
+    keys = found_keys(own).withColumn("n", F.sum("places").over(Window.partitionBy("key", alone))).where("n <> 1")
     wanted = store.save(keys.groupBy("doc_id").agg(F.collect_set("key").alias("wanted")), "wanted")
     dealt = repeated_stretches(own.join(wanted, "doc_id").select("doc_id", "text", "wanted"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -54,3 +54,19 @@ def test_query_columns(spark):
     x = audio.indexed(audio.stored(docs)).where("doc_id = 3").first()
     assert x.frames == len(x.offsets) and x.wrong == 0
     assert audio.features(audio.stored(docs.limit(0))).collect() == []
+
+
+def test_malformed_extended_headers():
+    """No tag, however broken, stops the index."""
+    import random
+
+    r = random.Random(4)
+    whole = audio.store(b"some payload" * 20)
+    for major in (3, 4):
+        for _ in range(400):
+            n = r.randint(0, 24)
+            body = bytes(r.randrange(256) for _ in range(n))
+            tag = b"ID3" + bytes([major, 0, 0x40 | r.choice((0, 0x80, 0x10))]) + audio.to_syncsafe(n) + body
+            found = audio.index(tag + whole)
+            assert found is not None
+            audio.index(tag)

@@ -51,10 +51,37 @@ def test_texts(spark):
 def test_ignored_elements_end():
     said = lambda page: [x for _, x in H.parse(page)[1]]
     want = ["One.", "Two.", "Three."]
-    for x in ('<svg class="i"/>', '<svg class="i"><path d="a>b"/></svg>', '<svg><path/>', "<button>", "<button>Menu", "<select><option>A<option>B", "<object data=x>", "<object><object>x</object>y</object>", "<button>A<button>B</button>", "<template/>", "<noscript><p>no</p></noscript>", "<iframe>"):
+    for x in ('<svg class="i"/>', '<svg class="i"><path d="a>b"/></svg>', '<svg><path/>', "<button>", "<button>Menu", "<select><option>A<option>B", "<object data=x>", "<object><object>x</object>y</object>", "<button>A<button>B</button>", "<template/>", "<iframe>"):
         assert said(f"<article><p>One.</p>{x}<p>Two.</p><p>Three.</p></article>") == want, x
         assert said(f"<article><p>One.</p>{x}<p>Two.</p>{x}<p>Three.</p></article>") == want, x
     assert said("<p>One.</p><svg-icon>Two.</svg-icon><p>Three.</p>") == want
     assert said("<p>One. <b><button>x</b></p>Two. <svg/> <p>Three.") == want
     assert said("<p>One.</p><script>if (a<b) <p>x") == ["One."]
     assert len(said("<p>a</p><button>" * 20000 + "</i>" * 20000)) == 20000
+
+
+def test_nothing_else_is_dropped_or_joined():
+    said = lambda page: [x for _, x in H.parse(page)[1]]
+    assert said("<p>One.<noscript><p>Two.</p></noscript><p>Three.</p>") == ["One.", "Two.", "Three."]
+    assert said("<div>One.<hr>Two.<hr/></div>") == ["One.", "Two."]
+    assert said("<p>im<img src=a>age <input>x</p>") == ["image x"]
+    assert said("<p title=it's>One.</p><p title='a>b' class=\"c>d\">Two.</p><p title = \"e>f\">Three.</p>") == ["One.", "Two.", "Three."]
+    assert said('<p title="open>One.</p>') == ["One."]
+
+
+def test_scores_are_those_of_all_features():
+    weight = H.default_model()["weights"]
+    for page in H.labelled_pages(30, seed=5):
+        nodes, _ = H.parse("".join(x for x, _ in page))
+        want = [sum(weight.get(x, 0.0) for x in f) for f in H.observed(nodes)]
+        assert all(abs(a - b) < 1e-9 for a, b in zip(H.scores(nodes, weight), want))
+
+
+def test_time_is_linear():
+    import time
+
+    pages = ["<div>" * 20000 + "</p>" * 20000 + "x", "<div>" * 20000 + "<p>y</p>" * 3000, "".join(f'<div class="c{k}">' for k in range(20000)) + "x", "<a b=\"" * 20000, "<li>" * 20000 + "x"]
+    for page in pages:
+        began = time.time()
+        H.extract(page)
+        assert time.time() - began < 6, page[:40]
