@@ -11,7 +11,9 @@ The text is cut where no piece can reach across (before a run of the space mark,
 characters that occur in no longer piece), and the results for short stretches are kept.
 
 Cases: null counts as empty; empty text has no ids and decodes to empty text; characters
-without a piece become byte pieces; a text of one endless word is one stretch.
+without a piece become byte pieces; a text of one endless word is one stretch; equal rows
+give equal rows; an empty table stays empty; other columns do not matter, whatever their names. A model
+that changes texts before it encodes them (a normaliser, or white space that it drops) is refused.
 """
 
 from __future__ import annotations
@@ -201,6 +203,22 @@ def encode(docs: DataFrame, model_path: str | None = None, text: str = "text", d
     return map_rows(pick(docs, doc_id=doc_id, text=text), "doc_id long, ids array<int>, decoded string", setup, 128)
 
 
+def tokens(docs: DataFrame, model_path: str | None = None, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+    """doc_id, source, n_tokens, ids."""
+    model = Path(model_path or default_model()).read_bytes()
+
+    def setup():
+        t = prefix_table(model)
+
+        def one(key, kind, value):
+            ids = t.encode(value)
+            return key, kind, len(ids), ids
+
+        return one
+
+    return map_rows(pick(docs, doc_id=doc_id, source=source, text=text), "doc_id long, source string, n_tokens long, ids array<int>", setup, 128)
+
+
 def digests(docs: DataFrame, model_path: str | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of what ``encode`` gives."""
     model = Path(model_path or default_model()).read_bytes()

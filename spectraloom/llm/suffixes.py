@@ -165,14 +165,15 @@ def scan(lcp: list[int], sa: list[int], left: list[int], place: list[int], cover
     stack = [[0, [], left[0]]]
 
     def close(node):
+        if node[2] is not None:
+            return None
         occurrences = node[1]
         best = min(occurrences, key=place.__getitem__)
-        if node[2] is None:
-            for i in occurrences:
-                if i != best:
-                    cover[sa[i]] += 1
-                    cover[sa[i] + node[0]] -= 1
-        return best if node[2] is None else None
+        for i in occurrences:
+            if i != best:
+                cover[sa[i]] += 1
+                cover[sa[i] + node[0]] -= 1
+        return best
 
     def add(node, occurrences, mark):
         if node[1] and node[2] != mark:

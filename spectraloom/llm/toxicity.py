@@ -5,13 +5,16 @@ category also gets the probabilities of the earlier ones. For its training these
 out of fold, by models that did not see the document, so it learns how far they can be trusted.
 
 Features are the presence of words, of words' first four and five letters, and of marks. They
-are hashed to 32 bits; those kept are the FEATURES with the largest chi-square in any category.
-Training uses a bounded sample: the LABELLED labelled documents with the least hash of their id.
-It is fitted on the driver from their feature lists; all documents are then scored in one pass.
+are hashed to 32 bits; those kept are all whose chi-square in some category reaches CHI_SQUARE, found by
+an aggregation over the features. Training uses a bounded sample: the LABELLED labelled documents
+with the least hash of their id. Their features are a table in the shared folder; only the kept ones
+come to the driver, where the chain is fitted. All documents are then scored in one pass.
 
 Cases: null counts as empty; a text without features has the probability that the biases give;
 a category whose labels are all equal, or that has none, is predicted by a constant (0 without
-labels); labels that repeat an id count once, the largest; equal texts get equal values; an
+labels); labels that repeat an id count once, the largest; of different texts of one labelled id the one
+with the least list of features is trained on; equal texts get equal values, ties and rows that repeat
+included; texts of any length are read whole; other columns do not matter, whatever their names; an
 empty table stays empty.
 """
 
@@ -23,13 +26,13 @@ from math import exp
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraloom.llm.common import map_batches, map_rows, pick, table
+from spectraloom.llm.common import Tables, map_batches, map_rows, pick, table
 
 CATEGORIES = ("quality", "toxic")
-#: At most so many labelled documents are trained on, and so many features kept.
-LABELLED, FEATURES, FOLDS, ROUNDS, RIDGE = 4000, 400, 5, 120, 0.05
-#: Features with a smaller chi-square tell nothing (p = 0.0005).
-CHI_SQUARE = 12.0
+#: At most so many labelled documents are trained on.
+LABELLED, FOLDS, ROUNDS, RIDGE = 4000, 5, 120, 0.05
+#: Features with a smaller chi-square may be chance: at p = 4e-8 none of a million passes by it.
+CHI_SQUARE = 30.0
 THRESHOLD = 0.5
 WORD = re.compile(r"[^\W\d_]+")
 REMEMBER = 400_000
@@ -83,47 +86,63 @@ def fit_one(rows, cols, n, width, y, extra):
     return w, v, b
 
 
-def fit(lists: list[list[int]], labels: list[tuple[int, ...]], categories=CATEGORIES) -> dict:
-    """The chain: kept features, and for each category weights, weights of earlier probabilities, bias."""
+def fit(lists: list[list[int]], labels: list[tuple[int, ...]], names: list[int], categories=CATEGORIES) -> dict:
+    """The chain, from the places of each document's features in ``names``: for each category weights,
+    weights of earlier probabilities, bias."""
     import numpy as np
 
-    n = len(lists)
+    n, width = len(lists), len(names)
     y = np.array(labels, float).reshape(n, len(categories))
-    all_rows = np.repeat(np.arange(n), [len(x) for x in lists])
-    flat = np.array([f for x in lists for f in x], np.int64)
-    names, cols = np.unique(flat, return_inverse=True) if len(flat) else (np.empty(0, np.int64), np.empty(0, np.int64))
-    df = np.bincount(cols, minlength=len(names))
-    best = np.zeros(len(names))
-    for k in range(len(categories)):
-        hit, share = np.bincount(cols, y[all_rows, k], len(names)), y[:, k].mean() if n else 0
-        want = df * share
-        with np.errstate(divide="ignore", invalid="ignore"):
-            chi = (hit - want) ** 2 / np.maximum(want * (1 - share) * (1 - df / max(n, 1)), 1e-9)
-        best = np.maximum(best, np.where((df >= 2) & (df < n), chi, 0))
-    keep = np.sort(np.argsort(-best, kind="stable")[:FEATURES])
-    keep = keep[best[keep] >= CHI_SQUARE]
-    place = np.full(len(names), -1)
-    place[keep] = np.arange(len(keep))
-    ok = place[cols] >= 0 if len(cols) else np.zeros(0, bool)
-    rows, cols = all_rows[ok], place[cols][ok] if len(cols) else cols
+    rows = np.repeat(np.arange(n), [len(x) for x in lists])
+    cols = np.array([f for x in lists for f in x], np.int64)
     fold = np.arange(n) % FOLDS
     earlier, models = np.zeros((n, 0)), []
     for k in range(len(categories)):
-        models.append(fit_one(rows, cols, n, len(keep), y[:, k], earlier))
+        models.append(fit_one(rows, cols, n, width, y[:, k], earlier))
         if k + 1 == len(categories):
             break
         out = np.zeros(n)
         for f in range(FOLDS):
             renumber = np.cumsum(fold != f) - 1
             inside = fold[rows] != f
-            w, v, b = fit_one(renumber[rows[inside]], cols[inside], int((fold != f).sum()), len(keep), y[fold != f, k], earlier[fold != f])
+            w, v, b = fit_one(renumber[rows[inside]], cols[inside], int((fold != f).sum()), width, y[fold != f, k], earlier[fold != f])
             score = np.bincount(rows, w[cols], n) + earlier @ v + b if len(rows) else earlier @ v + b
             out[fold == f] = _sigmoid(score)[fold == f]
         earlier = np.column_stack([earlier, out])
-    weights = {int(names[i]): tuple(float(m[0][j]) for m in models) for j, i in enumerate(keep)}
+    weights = {int(f): tuple(float(m[0][j]) for m in models) for j, f in enumerate(names)}
     return {"weights": weights, "earlier": [tuple(map(float, m[1])) for m in models], "bias": [float(m[2]) for m in models]}
 
 
+def telling(rows: DataFrame, categories=CATEGORIES) -> list[int]:
+    """From (f: packed features, y): the features that occur in several documents, not in all, and whose
+    presence depends on some category, ascending."""
+    k = len(categories)
+    sums = rows.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(F.col("y")[i]), F.lit(0)).alias(f"s{i}") for i in range(k))).first()
+    n = sums["n"]
+    if not n:
+        return []
+
+    def setup():
+        import numpy as np
+
+        def batch(columns):
+            parts = [np.frombuffer(f, "<u4").astype(np.int64) for f in columns[0]]
+            counts = [len(p) for p in parts]
+            return [np.concatenate(parts), *(np.repeat([y[i] for y in columns[1]], counts) for i in range(k))] if sum(counts) else []
+
+        return batch
+
+    each = map_batches(rows.select("f", "y"), "f long, " + ", ".join(f"y{i} int" for i in range(k)), setup)
+    by = each.groupBy("f").agg(F.count("*").alias("df"), *(F.sum(f"y{i}").alias(f"h{i}") for i in range(k)))
+    chi = []
+    for i in range(k):
+        share = sums[f"s{i}"] / n
+        want = F.col("df") * share
+        chi.append(F.pow(F.col(f"h{i}") - want, 2) / F.greatest(want * (1 - share) * (1 - F.col("df") / n), F.lit(1e-9)))
+    best = F.greatest(*chi) if k > 1 else chi[0]
+    return sorted(r.f for r in by.where((F.col("df") >= 2) & (F.col("df") < n) & (best >= CHI_SQUARE)).select("f").collect())
+
+
 def predict(found: set[int], model: dict) -> list[float]:
     score, out = list(model["bias"]), []
     for f in sorted(found):
@@ -145,11 +164,24 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, text: str =
     chosen = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text", *categories)
 
     def setup():
-        return lambda key, value, *ys: (key, sorted(features(value)), list(ys))
+        import numpy as np
+
+        return lambda key, value, *ys: (key, np.array(sorted(features(value)), "<u4").tobytes(), list(ys))
+
+    store = Tables(docs.sparkSession, "toxicity")
+    rows = store.save(map_rows(chosen, "doc_id long, f binary, y array<int>", setup), "all")
+    rows = store.save(rows.groupBy("doc_id").agg(F.min(F.struct("f", "y")).alias("r")).select("doc_id", "r.*"), "sample")
+    names = telling(rows, categories)
+
+    def shorten():
+        import numpy as np
+
+        known = np.array(names, np.int64)
+        return lambda key, f, y: (key, np.flatnonzero(np.isin(known, np.frombuffer(f, "<u4"))).astype(np.int32), y)
 
-    rows = map_rows(chosen, "doc_id long, f array<long>, y array<int>", setup).collect()
-    rows = sorted({r.doc_id: r for r in rows}.values())
-    return fit([r.f for r in rows], [tuple(r.y) for r in rows], categories)
+    few = sorted(map_rows(rows, "doc_id long, f array<int>, y array<int>", shorten).collect())
+    store.drop("all", "sample")
+    return fit([r.f for r in few], [tuple(r.y) for r in few], names, categories)
 
 
 def scorer(model: dict):

@@ -118,12 +118,83 @@ def brute_guess(value):
 
 def test_guess_costs():
     for v in ("password", "P@ssw0rd1999", "qwertyuiop", "abababababab", "2020-01-31", "zq9!Lm2vX0pT", "aaaaaaaaaaaa", "adminadmin12"):
-        assert secrets.guess_cost(v) == pytest.approx(brute_guess(v), abs=0.5)
-        assert secrets.guess_cost(v) >= brute_guess(v) - 1e-9
+        assert secrets.guess_cost(v) == pytest.approx(brute_guess(v), abs=1e-9)
+    r = random.Random(5)
+    for _ in range(400):
+        v = "".join(r.choice(["a", "b", "ab", "pass", "word", "1999", "qwe", "rty", "@", "aaa", "20200131", "X", "zz"]) for _ in range(r.randint(1, 7)))
+        assert secrets.guess_cost(v) == pytest.approx(brute_guess(v), abs=1e-9), v
     assert secrets.guess_cost("password") < 3 < secrets.guess_cost("zq9!Lm2vX0pT")
     assert secrets.guess_cost("a9ce335683f9772ddc") > secrets.GUESSES
 
 
+def brute_spans(text):
+    """Base spans by trying every place, guesses by the brute-force cost."""
+    text, out = text or "", []
+
+    def scan_kind(kind, fits):
+        at = 0
+        while at < len(text):
+            end = fits(at)
+            if end:
+                out.append((at, kind, end))
+                at = end
+            else:
+                at += 1
+
+    def run(at, allowed):
+        while at < len(text) and text[at] in allowed:
+            at += 1
+        return at
+
+    value_at: dict = {}
+    word = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def assign(at):
+        for name in ("password", "passwd", "secret", "token", "apikey", "api_key"):
+            if text[at : at + len(name)].lower() != name or not text[at : at + len(name)].isascii():
+                continue
+            k = at + len(name)
+            k += text[k : k + 1] in ("'", '"') and bool(text[k : k + 1])
+            k = run(k, " ")
+            if text[k : k + 1] not in (":", "=") or not text[k : k + 1]:
+                return None
+            k = run(k + 1, " ")
+            k += text[k : k + 1] in ("'", '"') and bool(text[k : k + 1])
+            value_at[at] = k
+            end = run(k, word)
+            return end if end > k else None
+
+    every: list = []
+    for kind, fits, least in ((0, assign, 8), (1, lambda i: (lambda e: e if e > i + 4 else None)(run(i + 4, set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))) if text[i : i + 4] == "AKIA" else None, 16), (2, lambda i: (lambda e: e if e > i else None)(run(i, set("0123456789abcdef"))), 32)):
+        out.clear()
+        scan_kind(kind, fits)
+        for s, k, e in out:
+            if e - value_at.get(s, s) >= least if kind == 0 else e - s >= least:
+                every.append((s, k, e))
+    for m in secrets.CONTEXT.finditer(text):
+        cost = brute_guess(m[1])
+        if cost >= secrets.GUESSES or cost >= secrets.SHARE * len(m[1]) and m[1].lower().strip("().,;:!?") not in secrets.PLAIN:
+            every.append((m.start(1), 3, m.end(1)))
+    return sorted(every)
+
+
+def test_spans_equal_brute_force(spark):
+    r = random.Random(11)
+    parts = ["password", "Secret", "api_key", "token", "passwd", ": ", "=", " = ", '"', "'", " ", "hunter22-x", "short", "AKIA", "ABCDEFGHIJKLMNOP", "0a1b" * 9, "é", "\n", "is ", "kX9$vQ2z!", "pwd"]
+    docs = [(i, "".join(r.choice(parts) for _ in range(r.randint(0, 14))), 1) for i in range(400)] + [(900, None, 1), (901, "", 1), (901, "", 1)]
+    rows = secrets.spans(spark.createDataFrame(docs, "doc_id long, text string, SPANS int").repartition(3)).collect()
+    assert len(rows) == len(docs)
+    want = {}
+    for i, t, _ in docs:
+        found = brute_spans(t)
+        tell = [f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in found]
+        base = ",".join(x for x in tell if not x.startswith("guess"))
+        n = [sum(k == kind for _, k, _ in found) for kind in range(4)]
+        want[i] = (i, *n[:3], hashlib.sha256(base.encode()).hexdigest(), ",".join(tell), n[3])
+    assert {x.doc_id: tuple(x) for x in rows} == want
+    assert secrets.spans(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
 def test_redacted_columns(spark):
     df = spark.createDataFrame([(1, "token = 1234567890ab", "a", 20), (2, None, None, None)], "doc_id long, text string, Text string, n_chars long")
     got = sorted(secrets.redacted(df).collect(), key=lambda r: r[0])
@@ -146,6 +217,35 @@ def test_mixing_targets_and_copies(spark):
     assert mixing.report(df.limit(0)).collect() == []
 
 
+def test_telling_features_equal_brute_force(spark):
+    r = random.Random(3)
+    docs = [(i, " ".join(r.choice(["a", "b", "cc", "ddddd", "eeeeee"][: 2 + i % 4]) for _ in range(5)) + (" vile" if i % 4 == 0 and i % 12 else "")) for i in range(300)]
+    labels = [(i, int(i % 3 == 0), int(i % 4 == 0)) for i, _ in docs]
+    rows = spark.createDataFrame([(bytearray(b"".join(f.to_bytes(4, "little") for f in sorted(toxicity.features(t)))), list(y)) for (_, t), (_, *y) in zip(docs, labels)], "f binary, y array<int>")
+    want = []
+    every = [toxicity.features(t) for _, t in docs]
+    for f in set().union(*every):
+        has = [f in x for x in every]
+        n, df = len(docs), sum(has)
+        for k in (1, 2):
+            share = sum(y[k] for y in labels) / n
+            hit, expect = sum(h and y[k] for h, y in zip(has, labels)), df * share
+            if 2 <= df < n and (hit - expect) ** 2 / max(expect * (1 - share) * (1 - df / n), 1e-9) >= toxicity.CHI_SQUARE:
+                want.append(f)
+    assert toxicity.telling(rows) == sorted(set(want)) and want
+    assert toxicity.telling(rows.limit(0)) == []
+
+
+def test_toxicity_cases(spark):
+    docs = spark.createDataFrame([(1, "good words here", "x"), (1, "other words", "y"), (2, "x" * 200_000, None), (3, None, None)] + [(10 + i, "nice " * 3 + ("vile" if i % 2 else "kind"), "z") for i in range(60)], "doc_id long, text string, TEXT string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, None, 1)] + [(10 + i, i % 3 == 0 and 1 or 0, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    first, second = (toxicity.train(d, labels) for d in (docs, docs.repartition(7)))
+    assert first == second and first["weights"]
+    kept = toxicity.kept(docs, first)
+    assert kept.columns == docs.columns and kept.count() == 4 + 30
+    assert toxicity.scored(docs.limit(0), first).collect() == []
+
+
 def test_toxicity_held_out(spark):
     r = random.Random(1)
     words = ["".join(r.choice("abcdefghijk") for _ in range(5)) for _ in range(500)]
