@@ -2,8 +2,12 @@
 
 toxicity drops documents that the classifier chain rejects; near_duplicates keeps one document of
 each component; secrets replaces secrets in texts by a mark; mixing repeats or drops documents so
-that sources come near their target weights; tokens encodes every remaining row. All but the last
-return the columns of documents.
+that sources come near their target weights; tokens encodes every remaining row and keeps its ids.
+All but the last return the columns of documents.
+
+Cases: null and empty texts are kept, have no tokens, and are near duplicates of nothing; rows that
+repeat an id are judged together by near_duplicates, which keeps or drops all of them; empty tables
+stay empty; columns are found by place, so others whose names differ in case only do no harm.
 """
 
 from __future__ import annotations
@@ -23,7 +27,9 @@ def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     out = minhash.cluster(docs).where(~F.col("kept")).select("doc_id").distinct()
     dropped = Tables(spark, "pipeline").save(out, "dropped")
     few = dropped.count() <= minhash.BROADCAST_IDS
-    return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(*docs.columns)
+    names = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumn("doc_id", F.col(f"c{names.index('doc_id')}"))
+    return plain.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(*(f"c{i}" for i in range(len(names)))).toDF(*names)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +41,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.digests(docs)
+    """doc_id, n_tokens, ids and source of every row; texts can be had again by decoding."""
+    return pieces.tokens(docs)
 
 
 STAGES = [
