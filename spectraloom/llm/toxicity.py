@@ -35,7 +35,7 @@ LABELLED, FOLDS, ROUNDS, RIDGE = 4000, 5, 120, 0.05
 CHI_SQUARE = 30.0
 THRESHOLD = 0.5
 WORD = re.compile(r"[^\W\d_]+")
-REMEMBER = 400_000
+REMEMBER = 200_000
 
 
 def hashes(word: str) -> tuple[int, ...]:

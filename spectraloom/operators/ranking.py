@@ -40,22 +40,51 @@ def best_with_ties(df: DataFrame, group: list[str], order: list[Column], peers:
     return same.withColumn(names, joined).where("_n = 1").drop("_n", "_same")
 
 
+#: Ranges of scores over which running counts are taken side by side.
+RANGES = 64
+
+
+def ranges(df: DataFrame, score: str) -> Column:
+    """The number of the range of a score, from approximate quantiles (63 numbers on the driver). Only the
+    work is dealt by it: results do not depend on where the ranges end."""
+    edges = sorted(set(df.select(F.col(score).cast("double").alias("s")).approxQuantile("s", [k / RANGES for k in range(1, RANGES)], 0.25 / RANGES)))
+
+    def between(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(score) <= F.lit(edges[mid]), between(lo, mid)).otherwise(between(mid + 1, hi))
+
+    return between(0, len(edges))
+
+
+def running(by: DataFrame, group: list[str], score: str, counts: list[str], inclusive: bool) -> DataFrame:
+    """by (a row for each score of a group, with its range _r) with each of the counts summed over all larger
+    scores (and its own): within its range by a window, over the ranges above by their totals."""
+    within = Window.partitionBy(*group, "_r").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    above = Window.partitionBy(*group).orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = by.groupBy(*group, "_r").agg(*(F.sum(c).alias(f"{c}_all") for c in counts))
+    totals = totals.select(*group, "_r", *(F.coalesce(F.sum(f"{c}_all").over(above), F.lit(0)).alias(f"{c}_all") for c in counts))
+    out = by.withColumns({c: F.coalesce(F.sum(c).over(within), F.lit(0)) for c in counts})
+    out = out.join(F.broadcast(totals), [*group, "_r"])  # RANGES rows for each partition value
+    return out.withColumns({c: F.col(c) + F.col(f"{c}_all") for c in counts}).drop(*(f"{c}_all" for c in counts))
+
+
 def fdr_cutoff(df: DataFrame, score: str, decoy: str, threshold: float, order: list[Column], partition: list[str] | None = None, first_of: list[str] | None = None) -> DataFrame:
     """Rows whose score reaches that of the longest prefix, by score and then ``order``, with
     decoys / targets at most threshold (a prefix without targets does not count).
 
-    Running counts are the counts of all larger scores, summed over a row for each score, plus
-    those within the rows of one score, so no window holds all rows. With ``first_of`` only the
-    first row of each combination of those columns counts, as for peptides."""
+    Running counts are the counts of all larger scores, summed over a row for each score and side by
+    side in ranges of scores, plus those within the rows of one score, so no window holds all rows. With
+    ``first_of`` only the first row of each combination of those columns counts, as for peptides."""
     group = partition or []
     counted = df
     if first_of:
         w = Window.partitionBy(*group, *first_of).orderBy(F.desc(score), *order)
         counted = counted.withColumn("_f", F.row_number().over(w)).where("_f = 1")
     t, d = (~F.col(decoy)).cast("long"), F.col(decoy).cast("long")
-    by = counted.groupBy(*group, score).agg(F.sum(t).alias("_t"), F.sum(d).alias("_d"))
-    w = Window.partitionBy(*group).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
-    before = by.select(*group, score, *(F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c) for c in ("_t", "_d")))
+    by = counted.groupBy(*group, score).agg(F.sum(t).alias("_t"), F.sum(d).alias("_d")).withColumn("_r", ranges(df, score))
+    before = running(by, group, score, ["_t", "_d"], False).drop("_r")
     w = Window.partitionBy(*group, score).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     run = counted.select(*group, score, F.sum(t).over(w).alias("_t2"), F.sum(d).over(w).alias("_d2")).join(before, [*group, score])
     run = run.withColumn("_t", F.col("_t") + F.col("_t2")).withColumn("_d", F.col("_d") + F.col("_d2")).where((F.col("_t") > 0) & (F.col("_d") <= threshold * F.col("_t")))
@@ -65,11 +94,14 @@ def fdr_cutoff(df: DataFrame, score: str, decoy: str, threshold: float, order: l
 
 
 def q_values(df: DataFrame, score: str, decoy: str, partition: list[str] | None = None) -> DataFrame:
-    """Each row with the least decoys / targets of any prefix that holds it."""
+    """Each row with the least decoys / targets of any prefix that holds it. Rows without a score get no
+    q-value and are left out."""
     group = partition or []
-    by = df.groupBy(*group, score).agg(F.sum((~F.col(decoy)).cast("long")).alias("_t"), F.sum(F.col(decoy).cast("long")).alias("_d"))
-    down = Window.partitionBy(*group).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    up = Window.partitionBy(*group).orderBy(F.asc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    rate = F.sum("_d").over(down) / F.greatest(F.sum("_t").over(down), F.lit(1))
-    by = by.withColumn("_r", rate).withColumn("q_value", F.min("_r").over(up)).select(*group, score, "q_value")
-    return df.join(by, [*group, score])
+    by = df.where(F.col(score).isNotNull()).groupBy(*group, score).agg(F.sum((~F.col(decoy)).cast("long")).alias("_t"), F.sum(F.col(decoy).cast("long")).alias("_d")).withColumn("_r", ranges(df, score))
+    rate = (F.col("_d") / F.greatest(F.col("_t"), F.lit(1))).alias("_q")
+    rates = running(by, group, score, ["_t", "_d"], True).select(*group, score, "_r", rate)
+    up = Window.partitionBy(*group, "_r").orderBy(F.asc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    below = Window.partitionBy(*group).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    least = rates.groupBy(*group, "_r").agg(F.min("_q").alias("_l")).select(*group, "_r", F.min("_l").over(below).alias("_l"))
+    found = rates.join(F.broadcast(least), [*group, "_r"]).select(*group, score, F.least(F.min("_q").over(up), F.col("_l")).alias("q_value"))
+    return df.join(found, [*group, score])

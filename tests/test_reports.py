@@ -289,3 +289,29 @@ def test_streams_yield_the_same_rows(spark, tmp_path):
     query = best.writeStream.outputMode("complete").format("memory").queryName("best").option("checkpointLocation", f"file://{tmp_path}/ck2").trigger(availableNow=True).start()
     query.awaitTermination()
     assert [(r.scan, r.wdp) for r in spark.table("best").collect()] == [(1, 9.0)]
+
+
+def test_running_rates_equal_brute_force(spark):
+    from spectraloom.operators import ranking
+
+    r = np.random.default_rng(8)
+    rows = [(int(i), int(r.integers(3)), float(r.integers(0, 200)), bool(r.random() < 0.3)) for i in range(1500)] + [(9000, 1, None, False)]
+    df = spark.createDataFrame(rows, "id int, g int, s double, d boolean")
+    for group in ([], ["g"]):
+        got = {x.id: x.q_value for x in ranking.q_values(df, "s", "d", group or None).collect()}
+        kept = {x.id for x in ranking.fdr_cutoff(df, "s", "d", 0.3, ["id"], group or None).collect()}
+        for value in {x[1] for x in rows} if group else {None}:
+            own = sorted((x for x in rows if x[2] is not None and (value is None or x[1] == value)), key=lambda x: (-x[2], x[0]))
+            best, cut, t, d = {}, None, 0, 0
+            for x in own:
+                t, d = t + (not x[3]), d + x[3]
+                best[x[2]] = d / max(t, 1)  # after the last row of a score
+                if t and d <= 0.3 * t:
+                    cut = x[2]
+            least, q = float("inf"), {}
+            for s in sorted(best):
+                least = min(least, best[s])
+                q[s] = least
+            assert all(got[x[0]] == pytest.approx(q[x[2]]) for x in own)
+            assert all((x[0] in kept) == (cut is not None and x[2] >= cut) for x in own)
+        assert 9000 not in got
