@@ -14,6 +14,9 @@ MODULES = {
     "op8_secrets": "secrets",
     "op9_chaining": "chaining",
     "op10_mixing": "mixing",
+    "op11_audit": "audit",
+    "op12_urls": "urls",
+    "op13_merkle": "merkle",
 }
 
 
