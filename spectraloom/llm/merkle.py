@@ -13,8 +13,9 @@ is the root alone. What a range cannot resolve by itself are nodes at the edges
 runs, at most two a level and side, so a fragment has O(log n) nodes. Nodes that meet in a join are
 remembered, as they are the siblings that proofs of leaves need from outside their range.
 
-Sizes: ranges follow the number of rows up to ``RANGES``; fragments and what is remembered are
-some hundred digests a range, so the driver and the broadcast hold at most about 100 MB at ``RANGES``.
+Sizes: ranges follow the number of rows up to ``RANGES``. At that many the driver and the broadcast hold
+about 30 MB of what is remembered (some 25 digests a range were measured) and 75 MB of sampled keys
+while ranges are cut; a task holds the leaves of its range, about 350 bytes each.
 Groups that end within a range never leave it but as part of the tree over the groups.
 
 Cases: null fields are ``-``; a null group is one of its own and comes first; rows without order come
@@ -26,6 +27,7 @@ case only do no harm.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from functools import partial
 from hashlib import sha256
 from itertools import groupby
@@ -37,8 +39,8 @@ from spectraloom.llm.common import Tables, pick, table
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 ARITY = 2
-#: Leaves of a range, and ranges at most.
-LEAVES, RANGES = 250_000, 4096
+#: Leaves of a range, ranges at most, and keys of each (threefold) that Spark samples to cut them.
+LEAVES, RANGES, SAMPLES = 250_000, 16_384, 10
 #: The tree over the groups; those of the groups are numbered from 0.
 TOP = -1
 
@@ -209,6 +211,18 @@ def places(summaries) -> tuple[dict, dict]:
     return starts, counts | {TOP: rank + 1}
 
 
+@contextmanager
+def sampling(spark: SparkSession, keys: int):
+    """Range exchanges that are made meanwhile sample so many keys for each range."""
+    name = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    old = spark.conf.get(name)
+    spark.conf.set(name, keys)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def manifest(docs: DataFrame, arity: int = ARITY) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root and verified of every row."""
     spark, context = docs.sparkSession, docs.sparkSession.sparkContext
@@ -217,7 +231,8 @@ def manifest(docs: DataFrame, arity: int = ARITY) -> DataFrame:
     ranges = min(RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), table_of_leaves.count() // LEAVES))
     # by digest and salt, so that rows that repeat an id, or are repeated whole, can lie in many ranges
     ordered = table_of_leaves.repartitionByRange(ranges, "group", "doc_id", "leaf", "salt").sortWithinPartitions("group", "doc_id", "leaf")
-    ordered = ordered.select("group", "doc_id", "leaf", "changed").rdd
+    with sampling(spark, SAMPLES):
+        ordered = ordered.select("group", "doc_id", "leaf", "changed").rdd
 
     starts, counts = places(ordered.mapPartitionsWithIndex(summary).collect())
     if not starts:
