@@ -1,7 +1,6 @@
 """Atoms of peptides, and masses by atoms and enrichment, as column functions and in numpy.
 
-Compositions come as a table of residues: letter -> (C, H, O, N, S). A whole peptide has the water of
-its ends as well.
+Compositions and isotopes come from a ``Chemistry``. A whole peptide has both of its ends as well.
 """
 
 from __future__ import annotations
@@ -9,33 +8,36 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spectraloom.functions.chemistry import ELEMENTS, NEUTRONS, REGULAR, Chemistry, named
 from spectraloom.functions.isotopes import convolve_peaks, power
-from spectraloom.functions.scoring import ISOTOPES, RESIDUES
 
-ELEMENTS = "CHONS"
-#: How many neutrons the counted heavy isotope of an element has more than its lightest.
-NEUTRONS = {"C": 1, "H": 1, "O": 2, "N": 1, "S": 2}
 
-
-def atom_counts(peptide: Column, residues: dict = RESIDUES) -> Column:
-    """A struct of the atoms C, H, O, N, S of a peptide with its ends: each residue's letter is counted
-    once, whatever the length of the table; other characters have no atoms."""
-    n = {r: F.length(peptide) - F.length(F.replace(peptide, F.lit(r), F.lit(""))) for r in residues}
+def atom_counts(peptide: Column, chemistry: Chemistry = REGULAR) -> Column:
+    """A struct of the atoms c, h, o, n, p, s of a peptide with its ends: each residue and symbol is
+    counted once, whatever the length of the table; other characters have no atoms."""
+    singles = {r: counts for r, counts in chemistry.residues.items() if len(r) == 1}
+    n = {r: F.length(peptide) - F.length(F.replace(peptide, F.lit(r), F.lit(""))) for r in singles}
     total = []
     for k, e in enumerate(ELEMENTS):
-        s = F.lit({"H": 2, "O": 1}.get(e, 0))
-        for r, counts in residues.items():
+        s = F.lit(chemistry.residues["Nterm"][k] + chemistry.residues["Cterm"][k])
+        for r, counts in singles.items():
             if counts[k]:
                 s = s + n[r] * counts[k]
         total.append(s.cast("int").alias(e.lower()))
     return F.struct(*total)
 
 
-def base_mass(atoms: Column) -> Column:
+def known(peptide: Column, chemistry: Chemistry = REGULAR) -> Column:
+    """Whether the configuration names every character of a peptide."""
+    singles = "".join(r for r in chemistry.residues if len(r) == 1)
+    return F.translate(peptide, singles, "") == ""
+
+
+def base_mass(atoms: Column, chemistry: Chemistry = REGULAR) -> Column:
     """The mass with every atom the lightest isotope."""
     total = F.lit(0.0)
     for e in ELEMENTS:
-        total = total + atoms[e.lower()] * ISOTOPES[e][0][0]
+        total = total + atoms[e.lower()] * chemistry.isotopes[e][0][0]
     return total
 
 
@@ -46,48 +48,45 @@ def _weighted(pairs: list) -> Column:
     return over / under
 
 
-def shares(enriched: dict[str, float] | None = None) -> dict[str, tuple[float, ...]]:
-    """Probabilities of the isotopes of each element; ``enriched`` sets the heaviest, and the lightest
-    takes the remainder."""
-    out = {}
-    for e, (_, probs) in ISOTOPES.items():
-        heavy = (enriched or {}).get(e)
-        if heavy is not None:
-            left = 1 - heavy - sum(probs[1:-1])
-            if left < 0:
-                raise ValueError(f"no share is left for the lightest isotope of {e}")
-            probs = (left, *probs[1:-1], heavy)
-        out[e] = probs
-    return out
-
-
-def neutron_mass(atoms: Column, enriched: dict[str, float] | None = None) -> Column:
-    """The mean mass that a heavy isotope adds for each neutron, over the atoms by their enrichment."""
-    p, parts = shares(enriched), []
+def neutron_mass(atoms: Column, chemistry: Chemistry = REGULAR) -> Column:
+    """The mean mass that a heavy isotope adds for each neutron, over the atoms by their abundance: the
+    steps to the first two heavier isotopes of each element."""
+    parts = []
     for e in ELEMENTS:
-        masses, probs = ISOTOPES[e][0], p[e]
-        steps = [(masses[k] - masses[k - 1], probs[k]) for k in range(1, len(masses))]
+        masses, probs = chemistry.isotopes[e]
+        steps = [(masses[k] - masses[k - 1], probs[k]) for k in range(1, min(len(masses), 3))]
         weight = sum(w for _, w in steps)
         if weight:
             parts.append((sum(d * w for d, w in steps) / weight, atoms[e.lower()] * weight))
     return _weighted(parts)
 
 
-def precursor_mass(atoms: Column, element: str = "C", enriched: dict[str, float] | None = None) -> Column:
-    """The mass of the most likely number of neutrons: those of the enriched element and of carbon,
-    rounded (down where nitrogen is enriched), each as heavy as ``neutron_mass``."""
-    p = shares(enriched)
-    many = atoms[element.lower()] * NEUTRONS[element] * p[element][-1]
-    if element != "C":
-        many = many + atoms["c"] * p["C"][-1]
-    return base_mass(atoms) + (F.floor(many) if element == "N" else F.round(many)) * neutron_mass(atoms, enriched)
+def precursor_mass(atoms: Column, chemistry: Chemistry = REGULAR) -> Column:
+    """The mass of the most likely number of neutrons: those of the labelled element and of carbon,
+    rounded (down where nitrogen is labelled), each as heavy as ``neutron_mass``."""
+    e = chemistry.label
+    many = atoms[e.lower()] * NEUTRONS[e] * chemistry.isotopes[e][1][NEUTRONS[e]]
+    if e != "C":
+        many = many + atoms["c"] * chemistry.isotopes["C"][1][1]
+    return base_mass(atoms, chemistry) + (F.floor(many) if e == "N" else F.round(many)) * neutron_mass(atoms, chemistry)
 
 
-def distribution(atoms: dict[str, int], table: dict | None = None, least: float = 1e-6):
+def peptide_mass(peptide: Column, chemistry: Chemistry = REGULAR) -> Column:
+    """The precursor mass of the letters of a peptide and the shift of each of its symbols; null where
+    the configuration does not name a character."""
+    plain, shift = peptide, F.lit(0.0)
+    for r in chemistry.residues:
+        if len(r) == 1 and not r.isalpha():
+            bare = F.replace(peptide, F.lit(r), F.lit(""))
+            plain, shift = F.replace(plain, F.lit(r), F.lit("")), shift + (F.length(peptide) - F.length(bare)) * chemistry.shift(r)
+    return F.when(known(peptide, chemistry), precursor_mass(atom_counts(plain, chemistry), chemistry) + shift)
+
+
+def distribution(atoms: dict[str, int], chemistry: Chemistry = REGULAR, least: float = 1e-6):
     """Masses and probabilities of so many atoms; counts may be negative, which takes atoms away from a
     distribution that has them (see ``apart``)."""
-    table = table or ISOTOPES
-    total = power(*table["C"], 0)
+    table = chemistry.isotopes
+    total = power((0.0,), (1.0,), 0)
     for e, n in atoms.items():
         if n > 0:
             total = convolve_peaks(*total, *power(*table[e], n, least), least)
@@ -137,33 +136,27 @@ def scaled_to_top(probs: Column) -> Column:
     return F.transform(probs, lambda p: p / F.array_max(probs))
 
 
-def averagine(length: int, table: dict | None = None, least: float = 1e-6):
+def averagine(length: int, chemistry: Chemistry = REGULAR, least: float = 1e-6):
     """The distribution of a peptide of mean composition: the mean of the residues' atoms (each letter
-    once), rounded, for every residue, and the water of the ends."""
-    letters = [c for r, c in RESIDUES.items() if r.isalpha() and r != "J"]
-    each = [round(sum(c[k] for c in letters) / len(letters)) for k in range(len(ELEMENTS))]
-    atoms = {e: n * length for e, n in zip(ELEMENTS, each)}
-    atoms["H"] += 2
-    atoms["O"] += 1
-    return distribution(atoms, table, least)
-
-
-def symbol_shift(composition: dict[str, int]) -> float:
-    """What a symbol of such atoms (some may be fewer than none) adds to a mass: the most abundant
-    isotopes, which are the lightest at natural abundance."""
-    return sum(n * ISOTOPES[e][0][max(range(len(ISOTOPES[e][1])), key=ISOTOPES[e][1].__getitem__)] for e, n in composition.items())
-
-
-def symbol_table(config: dict[str, str], prefix: str = "PTM", compositions: dict[str, dict[str, int]] | None = None) -> dict[str, tuple[str, float]]:
-    """From a configuration, symbol -> (residues that it modifies, mass shift): keys such as
-    [Section]PTM{~}, with the residues as their value, one or several times."""
-    import re
-
-    out: dict[str, tuple[str, float]] = {}
-    for key, value in config.items():
-        m = re.search(rf"{re.escape(prefix)}\{{(.)\}}", key)
-        if m:
-            old = out.get(m[1], ("", 0.0))[0]
-            more = "".join(ch for ch in value if ch.isalpha() and ch not in old)
-            out[m[1]] = (old + more, symbol_shift((compositions or {}).get(m[1], {})))
+    once), rounded, for every residue, and both ends."""
+    letters = [chemistry.residues[r] for r in chemistry.letters if r != "J"]
+    ends = [sum(x) for x in zip(chemistry.residues["Nterm"], chemistry.residues["Cterm"])]
+    each = [round(sum(counts) / len(letters)) for counts in zip(*letters)]
+    return distribution({e: n * length + end for e, n, end in zip(ELEMENTS, each, ends)}, chemistry, least)
+
+
+def symbol_table(config: dict[str, str]) -> dict[str, tuple[str, float]]:
+    """From a configuration, symbol -> (residues that it modifies, mass shift): see ``Chemistry.symbols``."""
+    chemistry = Chemistry.from_config(config)
+    return {symbol: (residues, chemistry.shift(symbol)) for symbol, residues in chemistry.symbols(config).items()}
+
+
+def losses(config: dict[str, str]) -> dict[str, str]:
+    """Symbols that are replaced, or removed, for scoring: from keys such as PTM{>to1} and PTM{<to}."""
+    out = {}
+    for key in named(config, "PTM"):
+        if len(key) > 1:
+            if key[1:3] != "to" or len(key) > 4:
+                raise ValueError(f"PTM{{{key}}} is neither a symbol nor a loss")
+            out[key[0]] = key[3:]
     return out

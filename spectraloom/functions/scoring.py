@@ -2,110 +2,108 @@
 
 The kernels work on numpy arrays. ``search`` joins peptides to precursors by mass band, gathers the
 candidates of each (scan, block) and scores a block in one Arrow pass: a spectrum is prepared once
-for all candidates of its block. Blocks are dealt by a hash of the peptide, so no task holds all
-candidates of a scan; the best of a scan are the best among the best of its blocks.
+for all candidates of its block, the first score is taken of all of them at once, and fragments are
+kept by peptide, as one meets many scans. Blocks are dealt by a hash of the peptide, so no task holds
+all candidates of a scan; the best of a scan are the best among the best of its blocks.
+
+What residues and symbols weigh comes from a ``Chemistry``; peptides with characters that it does not
+name match nothing.
 """
 
 from __future__ import annotations
 
-from math import erf, erfc, floor, lgamma, sqrt
+from math import erf, erfc, floor, sqrt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 from pyspark.sql.window import Window
 
-from spectraloom.functions.isotopes import convolve_peaks, power
+from spectraloom.functions.chemistry import REGULAR, Chemistry
+from spectraloom.functions.isotopes import convolve_peaks
 from spectraloom.functions.peptides import PROTON
 from spectraloom.operators.joins import band_join
 
 WATER = 18.0105647
-
-# Elements of each residue (C, H, O, N, S), and isotopes of the elements.
-RESIDUES = {
-    "A": (3, 5, 1, 1, 0), "C": (3, 5, 1, 1, 1), "D": (4, 5, 3, 1, 0), "E": (5, 7, 3, 1, 0),
-    "F": (9, 9, 1, 1, 0), "G": (2, 3, 1, 1, 0), "H": (6, 7, 1, 3, 0), "I": (6, 11, 1, 1, 0),
-    "J": (6, 11, 1, 1, 0), "K": (6, 12, 1, 2, 0), "L": (6, 11, 1, 1, 0), "M": (5, 9, 1, 1, 1),
-    "N": (4, 6, 2, 2, 0), "P": (5, 7, 1, 1, 0), "Q": (5, 8, 2, 2, 0), "R": (6, 12, 1, 4, 0),
-    "S": (3, 5, 2, 1, 0), "T": (4, 7, 2, 1, 0), "V": (5, 9, 1, 1, 0), "W": (11, 10, 1, 2, 0),
-    "Y": (9, 9, 2, 1, 0), "~": (0, 0, 1, 0, 0),
-}
-ISOTOPES = {
-    "C": ((12.0, 13.003355), (0.9893, 0.0107)),
-    "H": ((1.007825, 2.014102), (0.999885, 0.000115)),
-    "O": ((15.994915, 16.999132, 17.999160), (0.99757, 0.00038, 0.00205)),
-    "N": ((14.003074, 15.000109), (0.99632, 0.00368)),
-    "S": ((31.972071, 32.971459, 33.967867), (0.9493, 0.0076, 0.0431)),
-}
-
-
-def residue_distributions(enriched: dict[str, float] | None = None, least: float = 1e-6) -> dict:
-    """Isotope distribution of each residue; ``enriched`` gives the share of an element's heaviest
-    isotope, the remainder going to its lightest."""
-    table = dict(ISOTOPES)
-    for element, share in (enriched or {}).items():
-        masses, probs = table[element]
-        middle = probs[1:-1]
-        if 1 - share - sum(middle) < 0:
-            raise ValueError(f"no share is left for the lightest isotope of {element}")
-        table[element] = (masses, (1 - share - sum(middle), *middle, share))
-    out = {}
-    for residue, counts in RESIDUES.items():
-        total = power(*table["C"], 0)
-        for element, n in zip("CHONS", counts):
-            if n:
-                total = convolve_peaks(*total, *power(*table[element], n, least), least)
-        out[residue] = total
-    out["water"] = convolve_peaks(*power(*table["H"], 2, least), *power(*table["O"], 1, least), least)
-    return out
+#: Isotopic peaks less likely than this are no part of an envelope.
+CUTOFF = 0.01
+#: Peptides whose fragments a task remembers.
+REMEMBER = 20_000
 
 
-def monoisotopic() -> dict[str, float]:
-    light = {e: m[0] for e, (m, _) in ISOTOPES.items()}
-    return {r: sum(light[e] * n for e, n in zip("CHONS", counts)) for r, counts in RESIDUES.items()}
+def monoisotopic(chemistry: Chemistry = REGULAR) -> dict[str, float]:
+    """Mass of each residue and symbol: see ``Chemistry.masses``."""
+    return chemistry.masses()
 
 
 def residues(peptide: str) -> list[str]:
-    """One entry for each residue, with the symbols that follow it."""
-    out: list[str] = []
+    """One entry for each residue, with the symbols that follow it; symbols before the first belong to it."""
+    out, lead = [], ""
     for ch in peptide:
-        if ch.isalpha() or not out:
-            out.append(ch)
-        else:
+        if ch.isalpha():
+            out.append(ch + lead)
+            lead = ""
+        elif out:
             out[-1] += ch
+        else:
+            lead += ch
     return out
 
 
 def prefix_masses(peptide: str, masses: dict[str, float]):
-    """Neutral masses of prefixes and of suffixes with water, each of 1 .. all residues."""
+    """Neutral masses of prefixes and of suffixes with water, each of 1 .. all residues. Characters
+    without a mass are an error."""
     import numpy as np
 
-    each = np.array([sum(masses.get(ch, 0.0) for ch in r) for r in residues(peptide)])
+    each = np.array([sum(masses[ch] for ch in r) for r in residues(peptide)])
     return np.cumsum(each), np.cumsum(each[::-1]) + WATER
 
 
-def envelopes(peptide: str, table: dict, cutoff: float = 0.01):
-    """Isotopic peaks (neutral mass, probability) of the b and of the y ions of 1 .. n - 1 residues."""
-    import numpy as np
+def envelopes(peptide: str, chemistry: Chemistry = REGULAR, cutoff: float = CUTOFF):
+    """Isotopic peaks (neutral mass, probability) of the b and of the y ions of 1 .. n - 1 residues: an
+    end and the residues, of which a b ion gives up a proton and a y ion takes one."""
 
-    def series(parts, start):
+    def series(parts, start, proton):
         out, total = [], start
         for r in parts[:-1]:
-            for ch in r:
-                total = convolve_peaks(*total, *table[ch])
+            total = convolve_peaks(*total, *chemistry.token(r))
             keep = total[1] >= min(cutoff, total[1].max())
-            out.append((total[0][keep], total[1][keep]))
+            out.append((total[0][keep] + proton, total[1][keep]))
         return out
 
-    parts, none = residues(peptide), (np.array([0.0]), np.array([1.0]))
-    return series(parts, none), series(parts[::-1], table["water"])
+    parts = residues(peptide)
+    return series(parts, chemistry.token("Nterm"), -PROTON), series(parts[::-1], chemistry.token("Cterm"), PROTON)
+
+
+def tallest(series, n: int = 2):
+    """Of each ion the ``n`` most likely peaks (the lighter of equals), the likeliest first, as shares of
+    their sum: what the labelled search keeps of a match for its other two scores."""
+
+    def one(mass, prob):
+        at = (-prob).argsort(kind="stable")[:n]
+        return mass[at], prob[at] / prob[at].sum()
+
+    return tuple([one(*ion) for ion in ions] for ions in series)
 
 
 # --- hypergeometric score
 
 
-def log_choose(n: int, k: int) -> float:
-    return lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) if 0 <= k <= n else 0.0
+def log_factorials(n: int):
+    """ln of 0! .. n!"""
+    import numpy as np
+
+    return np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
+
+
+def log_choose(logs, n, k):
+    """ln of n over k, 0 where there is no such choice."""
+    import numpy as np
+
+    n, k = np.broadcast_arrays(n, k)
+    ok = (k >= 0) & (k <= n)
+    n, k = np.where(ok, n, 0), np.where(ok, k, 0)
+    return np.where(ok, logs[n] - logs[k] - logs[n - k], 0.0)
 
 
 def half_up(x: float) -> int:
@@ -140,42 +138,73 @@ def mvh_prepare(mz, intensity, parent_mass, parent_mz, z, parent_tol, classes=3,
     return at, level[::-1][last]
 
 
+def bond_charges(peptide: str, z: int):
+    """The charges of b and y at each of the 0 .. n places between residues: they share those of the
+    precursor by the basicity of what lies on either side."""
+    import numpy as np
+
+    base = [4 if r[0] in "RKH" else 2 if r[0] in "QN" else 0 for r in residues(peptide)]
+    n = len(base)
+    ratio = (np.concatenate([[0], np.cumsum(base)]) + np.arange(n + 1)) / max(sum(base) + n - 2, 1)
+    zb = np.searchsorted(np.arange(1, z - 1) / (z - 1), ratio, "right") + 1
+    return zb, z - zb
+
+
 def mvh_ions(peptide: str, z: int, masses: dict[str, float]):
     """m/z of the predicted ions. Up to charge 2 all are single; above, each bond's charges are
-    shared between its b and y ion by basicity."""
+    shared between its b and y ion."""
     import numpy as np
 
     b, y = prefix_masses(peptide, masses)
     if z <= 2:
         return np.concatenate([b[:-1], y]) + PROTON
-    base = [4 if r[0] in "RKH" else 2 if r[0] in "QN" else 0 for r in residues(peptide)]
-    n = len(base)
-    ratio = (np.concatenate([[0], np.cumsum(base)]) + np.arange(n + 1)) / max(sum(base) + n - 2, 1)
-    steps = np.arange(1, z - 1) / (z - 1)
-    zb = np.searchsorted(steps, ratio, "right") + 1
-    zy = z - zb
+    zb, zy = bond_charges(peptide, z)
     return np.concatenate([b / zb[1:] + PROTON, y[::-1] / zy[:-1] + PROTON])
 
 
-def mvh(ions, peaks, lo: float, hi: float, tol: float, classes: int = 3, least: int = 5) -> float | None:
-    """-ln of the hypergeometric probability of the matches; None with fewer than ``least`` of them."""
+def mvh_envelope_ions(peptide: str, z: int, series, cutoff: float = CUTOFF):
+    """As ``mvh_ions`` over the isotopic peaks of the b and y ions of 1 .. n - 1 residues."""
+    import numpy as np
+
+    n = len(series[0])
+    zb, zy = bond_charges(peptide, z) if z > 2 else (np.ones(n + 2, int),) * 2
+    out = [mass[prob >= cutoff] / zb[k] + PROTON for k, (mass, prob) in enumerate(series[0], 1)]
+    out += [mass[prob >= cutoff] / zy[n + 1 - k] + PROTON for k, (mass, prob) in enumerate(series[1], 1)]
+    return np.concatenate(out) if out else np.zeros(0)
+
+
+def mvh_block(ions: list, peaks, lo: float, hi: float, tol: float, classes: int = 3, least: int = 5, logs=None):
+    """-ln of the hypergeometric probability of each candidate's matches, from the predicted ions of
+    each; nan with fewer than ``least`` matches."""
     import numpy as np
 
     mz, level = peaks
-    ions = ions[(ions >= lo) & (ions <= hi)]
+    out = np.full(len(ions), np.nan)
     if not len(ions) or not len(mz):
-        return None
+        return out
+    owner, ions = np.repeat(np.arange(len(ions)), [len(x) for x in ions]), np.concatenate(ions)
+    inside = (ions >= lo) & (ions <= hi)
+    owner, ions = owner[inside], ions[inside]
     right = np.clip(np.searchsorted(mz, ions), 0, len(mz) - 1)
     left = np.maximum(right - 1, 0)
     near = np.where(np.abs(mz[left] - ions) <= np.abs(mz[right] - ions), left, right)
     hit = np.where(np.abs(mz[near] - ions) < tol, level[near], 0)
-    matched = np.bincount(hit, minlength=classes + 1)
-    if matched[1:].sum() < least:
-        return None
+    matched = np.bincount(owner * (classes + 1) + hit, minlength=len(out) * (classes + 1)).reshape(len(out), -1)
     bins, have = half_up((hi - lo) / (2 * tol)), np.bincount(level, minlength=classes + 1)
-    total = log_choose(bins - len(mz), int(matched[0]))
-    total += sum(log_choose(int(have[i]), int(matched[i])) for i in range(1, classes + 1))
-    return log_choose(bins, len(ions)) - total
+    if logs is None or len(logs) <= max(bins, len(mz)):
+        logs = log_factorials(max(bins, len(mz)))
+    total = log_choose(logs, bins - len(mz), matched[:, 0])
+    for i in range(1, classes + 1):
+        total = total + log_choose(logs, have[i], matched[:, i])
+    enough = matched[:, 1:].sum(axis=1) >= least
+    out[enough] = (log_choose(logs, bins, matched.sum(axis=1)) - total)[enough]
+    return out
+
+
+def mvh(ions, peaks, lo: float, hi: float, tol: float, classes: int = 3, least: int = 5) -> float | None:
+    """The score of one candidate; None with fewer than ``least`` matches."""
+    got = float(mvh_block([ions], peaks, lo, hi, tol, classes, least)[0])
+    return None if got != got else got
 
 
 # --- cross correlation
@@ -228,6 +257,7 @@ def xcorr_envelopes(series, z: int, prepared, high: bool = True) -> float:
 
     weight = np.zeros(len(prepared))
     for mass, prob in series[0] + series[1]:
+        mass, prob = mass[prob >= CUTOFF], prob[prob >= CUTOFF]
         for k in range(1, max(1, z - 1) + 1):
             bins = xcorr_bin(mass / k + PROTON, high)
             ok = bins < len(weight)
@@ -295,42 +325,79 @@ def match_labelled(mass, prob, z, mz, intensity, charge, tol):
     return (float(total / part), weight) if weight > 0 else None
 
 
-def wdp(series, z: int, mz, intensity, charge, tol: float, labelled: bool = False) -> float:
+def wdp(series, z: int, mz, intensity, charge, tol: float, labelled: bool = False, tops=None) -> float:
     """Sum over found ions of error score x weight, doubled where b and y of one bond are both found.
-    ``labelled`` measures errors from their mean."""
+    ``labelled`` measures errors from their mean. tops: ``apexes(series)``, if at hand."""
+    import numpy as np
+
     match = match_labelled if labelled else match_regular
-    found = []
-    for kind, ions in enumerate(series):
-        for n, (mass, prob) in enumerate(ions, 1):
-            for k in range(1, min(2, z) + 1):
-                got = match(mass, prob, k, mz, intensity, charge, tol)
-                if got:
-                    found.append((kind, n, *got))
-    length, have = len(series[0]) + 1, {(kind, n) for kind, n, _, _ in found}
+    tops, found = apexes(series) if tops is None else tops, []
+    charges = range(1, min(2, z) + 1)
+    want = np.concatenate([tops / k + PROTON for k in charges])
+    hits = np.flatnonzero(np.searchsorted(mz, want + tol) > np.searchsorted(mz, want - tol))
+    length, many = len(series[0]) + 1, len(tops)
+    for at in hits.tolist():
+        k, at = divmod(at, many)
+        kind, n = divmod(at, length - 1)
+        got = match(*series[kind][n], k + 1, mz, intensity, charge, tol)
+        if got:
+            found.append((kind, n + 1, *got))
+    have = {(kind, n) for kind, n, _, _ in found}
     centre = sum(f[2] for f in found) / len(found) if labelled and found else 0.0
     return sum(score_error(e - centre, tol) * w * (2 if (1 - kind, length - n) in have else 1) for kind, n, e, w in found)
 
 
+def apexes(series):
+    """The mass of the likeliest peak of each ion, of b and then of y."""
+    import numpy as np
+
+    return np.array([mass[prob.argmax()] for ions in series for mass, prob in ions])
+
+
 # --- the search
 
 SCORED = "run string, scan long, z int, parent_mass double, peptide string, mvh double, xcorr double, wdp double"
 
 
-def score_blocks(blocks: DataFrame, tol: float, parent_tol: float, enriched=None, keep: int | None = None) -> DataFrame:
+class Fragments:
+    """Fragments by peptide, forgotten when there are too many."""
+
+    def __init__(self, chemistry: Chemistry):
+        self.chemistry, self.masses, self.envelopes, self.ions = chemistry, chemistry.masses(), {}, {}
+
+    def envelope(self, peptide: str):
+        if len(self.envelopes) > REMEMBER // 10:
+            self.envelopes.clear()
+        if peptide not in self.envelopes:
+            series = envelopes(peptide, self.chemistry)
+            self.envelopes[peptide] = series, apexes(series)
+        return self.envelopes[peptide]
+
+    def predicted(self, peptide: str, z: int):
+        if len(self.ions) > REMEMBER:
+            self.ions.clear()
+        key = peptide, max(z, 2)
+        if key not in self.ions:
+            self.ions[key] = mvh_ions(peptide, z, self.masses)
+        return self.ions[key]
+
+
+def score_blocks(blocks: DataFrame, tol: float, parent_tol: float, chemistry: Chemistry = REGULAR, labelled: bool = False, keep: int | None = None) -> DataFrame:
     """blocks: run, scan, z, parent_mass, parent_mz, lo, hi (m/z bounds of the run), mz / intensity /
     charge arrays, peptides array. Regular: the ``keep`` (50) best by MVH get the other scores and a zero
-    score drops the match; with ``enriched`` the 10 best by WDP."""
+    score drops the match; labelled: the 10 best by WDP, whose other scores see the two tallest peaks of
+    each ion."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind: StructType = _parse_datatype_string(SCORED)
     schema = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in kind.fields])
-    keep = keep or (10 if enriched else 50)
+    keep = keep or (10 if labelled else 50)
 
     def run(batches):
         import numpy as np
 
-        masses, table = monoisotopic(), residue_distributions(enriched)
+        fragments, logs = Fragments(chemistry), log_factorials(200_000)
 
         def block(name, scan, z, parent, parent_mz, lo, hi, mz, intensity, charge, names):
             mz, intensity, charge = (np.array(x, float) for x in (mz, intensity, charge))
@@ -338,26 +405,27 @@ def score_blocks(blocks: DataFrame, tol: float, parent_tol: float, enriched=None
             mz, intensity, charge = mz[order], intensity[order], charge[order]
             peaks = mvh_prepare(mz, intensity, parent, parent_mz, z, parent_tol)
             cross = xcorr_prepare(mz, intensity, parent)
-            names = sorted(set(names))
-
-            def first(p):
-                if enriched:
-                    return wdp(envelopes(p, table), z, mz, intensity, charge, tol, True)
-                return (mvh(mvh_ions(p, z, masses), peaks, lo, hi, tol) if peaks else None) or 0.0
-
-            best = sorted(((-first(p), p) for p in names))[:keep]
+            names = sorted({p for p in names if fragments.chemistry.knows(p)})
+
+            def hypergeometric(ions):
+                return np.nan_to_num(mvh_block(ions, peaks, lo, hi, tol, logs=logs), nan=0.0) if peaks else np.zeros(len(ions))
+
+            def spectral(p):
+                series, tops = fragments.envelope(p)
+                return wdp(series, z, mz, intensity, charge, tol, labelled, tops)
+
+            first = [spectral(p) for p in names] if labelled else hypergeometric([fragments.predicted(p, z) for p in names]).tolist()
+            best = sorted((-score, p) for score, p in zip(first, names))[:keep]
+            if labelled:
+                tops = [tallest(fragments.envelope(p)[0]) for _, p in best]
+                second = hypergeometric([mvh_envelope_ions(p, z, t) for (_, p), t in zip(best, tops)])
+                for (minus, p), t, score in zip(best, tops, second.tolist()):
+                    yield (name, scan, z, parent, p, score, xcorr_envelopes(t, z, cross), -minus)
+                return
             for minus, p in best:
-                if not enriched and not minus:
-                    continue
-                series = envelopes(p, table)
-                if enriched:
-                    ions = np.concatenate([m + PROTON for m, _ in series[0] + series[1]])
-                    row = ((mvh(ions, peaks, lo, hi, tol) if peaks else None) or 0.0, xcorr_envelopes(series, z, cross), -minus)
-                else:
-                    row = (-minus, xcorr(p, z, cross, masses), wdp(series, z, mz, intensity, charge, tol))
-                    if 0.0 in row:
-                        continue
-                yield (name, scan, z, parent, p, *row)
+                row = (-minus, xcorr(p, z, cross, fragments.masses), spectral(p)) if minus else (0.0,)
+                if 0.0 not in row:
+                    yield (name, scan, z, parent, p, *row)
 
         for batch in batches:
             for at in range(batch.num_rows):
@@ -368,24 +436,28 @@ def score_blocks(blocks: DataFrame, tol: float, parent_tol: float, enriched=None
     return blocks.select("run", "scan", "z", "parent_mass", "parent_mz", "lo", "hi", "mz", "intensity", "charge", "peptides").mapInArrow(run, kind)
 
 
-def search(scans: DataFrame, peptides: DataFrame, windows, tol: float = 0.01, parent_tol: float = 0.05, block: int = 2000, enriched=None, keep: int | None = None, run: str | None = None) -> DataFrame:
+def search(scans: DataFrame, peptides: DataFrame, windows, tol: float = 0.01, parent_tol: float = 0.05, block: int = 2000, chemistry: Chemistry = REGULAR, labelled: bool = False, keep: int | None = None, run: str | None = None) -> DataFrame:
     """scans: scan, z, parent_mz, peaks (mz, intensity, z) and, if named, the run (file) that scans are
-    numbered in and that m/z bounds hold for; peptides: peptide, mass. The matches of each (run, scan, z)
-    with three scores and their ranks, those with any rank up to 10. Scans without peaks or m/z, and
-    peptides without mass, match nothing; repeated peptides count once. The candidates of a scan are
-    counted and dealt to blocks of about ``block``, so no list grows with the database."""
-    keep, own = keep or (10 if enriched else 50), ["run", "scan", "z"]
+    numbered in and that m/z bounds hold for; peptides: peptide, mass. The matches of each (run, scan) over
+    all of its precursors, with three scores and their ranks, those with any rank up to 10. Scans without
+    peaks or m/z, and peptides without mass or with unknown characters, match nothing; repeated peptides
+    count once. The candidates of a scan are counted and dealt to blocks of about ``block``, so no list
+    grows with the database."""
+    keep, own = keep or (10 if labelled else 50), ["run", "scan", "z"]
     s = scans.withColumn("run", F.col(run).cast("string") if run else F.lit(""))
     s = s.where(F.col("parent_mz").isNotNull() & (F.size("peaks") > 0)).withColumn("parent_mass", F.col("parent_mz") * F.col("z") - F.col("z") * PROTON)
     ends = s.groupBy("run").agg(F.min(F.array_min("peaks.mz")).alias("lo"), F.max(F.array_max("peaks.mz")).alias("hi"))
-    pairs = band_join(peptides.select("peptide", "mass"), s.select(*own, "parent_mass"), "mass", "parent_mass", windows).select(*own, "peptide").distinct()
+    pairs = band_join(peptides.select("peptide", "mass"), s.select(*own, "parent_mz", "parent_mass"), "mass", "parent_mass", windows).select(*own, "parent_mz", "peptide").distinct()
+    own = [*own, "parent_mz"]
     counts = pairs.groupBy(*own).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
     dealt = pairs.join(counts, own).withColumn("block", F.pmod(F.xxhash64("peptide"), F.col("blocks")))
     grouped = dealt.groupBy(*own, "block").agg(F.collect_list("peptide").alias("peptides"))
-    spectra = s.join(ends, "run").select(*own, "parent_mass", "parent_mz", "lo", "hi", F.col("peaks.mz").alias("mz"), F.col("peaks.intensity").alias("intensity"), F.col("peaks.z").alias("charge"))
-    scored = score_blocks(grouped.join(spectra, own), tol, parent_tol, enriched, keep)
-    by = lambda c: Window.partitionBy(*own).orderBy(F.desc(c), "peptide")
-    best = scored.withColumn("_n", F.row_number().over(by("wdp" if enriched else "mvh"))).where(F.col("_n") <= keep).drop("_n")
+    spectra = s.join(ends, "run").select(*own, "parent_mass", "lo", "hi", F.col("peaks.mz").alias("mz"), F.col("peaks.intensity").alias("intensity"), F.col("peaks.z").alias("charge"))
+    # dealt by block and in a stated number of partitions: few bytes would be joined to one task, and they are slow to score
+    parts = int(scans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    scored = score_blocks(grouped.join(spectra, own).repartition(parts, *own, "block"), tol, parent_tol, chemistry, labelled, keep)
+    by = lambda c: Window.partitionBy("run", "scan").orderBy(F.desc(c), "peptide", "z", "parent_mass")
+    best = scored.withColumn("_n", F.row_number().over(by("wdp" if labelled else "mvh"))).where(F.col("_n") <= keep).drop("_n")
     for score in ("mvh", "xcorr", "wdp"):
         best = best.withColumn(f"rank_{score}", F.row_number().over(by(score)))
     best = best.where(F.least("rank_mvh", "rank_xcorr", "rank_wdp") <= 10)

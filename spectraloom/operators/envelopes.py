@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 from pyspark.sql.window import Window
 
-from spectraloom.functions.elements import ELEMENTS, NEUTRONS
+from spectraloom.functions.chemistry import ELEMENTS, NEUTRONS, REGULAR, Chemistry
 from spectraloom.functions.peptides import NEUTRON, PROTON
-from spectraloom.functions.scoring import ISOTOPES, RESIDUES
 
 STEPS, SIDE, TOLERANCE = 3, 20, 0.01
 
@@ -50,40 +49,39 @@ def envelope(mz, intensity, at: float) -> tuple[int, int]:
     return lo, hi
 
 
-def enrichment(peptide: str, mz, intensity, z: int, element: str = "C", spacing: float = NEUTRON) -> float:
-    """Per cent of an element's atoms that are heavy: the mean number of neutrons over the peptide's
-    lightest mass, by intensity, over the atoms that could have them. 0 without peaks."""
+def enrichment(peptide: str, mz, intensity, z: int, chemistry: Chemistry = REGULAR) -> float:
+    """Per cent of the labelled element's atoms that are heavy: the mean number of neutrons over the
+    peptide's lightest mass, by intensity, over the atoms that could have them. 0 without peaks, and for
+    peptides with characters that the configuration does not name."""
     import numpy as np
 
-    counts = dict.fromkeys(ELEMENTS, 0)
-    for ch in peptide:
-        for e, n in zip(ELEMENTS, RESIDUES.get(ch, (0,) * 5)):
-            counts[e] += n
-    counts["H"] += 2
-    counts["O"] += 1
-    base = sum(ISOTOPES[e][0][0] * n for e, n in counts.items()) / z + PROTON
+    if not chemistry.knows(peptide):
+        return 0.0
+    counts = dict(zip(ELEMENTS, chemistry.atoms(peptide)))
+    base = sum(chemistry.isotopes[e][0][0] * n for e, n in counts.items()) / z + PROTON
     used = np.asarray(mz) > base - 0.5 / z
-    if not used.any() or not counts[element]:
+    if not used.any() or not counts[chemistry.label]:
         return 0.0
-    first = int(np.floor((np.asarray(mz)[used][0] - base) / spacing * z + 0.5))
+    first = int(np.floor((np.asarray(mz)[used][0] - base) / chemistry.spacing * z + 0.5))
     height = np.asarray(intensity)[used]
     mean = float((height * (np.arange(len(height)) + first)).sum() / height.sum())
-    return mean / (counts[element] * NEUTRONS[element]) * 100
+    return mean / (counts[chemistry.label] * NEUTRONS[chemistry.label]) * 100
 
 
-FOUND = "key long, step int, ms1_scan int, precursor_intensity double, isotopic_peaks array<struct<mz:double,intensity:double,z:int>>, ms1_abundance double"
+FOUND = "key string, step int, ms1_scan int, precursor_intensity double, isotopic_peaks array<struct<mz:double,intensity:double,z:int>>, ms1_abundance double"
 
 
-def precursor_envelopes(matches: DataFrame, surveys: DataFrame, key: str, element: str = "C", spacing: float = NEUTRON) -> DataFrame:
-    """matches (key: a unique long, file, parent_scan, charge, observed_mass, calculated_mass, naked) with
+def precursor_envelopes(matches: DataFrame, surveys: DataFrame, key: str, chemistry: Chemistry = REGULAR) -> DataFrame:
+    """matches (key: unique, file, parent_scan, charge, observed_mass, calculated_mass, naked) with
     ms1_scan, precursor_intensity, isotopic_peaks and ms1_abundance from surveys (file, scan, peaks).
 
-    The peak of the observed mass is the highest within 0.01 / charge. Matches without one in any of
-    the scans, without a parent scan, or with a null charge or mass, have no peaks, intensity 0 and
-    abundance 0. Survey scans of a file must have different numbers."""
+    The peak of the observed mass is the highest within 0.01 / charge; the precursor's intensity is the
+    sum over its isotopic peaks, those of the envelope. Matches without one in any of the scans, without a
+    parent scan, or with a null charge or mass, have no peaks, intensity 0 and abundance 0. Survey scans
+    of a file must have different numbers."""
     order = F.row_number().over(Window.partitionBy("file").orderBy("scan"))
     numbers = surveys.select("file", "scan").withColumn("_at", order)
-    asked = matches.select(F.col(key).alias("key"), "file", F.col("parent_scan").alias("scan"), "charge", "observed_mass", "calculated_mass", "naked").where("charge > 0 AND observed_mass IS NOT NULL")
+    asked = matches.select(F.col(key).cast("string").alias("key"), "file", F.col("parent_scan").alias("scan"), "charge", "observed_mass", "calculated_mass", "naked").where("charge > 0 AND observed_mass IS NOT NULL")
     asked = asked.join(numbers, ["file", "scan"]).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1)))).withColumn("_at", F.col("_at") - F.col("step"))
     by_scan = asked.groupBy("file", "_at").agg(F.collect_list(F.struct("key", "step", "charge", "observed_mass", "calculated_mass", "naked")).alias("asked"))
     ready = by_scan.join(numbers, ["file", "_at"]).join(surveys.select("file", "scan", "peaks"), ["file", "scan"]).select("scan", "peaks", "asked")
@@ -109,19 +107,20 @@ def precursor_envelopes(matches: DataFrame, surveys: DataFrame, key: str, elemen
                     if hi <= lo:
                         continue
                     apex = int(lo + height[lo:hi].argmax())
-                    found = ladder(mz, height, apex, z, spacing=spacing)
+                    found = ladder(mz, height, apex, z, spacing=chemistry.spacing)
                     if len(found) > 2:
                         target = (w["calculated_mass"] or w["observed_mass"]) / z + PROTON
                         a, b = envelope(mz[found], height[found], target)
                         found = found[a:b]
                     listed = [{"mz": float(mz[k]), "intensity": float(height[k]), "z": int(charges[k])} for k in found]
-                    rows.append((w["key"], w["step"], scan, float(height[apex]), listed, enrichment(w["naked"] or "", mz[found], height[found], z, element, spacing)))
+                    rows.append((w["key"], w["step"], scan, float(height[found].sum()), listed, enrichment(w["naked"] or "", mz[found], height[found], z, chemistry)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
 
-    found = ready.mapInArrow(run, kind)
+    parts = int(matches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = ready.repartition(parts, "scan").mapInArrow(run, kind)
     rest = F.struct("ms1_scan", "precursor_intensity", "isotopic_peaks", "ms1_abundance")
-    best = found.groupBy("key").agg(F.min_by(rest, "step").alias("_b")).select(F.col("key").alias(key), "_b.*")
-    out = matches.join(best, key, "left")
+    best = found.groupBy("key").agg(F.min_by(rest, "step").alias("_b")).select(F.col("key").alias("_k"), "_b.*")
+    out = matches.join(best, F.col(key).cast("string") == F.col("_k"), "left").drop("_k")
     none = F.array().cast("array<struct<mz:double,intensity:double,z:int>>")
     return out.withColumns({"isotopic_peaks": F.coalesce("isotopic_peaks", none), "precursor_intensity": F.coalesce("precursor_intensity", F.lit(0.0)), "ms1_abundance": F.coalesce("ms1_abundance", F.lit(0.0))})

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectraloom.functions import elements, isotopes, peptides, scoring, variants
+from spectraloom.functions import chemistry, elements, isotopes, peptides, scoring, variants
 from spectraloom.operators import envelopes, joins, merging, proteins, ranking, reports, rescoring
-from spectraloom.sources import sinks
+from spectraloom.sources import readers, sinks
 
 QUERIES = {}
 SQL = {}
@@ -321,33 +321,85 @@ def as_peptides(spark, sf_dir: str) -> DataFrame:
 PEPTIDE = "regexp_replace(upper(p_name), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g')"
 
 
-def _atoms_sql() -> str:
-    """Atoms of ``peptide`` by the table of residues, the SQL of a count for each letter."""
-    out = []
-    for k, e in enumerate(elements.ELEMENTS):
-        parts = [f"{n[k]} * (length(peptide) - length(replace(peptide, '{r}', '')))" for r, n in scoring.RESIDUES.items() if r.isalpha() and n[k]]
-        out.append(f"CAST({' + '.join(parts)} + {dict(H=2, O=1).get(e, 0)} AS INTEGER) AS {e.lower()}")
-    return ", ".join(out)
+# Residues and ends by C, H, O, N, P, S, as SQL has them.
+RESIDUES_SQL = """r(aa, c, h, o, n, p, s) AS (VALUES ('A', 3, 5, 1, 1, 0, 0), ('C', 5, 8, 2, 2, 0, 1), ('D', 4, 5, 3, 1, 0, 0), ('E', 5, 7, 3, 1, 0, 0),
+  ('F', 9, 9, 1, 1, 0, 0), ('G', 2, 3, 1, 1, 0, 0), ('H', 6, 7, 1, 3, 0, 0), ('I', 6, 11, 1, 1, 0, 0), ('K', 6, 12, 1, 2, 0, 0), ('L', 6, 11, 1, 1, 0, 0),
+  ('M', 5, 9, 1, 1, 0, 1), ('N', 4, 6, 2, 2, 0, 0), ('P', 5, 7, 1, 1, 0, 0), ('Q', 5, 8, 2, 2, 0, 0), ('R', 6, 12, 1, 4, 0, 0), ('S', 3, 5, 2, 1, 0, 0),
+  ('T', 4, 7, 2, 1, 0, 0), ('V', 5, 9, 1, 1, 0, 0), ('W', 11, 10, 1, 2, 0, 0), ('Y', 9, 9, 2, 1, 0, 0), ('', 0, 2, 1, 0, 0, 0))"""
+ATOMS_SQL = "CAST(sum(c) AS INTEGER) AS c, CAST(sum(h) AS INTEGER) AS h, CAST(sum(o) AS INTEGER) AS o, CAST(sum(n) AS INTEGER) AS n, CAST(sum(p) AS INTEGER) AS p, CAST(sum(s) AS INTEGER) AS s"
+LIGHT_SQL = "(c * 12.0::DOUBLE + h * 1.007825::DOUBLE + o * 15.994915::DOUBLE + n * 14.003074::DOUBLE + p * 30.973762::DOUBLE + s * 31.972071::DOUBLE)"
+
+
+@query(f"""WITH {RESIDUES_SQL}, a AS (SELECT p_partkey, {ATOMS_SQL} FROM (SELECT p_partkey, unnest(list_append(string_split({PEPTIDE}, ''), '')) AS aa FROM part) JOIN r USING (aa) GROUP BY 1),
+w AS (SELECT *, {LIGHT_SQL} AS light,
+  c * 0.0107::DOUBLE AS wc, h * 0.000115::DOUBLE AS wh, o * (0.00038::DOUBLE + 0.00205::DOUBLE) AS wo, n * 0.5::DOUBLE AS wn, s * (0.0076::DOUBLE + 0.0429::DOUBLE) AS ws FROM a),
+m AS (SELECT *, (wc * (13.003355::DOUBLE - 12) + wh * (2.014102::DOUBLE - 1.007825::DOUBLE)
+    + wo * (((16.999132::DOUBLE - 15.994915::DOUBLE) * 0.00038::DOUBLE + (17.999160::DOUBLE - 16.999132::DOUBLE) * 0.00205::DOUBLE) / (0.00038::DOUBLE + 0.00205::DOUBLE))
+    + wn * (15.000109::DOUBLE - 14.003074::DOUBLE)
+    + ws * (((32.971459::DOUBLE - 31.972071::DOUBLE) * 0.0076::DOUBLE + (33.967867::DOUBLE - 32.971459::DOUBLE) * 0.0429::DOUBLE) / (0.0076::DOUBLE + 0.0429::DOUBLE)))
+  / (wc + wh + wo + wn + ws) AS neutron FROM w)
+SELECT p_partkey, c, h, o, n, p, s, round(light, 4) AS lightest, round(light + floor(n * 0.5::DOUBLE + c * 0.0107::DOUBLE) * neutron, 4) AS enriched FROM m""")
+def precursor_masses(spark, sf_dir):
+    """Atoms of each peptide, its lightest mass and the one at half of the nitrogen enriched."""
+    half = chemistry.REGULAR.labelled("N", 0.5)
+    p = as_peptides(spark, sf_dir).withColumn("a", elements.atom_counts(c("peptide"), half))
+    masses = F.round(elements.base_mass(c("a"), half), 4).alias("lightest"), F.round(elements.precursor_mass(c("a"), half), 4).alias("enriched")
+    return p.select("p_partkey", "a.*", *masses)
 
 
-def _mass_sql() -> str:
-    light = " + ".join(f"{e.lower()} * {scoring.ISOTOPES[e][0][0]}::DOUBLE" for e in elements.ELEMENTS)
-    shares, over, under = elements.shares({"N": 0.5}), [], []
-    for e in elements.ELEMENTS:
-        masses, probs = scoring.ISOTOPES[e][0], shares[e]
-        steps = [(masses[k] - masses[k - 1], probs[k]) for k in range(1, len(masses))]
-        weight = sum(w for _, w in steps)
-        over.append(f"{e.lower()} * {weight}::DOUBLE * {sum(d * w for d, w in steps) / weight}::DOUBLE")
-        under.append(f"{e.lower()} * {weight}::DOUBLE")
-    return f"round({light}, 4) AS lightest, round({light} + floor(n * 0.5::DOUBLE + c * {shares['C'][-1]}::DOUBLE) * (({' + '.join(over)}) / ({' + '.join(under)})), 4) AS enriched"
+# A configuration of a labelled search. Element P is the carbon of the blocking agent,
+# which stays at natural abundance; carbon is half heavy.
+LABELLED_CONFIG = """
+[Peptide_Identification]
+PTM{~} = M   # oxidation
+PTM{!} = NQ  # deamidation
+PTM{@} = STY # phosphorylation, by its own element
+Element_List = C, H, O, N, P, S, Z
+Residue{Nterm} = 0, 1, 0, 0, 0, 0, 0
+Residue{Cterm} = 0, 1, 1, 0, 0, 0, 0
+Residue{A} = 3, 5, 1, 1, 0, 0, 0
+Residue{C} = 3, 8, 2, 2, 2, 1, 0
+Residue{K} = 6, 12, 1, 2, 0, 0, 0
+Residue{M} = 5, 9, 1, 1, 0, 1, 0
+Residue{N} = 4, 6, 2, 2, 0, 0, 0
+Residue{R} = 6, 12, 1, 4, 0, 0, 0
+Residue{S} = 3, 5, 2, 1, 0, 0, 0
+Residue{~} = 0, 0, 1, 0, 0, 0, 0,
+Residue{!} = 0, -1, 1, -1, 0, 0, 0,
+Residue{@} = 0, 1, 3, 0, 0, 0, 1,
+Element_Masses{C} = 12.000000, 13.003355
+Element_Percent{C} = 0.5, 0.5
+Element_Masses{H} = 1.007825, 2.014102
+Element_Percent{H} = 0.999885, 0.000115
+Element_Masses{O} = 15.994915, 16.999132, 17.999160
+Element_Percent{O} = 0.99757, 0.00038, 0.00205
+Element_Masses{N} = 14.003074, 15.000109
+Element_Percent{N} = 0.99632, 0.00368
+Element_Masses{P} = 12.000000, 13.003355
+Element_Percent{P} = 0.9893, 0.0107
+Element_Masses{S} = 31.972071, 32.971459, 33.967867, 34.967867, 35.967081
+Element_Percent{S} = 0.9493, 0.0076, 0.0429, 0.0000, 0.0002
+Element_Masses{Z} = 30.973762
+Element_Percent{Z} = 1.0
+[Stable_Isotope_Probing]
+SIP_Element = C
+"""
 
 
-@query(f"WITH p AS (SELECT p_partkey, {PEPTIDE} AS peptide FROM part), a AS (SELECT p_partkey, {_atoms_sql()} FROM p) SELECT *, {_mass_sql()} FROM a")
-def precursor_masses(spark, sf_dir):
-    """Atoms of each peptide, its lightest mass and the one at half of the nitrogen enriched."""
-    p = as_peptides(spark, sf_dir).withColumn("a", elements.atom_counts(c("peptide")))
-    masses = F.round(elements.base_mass(c("a")), 4).alias("lightest"), F.round(elements.precursor_mass(c("a"), "N", {"N": 0.5}), 4).alias("enriched")
-    return p.select("p_partkey", "a.*", *masses)
+@query("""WITH f AS (SELECT p_partkey, regexp_replace(upper(p_name), '[^ACKMNRS]', '', 'g') AS s FROM part),
+a AS (SELECT p_partkey, s, replace(replace(s, 'M', 'M~'), 'N', 'N!') AS peptide, length(s) - length(replace(s, 'A', '')) AS a, length(s) - length(replace(s, 'C', '')) AS cy, length(s) - length(replace(s, 'K', '')) AS k,
+  length(s) - length(replace(s, 'M', '')) AS m, length(s) - length(replace(s, 'N', '')) AS n, length(s) - length(replace(s, 'R', '')) AS r, length(s) - length(replace(s, 'S', '')) AS e FROM f),
+t AS (SELECT *, 3*a + 3*cy + 6*k + 5*m + 4*n + 6*r + 3*e AS xc, 5*a + 8*cy + 12*k + 9*m + 6*n + 12*r + 5*e + 2 AS xh, a + 2*cy + k + m + 2*n + r + 2*e + 1 AS xo, a + 2*cy + 2*k + m + 2*n + 4*r + e AS xn, 2*cy AS xp, cy + m AS xs FROM a),
+w AS (SELECT *, xc * 12.0::DOUBLE + xh * 1.007825::DOUBLE + xo * 15.994915::DOUBLE + xn * 14.003074::DOUBLE + xp * 12.0::DOUBLE + xs * 31.972071::DOUBLE AS light,
+  xc * 0.5::DOUBLE * 1.003355::DOUBLE + xh * 0.000115::DOUBLE * 1.006277::DOUBLE + xo * (0.00038::DOUBLE * 1.004217::DOUBLE + 0.00205::DOUBLE * 1.000028::DOUBLE) + xn * 0.00368::DOUBLE * 0.997035::DOUBLE + xp * 0.0107::DOUBLE * 1.003355::DOUBLE + xs * (0.0076::DOUBLE * 0.999388::DOUBLE + 0.0429::DOUBLE * 0.996408::DOUBLE) AS heavy,
+  xc * 0.5::DOUBLE + xh * 0.000115::DOUBLE + xo * 0.00243::DOUBLE + xn * 0.00368::DOUBLE + xp * 0.0107::DOUBLE + xs * 0.0505::DOUBLE AS weight FROM t)
+SELECT p_partkey, peptide, round(light + round(xc * 0.5::DOUBLE) * heavy / weight + m * 15.994915::DOUBLE + n * (15.994915::DOUBLE - 1.007825::DOUBLE - 14.003074::DOUBLE), 3) AS mass FROM w""")
+def configured_masses(spark, sf_dir):
+    """Masses of modified peptides by a configuration whose cysteine carries unlabelled carbon."""
+    found = chemistry.Chemistry.from_config(readers.config(LABELLED_CONFIG))
+    plain = peptides.clean(F.upper("p_name"), "ACKMNRS")
+    marked = F.replace(F.replace(plain, F.lit("M"), F.lit("M~")), F.lit("N"), F.lit("N!"))
+    return read(spark, sf_dir, "part").select("p_partkey", marked.alias("peptide")).select("*", F.round(elements.peptide_mass(c("peptide"), found), 3).alias("mass"))
 
 
 @query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)) + 0.001) AS p, list_transform(range(len(embedding)), lambda i: 100 + i * 1.003355::DOUBLE) AS m FROM embeddings)
