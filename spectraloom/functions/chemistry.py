@@ -157,14 +157,14 @@ class Chemistry:
         return self.shift("Nterm") + self.shift("Cterm")
 
     def symbols(self, config: dict[str, str]) -> dict[str, str]:
-        """Symbol -> residues that it may modify, from keys such as PTM{~} (keys of several characters are
-        losses: see ``losses``). A symbol without a composition is an error."""
+        """Symbol -> residues (or ends, [ and ]) that it may modify, from keys such as PTM{~}; keys of several
+        characters are losses (``elements.losses``). A symbol without a composition is an error."""
         out = {}
         for key, value in named(config, "PTM").items():
             if len(key) == 1:
                 if key not in self.residues:
                     raise ValueError(f"the configuration has no composition for symbol {key}")
-                out[key] = "".join(dict.fromkeys(ch for ch in value if ch.isalpha()))
+                out[key] = "".join(dict.fromkeys(ch for ch in value if ch.isalpha() or ch in "[]"))
         return out
 
 

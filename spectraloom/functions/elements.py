@@ -72,14 +72,36 @@ def precursor_mass(atoms: Column, chemistry: Chemistry = REGULAR) -> Column:
 
 
 def peptide_mass(peptide: Column, chemistry: Chemistry = REGULAR) -> Column:
-    """The precursor mass of the letters of a peptide and the shift of each of its symbols; null where
-    the configuration does not name a character."""
-    plain, shift = peptide, F.lit(0.0)
-    for r in chemistry.residues:
-        if len(r) == 1 and not r.isalpha():
-            bare = F.replace(peptide, F.lit(r), F.lit(""))
-            plain, shift = F.replace(plain, F.lit(r), F.lit("")), shift + (F.length(peptide) - F.length(bare)) * chemistry.shift(r)
-    return F.when(known(peptide, chemistry), precursor_mass(atom_counts(plain, chemistry), chemistry) + shift)
+    """As ``precursor_mass`` of the letters of a peptide, and the shift of each of its symbols; null where
+    the configuration does not name a character. What masses, neutrons and their weights sum to is
+    looked up by character, in one pass."""
+    e = chemistry.label
+    steps = {x: [(m[k] - m[k - 1], p[k]) for k in range(1, min(len(m), 3))] for x, (m, p) in chemistry.isotopes.items()}
+    share = {x: chemistry.isotopes[x][1][1] if x == "C" else 0.0 for x in ELEMENTS} | {e: NEUTRONS[e] * chemistry.isotopes[e][1][NEUTRONS[e]]}
+
+    def parts(name: str) -> tuple[float, float, float, float]:
+        """Mass, neutrons, and the sums of weighted steps and of weights."""
+        if len(name) == 1 and not name.isalpha():
+            return chemistry.shift(name), 0.0, 0.0, 0.0
+        counts = dict(zip(ELEMENTS, chemistry.residues[name]))
+        over = sum(n * sum(d * w for d, w in steps[x]) for x, n in counts.items())
+        return chemistry.light(name), sum(n * share[x] for x, n in counts.items()), over, sum(n * sum(w for _, w in steps[x]) for x, n in counts.items())
+
+    fields = ("m", "k", "o", "u")
+    packed = lambda values: F.struct(*(F.lit(float(v)).alias(f) for v, f in zip(values, fields)))
+    table = F.create_map(*(x for r in chemistry.residues if len(r) == 1 for x in (F.lit(r), packed(parts(r)))))
+    ends = packed([a + b for a, b in zip(parts("Nterm"), parts("Cterm"))])
+    letters = F.filter(F.split(peptide, ""), lambda ch: ch != "")
+    found = F.transform(letters, lambda ch: F.try_element_at(table, ch))
+
+    def add(total, one):
+        return F.struct(*((total[f] + one[f]).alias(f) for f in fields))
+
+    def mass(total):
+        many = F.floor(total["k"]) if e == "N" else F.round(total["k"])
+        return total["m"] + many * F.coalesce(F.try_divide(total["o"], total["u"]), F.lit(0.0))
+
+    return F.aggregate(found, ends, add, mass)
 
 
 def distribution(atoms: dict[str, int], chemistry: Chemistry = REGULAR, least: float = 1e-6):

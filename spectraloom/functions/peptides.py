@@ -19,11 +19,13 @@ def pieces(seq: Column, after: str = "KR", before: str = "ACDEFGHIJKLMNPQRSTVWY"
     return F.split(seq, f"(?<=[{after}])(?=[{before}])")
 
 
-def digest(df: DataFrame, seq: str, missed: int = 2, least: int = 7, most: int = 60, **cut) -> DataFrame:
+def digest(df: DataFrame, seq: str, missed: int = 2, least: int = 7, most: int = 60, flanked: bool = False, **cut) -> DataFrame:
     """A row for each run of up to missed + 1 pieces whose length is in range: first_piece, missed,
-    peptide. Runs are built within the row of their sequence, which is not copied to each of them."""
+    peptide and, if ``flanked``, the residues beside it (prefix and suffix, ``-`` at either end of what
+    is cut). Runs are built within the row of their sequence, which is not copied to each of them."""
     p = df.withColumn("_p", pieces(F.col(seq), **cut))
-    run = lambda i, m: F.struct(i.alias("first_piece"), m.alias("missed"), F.array_join(F.slice("_p", i + 1, m + 1), "").alias("peptide"))
+    beside = lambda i, m: [F.coalesce(F.right(F.get("_p", i - 1), F.lit(1)), F.lit("-")).alias("prefix"), F.coalesce(F.left(F.get("_p", i + m + 1), F.lit(1)), F.lit("-")).alias("suffix")] if flanked else []
+    run = lambda i, m: F.struct(i.alias("first_piece"), m.alias("missed"), F.array_join(F.slice("_p", i + 1, m + 1), "").alias("peptide"), *beside(i, m))
     at = lambda i: F.transform(F.sequence(F.lit(0), F.least(F.lit(missed), F.size("_p") - i - 1)), lambda m: run(i, m))
     runs = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_p") - 1), at))
     found = F.filter(runs, lambda r: F.length(r["peptide"]).between(least, most))

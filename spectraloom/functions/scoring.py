@@ -384,7 +384,7 @@ class Fragments:
 
 def score_blocks(blocks: DataFrame, tol: float, parent_tol: float, chemistry: Chemistry = REGULAR, labelled: bool = False, keep: int | None = None) -> DataFrame:
     """blocks: run, scan, z, parent_mass, parent_mz, lo, hi (m/z bounds of the run), mz / intensity /
-    charge arrays, peptides array. Regular: the ``keep`` (50) best by MVH get the other scores and a zero
+    charge arrays, peptides (array of peptide and the text that is scored for it). Regular: the ``keep`` (50) best by MVH get the other scores and a zero
     score drops the match; labelled: the 10 best by WDP, whose other scores see the two tallest peaks of
     each ion."""
     import pyarrow as pa
@@ -405,7 +405,7 @@ def score_blocks(blocks: DataFrame, tol: float, parent_tol: float, chemistry: Ch
             mz, intensity, charge = mz[order], intensity[order], charge[order]
             peaks = mvh_prepare(mz, intensity, parent, parent_mz, z, parent_tol)
             cross = xcorr_prepare(mz, intensity, parent)
-            names = sorted({p for p in names if fragments.chemistry.knows(p)})
+            names = sorted({(x["peptide"], x["text"]) for x in names if fragments.chemistry.knows(x["text"])})
 
             def hypergeometric(ions):
                 return np.nan_to_num(mvh_block(ions, peaks, lo, hi, tol, logs=logs), nan=0.0) if peaks else np.zeros(len(ions))
@@ -414,18 +414,18 @@ def score_blocks(blocks: DataFrame, tol: float, parent_tol: float, chemistry: Ch
                 series, tops = fragments.envelope(p)
                 return wdp(series, z, mz, intensity, charge, tol, labelled, tops)
 
-            first = [spectral(p) for p in names] if labelled else hypergeometric([fragments.predicted(p, z) for p in names]).tolist()
-            best = sorted((-score, p) for score, p in zip(first, names))[:keep]
+            first = [spectral(p) for _, p in names] if labelled else hypergeometric([fragments.predicted(p, z) for _, p in names]).tolist()
+            best = sorted((-score, *p) for score, p in zip(first, names))[:keep]
             if labelled:
-                tops = [tallest(fragments.envelope(p)[0]) for _, p in best]
-                second = hypergeometric([mvh_envelope_ions(p, z, t) for (_, p), t in zip(best, tops)])
-                for (minus, p), t, score in zip(best, tops, second.tolist()):
-                    yield (name, scan, z, parent, p, score, xcorr_envelopes(t, z, cross), -minus)
+                tops = [tallest(fragments.envelope(p)[0]) for *_, p in best]
+                second = hypergeometric([mvh_envelope_ions(p, z, t) for (*_, p), t in zip(best, tops)])
+                for (minus, peptide, _), t, score in zip(best, tops, second.tolist()):
+                    yield (name, scan, z, parent, peptide, score, xcorr_envelopes(t, z, cross), -minus)
                 return
-            for minus, p in best:
+            for minus, peptide, p in best:
                 row = (-minus, xcorr(p, z, cross, fragments.masses), spectral(p)) if minus else (0.0,)
                 if 0.0 not in row:
-                    yield (name, scan, z, parent, p, *row)
+                    yield (name, scan, z, parent, peptide, *row)
 
         for batch in batches:
             for at in range(batch.num_rows):
@@ -438,7 +438,8 @@ def score_blocks(blocks: DataFrame, tol: float, parent_tol: float, chemistry: Ch
 
 def search(scans: DataFrame, peptides: DataFrame, windows, tol: float = 0.01, parent_tol: float = 0.05, block: int = 2000, chemistry: Chemistry = REGULAR, labelled: bool = False, keep: int | None = None, run: str | None = None) -> DataFrame:
     """scans: scan, z, parent_mz, peaks (mz, intensity, z) and, if named, the run (file) that scans are
-    numbered in and that m/z bounds hold for; peptides: peptide, mass. The matches of each (run, scan) over
+    numbered in and that m/z bounds hold for; peptides: peptide, mass and, if it has one, the text that is
+    scored for the peptide. The matches of each (run, scan) over
     all of its precursors, with three scores and their ranks, those with any rank up to 10. Scans without
     peaks or m/z, and peptides without mass or with unknown characters, match nothing; repeated peptides
     count once. The candidates of a scan are counted and dealt to blocks of about ``block``, so no list
@@ -447,11 +448,12 @@ def search(scans: DataFrame, peptides: DataFrame, windows, tol: float = 0.01, pa
     s = scans.withColumn("run", F.col(run).cast("string") if run else F.lit(""))
     s = s.where(F.col("parent_mz").isNotNull() & (F.size("peaks") > 0)).withColumn("parent_mass", F.col("parent_mz") * F.col("z") - F.col("z") * PROTON)
     ends = s.groupBy("run").agg(F.min(F.array_min("peaks.mz")).alias("lo"), F.max(F.array_max("peaks.mz")).alias("hi"))
-    pairs = band_join(peptides.select("peptide", "mass"), s.select(*own, "parent_mz", "parent_mass"), "mass", "parent_mass", windows).select(*own, "parent_mz", "peptide").distinct()
+    named = peptides.select("peptide", "mass", F.col("text" if "text" in peptides.columns else "peptide").alias("text"))
+    pairs = band_join(named, s.select(*own, "parent_mz", "parent_mass"), "mass", "parent_mass", windows).select(*own, "parent_mz", "peptide", "text").distinct()
     own = [*own, "parent_mz"]
     counts = pairs.groupBy(*own).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
     dealt = pairs.join(counts, own).withColumn("block", F.pmod(F.xxhash64("peptide"), F.col("blocks")))
-    grouped = dealt.groupBy(*own, "block").agg(F.collect_list("peptide").alias("peptides"))
+    grouped = dealt.groupBy(*own, "block").agg(F.collect_list(F.struct("peptide", "text")).alias("peptides"))
     spectra = s.join(ends, "run").select(*own, "parent_mass", "lo", "hi", F.col("peaks.mz").alias("mz"), F.col("peaks.intensity").alias("intensity"), F.col("peaks.z").alias("charge"))
     # dealt by block and in a stated number of partitions: few bytes would be joined to one task, and they are slow to score
     parts = int(scans.sparkSession.conf.get("spark.sql.shuffle.partitions"))

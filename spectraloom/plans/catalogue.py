@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spectraloom.functions import chemistry, elements, isotopes, peptides, scoring, variants
-from spectraloom.operators import envelopes, joins, merging, proteins, ranking, reports, rescoring
+from spectraloom.operators import envelopes, features, joins, merging, proteins, ranking, reports, rescoring
 from spectraloom.sources import readers, sinks
 
 QUERIES = {}
@@ -665,7 +665,7 @@ def result_lines(spark, sf_dir):
     return sinks.spe2pep_lines(d).select("scan", "line")
 
 
-@query("""SELECT 'run.' || l_orderkey || '.' || l_linenumber AS "SpecId", CASE WHEN l_quantity < 10 THEN -1 ELSE 1 END AS "Label", l_extendedprice AS "ExpMass", round(greatest(0, least(100, l_quantity * 3)), 6) AS "MS1IsotopicAbundances", round(abs(greatest(0, least(100, l_quantity * 3)) - 1.07), 6) AS "isotopicAbundanceDiffs",
+@query("""SELECT 'run.' || l_orderkey || '.' || l_linenumber AS "SpecId", CASE WHEN l_quantity < 10 THEN -1 ELSE 1 END AS "Label", l_extendedprice AS "ExpMass", round(l_quantity * 3, 6) AS "MS1IsotopicAbundances", round(l_quantity * 3 - 1.07, 6) AS "isotopicAbundanceDiffs",
   round(CASE WHEN l_discount > 0 THEN log10(l_discount) ELSE 0 END, 6) AS "log10_precursorIntensities", l_returnflag || chr(9) || l_linestatus AS "Proteins" FROM lineitem""")
 def feature_table(spark, sf_dir):
     d, zero = matches(spark, sf_dir), F.lit(0)
@@ -676,6 +676,25 @@ def feature_table(spark, sf_dir):
     return got.select("SpecId", "Label", "ExpMass", *(F.round(n, 6).alias(n) for n in numbers), "Proteins")
 
 
+@query(f"""WITH m AS (SELECT l_orderkey, l_linenumber, {PEPTIDE} AS s, l_extendedprice / 10 AS calculated, l_extendedprice / 10 + (l_linenumber - 3) * 1.003355::DOUBLE + (l_discount - 0.05) * 0.1 AS measured,
+  l_linenumber % 3 + 1 AS z, l_extendedprice / 30 AS centre, l_quantity AS wdp FROM lineitem JOIN part ON p_partkey = l_partkey),
+d AS (SELECT *, abs(measured - calculated) AS d, abs(measured - calculated) % 1.003355::DOUBLE AS e, substr(s, 2, greatest(length(s) - 2, 0)) AS inner_s FROM m)
+SELECT l_orderkey, l_linenumber, CAST(length(s) AS INTEGER) AS peptide_length, CAST(length(inner_s) - length(replace(replace(inner_s, 'K', ''), 'R', '')) AS INTEGER) AS missed, CAST(length(s) - length(replace(s, 'M', '')) AS INTEGER) AS ptms,
+  round((CASE WHEN e > 1.003355::DOUBLE / 2 THEN 1.003355::DOUBLE - e ELSE e END) / calculated * 1e6, 4) AS mass_error_ppm, CAST(round(d / 1.003355::DOUBLE) AS INTEGER) AS window_shift,
+  round(abs(centre - measured / z - 1.00727646688::DOUBLE), 6) AS mz_shift, wdp AS ms2_abundance, max(wdp) OVER (PARTITION BY l_orderkey) - wdp AS delta_score FROM d""")
+def psm_features(spark, sf_dir):
+    """What matches tell by themselves: lines as matches of their order's spectrum to the part's name."""
+    bare, at = peptides.clean(F.upper("p_name"), "ACDEFGHIKLMNPQRSTVWY"), c("l_extendedprice") / 10
+    d = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), c("p_partkey") == c("l_partkey")).select(
+        *ITEM, F.concat(F.lit("K["), F.replace(bare, F.lit("M"), F.lit("M~")), F.lit("]")).alias("identified"), F.concat(F.lit("K["), bare, F.lit("]A")).alias("original"), at.alias("calculated_mass"),
+        (at + (c("l_linenumber") - 3) * 1.003355 + (c("l_discount") - 0.05) * 0.1).alias("measured_mass"), (c("l_linenumber") % 3 + 1).alias("measured_charge"), (c("l_extendedprice") / 30).alias("window_mz"),
+        c("l_quantity").alias("wdp"), F.format_string("C13_%07.3fPct", "l_quantity").alias("search_name"),
+    )
+    got = features.column_features(d).withColumn("delta_score", ranking.delta_to_top(d, ["l_orderkey"], "wdp"))
+    rounded = F.round("mass_error_ppm", 4).alias("mass_error_ppm"), "window_shift", F.round("mz_shift", 6).alias("mz_shift")
+    return got.select(*ITEM, "peptide_length", "missed", "ptms", *rounded, "ms2_abundance", "delta_score")
+
+
 @query()
 def survey_envelopes(spark, sf_dir):
     """Survey scans made of orders: the peaks of lines, and one, two and three neutrons above each."""

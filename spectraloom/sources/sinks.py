@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraloom.functions.peptides import clamp, listed, log10_or_zero
+from spectraloom.functions.peptides import listed, log10_or_zero
 from spectraloom.sources.spectra import pepxml
 
 #: The columns of a feature table.
@@ -66,24 +66,25 @@ def write_spe2pep(matches: DataFrame, path: str, config: str = "", **settings) -
     write_lines(spe2pep_lines(matches, **settings), path, ["filename", "scan", "charge"], head)
 
 
-def pin_table(psms: DataFrame) -> DataFrame:
+def pin_table(psms: DataFrame, inference: bool = True) -> DataFrame:
     """The feature table (PIN columns): from filename, scan, rank, is_decoy, calculated_mass, rt, charge,
     mass_error_ppm, window_shift, mz_shift, peptide_length, missed, ptms, isotopic_peaks (array),
     ms1_abundance, ms2_abundance, wdp, xcorr, mvh, delta_score, precursor_intensity, peptide and proteins
-    (array). ExpMass holds the calculated mass, abundances lie between 0 and 100."""
+    (array). ExpMass holds the calculated mass; abundances, and how far they are apart with its sign, are
+    as they were measured. Proteins are tab-separated, as protein inference reads them, or {a,b}."""
     c = F.col
-    one, two = clamp(c("ms1_abundance")), clamp(c("ms2_abundance"))
+    one, two = c("ms1_abundance"), c("ms2_abundance")
     values = [
         F.concat_ws(".", "filename", c("scan").cast("string"), c("rank").cast("string")), F.when(c("is_decoy"), -1).otherwise(1), c("scan"), c("calculated_mass"), c("rt"), c("rank"), c("charge"),
-        c("mass_error_ppm"), c("window_shift"), c("mz_shift"), c("peptide_length"), c("missed"), c("ptms"), F.size("isotopic_peaks"), one, two, F.abs(one - two),
-        c("wdp"), c("xcorr"), c("mvh"), c("delta_score"), log10_or_zero(c("precursor_intensity")), c("peptide"), F.array_join("proteins", "\t"),
+        c("mass_error_ppm"), c("window_shift"), c("mz_shift"), c("peptide_length"), c("missed"), c("ptms"), F.size("isotopic_peaks"), one, two, one - two,
+        c("wdp"), c("xcorr"), c("mvh"), c("delta_score"), log10_or_zero(c("precursor_intensity")), c("peptide"), F.array_join("proteins", "\t") if inference else listed(c("proteins")),
     ]
     return psms.select(*(v.alias(n) for v, n in zip(values, PIN)))
 
 
-def write_pin_table(psms: DataFrame, path: str) -> None:
-    """One row a line; proteins are further tab-separated fields."""
-    table = pin_table(psms)
+def write_pin_table(psms: DataFrame, path: str, inference: bool = True) -> None:
+    """One row a line; for ``inference`` proteins are further tab-separated fields."""
+    table = pin_table(psms, inference)
     lines = table.select("ScanNr", "SpecId", F.concat_ws("\t", *(F.coalesce(F.col(n).cast("string"), F.lit("")) for n in PIN)).alias("line"))
     write_lines(lines, path, ["ScanNr", "SpecId"], ["\t".join(PIN)])
 
