@@ -11,8 +11,10 @@ payload's length and CRC-32 and has a CRC of its own, a Xing frame with seek tab
 frames with empty side information whose main data area carries the payload, and an ID3v1 tag.
 
 Cases: null and empty streams have no frames and duration 0; free-format frames are not frames;
-a stream cut within a frame ends before it; junk between frames is counted; null texts count as
-empty; equal texts give equal values; an empty table stays empty.
+a stream cut within a frame ends before it; junk between frames is counted; a table that does not
+fit into its frame is none; null texts count as empty; equal texts, rows that repeat among them, give
+equal values; a very long payload takes as many frames as it needs; an empty table stays empty; columns
+are found by place, so others whose names differ in case only do no harm.
 """
 
 from __future__ import annotations
@@ -171,28 +173,36 @@ class Index:
 
 
 def read_vbr(data: bytes, at: int, h: Header, out: Index) -> bool:
-    """Fills in what a Xing, Info or VBRI frame says; whether the frame is one."""
-    x = at + 4 + (2 if h.protected else 0) + h.side
-    if data[x : x + 4] in (b"Xing", b"Info") or data[x - 2 : x + 2] in (b"Xing", b"Info"):
-        x -= 0 if data[x : x + 4] in (b"Xing", b"Info") else 2
-        out.vbr = data[x : x + 4].decode().lower()
-        flags, k = struct.unpack(">I", data[x + 4 : x + 8])[0], x + 8
-        if flags & 1:
-            out.vbr_frames, k = struct.unpack(">I", data[k : k + 4])[0], k + 4
-        if flags & 2:
-            out.vbr_bytes, k = struct.unpack(">I", data[k : k + 4])[0], k + 4
-        if flags & 4:
-            total = out.vbr_bytes or len(data) - at
-            out.toc = [at + b * total // 256 for b in data[k : k + 100]]
-        return True
-    x = at + 36
-    if data[x : x + 4] == b"VBRI" and len(data) >= x + 26:
-        out.vbr = "vbri"
-        _, _, _, out.vbr_bytes, out.vbr_frames, n, scale, width, _ = struct.unpack(">HHHIIHHHH", data[x + 4 : x + 26])
+    """Fills in what a Xing, Info or VBRI frame says; whether the frame is one. A frame that is too short
+    for what its table would hold is none, and is left as audio."""
+    frame = data[at : at + h.length]
+    x = 4 + (2 if h.protected else 0) + h.side
+    for x in (x, x - 2):
+        if frame[x : x + 4] in (b"Xing", b"Info") and len(frame) >= x + 8:
+            flags, k = int.from_bytes(frame[x + 4 : x + 8], "big"), x + 8
+            sizes = [4 if flags & 1 else 0, 4 if flags & 2 else 0, 100 if flags & 4 else 0]
+            if len(frame) < k + sum(sizes):
+                return False
+            parts = [frame[k + sum(sizes[:i]) : k + sum(sizes[: i + 1])] for i in range(3)]
+            out.vbr = frame[x : x + 4].decode().lower()
+            if parts[0]:
+                out.vbr_frames = int.from_bytes(parts[0], "big")
+            if parts[1]:
+                out.vbr_bytes = int.from_bytes(parts[1], "big")
+            if parts[2]:
+                total = out.vbr_bytes or len(data) - at
+                out.toc = [at + b * total // 256 for b in parts[2]]
+            return True
+    x = 36
+    if frame[x : x + 4] == b"VBRI" and len(frame) >= x + 26:
+        _, _, _, size, frames, n, scale, width, _ = struct.unpack(">HHHIIHHHH", frame[x + 4 : x + 26])
+        if len(frame) < x + 26 + n * width:
+            return False
+        out.vbr, out.vbr_bytes, out.vbr_frames = "vbri", size, frames
         place = at + h.length
         for k in range(n):
             out.toc.append(place)
-            place += int.from_bytes(data[x + 26 + k * width : x + 26 + (k + 1) * width], "big") * scale
+            place += int.from_bytes(frame[x + 26 + k * width : x + 26 + (k + 1) * width], "big") * scale
         return True
     return False
 

@@ -11,9 +11,13 @@ pair by pair in small buckets and block by block in large ones, so a link is los
 key in common: at a similarity of 0.75 with probability (1 - 0.75 ** 4) ** 36 = 1e-6, or where
 signatures of similar documents agree in fewer than ``AGREE`` minima (5 standard deviations).
 
+Each class is a node with a number of its own, so rows of one id with different texts are documents
+of their own; a component is named by the smallest id of its rows.
+
 Shingles are compared by 64-bit hashes. Cases: null or empty texts, or texts without words, have
 the empty set and are components of their own; fewer than five words are one shingle; equal
-rows are linked; very long texts are hashed in blocks; an empty table gives an empty table.
+rows are linked; very long texts are hashed in blocks; an empty table gives an empty table. Columns
+are found by place, so others whose names differ in case only do no harm.
 """
 
 from __future__ import annotations
@@ -24,13 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spectraloom.llm.common import Tables, map_rows, pick, table
+from spectraloom.llm.common import Tables, map_batches, map_rows, pick, table
 from spectraloom.llm.components import components
 
 WORDS, BANDS, ROWS = 5, 36, 4
 LEAST, OF = 75, 100
 AGREE = 82
-#: Ids of up to this many documents (8 bytes each) are broadcast to pick their texts; beyond it they are joined by shuffle.
+#: Ids and digests of up to this many documents (32 bytes each) are broadcast to pick their texts; beyond it they are joined by shuffle.
 BROADCAST_IDS = 500_000
 #: Buckets with up to this many representatives in several components are compared pair by pair; larger ones block by block.
 PAIRWISE = 64
@@ -112,17 +116,27 @@ def signatures(docs: DataFrame) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), "doc_id long, n long, k1 long, k2 long, sig array<int>, bands array<long>", setup)
 
 
-def picked_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and shingle set of the documents whose ids (column doc_id) are given."""
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+def picked_sets(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """Shingle sets of the classes whose numbers (column node) are given: node, s. nodes: node, rep (an id
+    that has the set), k1, k2."""
+    chosen = nodes.join(F.broadcast(ids) if (few := ids.count() <= BROADCAST_IDS) else ids, "node").select(F.col("rep").alias("doc_id"), "node", "k1", "k2")
 
     def setup():
         import numpy as np
+        import xxhash
+
+        def batch(columns):
+            out = []
+            for node, k1, k2, text in zip(*columns):
+                s = shingles(text)
+                d = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
+                if d[0] == k1 and d[1] == k2:  # else another text of the same id
+                    out.append((node, s.view(np.int64)))
+            return list(zip(*out)) if out else []
 
-        return lambda key, text: (key, shingles(text).view(np.int64))
+        return batch
 
-    return map_rows(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), "doc_id long, s array<long>", setup)
+    return map_batches(docs.join(F.broadcast(chosen) if few else chosen, "doc_id").select("node", "k1", "k2", "text"), "node long, s array<long>", setup)
 
 
 def same(a, b):
@@ -130,14 +144,14 @@ def same(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
 
 
-def linked(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, store: Tables, name: str) -> DataFrame:
-    """The pairs (u, v) that are links: sizes, then signatures, then full sets."""
-    a = sigs.select(F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("sig").alias("su"))
-    b = sigs.select(F.col("doc_id").alias("v"), F.col("n").alias("nv"), F.col("sig").alias("sv"))
+def linked(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, nodes: DataFrame, store: Tables, name: str) -> DataFrame:
+    """The pairs (u, v) of nodes that are links: sizes, then signatures, then full sets."""
+    a = sigs.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("sig").alias("su"))
+    b = sigs.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("sig").alias("sv"))
     close = pairs.join(a, "u").join(b, "v").where(OF * F.least("nu", "nv") >= LEAST * F.greatest("nu", "nv"))
     close = store.save(close.where(same(F.col("su"), F.col("sv")) >= AGREE).select("u", "v"), f"{name}-close")
-    ids = store.save(close.select(F.col("u").alias("doc_id")).union(close.select("v")).distinct(), f"{name}-ids")
-    sets = store.save(picked_sets(docs, ids), f"{name}-sets")
+    ids = store.save(close.select(F.col("u").alias("node")).union(close.select("v")).distinct(), f"{name}-ids")
+    sets = store.save(picked_sets(docs, nodes, ids), f"{name}-sets")
     a, b = sets.toDF("u", "a"), sets.toDF("v", "b")
     both = F.size(F.array_intersect("a", "b"))
     found = close.join(a, "u").join(b, "v").where(OF * both >= LEAST * (F.size("a") + F.size("b") - both))
@@ -146,25 +160,25 @@ def linked(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, store: Tables, na
     return found
 
 
-def block_links(left: DataFrame, sigs: DataFrame, docs: DataFrame, store: Tables) -> DataFrame:
-    """Links between components within large buckets (key, doc_id, comp). The members of a bucket
+def block_links(left: DataFrame, sigs: DataFrame, docs: DataFrame, nodes: DataFrame, store: Tables) -> DataFrame:
+    """Links between components within large buckets (key, node, comp). The members of a bucket
     are dealt into blocks and every pair of blocks is one group of at most 2 * BLOCK sets, of
     which only links that join components come out. Its time, and the sets that travel (each once for
     every block of its bucket), grow with the square of such a bucket over BLOCK; memory does not."""
-    place = F.row_number().over(Window.partitionBy("key").orderBy("doc_id")) - 1
+    place = F.row_number().over(Window.partitionBy("key").orderBy("node")) - 1
     left = left.withColumn("block", F.floor(place / BLOCK).cast("int"))
     blocks = left.groupBy("key").agg((F.max("block") + 1).alias("blocks"))
     left = left.join(blocks, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    ids = store.save(left.select("doc_id").distinct(), "block-ids")
-    sets = store.save(picked_sets(docs, ids), "block-sets")
+    ids = store.save(left.select("node").distinct(), "block-ids")
+    sets = store.save(picked_sets(docs, nodes, ids), "block-sets")
 
     def solve(group):
         import numpy as np
         import pyarrow as pa
 
-        rows = group.select(["key", "doc_id", "comp", "s", "block"]).to_pydict()
-        ids, comp, block = np.array(rows["doc_id"]), rows["comp"], np.array(rows["block"])
+        rows = group.select(["key", "node", "comp", "s", "block"]).to_pydict()
+        ids, comp, block = np.array(rows["node"]), rows["comp"], np.array(rows["block"])
         sets = [np.array(s, np.int64) for s in rows["s"]]
         sig = np.array(group["sig"].to_pylist(), np.int32)
         n = np.array([len(s) for s in sets])
@@ -188,27 +202,27 @@ def block_links(left: DataFrame, sigs: DataFrame, docs: DataFrame, store: Tables
                         root[root == root[x]] = root[y]
         return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
 
-    left = left.join(sets, "doc_id").join(sigs.select("doc_id", "sig"), "doc_id")
+    left = left.join(sets, "node").join(sigs.select("node", "sig"), "node")
     return store.save(left.groupBy("key", "i", "j").applyInArrow(solve, "u long, v long"), "block-links")
 
 
 def merged(found: DataFrame, links: DataFrame) -> DataFrame:
-    """Components (doc_id, comp) after further links: only the graph of the components that the
+    """Components (node, comp) after further links: only the graph of the components that the
     links join is solved anew."""
-    u = found.select(F.col("doc_id").alias("u"), F.col("comp").alias("cu"))
-    v = found.select(F.col("doc_id").alias("v"), F.col("comp").alias("cv"))
+    u = found.select(F.col("node").alias("u"), F.col("comp").alias("cu"))
+    v = found.select(F.col("node").alias("v"), F.col("comp").alias("cv"))
     between = links.join(u, "u", "left").join(v, "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
     moved = components(between.distinct()).select(F.col("u").alias("comp"), F.col("v").alias("to"))
-    own = moved.select(F.col("comp").alias("doc_id"), F.col("to").alias("comp"))
-    return found.join(moved, "comp", "left").select("doc_id", F.coalesce("to", "comp").alias("comp")).union(own)
+    own = moved.select(F.col("comp").alias("node"), F.col("to").alias("comp"))
+    return found.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")).union(own)
 
 
 def unsettled(keys: DataFrame, found: DataFrame) -> DataFrame:
     """The buckets that hold several components."""
-    at = keys.join(found, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    at = keys.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     by_key = Window.partitionBy("key")
     several = (F.min("comp").over(by_key) < F.max("comp").over(by_key)).alias("several")
-    return at.select("key", "doc_id", "comp", "company", several).where("several").drop("several")
+    return at.select("key", "node", "comp", "company", several).where("several").drop("several")
 
 
 def cluster(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -217,45 +231,48 @@ def cluster(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     store = Tables(spark, "minhash")
     docs = pick(docs, doc_id=doc_id, text=text)
     sigs = store.save(signatures(docs), "sigs")
-    classes = store.save(sigs.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = sigs.join(classes.select(F.col("k1").alias("x1"), F.col("k2").alias("x2"), "rep"), (F.col("k1") == F.col("x1")) & (F.col("k2") == F.col("x2")) & (F.col("doc_id") == F.col("rep")))
-    reps = store.save(reps.select("doc_id", "n", "sig", "bands").dropDuplicates(["doc_id"]), "reps")
+    classes = sigs.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
+    nodes = store.save(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    reps = sigs.join(nodes.select(F.col("k1").alias("x1"), F.col("k2").alias("x2"), "rep", "node"), (F.col("k1") == F.col("x1")) & (F.col("k2") == F.col("x2")) & (F.col("doc_id") == F.col("rep")))
+    reps = store.save(reps.select("node", "n", "sig", "bands").dropDuplicates(["node"]), "reps")
     by_key = Window.partitionBy("key")
-    keys = reps.select("doc_id", F.explode("bands").alias("key")).withColumn("company", F.count(F.lit(1)).over(by_key))
+    keys = reps.select("node", F.explode("bands").alias("key")).withColumn("company", F.count(F.lit(1)).over(by_key))
     keys = store.save(keys.where("company > 1"), "keys")
-    degree = keys.groupBy("doc_id").agg(F.sum("company").alias("degree"))
-    hub = F.max(F.struct("degree", -F.col("doc_id"), "doc_id")).over(by_key)["doc_id"]
-    hubs = keys.join(degree, "doc_id").select("key", "doc_id", hub.alias("hub")).where("doc_id <> hub")
-    pairs = store.save(hubs.select(F.greatest("doc_id", "hub").alias("u"), F.least("doc_id", "hub").alias("v")).distinct(), "pairs")
-    links = linked(pairs, reps, docs, store, "hub")
-    found = store.save(components(links).select(F.col("u").alias("doc_id"), F.col("v").alias("comp")), "found")
+    degree = keys.groupBy("node").agg(F.sum("company").alias("degree"))
+    hub = F.max(F.struct("degree", -F.col("node"), "node")).over(by_key)["node"]
+    hubs = keys.join(degree, "node").select("key", "node", hub.alias("hub")).where("node <> hub")
+    pairs = store.save(hubs.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct(), "pairs")
+    links = linked(pairs, reps, docs, nodes, store, "hub")
+    found = store.save(components(links).select(F.col("u").alias("node"), F.col("v").alias("comp")), "found")
     left = unsettled(keys, found)
     for turn in range(TURNS):
         large = store.save(left.where(F.col("company") > PAIRWISE), f"large{turn}")
         if large.isEmpty():
             break
-        dice = F.xxhash64("doc_id", "key", F.lit(turn))
-        other = F.min(F.struct(dice, "doc_id", "comp")).over(by_key)
-        tried = large.select("doc_id", "comp", other["doc_id"].alias("hub"), other["comp"].alias("hub_comp")).where("comp <> hub_comp")
-        tried = tried.select(F.greatest("doc_id", "hub").alias("u"), F.least("doc_id", "hub").alias("v")).distinct()
-        links = linked(store.save(tried, f"pairs{turn}"), reps, docs, store, f"turn{turn}")
+        dice = F.xxhash64("node", "key", F.lit(turn))
+        other = F.min(F.struct(dice, "node", "comp")).over(by_key)
+        tried = large.select("node", "comp", other["node"].alias("hub"), other["comp"].alias("hub_comp")).where("comp <> hub_comp")
+        tried = tried.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
+        links = linked(store.save(tried, f"pairs{turn}"), reps, docs, nodes, store, f"turn{turn}")
         found = store.save(merged(found, links), f"found{turn}")
         left = unsettled(keys, found)
     left = store.save(left, "left")
     small = left.where(F.col("company") <= PAIRWISE)
-    other = small.select("key", F.col("doc_id").alias("v"), F.col("comp").alias("c2"))
-    more = small.join(other, "key").where("doc_id > v and comp <> c2").select(F.col("doc_id").alias("u"), "v").distinct()
-    links = linked(store.save(more.join(pairs, ["u", "v"], "left_anti"), "more"), reps, docs, store, "more")
+    other = small.select("key", F.col("node").alias("v"), F.col("comp").alias("c2"))
+    more = small.join(other, "key").where("node > v and comp <> c2").select(F.col("node").alias("u"), "v").distinct()
+    links = linked(store.save(more.join(pairs, ["u", "v"], "left_anti"), "more"), reps, docs, nodes, store, "more")
     large = left.where(F.col("company") > PAIRWISE).drop("company")
     if not large.isEmpty():
-        links = links.union(block_links(large, reps, docs, store))
-    found = store.save(merged(found, links), "found-last")
+        links = links.union(block_links(large, reps, docs, nodes, store))
+    found = merged(found, links)
+    members = store.save(found.union(found.select("comp", "comp").distinct()), "members")
+    names = store.save(members.join(nodes, "node").groupBy("comp").agg(F.min("rep").alias("component_id")), "names")
+    named = store.save(nodes.join(members.join(names, "comp").select("node", "component_id"), "node", "left").select("k1", "k2", F.coalesce("component_id", "rep").alias("component_id")), "named")
     spent = [f"{part}{turn}" for turn in range(TURNS) for part in ("large", "pairs", "found")]
     spent += [f"{name}-{part}" for name in ("hub", "more", *(f"turn{turn}" for turn in range(TURNS))) for part in ("close", "ids", "links")]
-    store.drop("reps", "keys", "pairs", "found", "left", "more", "block-ids", "block-sets", "block-links", *spent)
-    own = sigs.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left")
-    own = own.join(found.withColumnRenamed("doc_id", "rep"), "rep", "left")
-    component = F.coalesce("comp", "rep", "doc_id")
+    store.drop("nodes", "reps", "keys", "pairs", "found", "left", "more", "members", "names", "block-ids", "block-sets", "block-links", *spent)
+    own = sigs.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
+    component = F.coalesce("component_id", "doc_id")
     return own.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
 
 

@@ -70,3 +70,27 @@ def test_malformed_extended_headers():
             found = audio.index(tag + whole)
             assert found is not None
             audio.index(tag)
+
+
+def test_seek_tables_in_short_frames():
+    """A table that does not fit into its frame is no table, wherever the frame or the stream ends."""
+    import random
+
+    r = random.Random(6)
+    frames = [head + bytes(audio.header(head).length - 4) for head in (b"\xff\xfb\x10\x00", b"\xff\xfb\x14\xc0", b"\xff\xe3\x14\x00", b"\xff\xf3\x14\xc0", b"\xff\xfb\xe0\x00")]
+    for frame in frames:
+        for mark in (b"Xing", b"Info", b"VBRI"):
+            for flags in (0, 1, 3, 7, 0xFFFFFFFF):
+                for x in (4, 13, 19, 21, 34, 36, len(frame) - 8, len(frame) - 4, len(frame) - 2):
+                    first = bytearray(frame)
+                    first[x : x + 8] = mark + struct.pack(">I", flags)
+                    first = bytes(first[: len(frame)])
+                    for stream in (first, first + frame, first + frame * 3, first + frame[: r.randint(1, len(frame))]):
+                        found = audio.index(stream)
+                        assert all(0 <= o < len(stream) for o in found.offsets)
+    for _ in range(3000):
+        frame = r.choice(frames)
+        first = bytearray(frame)
+        x = r.randint(4, len(frame))
+        first[x : x + 40] = r.choice((b"Xing", b"Info", b"VBRI")) + bytes(r.randrange(256) for _ in range(r.randint(0, 36)))
+        audio.index((bytes(first) + frame * r.randint(0, 2))[: r.randint(1, 3 * len(frame))])

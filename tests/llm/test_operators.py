@@ -45,6 +45,24 @@ def test_minhash_equals_brute_force(spark):
     assert minhash.cluster(df.limit(0)).collect() == []
 
 
+def test_minhash_texts_of_one_id(spark):
+    r = random.Random(9)
+    prose = lambda: " ".join(str(r.randint(0, 10**6)) for _ in range(60))
+    x, y = prose(), prose()
+    rows = [(1, x), (1, y), (2, x + " end"), (3, y + " end"), (7, prose()), (7, ""), (8, None), (8, y + " other")]
+    got = sorted(tuple(z) for z in minhash.cluster(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [(i, c) for i, _, c, _ in got] == [(1, 1), (1, 1), (2, 1), (3, 1), (7, 7), (7, 7), (8, 8), (8, 1)]
+    # against brute force over rows of their own, named by the smallest id of what they reach
+    base = [prose().split() for _ in range(6)]
+    docs = [(i % 9, " ".join(r.choice(base)[: r.randint(50, 60)])) for i in range(60)]
+    own = {k: c for k, _, c, _ in brute_components(list(enumerate(t for _, t in docs)))}
+    least: dict = {}
+    for k, (i, _) in enumerate(docs):
+        least[own[k]] = min(least.get(own[k], i), i)
+    want = sorted((i, least[own[k]]) for k, (i, _) in enumerate(docs))
+    assert sorted((z.doc_id, z.component_id) for z in minhash.cluster(spark.createDataFrame(docs, "doc_id long, text string")).collect()) == want
+
+
 def test_large_buckets_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(minhash, "PAIRWISE", 4)
     monkeypatch.setattr(minhash, "BLOCK", 8)
@@ -101,8 +119,25 @@ def test_short_random_values():
         assert not secrets.scan(f"the passcode is {value} now"), value
 
 
-def brute_guess(value):
-    ends = secrets._candidates(value)
+def test_words_of_prose_are_no_secrets():
+    for text in (
+        "The secret is patience, my friend.", "The token is forwarded to the broker.", "the secret is simplicity", "The password is printed on the label.", "the token is validated by the server",
+        "The password is revoked (see below).", "my password is correcthorse", "the secret is elephant-shaped", "Token: mountainside", "the password: monkeydragon", "The secret is that nobody knows", "api key: undocumented",
+    ):
+        assert not [x for x in secrets.scan(text) if x[1] == 3], text
+        assert text.split()[-1] in secrets.redact(text) or secrets.scan(text)
+    r = random.Random(21)
+    for k in range(20):
+        value = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!$%&*+") for _ in range(8 + k % 5))
+        value = value.strip("".join(secrets.END)) + "q7"
+        assert [x for x in secrets.scan(f"The passphrase is {value}, keep it") if x[1] == 3], value
+    assert [x for x in secrets.scan("the passphrase is correcthorsebatterystaple") if x[1] == 3]
+    bare = secrets.dictionary(())
+    assert bare == secrets.RANK and [x for x in secrets.scan("the secret is elephant", words=bare) if x[1] == 3]
+
+
+def brute_guess(value, ranks=secrets.RANK):
+    ends = secrets._candidates(value, ranks)
     best = {0: 0.0}
     for i in range(1, len(value) + 1):
         options = [best[j] + secrets.SEGMENT + (i - j) * secrets.BRUTE for j in range(i)]
@@ -172,8 +207,9 @@ def brute_spans(text):
             if e - value_at.get(s, s) >= least if kind == 0 else e - s >= least:
                 every.append((s, k, e))
     for m in secrets.CONTEXT.finditer(text):
-        cost = brute_guess(m[1])
-        if cost >= secrets.GUESSES or cost >= secrets.SHARE * len(m[1]) and m[1].lower().strip("().,;:!?") not in secrets.PLAIN:
+        core = m[1].rstrip("().,;:!?")
+        tables = [secrets.RANK] + [secrets.dictionary()] * all(x.isalpha() for x in re.split("['’-]", core))
+        if len(core) >= 3 and all((cost := brute_guess(core, t)) >= secrets.GUESSES or cost >= secrets.SHARE * len(core) for t in tables):
             every.append((m.start(1), 3, m.end(1)))
     return sorted(every)
 

@@ -5,9 +5,10 @@ from spectraloom.llm import suffixes
 
 
 def brute(docs, width=suffixes.WIDTH):
+    """Rows of one id with different texts are documents in the order of their texts' SHA-256."""
     first, out = {}, []
-    datas = [(i, (t or "").encode()) for i, t in sorted(docs, key=lambda d: d[0])]
-    for _, d in datas:
+    datas = [(i, (t or "").encode()) for i, t in docs]
+    for _, d in sorted(datas, key=lambda x: (x[0], hashlib.sha256(x[1]).digest())):
         gone = bytearray(len(d))
         for p in range(len(d) - width + 1):
             if first.setdefault(d[p : p + width], (id(d), p)) != (id(d), p):
@@ -49,3 +50,13 @@ def test_empty_table_and_repeated_rows(spark):
     t = "repeated row " * 20
     rows = suffixes.dedup(spark.createDataFrame([(1, t), (1, t)], "doc_id long, text string")).collect()
     assert len(rows) == 2 and rows[0] == rows[1]
+
+
+def test_texts_of_one_id(spark):
+    a, b = "first text, long enough to be removed whole " * 4, "second text of the very same id, which is nowhere else " * 3
+    rows = sorted(tuple(r) for r in suffixes.dedup(spark.createDataFrame([(1, a), (5, a), (5, b)], "doc_id long, text string")).collect())
+    assert rows == sorted(brute([(1, a), (5, a), (5, b)])) and rows[0][2] < len(a) and sorted(r[2] for r in rows[1:])[0] < len(b)
+    docs = [(i % 7, t) for i, t in corpus(5) if t]
+    docs = list({d: d for d in docs}.values())
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert sorted(tuple(r) for r in suffixes.dedup(df).collect()) == sorted(brute(docs))
