@@ -1,30 +1,28 @@
-"""Spectra in MGF, mzML and mzXML, and sinks for feature tables (PIN) and pepXML."""
+"""Spectra in MGF, what a spectrum of mzML, mzXML and binary scans says, and pepXML elements."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import _parse_datatype_string
 
-from spectraloom.sources import numpress
-
-SPECTRUM = "file string, scan long, ms_level int, charge int, parent_mz double, rt double, peaks array<struct<mz:double,intensity:double>>"
+from spectraloom.sources import numpress, runs
 
 
 def mgf(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each BEGIN IONS block. CHARGE such as 2+ (0 where there is none); scan from SCANS."""
+    """A row for each BEGIN IONS block. CHARGE such as 2+ (0 where there is none, the first of several); scan
+    from SCANS and rt from RTINSECONDS, the first of a range; what is no number is null."""
     raw = spark.read.option("lineSep", "END IONS").text(path)
     lines = raw.where(F.contains("value", F.lit("BEGIN IONS"))).select(F.input_file_name().alias("file"), F.split(F.regexp_replace("value", r"(?s)^.*BEGIN IONS\s*", ""), r"\r?\n").alias("l"))
     entry = lambda k: F.get(F.transform(F.filter("l", lambda x: x.startswith(k + "=")), lambda x: F.substring(x, F.lit(len(k) + 2), F.length(x))), F.lit(0))
     peaks = F.transform(F.filter("l", lambda x: x.rlike(r"^\s*\d+\.?\d*([eE][-+]?\d+)?\s+\d")), lambda x: F.split(F.trim(x), r"\s+"))
     return lines.select(
         "file",
-        entry("SCANS").cast("long").alias("scan"),
+        F.regexp_extract(entry("SCANS"), r"^\s*(\d+)", 1).try_cast("long").alias("scan"),
         F.lit(2).alias("ms_level"),
         F.coalesce(F.regexp_extract(entry("CHARGE"), r"(\d+)", 1).try_cast("int"), F.lit(0)).alias("charge"),
-        F.split(F.trim(entry("PEPMASS")), r"\s+")[0].cast("double").alias("parent_mz"),
-        entry("RTINSECONDS").cast("double").alias("rt"),
-        F.transform(peaks, lambda p: F.struct(p[0].cast("double").alias("mz"), p[1].cast("double").alias("intensity"))).alias("peaks"),
+        F.split(F.trim(entry("PEPMASS")), r"\s+")[0].try_cast("double").alias("parent_mz"),
+        F.regexp_extract(entry("RTINSECONDS"), r"^\s*([0-9]+\.?[0-9]*)", 1).try_cast("double").alias("rt"),
+        F.transform(peaks, lambda p: F.struct(p[0].try_cast("double").alias("mz"), p[1].try_cast("double").alias("intensity"))).alias("peaks"),
         entry("TITLE").alias("title"),
     )
 
@@ -43,101 +41,56 @@ def _name(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
 
 
-def parse_mzml(stream):
-    """(scan, level, charge, parent m/z, seconds, m/z, intensities) of each spectrum."""
-    import xml.etree.ElementTree as ET
-
-    root = None
-    for event, node in ET.iterparse(stream, ("start", "end")):
-        root = node if root is None else root
-        if event != "end" or _name(node.tag) != "spectrum":
-            continue
-        terms = {x.get("name"): x for x in node.iter() if _name(x.tag) == "cvParam"}
-        value = lambda k, kind, other: kind(float(terms[k].get("value"))) if k in terms else other
-        rt = value("scan start time", float, None)
-        if rt is not None and terms["scan start time"].get("unitName") == "minute":
-            rt *= 60
-        arrays = {}
-        for a in (x for x in node.iter() if _name(x.tag) == "binaryDataArray"):
-            kinds = {x.get("name") for x in a.iter() if _name(x.tag) == "cvParam"}
-            data = next((x.text for x in a.iter() if _name(x.tag) == "binary"), "")
-            way = next((w for k in kinds if k and "numpress" in k.lower() for w in numpress.WAYS if w in k.lower()), None)
-            if way:
-                packed = any(k and "zlib" in k.lower() for k in kinds)
-                found = numpress.decode(data, way, packed)
-            else:
-                found = _decode(data, 64 if "64-bit float" in kinds else 32, "zlib compression" in kinds, "<")
-            arrays["mz" if "m/z array" in kinds else "intensity" if "intensity array" in kinds else "other"] = found
-        scan = dict(x.split("=", 1) for x in node.get("id", "").split() if "=" in x).get("scan") or int(node.get("index", 0)) + 1
-        yield int(scan), value("ms level", int, 1), value("charge state", int, 0), value("selected ion m/z", float, None), rt, arrays.get("mz", ()), arrays.get("intensity", ())
-        node.clear()
-        for inner in root.iter():
-            if _name(inner.tag) == "spectrumList":
-                inner.clear()
-                break
-
-
-def parse_mzxml(stream):
-    """As ``parse_mzml``. A scan inside another one is read like any other."""
-    import xml.etree.ElementTree as ET
-
-    for _, node in ET.iterparse(stream, ("end",)):
-        if _name(node.tag) != "scan":
-            continue
-        peaks = next((x for x in node if _name(x.tag) == "peaks"), None)
-        parent = next((x for x in node if _name(x.tag) == "precursorMz"), None)
-        pairs = _decode((peaks.text or "").strip(), int(peaks.get("precision", 32)), peaks.get("compressionType") == "zlib", ">") if peaks is not None else ()
-        rt = node.get("retentionTime", "").removeprefix("PT").removesuffix("S")
-        mz = float(parent.text) if parent is not None and parent.text else None
-        charge = int(parent.get("precursorCharge", 0)) if parent is not None else 0
-        yield int(node.get("num")), int(node.get("msLevel", 1)), charge, mz, float(rt) if rt else None, pairs[::2], pairs[1::2]
-        for inner in list(node):
-            if _name(inner.tag) != "scan":
-                node.remove(inner)
-
-
-def _xml(spark: SparkSession, path: str, parse, level: int | None) -> DataFrame:
-    """One file a task; rows leave in small batches. Names that end in .gz are unpacked."""
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    kind = _parse_datatype_string(SPECTRUM)
-    schema = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in kind.fields])
-
-    def run(batches):
-        import gzip
-        import io
-
-        def out(rows):
-            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
-
-        for batch in batches:
-            for name, content in zip(*(c.to_pylist() for c in batch.columns)):
-                stream, rows = io.BytesIO(content), []
-                stream = gzip.GzipFile(fileobj=stream) if name.lower().endswith(".gz") else stream
-                for scan, ms, z, mz, rt, x, y in parse(stream):
-                    if level is None or ms == level:
-                        rows.append((name, scan, ms, z, mz, rt, [{"mz": float(a), "intensity": float(b)} for a, b in zip(x, y)]))
-                    if len(rows) == 200:
-                        yield out(rows)
-                        rows = []
-                if rows:
-                    yield out(rows)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, kind)
-
-
-def parse_binary(stream, packed: bool):
-    """As ``parse_mzml`` from the binary form of MS1 / MS2 text, of versions up to 5: a file header of 2056
-    bytes (type, version, 16 lines of 128), then for each scan its numbers, times and counts, its charges,
-    and its peaks, plain or as two packed arrays. The level is that of the file's type (odd: 1)."""
+def mzml_spectrum(node, groups: dict[str, list] | None = None):
+    """(scan, level, charge, precursor m/z, seconds, m/z, intensities) of a spectrum element, whose
+    references are looked up in the groups of parameters."""
+
+    def parameters(of):
+        found = [x for x in of.iter() if _name(x.tag) == "cvParam"]
+        return found + [p for x in of.iter() if _name(x.tag) == "referenceableParamGroupRef" for p in (groups or {}).get(x.get("ref"), ())]
+
+    terms = {x.get("name"): x for x in parameters(node)}
+    value = lambda k, kind, other: kind(float(terms[k].get("value"))) if k in terms else other
+    rt = value("scan start time", float, None)
+    if rt is not None and terms["scan start time"].get("unitName") == "minute":
+        rt *= 60
+    arrays = {}
+    for a in (x for x in node.iter() if _name(x.tag) == "binaryDataArray"):
+        kinds = {x.get("name") for x in parameters(a)}
+        data = next((x.text for x in a.iter() if _name(x.tag) == "binary"), "")
+        way = next((w for k in kinds if k and "numpress" in k.lower() for w in numpress.WAYS if w in k.lower()), None)
+        if way:
+            packed = any(k and "zlib" in k.lower() for k in kinds)
+            found = numpress.decode(data, way, packed)
+        else:
+            found = _decode(data, 64 if "64-bit float" in kinds else 32, "zlib compression" in kinds, "<")
+        arrays["mz" if "m/z array" in kinds else "intensity" if "intensity array" in kinds else "other"] = found
+    scan = dict(x.split("=", 1) for x in node.get("id", "").split() if "=" in x).get("scan") or int(node.get("index", 0)) + 1
+    return int(scan), value("ms level", int, 1), value("charge state", int, 0), value("selected ion m/z", float, None), rt, arrays.get("mz", ()), arrays.get("intensity", ())
+
+
+def mzxml_spectrum(node):
+    """As ``mzml_spectrum`` of a scan element, without the scans inside it."""
+    peaks = next((x for x in node if _name(x.tag) == "peaks"), None)
+    parent = next((x for x in node if _name(x.tag) == "precursorMz"), None)
+    pairs = _decode((peaks.text or "").strip(), int(peaks.get("precision", 32)), peaks.get("compressionType") == "zlib", ">") if peaks is not None else ()
+    rt = node.get("retentionTime", "").removeprefix("PT").removesuffix("S")
+    mz = float(parent.text) if parent is not None and parent.text else None
+    charge = int(parent.get("precursorCharge", 0)) if parent is not None else 0
+    return int(node.get("num")), int(node.get("msLevel", 1)), charge, mz, float(rt) if rt else None, pairs[::2], pairs[1::2]
+
+
+def parse_binary(stream, packed: bool, level: int = 2):
+    """As ``mzml_spectrum``, for each scan of the binary form of MS1 / MS2 text, of versions up to 5: a file
+    header of 2056 bytes (type, version, 16 lines of 128), then for each scan its numbers, times and counts,
+    its charges, and its peaks, plain or as two packed arrays. The level is that of the file's ending."""
     import struct
     import zlib
 
     import numpy as np
 
     take = lambda form: struct.unpack("<" + form, stream.read(struct.calcsize("<" + form)))
-    kind, version = take("ii")
+    _, version = take("ii")
     stream.read(16 * 128)
     while len(first := stream.read(4)) == 4:
         scan = struct.unpack("<i", first)[0]
@@ -158,22 +111,22 @@ def parse_binary(stream, packed: bool):
         else:
             both = np.frombuffer(stream.read(12 * points), np.dtype([("mz", "<f8"), ("height", "<f4")]))
             mz, height = both["mz"], both["height"]
-        level = 1 if kind % 2 else 2
         yield scan, level, charges[0] if charges else 0, mzs[0] if level == 2 and mzs else None, rt * 60, mz, height.astype(float)
 
 
-def binary_scans(spark: SparkSession, path: str, level: int | None = None) -> DataFrame:
-    """Binary scans (bms1, bms2), packed ones by their ending (cms1, cms2)."""
-    packed = path.lower().removesuffix(".gz").rsplit(".", 1)[-1].startswith("c")
-    return _xml(spark, path, lambda stream: parse_binary(stream, packed), level)
+def binary_scans(spark: SparkSession, path: str, level: int | None = None, scans: list[int] | None = None) -> DataFrame:
+    """Binary scans (bms1, bms2), packed ones by their ending (cms1, cms2): see ``runs``."""
+    return runs.read(spark, path, level, scans)
 
 
-def mzml(spark: SparkSession, path: str, level: int | None = 2) -> DataFrame:
-    return _xml(spark, path, parse_mzml, level)
+def mzml(spark: SparkSession, path: str, level: int | None = 2, scans: list[int] | None = None) -> DataFrame:
+    """A file, or a folder of them, in ranges of bytes: see ``runs``. ``scans`` chooses by number."""
+    return runs.read(spark, path, level, scans)
 
 
-def mzxml(spark: SparkSession, path: str, level: int | None = 2) -> DataFrame:
-    return _xml(spark, path, parse_mzxml, level)
+def mzxml(spark: SparkSession, path: str, level: int | None = 2, scans: list[int] | None = None) -> DataFrame:
+    """As ``mzml``. A scan inside another one is read like any other."""
+    return runs.read(spark, path, level, scans)
 
 
 READERS = {"mgf": mgf, "mzml": mzml, "mzxml": mzxml, **dict.fromkeys(("bms1", "bms2", "cms1", "cms2"), binary_scans)}
@@ -200,15 +153,6 @@ def write_mgf(df: DataFrame, path: str) -> None:
     df.select(F.concat(head, peaks, F.lit("\nEND IONS\n"))).write.mode("overwrite").text(path)
 
 
-def write_pin(df: DataFrame, path: str, features: list[str]) -> None:
-    """file, scan, rank, is_decoy, calculated_mass, the features, peptide, proteins (array)."""
-    label = F.when(F.col("is_decoy"), -1).otherwise(1)
-    values = {"SpecId": F.concat_ws(".", "file", "scan", "rank"), "Label": label, "ScanNr": F.col("scan"), "ExpMass": F.col("calculated_mass"), **{f: F.col(f) for f in features}, "Peptide": F.col("peptide"), "Proteins": F.array_join("proteins", "\t")}
-    # One column: proteins hold tabs of their own, which a table of many would quote.
-    line = F.concat_ws("\t", *(F.coalesce(v.cast("string"), F.lit("")) for v in values.values()))
-    df.select(line.alias("\t".join(values))).write.mode("overwrite").option("sep", "\u0001").option("header", True).option("quote", "").csv(path)
-
-
 def pepxml(df: DataFrame, scores: list[str]) -> DataFrame:
     """A spectrum_query element for each match: file, scan, charge, parent_mass, peptide, mass, proteins, rank."""
     safe = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))

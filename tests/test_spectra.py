@@ -79,12 +79,9 @@ def test_semi_supervised(spark):
     assert got.where("not is_decoy and q_value <= 0.05").count() > before
 
 
-def test_pepxml_and_pin(spark, tmp_path):
+def test_pepxml(spark):
     import xml.etree.ElementTree as ET
 
     df = spark.createDataFrame([("f", 3, 2, 1, False, 900.0, 900.1, "A<K", ["P&1", "P2"], 4.5)], "file string, scan int, charge int, rank int, is_decoy boolean, calculated_mass double, parent_mass double, peptide string, proteins array<string>, wdp double")
     node = ET.fromstring(spectra.pepxml(df.withColumnRenamed("calculated_mass", "mass"), ["wdp"]).first().xml)
     assert node.find(".//search_hit").get("protein") == "P&1" and node.find(".//search_score").get("value") == "4.5"
-    spectra.write_pin(df, str(tmp_path / "pin"), ["wdp"])
-    line = spark.read.text(str(tmp_path / "pin")).where("value like 'f.3%'").first().value
-    assert line == "f.3.1\t1\t3\t900.0\t4.5\tA<K\tP&1\tP2"
