@@ -11,8 +11,9 @@ pair by pair in small buckets and block by block in large ones, so a link is los
 key in common: at a similarity of 0.75 with probability (1 - 0.75 ** 4) ** 36 = 1e-6, or where
 signatures of similar documents agree in fewer than ``AGREE`` minima (5 standard deviations).
 
-Each class is a node with a number of its own, so rows of one id with different texts are documents
-of their own; a component is named by the smallest id of its rows.
+Each class is a node, numbered by its smallest id, or, where an id has several texts and is the
+smallest of several classes, by a number below all ids; so rows of one id with different texts are
+documents of their own. A component is named by the smallest id of its rows.
 
 Shingles are compared by 64-bit hashes. Cases: null or empty texts, or texts without words, have
 the empty set and are components of their own; fewer than five words are one shingle; equal
@@ -225,14 +226,24 @@ def unsettled(keys: DataFrame, found: DataFrame) -> DataFrame:
     return at.select("key", "node", "comp", "company", several).where("several").drop("several")
 
 
+def numbered(classes: DataFrame, store: Tables) -> DataFrame:
+    """Classes (k1, k2, rep) with the numbers of their nodes."""
+    shared = store.save(classes.groupBy("rep").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1").select("rep"), "shared")
+    if not (n := shared.count()):
+        return classes.withColumn("node", F.col("rep"))
+    below = min(classes.agg(F.min("rep")).first()[0], 0) - 1
+    marked = shared.withColumn("_s", F.lit(True))
+    own = F.when(F.col("_s"), F.lit(below) - F.monotonically_increasing_id()).otherwise(F.col("rep"))
+    return store.save(classes.join(F.broadcast(marked) if n <= BROADCAST_IDS else marked, "rep", "left").select("k1", "k2", "rep", own.alias("node")), "nodes")
+
+
 def cluster(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     spark = docs.sparkSession
     store = Tables(spark, "minhash")
     docs = pick(docs, doc_id=doc_id, text=text)
     sigs = store.save(signatures(docs), "sigs")
-    classes = sigs.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    nodes = store.save(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = numbered(store.save(sigs.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes"), store)
     reps = sigs.join(nodes.select(F.col("k1").alias("x1"), F.col("k2").alias("x2"), "rep", "node"), (F.col("k1") == F.col("x1")) & (F.col("k2") == F.col("x2")) & (F.col("doc_id") == F.col("rep")))
     reps = store.save(reps.select("node", "n", "sig", "bands").dropDuplicates(["node"]), "reps")
     by_key = Window.partitionBy("key")
@@ -270,7 +281,7 @@ def cluster(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     named = store.save(nodes.join(members.join(names, "comp").select("node", "component_id"), "node", "left").select("k1", "k2", F.coalesce("component_id", "rep").alias("component_id")), "named")
     spent = [f"{part}{turn}" for turn in range(TURNS) for part in ("large", "pairs", "found")]
     spent += [f"{name}-{part}" for name in ("hub", "more", *(f"turn{turn}" for turn in range(TURNS))) for part in ("close", "ids", "links")]
-    store.drop("nodes", "reps", "keys", "pairs", "found", "left", "more", "members", "names", "block-ids", "block-sets", "block-links", *spent)
+    store.drop("classes", "shared", "nodes", "reps", "keys", "pairs", "found", "left", "more", "members", "names", "block-ids", "block-sets", "block-links", *spent)
     own = sigs.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
     component = F.coalesce("component_id", "doc_id")
     return own.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
