@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from spectraloom.store import checkpointed
+from spectraloom.store import saved
+
+
+#: Edges that one task goes through in order.
+IN_ORDER = 200_000
 
 
 def merge_indistinguishable(edges: DataFrame, protein: str, peptide: str) -> DataFrame:
@@ -38,59 +41,93 @@ def concat_ordered(df: DataFrame, key: str, order: list[str], values: list[str])
     return out.select(key, *(F.array_join(F.col("_r")[v].cast("array<string>"), ",").alias(v) for v in values))
 
 
-def labels(edges: DataFrame, protein: str, peptide: str) -> DataFrame:
-    """Connected component of each protein: the least protein that it reaches through peptides.
-    Each round takes the least label of all that share a peptide, and then the label that this one
-    had, so that labels go twice as far from round to round; the last round is one without a change."""
-    pairs = edges.select(F.col(protein).alias("p"), F.col(peptide).alias("q")).distinct()
-    at = pairs.select("p").distinct().withColumn("c", F.col("p"))
-    while True:
-        least = pairs.join(at, "p").groupBy("q").agg(F.min("c").alias("m"))
-        hop = pairs.join(least, "q").groupBy("p").agg(F.min("m").alias("m"))
-        new = checkpointed(hop.join(at.toDF("m", "o"), "m").select("p", F.least("m", "o").alias("c")))
-        if new.join(at.withColumnRenamed("c", "o"), "p").where("c <> o").isEmpty():
-            return new
-        at = new
-
-
-def _cover(groups: list[tuple[str, frozenset]], least: int, unique: int) -> list[str]:
-    """Greedy cover of one component: first proteins with enough peptides of their own, each of which
-    takes away those that have no peptide but its own; then, again and again, the one with the most
-    peptides that remains, which takes away all that share a peptide with it; ties by name."""
-    chosen, left = [], dict(groups)
-    owners: dict = {}
-    for p, s in groups:
-        for q in s:
-            owners.setdefault(q, set()).add(p)
-    for p, s in sorted(groups):
-        if len(s) >= least and sum(len(owners[q]) == 1 for q in s) >= max(unique, 1):
-            chosen.append(p)
-            for o in {o for q in s for o in owners[q]}:
-                if o == p or o in left and left[o] <= s:
-                    left.pop(o, None)
-    for p, s in sorted(left.items(), key=lambda x: (-len(x[1]), x[0])):
-        if p not in left or sum(len(owners[q]) == 1 for q in s) < unique:
-            continue
-        if len(s) < least:
-            break
-        chosen.append(p)
-        for o in {o for q in s for o in owners[q]}:
-            left.pop(o, None)
-    return sorted(chosen)
-
-
 def parsimony(edges: DataFrame, protein: str, peptide: str, least: int = 1, unique: int = 0) -> DataFrame:
-    """Accepted groups of indistinguishable proteins. The graph is split into connected components,
-    each of which is solved in a task of its own: the cover is sequential within one."""
+    """Accepted groups of indistinguishable proteins: first those with enough peptides of their own, each
+    of which takes away the groups that have no peptide but its own; then, of what remains, one after
+    the other by number of peptides (the largest first) and name, each of which takes away all that share
+    a peptide with it.
+
+    The second part goes in rounds: every group that comes before all others of each of its peptides
+    is accepted at once, which is what the order gives, and edges of those taken away leave the table. Rounds
+    follow the longest chain of groups that wait for each other, not the number of groups; nothing is
+    gathered by component, so one giant component is as good as many small ones. When no more than
+    ``IN_ORDER`` edges are left, one task goes through them in order."""
     group = F.concat(F.lit("{"), F.array_join("proteins", ","), F.lit("}"))
     merged = merge_indistinguishable(edges.withColumn(protein, F.col(protein).cast("string")), protein, peptide)
-    named = merged.select(F.when(F.size("proteins") > 1, group).otherwise(F.col("proteins")[0]).alias("protein_group"), F.explode("peptides").alias("_q")).withColumn("_q", F.col("_q").cast("string"))
-    comp = labels(named, "protein_group", "_q").withColumnRenamed("p", "protein_group")
-
-    def solve(pdf):
-        import pandas as pd
+    pairs = saved(merged.select(F.when(F.size("proteins") > 1, group).otherwise(F.col("proteins")[0]).alias("g"), F.explode("peptides").alias("q")))
+    owners = pairs.groupBy("q").agg(F.count(F.lit(1)).alias("owners"))
+    with_n = saved(pairs.join(owners, "q"))
+    sizes = saved(with_n.groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("owners") == 1).alias("own")))
+    first = saved(sizes.where((F.col("size") >= least) & (F.col("own") >= max(unique, 1))).select("g"))
+    others = with_n.join(sizes.where("own = 0"), "g").join(first, "g", "left_anti")
+    gone = saved(subsets(others, pairs.join(first, "g", "left_semi")))
+    left = sizes.where((F.col("size") >= least) & (F.col("own") >= unique)).join(first, "g", "left_anti").join(gone, "g", "left_anti")
+    left = saved(pairs.join(left, "g").select("g", "q", "size"))
+    accepted = first
+    while left.count() > IN_ORDER:
+        best = left.groupBy("q").agg(F.min_by("g", F.struct(-F.col("size"), "g")).alias("best"))
+        won = saved(left.join(best, "q").groupBy("g").agg(F.bool_and(F.col("best") == F.col("g")).alias("won")).where("won").select("g"))
+        taken = left.join(won, "g", "left_semi").select("q").distinct()
+        left = saved(left.join(left.join(taken, "q", "left_semi").select("g").distinct(), "g", "left_anti"))
+        accepted = accepted.union(won)
+    rest = left.groupBy("g", "size").agg(F.collect_list("q").alias("qs")).repartition(1).sortWithinPartitions(F.desc("size"), "g")
+    return accepted.union(rest.mapInArrow(in_order, "g string")).withColumnRenamed("g", "protein_group")
+
+
+def in_order(batches):
+    """Groups one after the other, each unless an accepted one has one of its peptides."""
+    import pyarrow as pa
+
+    taken: set = set()
+    for batch in batches:
+        won = []
+        for g, qs in zip(batch.column("g").to_pylist(), batch.column("qs").to_pylist()):
+            if taken.isdisjoint(qs):
+                won.append(g)
+                taken.update(qs)
+        yield pa.RecordBatch.from_arrays([pa.array(won, pa.string())], ["g"])
+
+
+def subsets(others: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The groups of others (g, q, owners, size) whose peptides some group of chosen (g, q) has all. Each is
+    held only against the chosen owners of its rarest peptide."""
+    rarest = others.groupBy("g").agg(F.min_by("q", F.struct("owners", "q")).alias("q"))
+    tried = rarest.join(chosen.select(F.col("g").alias("p"), "q"), "q").select("g", "p")
+    met = others.join(tried, "g").join(chosen.select(F.col("g").alias("p"), "q"), ["p", "q"])
+    return met.groupBy("g", "p", "size").agg(F.count(F.lit(1)).alias("met")).where("met = size").select("g").distinct()
+
+
+def probabilities(edges: DataFrame, protein: str, peptide: str, probability: str, tolerance: float = 1e-4, rounds: int = 100) -> DataFrame:
+    """Pairs of protein and peptide with what the peptide counts for the protein and how likely the
+    protein is there: ``weight`` (of a peptide, summing to 1 over its proteins), ``protein_probability``
+    and ``razor``, whether the peptide is assigned to the protein.
+
+    A protein is there unless all of its peptides are wrong or come from others: 1 less the product of
+    1 - weight * probability; a peptide's weights are in proportion to the probabilities of its proteins.
+    Weights begin equal, and both are computed in turn until no probability moves by ``tolerance`` or
+    more. A peptide's razor protein is the likeliest, of equals (to 6 places) the one of most peptides, then
+    the first by name. Pairs that repeat count with their best probability, null ones not at all."""
+    known = edges.where(F.col(probability).isNotNull() & F.col(protein).isNotNull() & F.col(peptide).isNotNull())
+    pairs = known.groupBy(F.col(protein).alias("a"), F.col(peptide).alias("b")).agg(F.max(probability).cast("double").alias("p"))
+    degree = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    now = saved(pairs.join(degree, "b").select("a", "b", "p", (1 / F.col("n")).alias("w"), F.lit(-1.0).alias("old")))
+    for _ in range(rounds):
+        whole = now.groupBy("a").agg((1 - F.product(1 - F.col("w") * F.col("p"))).alias("whole"))
+        with_p = now.join(whole, "a")
+        sums = with_p.groupBy("b").agg(F.sum("whole").alias("total"), F.count(F.lit(1)).alias("n"))
+        weight = F.when(F.col("total") > 0, F.col("whole") / F.col("total")).otherwise(1 / F.col("n"))
+        now = saved(with_p.join(sums, "b").select("a", "b", "p", weight.alias("w"), F.col("whole").alias("new"), F.abs(F.col("whole") - F.col("old")).alias("moved")))
+        moved = now.agg(F.max("moved")).first()[0]
+        now = now.withColumnRenamed("new", "old")
+        if moved is None or moved < tolerance:
+            break
+    counts = now.groupBy("a").agg(F.count(F.lit(1)).alias("k"))
+    ranked = now.join(counts, "a")
+    best = ranked.groupBy("b").agg(F.min_by("a", F.struct(-F.round("old", 6), -F.col("k"), "a")).alias("best"))
+    out = ranked.join(best, "b")
+    return out.select(F.col("a").alias(protein), F.col("b").alias(peptide), F.col("p").alias(probability), F.col("w").alias("weight"), F.col("old").alias("protein_probability"), (F.col("a") == F.col("best")).alias("razor"))
 
-        sets = [(p, frozenset(x)) for p, x in pdf.groupby("protein_group")["_q"]]
-        return pd.DataFrame({"protein_group": _cover(sets, least, unique)}, dtype=object)
 
-    return named.join(comp, "protein_group").groupBy("c").applyInPandas(solve, "protein_group string")
+def protein_probabilities(pairs: DataFrame, protein: str) -> DataFrame:
+    """A row for each protein of ``probabilities``: its probability, peptides and razor peptides."""
+    return pairs.groupBy(protein).agg(F.first("protein_probability").alias("protein_probability"), F.count(F.lit(1)).alias("peptides"), F.count_if("razor").alias("razor_peptides"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spectraloom.store import saved
+
 
 def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group; Spark limits groups before and after the shuffle."""
@@ -32,76 +34,98 @@ def delta_to_next(group: list[str], score: str, ties: list[str]) -> Column:
 
 
 def best_with_ties(df: DataFrame, group: list[str], order: list[Column], peers: list[str], names: str) -> DataFrame:
-    """The best row of each group; rows that equal it in ``peers`` add to its list of names."""
-    w = Window.partitionBy(*group)
-    best = F.first(F.struct(*peers)).over(w.orderBy(*order))
-    same = df.withColumn("_n", F.row_number().over(w.orderBy(*order))).withColumn("_same", F.struct(*peers) == best)
-    joined = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("_same"), F.col(names))).over(w))))
-    return same.withColumn(names, joined).where("_n = 1").drop("_n", "_same")
-
-
-#: Ranges of scores over which running counts are taken side by side.
-RANGES = 64
-
-
-def ranges(df: DataFrame, score: str) -> Column:
-    """The number of the range of a score, from approximate quantiles (63 numbers on the driver). Only the
-    work is dealt by it: results do not depend on where the ranges end."""
-    edges = sorted(set(df.select(F.col(score).cast("double").alias("s")).approxQuantile("s", [k / RANGES for k in range(1, RANGES)], 0.25 / RANGES)))
-
-    def between(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col(score) <= F.lit(edges[mid]), between(lo, mid)).otherwise(between(mid + 1, hi))
-
-    return between(0, len(edges))
-
-
-def running(by: DataFrame, group: list[str], score: str, counts: list[str], inclusive: bool) -> DataFrame:
-    """by (a row for each score of a group, with its range _r) with each of the counts summed over all larger
-    scores (and its own): within its range by a window, over the ranges above by their totals."""
-    within = Window.partitionBy(*group, "_r").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    above = Window.partitionBy(*group).orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = by.groupBy(*group, "_r").agg(*(F.sum(c).alias(f"{c}_all") for c in counts))
-    totals = totals.select(*group, "_r", *(F.coalesce(F.sum(f"{c}_all").over(above), F.lit(0)).alias(f"{c}_all") for c in counts))
-    out = by.withColumns({c: F.coalesce(F.sum(c).over(within), F.lit(0)) for c in counts})
-    out = out.join(F.broadcast(totals), [*group, "_r"])  # RANGES rows for each partition value
-    return out.withColumns({c: F.col(c) + F.col(f"{c}_all") for c in counts}).drop(*(f"{c}_all" for c in counts))
+    """The best row of each group, with the names (array) of all rows that equal it in ``peers``: groups are
+    cut to their best row before they are shuffled, and names are gathered of its peers alone."""
+    best = top_k(df, group, order, 1, "_n").drop("_n", names)
+    like = best.select(*(F.col(c).alias(f"_g_{c}") for c in group), *(F.col(c).alias(f"_b_{c}") for c in peers))
+    on = [df[c].eqNullSafe(F.col(f"_g_{c}")) for c in group] + [df[c].eqNullSafe(F.col(f"_b_{c}")) for c in peers]
+    same = df.join(like, on).select(*group, F.explode_outer(names).alias("_name"))
+    known = same.groupBy(*group).agg(F.array_sort(F.collect_set("_name")).alias(names)).select(*(F.col(c).alias(f"_g_{c}") for c in group), names)
+    out = best.join(known, [best[c].eqNullSafe(F.col(f"_g_{c}")) for c in group])
+    return out.select(*df.columns)
+
+
+#: Rows of a range over which running counts are taken, rows that one range holds without more ado, and
+#: rows that are broadcast (a number and a partition value or two each).
+ROWS, FEW, BROADCAST = 1_000_000, 50_000, 100_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST else df
+
+
+def in_ranges(df: DataFrame, order: list[Column]) -> tuple[DataFrame, bool]:
+    """df saved with _r, the number of the range of the order that a row lies in, and whether there are
+    several: as many as there are partitions of a shuffle, more where there are many rows, one where they
+    are FEW. Equal rows may lie in several."""
+    once = saved(df)
+    rows = once.count()
+    if rows <= FEW:
+        return once.withColumn("_r", F.lit(0)), False
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // ROWS)
+    return saved(once.repartitionByRange(n, *order).withColumn("_r", F.spark_partition_id())), True
+
+
+def beside(df: DataFrame, group: list[str], totals: DataFrame) -> DataFrame:
+    """df with the columns of totals, which has a row for each range and group (_q and _g_ columns)."""
+    totals = saved(totals)
+    on = [F.col("_r") == F.col("_q"), *(F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group)]
+    return df.join(small(totals, totals.count()), on).drop("_q", *(f"_g_{c}" for c in group))
+
+
+def running(df: DataFrame, several: bool, group: list[str], order: list[Column], counts: dict[str, Column]) -> DataFrame:
+    """df, which ``in_ranges`` dealt by group and order, with counts summed over all rows of the group up to
+    each: in its range by a window, over the ranges before by their totals."""
+    within = Window.partitionBy("_r", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = df.withColumns({k: F.sum(v).over(within) for k, v in counts.items()})
+    if not several:
+        return out
+    before = Window.partitionBy(*group).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy("_r", *group).agg(*(F.sum(v).alias(f"_{k}") for k, v in counts.items()))
+    totals = totals.select(F.col("_r").alias("_q"), *(F.col(c).alias(f"_g_{c}") for c in group), *(F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in counts))
+    return beside(out, group, totals).withColumns({k: F.col(k) + F.col(f"_{k}") for k in counts}).drop(*(f"_{k}" for k in counts))
 
 
 def fdr_cutoff(df: DataFrame, score: str, decoy: str, threshold: float, order: list[Column], partition: list[str] | None = None, first_of: list[str] | None = None) -> DataFrame:
     """Rows whose score reaches that of the longest prefix, by score and then ``order``, with
     decoys / targets at most threshold (a prefix without targets does not count).
 
-    Running counts are the counts of all larger scores, summed over a row for each score and side by
-    side in ranges of scores, plus those within the rows of one score, so no window holds all rows. With
-    ``first_of`` only the first row of each combination of those columns counts, as for peptides."""
-    group = partition or []
-    counted = df
+    Rows are dealt over ranges of the whole order, ties among them too, and prefix counts are those
+    within a range on top of the totals of the ranges before, so no task holds all rows or all of one
+    score. With ``first_of`` only the first row of each combination of those columns counts, as for
+    peptides. Without partitions the cut is one number, which reaches the scan of df as a filter."""
+    group, counted = partition or [], df
     if first_of:
         w = Window.partitionBy(*group, *first_of).orderBy(F.desc(score), *order)
         counted = counted.withColumn("_f", F.row_number().over(w)).where("_f = 1")
-    t, d = (~F.col(decoy)).cast("long"), F.col(decoy).cast("long")
-    by = counted.groupBy(*group, score).agg(F.sum(t).alias("_t"), F.sum(d).alias("_d")).withColumn("_r", ranges(df, score))
-    before = running(by, group, score, ["_t", "_d"], False).drop("_r")
-    w = Window.partitionBy(*group, score).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    run = counted.select(*group, score, F.sum(t).over(w).alias("_t2"), F.sum(d).over(w).alias("_d2")).join(before, [*group, score])
-    run = run.withColumn("_t", F.col("_t") + F.col("_t2")).withColumn("_d", F.col("_d") + F.col("_d2")).where((F.col("_t") > 0) & (F.col("_d") <= threshold * F.col("_t")))
-    cut = run.groupBy(*group).agg(F.min(score).alias("_cut"))
-    met = df.join(F.broadcast(cut), group) if group else df.crossJoin(F.broadcast(cut))  # a row for each partition value
-    return met.where(F.col(score) >= F.col("_cut")).drop("_cut")
+    ties = [F.asc(o) if isinstance(o, str) else o for o in order]
+    names = dict.fromkeys([*group, score, decoy, *(o for o in order if isinstance(o, str))])
+    needed = counted.select(*names) if all(isinstance(o, str) for o in order) else counted
+    by = [F.desc(score), *ties]
+    dealt, several = in_ranges(needed.where(F.col(score).isNotNull()), [*(F.asc(c) for c in group), *by])
+    run = running(dealt, several, group, by, {"_t": (~F.col(decoy)).cast("long"), "_d": F.col(decoy).cast("long")})
+    good = run.where((F.col("_t") > 0) & (F.col("_d") <= threshold * F.col("_t")))
+    if not group:
+        cut = good.agg(F.min(score)).first()[0]
+        return df.where(F.col(score) >= F.lit(cut)) if cut is not None else df.limit(0)
+    cuts = saved(good.groupBy(*group).agg(F.min(score).alias("_cut")))
+    return df.join(small(cuts, cuts.count()), group).where(F.col(score) >= F.col("_cut")).drop("_cut")
 
 
 def q_values(df: DataFrame, score: str, decoy: str, partition: list[str] | None = None) -> DataFrame:
     """Each row with the least decoys / targets of any prefix that holds it. Rows without a score get no
-    q-value and are left out."""
+    q-value and are left out. Counts are taken by distinct score, in ranges of scores."""
     group = partition or []
-    by = df.where(F.col(score).isNotNull()).groupBy(*group, score).agg(F.sum((~F.col(decoy)).cast("long")).alias("_t"), F.sum(F.col(decoy).cast("long")).alias("_d")).withColumn("_r", ranges(df, score))
-    rate = (F.col("_d") / F.greatest(F.col("_t"), F.lit(1))).alias("_q")
-    rates = running(by, group, score, ["_t", "_d"], True).select(*group, score, "_r", rate)
-    up = Window.partitionBy(*group, "_r").orderBy(F.asc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    below = Window.partitionBy(*group).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    least = rates.groupBy(*group, "_r").agg(F.min("_q").alias("_l")).select(*group, "_r", F.min("_l").over(below).alias("_l"))
-    found = rates.join(F.broadcast(least), [*group, "_r"]).select(*group, score, F.least(F.min("_q").over(up), F.col("_l")).alias("q_value"))
-    return df.join(found, [*group, score])
+    by = df.where(F.col(score).isNotNull()).groupBy(*group, score).agg(F.sum((~F.col(decoy)).cast("long")).alias("_n"), F.sum(F.col(decoy).cast("long")).alias("_m"))
+    dealt, several = in_ranges(by, [*(F.asc(c) for c in group), F.desc(score)])
+    run = running(dealt, several, group, [F.desc(score)], {"_t": F.col("_n"), "_d": F.col("_m")})
+    rates = run.select(*group, score, "_r", (F.col("_d") / F.greatest(F.col("_t"), F.lit(1))).alias("_rate"))
+    up = Window.partitionBy("_r", *group).orderBy(F.asc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    least = F.min("_rate").over(up)
+    found = rates.withColumn("q_value", least)
+    if several:
+        after = Window.partitionBy(*group).orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, -1)
+        ends = rates.groupBy("_r", *group).agg(F.min("_rate").alias("_l"))
+        ends = ends.select(F.col("_r").alias("_q"), *(F.col(c).alias(f"_g_{c}") for c in group), F.min("_l").over(after).alias("_l"))
+        found = beside(found, group, ends).withColumn("q_value", F.least("q_value", "_l"))
+    return df.join(found.select(*group, score, "q_value"), [*group, score])

@@ -12,10 +12,10 @@ from spectraloom.operators import ranking
 from spectraloom.store import checkpointed
 
 
-def logistic(train: DataFrame, df: DataFrame, features: list[str], label: str = "label", cost: float = 1.0, name: str = "probability") -> DataFrame:
-    """df with the probability of label 1 by a regression with L2 penalty 1 / cost for all rows
-    together. Rows of train without a label or a feature are not used; a row of df without a
-    feature has no probability."""
+def logistic(train: DataFrame, df: DataFrame, features: list[str], label: str = "label", cost: float = 1.0, name: str = "probability", margin: bool = False) -> DataFrame:
+    """df with the probability of label 1 (or its log odds, the ``margin``) by a regression with L2
+    penalty 1 / cost for all rows together. Rows of train without a label or a feature are not used; a row of
+    df without a feature has no probability."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
@@ -29,7 +29,7 @@ def logistic(train: DataFrame, df: DataFrame, features: list[str], label: str =
     whole = F.lit(True)
     for f in features:
         whole = whole & F.col(f).isNotNull()
-    out = model.transform(put.transform(df)).withColumn(name, F.when(whole, vector_to_array("_p")[1]))
+    out = model.transform(put.transform(df)).withColumn(name, F.when(whole, vector_to_array("_r" if margin else "_p")[1]))
     return out.drop("_x", "_r", "_p", "_l")
 
 
@@ -109,24 +109,64 @@ def _merged(v: list[float], k: list[int], threshold: float) -> list[tuple[int, f
     return [(size[i], mean(i), (spread[i] / size[i]) ** 0.5) for i in range(n) if alive[i]]
 
 
-def semi_supervised(df: DataFrame, features: list[str], score: str, keys: list[str], decoy: str = "is_decoy", rounds: int = 3, folds: int = 3, at: float = 0.01) -> DataFrame:
+def levelled(df: DataFrame, score: str, decoy: str, at: float) -> DataFrame:
+    """df with its scores shifted and scaled so that 0 is the least score of a target under the cutoff (the
+    largest score if there is none) and -1 the median of the decoys: scores of models that were trained
+    apart can then be ranked together."""
+    under = ranking.q_values(df, score, decoy).where(~F.col(decoy) & (F.col("q_value") <= at)).agg(F.min(score).alias("cut"))
+    cut, (top, low) = under.first()[0], df.agg(F.max(score), F.percentile_approx(F.when(F.col(decoy), F.col(score)), 0.5, 10_000)).first()
+    cut = top if cut is None else cut
+    if cut is None:
+        return df
+    width = cut - low if low is not None and cut > low else 1.0
+    return df.withColumn(score, (F.col(score) - F.lit(float(cut))) / F.lit(float(width)))
+
+
+def trained(df: DataFrame, score: str, decoy: str, at: float) -> DataFrame:
+    """df with _label: 0 of decoys, 1 of targets under the cutoff, null of others."""
+    found = ranking.q_values(df, score, decoy)
+    return found.withColumn("_label", F.when(F.col(decoy), 0).when(F.col("q_value") <= at, 1)).drop("q_value")
+
+
+def semi_supervised(df: DataFrame, features: list[str], score: str, keys: list[str], decoy: str = "is_decoy", rounds: int = 3, folds: int = 3, at: float = 0.01, costs: tuple[float, ...] = (1.0,)) -> DataFrame:
     """df with ``rescored`` and ``q_value``: in each round, targets under the cutoff by the score so
     far and all decoys train a regression, which scores the fold that it did not see. Folds are dealt
-    by a hash of ``keys``. With no target under the cutoff the score stays what it was."""
-    out = df.withColumn("rescored", F.col(score).cast("double")).withColumn("_fold", F.pmod(F.xxhash64(*keys), F.lit(folds)))
+    by a hash of ``keys``. Of several costs, the one that puts most targets of the folds held out within the
+    training folds under the cutoff is taken. The scores of each fold are levelled by its own cutoff and
+    decoys before folds are ranked together. With no target under the cutoff a fold's score stays what it
+    was; rows without a feature have no score."""
+    dealt = df.withColumn("rescored", F.col(score).cast("double")).withColumn("_fold", F.pmod(F.xxhash64(*keys), F.lit(folds)))
+    out = checkpointed(dealt)
     for _ in range(rounds):
         parts = []
         for fold in range(folds):
-            train = ranking.q_values(out.where(F.col("_fold") != fold), "rescored", decoy)
-            label = F.when(F.col(decoy), 0).when(F.col("q_value") <= at, 1)
-            train = train.withColumn("_label", label)
-            seen = {r[0] for r in train.select("_label").distinct().collect()}
+            train = trained(out.where(F.col("_fold") != fold), "rescored", decoy, at)
             part = out.where(F.col("_fold") == fold)
-            if {0, 1} <= seen:
-                part = logistic(train, part.drop("rescored"), features, "_label", name="rescored")
+            if {0, 1} <= {r[0] for r in train.select("_label").distinct().collect()}:
+                part = logistic(train, part.drop("rescored"), features, "_label", best_cost(train, features, decoy, fold, folds, at, costs), "rescored", True)
+                part = levelled(part, "rescored", decoy, at)
             parts.append(part.select(*out.columns))
-        out = parts[0]
+        whole = parts[0]
         for part in parts[1:]:
-            out = out.unionByName(part)
-        out = checkpointed(out)
+            whole = whole.unionByName(part)
+        out = checkpointed(whole)
     return ranking.q_values(out.drop("_fold"), "rescored", decoy)
+
+
+def best_cost(train: DataFrame, features: list[str], decoy: str, fold: int, folds: int, at: float, costs: tuple[float, ...]) -> float:
+    """The cost of the regression that, trained without one of the training folds, puts most of that fold's
+    targets under the cutoff, summed over the training folds; the first among equals."""
+    if len(costs) == 1:
+        return costs[0]
+    inner = [k for k in range(folds) if k != fold]
+
+    def found(cost: float) -> int:
+        n = 0
+        for held in inner:
+            seen, rest = train.where(F.col("_fold") != held), train.where(F.col("_fold") == held)
+            if {0, 1} <= {r[0] for r in seen.select("_label").distinct().collect()}:
+                scored = logistic(seen, rest, features, "_label", cost, "_inner", True)
+                n += ranking.q_values(scored, "_inner", decoy).where(~F.col(decoy) & (F.col("q_value") <= at)).count()
+        return n
+
+    return max(costs, key=found)

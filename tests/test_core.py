@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,11 +45,85 @@ def test_parsimony(spark):
     assert got == {"{A,B}", "E", "F"}
 
 
-def test_parsimony_of_a_long_chain(spark):
-    sets = [(f"p{k:03}", frozenset(f"q{x}" for x in (k - 1, k) if 0 <= x < 119)) for k in range(120)]
-    edges = spark.createDataFrame([(p, q) for p, s in sets for q in s], "p string, q string")
-    assert {r.c for r in proteins.labels(edges, "p", "q").collect()} == {"p000"}
-    assert sorted(r.protein_group for r in proteins.parsimony(edges, "p", "q").collect()) == proteins._cover(sets, 1, 0)
+def in_sequence(groups, least, unique):
+    """Greedy cover, one protein after the other: first proteins with enough peptides of their own, each of which
+    takes away those that have no peptide but its own; then, again and again, the one with the most
+    peptides that remains, which takes away all that share a peptide with it; ties by name."""
+    chosen, left = [], dict(groups)
+    owners: dict = {}
+    for p, s in groups:
+        for q in s:
+            owners.setdefault(q, set()).add(p)
+    for p, s in sorted(groups):
+        if len(s) >= least and sum(len(owners[q]) == 1 for q in s) >= max(unique, 1):
+            chosen.append(p)
+            for o in {o for q in s for o in owners[q]}:
+                if o == p or o in left and left[o] <= s:
+                    left.pop(o, None)
+    for p, s in sorted(left.items(), key=lambda x: (-len(x[1]), x[0])):
+        if p not in left or sum(len(owners[q]) == 1 for q in s) < unique:
+            continue
+        if len(s) < least:
+            break
+        chosen.append(p)
+        for o in {o for q in s for o in owners[q]}:
+            left.pop(o, None)
+    return sorted(chosen)
+
+
+@pytest.mark.parametrize("at_once", [0, 200_000])
+def test_parsimony_equals_the_sequence(spark, monkeypatch, at_once):
+    monkeypatch.setattr(proteins, "IN_ORDER", at_once)
+    r = random.Random(7)
+    for n, m, most, least, unique in ((150, 120, 4, 1, 0), (80, 300, 9, 2, 0), (120, 150, 5, 2, 1), (60, 40, 3, 1, 2)):
+        sets = {}
+        for k in range(n):
+            sets.setdefault(frozenset(min(int(r.expovariate(0.03)), m) for _ in range(r.randint(1, most))), f"p{k:03}")
+        edges = [(p, f"q{q}") for s, p in sets.items() for q in s]
+        got = proteins.parsimony(spark.createDataFrame(edges * 2, "p string, q string"), "p", "q", least, unique).collect()
+        assert sorted(x.protein_group for x in got) == in_sequence([(p, s) for s, p in sets.items()], least, unique)
+    chain = [(f"p{k:03}", frozenset(f"q{x}" for x in (k - 1, k) if 0 <= x < 9)) for k in range(10)]
+    edges = spark.createDataFrame([(p, q) for p, s in chain for q in s], "p string, q string")
+    assert sorted(x.protein_group for x in proteins.parsimony(edges, "p", "q").collect()) == in_sequence(chain, 1, 0)
+    assert proteins.parsimony(edges.limit(0), "p", "q").collect() == []
+
+
+def brute_probabilities(edges, tolerance):
+    p = {}
+    for a, b, x in edges:
+        if None not in (a, b, x):
+            p[a, b] = max(p.get((a, b), 0), x)
+    owners, parts = {}, {}
+    for a, b in p:
+        owners.setdefault(b, []).append(a)
+        parts.setdefault(a, []).append(b)
+    w, old = {(a, b): 1 / len(owners[b]) for a, b in p}, {}
+    while True:
+        new = {a: 1 - math.prod(1 - w[a, b] * p[a, b] for b in bs) for a, bs in parts.items()}
+        for b, others in owners.items():
+            total = sum(new[a] for a in others)
+            for a in others:
+                w[a, b] = new[a] / total if total else 1 / len(others)
+        if all(abs(new[a] - old.get(a, -1)) < tolerance for a in new):
+            razor = {b: min(others, key=lambda a: (-round(new[a], 6), -len(parts[a]), a)) for b, others in owners.items()}
+            return new, w, razor
+        old = new
+
+
+def test_protein_probabilities(spark):
+    r = random.Random(3)
+    edges = [(f"P{r.randint(0, 199):03}", f"q{min(int(r.expovariate(0.01)), 500)}", round(r.random(), 3)) for _ in range(1500)]
+    edges += [("P900", "q900", 0.0), ("P901", "q901", 1.0), ("P901", "q0", 0.5), (None, "q1", 0.9), ("P1", None, 0.9), ("P902", "q902", None)]
+    df = spark.createDataFrame(edges, "protein string, peptide string, probability double").repartition(6)
+    got = proteins.probabilities(df, "protein", "peptide", "probability", 0.02).collect()
+    new, w, razor = brute_probabilities(edges, 0.02)
+    assert {(x.protein, x.peptide) for x in got} == set(w) and len(got) == len(w)
+    for x in got:
+        assert x.protein_probability == pytest.approx(new[x.protein], abs=1e-9) and x.weight == pytest.approx(w[x.protein, x.peptide], abs=1e-9)
+        assert x.razor == (razor[x.peptide] == x.protein)
+    table = {x.protein: x for x in proteins.protein_probabilities(spark.createDataFrame(got), "protein").collect()}
+    assert sum(x.razor_peptides for x in table.values()) == len({b for _, b in w}) and table["P900"].protein_probability == 0
+    assert proteins.probabilities(df.limit(0), "protein", "peptide", "probability").collect() == []
 
 
 def test_fdr_within_ties(spark):

@@ -291,9 +291,12 @@ def test_streams_yield_the_same_rows(spark, tmp_path):
     assert [(r.scan, r.wdp) for r in spark.table("best").collect()] == [(1, 9.0)]
 
 
-def test_running_rates_equal_brute_force(spark):
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_running_rates_equal_brute_force(spark, monkeypatch, few):
+    """In one range, and in several, between which ties are split."""
     from spectraloom.operators import ranking
 
+    monkeypatch.setattr(ranking, "FEW", few)
     r = np.random.default_rng(8)
     rows = [(int(i), int(r.integers(3)), float(r.integers(0, 200)), bool(r.random() < 0.3)) for i in range(1500)] + [(9000, 1, None, False)]
     df = spark.createDataFrame(rows, "id int, g int, s double, d boolean")

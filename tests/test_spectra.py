@@ -7,6 +7,7 @@ import pytest
 
 from spectraloom.operators import rescoring
 from spectraloom.sources import spectra
+from spectraloom.store import checkpointed
 
 MZ, HEIGHT = [100.5, 200.25, 300.125], [1.0, 2.5, 7.0]
 
@@ -79,6 +80,28 @@ def test_semi_supervised(spark):
     assert got.where("not is_decoy and q_value <= 0.05").count() > before
 
 
+def test_folds_rank_as_one_model(spark):
+    """Folds whose models differ in scale (one of them trains on few rows) rank, levelled, nearly as one
+    model does that sees all rows: as many targets are found to within a tenth."""
+    r = np.random.default_rng(8)
+    rows = [(i, i % 2 == 1, float(r.normal(3 if i % 4 == 0 else 0)), float(r.normal(3 if i % 4 == 0 else 0)), float(r.normal())) for i in range(1200)]
+    df = spark.createDataFrame(rows, "id long, is_decoy boolean, a double, b double, c double")
+    found = lambda x: x.where("not is_decoy and q_value <= 0.05").count()
+    got = checkpointed(rescoring.semi_supervised(df, ["a", "b", "c"], "a", ["id"], rounds=1, folds=2, at=0.05))
+    one = rescoring.trained(df, "a", "is_decoy", 0.05)
+    whole = rescoring.ranking.q_values(rescoring.logistic(one, df, ["a", "b", "c"], "_label", name="s", margin=True), "s", "is_decoy")
+    assert got.count() == 1200 and abs(found(got) - found(whole)) <= 0.1 * found(whole) and found(got) > 200
+    # the same scores in other units rank as before once they are levelled
+    parts = [got.where("id % 3 = 0"), got.where("id % 3 <> 0").withColumn("rescored", 7 * got["rescored"] + 100)]
+    apart = found(rescoring.ranking.q_values(parts[0].unionByName(parts[1]).drop("q_value"), "rescored", "is_decoy"))
+    even = [rescoring.levelled(p.drop("q_value"), "rescored", "is_decoy", 0.05) for p in parts]
+    level = found(rescoring.ranking.q_values(even[0].unionByName(even[1]), "rescored", "is_decoy"))
+    assert abs(level - found(got)) <= 0.1 * found(got) and level > apart
+    # nearly no weight is left at the smallest cost, so the other is taken
+    train = rescoring.trained(df.withColumn("_fold", df["id"] % 3), "a", "is_decoy", 0.05).where("_fold <> 0")
+    assert rescoring.best_cost(train, ["a", "b"], "is_decoy", 0, 3, 0.05, (1.0,)) == 1.0 and rescoring.best_cost(train, ["c"], "is_decoy", 0, 3, 0.05, (2.0, 1.0)) in (1.0, 2.0)
+
+
 def test_pepxml(spark):
     import xml.etree.ElementTree as ET
 
