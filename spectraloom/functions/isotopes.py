@@ -42,13 +42,3 @@ def power(masses, probs, n: int, least: float = 1e-6):
         if n:
             base = convolve_peaks(*base, *base, least)
     return out
-
-
-def ions(masses: list[float], proton: float = 1.00727646688, water: float = 18.0105647) -> tuple[list[float], list[float]]:
-    """b and y ions (single charge) from residue masses."""
-    b, total = [], 0.0
-    for m in masses[:-1]:
-        total += m
-        b.append(total + proton)
-    whole = sum(masses) + water
-    return b, [whole - x + 2 * proton for x in reversed(b)]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import floor
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,7 +60,3 @@ def left_pivot(base: DataFrame, rows: DataFrame, key: str, by: str, values: list
     aggregation and one left join, whatever the number of samples."""
     wide = rows.groupBy(key).pivot(by, values).agg(*(a.alias(n) for n, a in aggregates.items()))
     return base.join(wide, key, "left")
-
-
-def bins_of(value: float, width: float) -> int:
-    return floor(value / width)

@@ -102,7 +102,7 @@ def relative_leads(df: DataFrame, group: list[str], scores: list[str], ties: lis
     return df
 
 
-def merged_runs(frames: list[DataFrame], group: list[str]) -> DataFrame:
+def merged_runs(frames: list[DataFrame]) -> DataFrame:
     """Search results of one run, one after the other for each spectrum: a union, with the number of the
     search; spectra meet by their key, so files need no common order."""
     out = None

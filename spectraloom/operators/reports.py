@@ -125,11 +125,14 @@ def back_filled(psms: DataFrame, peptide: str, proteins: str) -> DataFrame:
 
 def containing(peptides: DataFrame, proteins: DataFrame, peptide: str, seq: str, k: int = 5) -> DataFrame:
     """Pairs of a peptide and a protein that contains it: an equi-join on the first k letters (all of a
-    shorter peptide) with the distinct strings of that length of each protein, and an exact test. No pair is
-    tried that does not share such a string. Empty peptides are in no protein."""
+    shorter peptide) with the distinct strings of that length of each protein, and an exact test. Only the
+    lengths that peptides have (k numbers at most) are cut out of proteins, and no pair is tried that does not
+    share such a string. Empty peptides are in no protein."""
     sized = peptides.where(F.length(peptide) > 0).withColumn("_k", F.least(F.length(peptide), F.lit(k))).withColumn("_w", F.expr(f"substring(`{peptide}`, 1, _k)"))
+    lengths = sorted(r[0] for r in sized.select("_k").distinct().collect())
     starts = lambda n: F.transform(F.sequence(F.lit(1), F.length(seq) - n + 1), lambda i: F.substring(F.col(seq), i, F.lit(n)))
-    each = F.concat(*(F.when(F.length(seq) >= n, F.array_distinct(starts(n))).otherwise(F.array().cast("array<string>")) for n in range(1, k + 1)))
+    none = F.array().cast("array<string>")
+    each = F.concat(none, *(F.when(F.length(seq) >= n, F.array_distinct(starts(n))).otherwise(none) for n in lengths))
     grams = proteins.where(F.col(seq).isNotNull()).withColumn("_w", F.explode(each))
     return sized.join(grams, "_w").where(F.contains(F.col(seq), F.col(peptide))).drop("_w", "_k")
 

@@ -263,11 +263,59 @@ def intensity_cut(spark, sf_dir):
     return reports.neighbours_cut(read(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_extendedprice", ["l_linenumber"], 0.8, 5).select(*ITEM)
 
 
-@query("""WITH g AS (SELECT p / 2.0::DOUBLE AS percentage FROM range(0, 200) t(p) UNION ALL SELECT 100.0)
+@query("""WITH m AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem), g AS (SELECT lo + k / 2.0::DOUBLE AS percentage FROM m, range(0, 200) t(k) WHERE lo + k / 2.0 <= hi)
 SELECT percentage, 'N15_' || printf('%07.3f', percentage) || 'Pct' AS search_name,
   greatest(2, CAST(floor(5 * (1 - 2 * (percentage / 100 - 0.5) * (percentage / 100 - 0.5)) + 0.5) AS INTEGER)) AS half_width FROM g""")
 def enrichment_grid(spark, sf_dir):
-    return sinks.grid_table(spark, "N15", 0.0, 100.0, 0.5).select("percentage", "search_name", "half_width")
+    """The grid between the least and the largest quantity."""
+    lo, hi = read(spark, sf_dir, "lineitem").agg(F.min("l_quantity"), F.max("l_quantity")).first()
+    return sinks.grid_table(spark, "N15", lo, hi, 0.5).select("percentage", "search_name", "half_width")
+
+
+def _probabilities_sql(rounds: int) -> str:
+    """The rounds of protein probabilities, one after the other."""
+    out = ["WITH e AS (SELECT l_suppkey AS a, l_partkey AS b, max(0.5 + l_discount * 4) AS p FROM lineitem GROUP BY 1, 2)", "w0 AS (SELECT e.*, 1.0::DOUBLE / count(*) OVER (PARTITION BY b) AS w FROM e)"]
+    for k in range(rounds):
+        out.append(f"p{k} AS (SELECT a, 1 - product(1 - w * p) AS prob FROM w{k} GROUP BY a)")
+        out.append(f"w{k + 1} AS (SELECT x.a, b, p, p{k}.prob AS prob, p{k}.prob / sum(p{k}.prob) OVER (PARTITION BY b) AS w FROM w{k} x JOIN p{k} ON x.a = p{k}.a)")
+    out.append(f"n AS (SELECT *, count(*) OVER (PARTITION BY a) AS k FROM w{rounds})")
+    out.append("r AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY round(prob, 6) DESC, k DESC, a) AS place FROM n)")
+    return ", ".join(out) + " SELECT a AS l_suppkey, round(max(prob), 6) AS protein_probability, count(*) AS peptides, count(*) FILTER (place = 1) AS razor_peptides FROM r GROUP BY a"
+
+
+@query(_probabilities_sql(3))
+def protein_probabilities(spark, sf_dir):
+    """Suppliers as proteins, parts as peptides: three rounds of probabilities, and razor peptides."""
+    edges = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", (0.5 + c("l_discount") * 4).alias("p"))
+    got = proteins.protein_probabilities(proteins.probabilities(edges, "l_suppkey", "l_partkey", "p", 0.0, 3), "l_suppkey")
+    return got.withColumn("protein_probability", F.round("protein_probability", 6))
+
+
+@query()
+def parsimony(spark, sf_dir):
+    """The orders of lineitem as proteins, its suppliers as peptides."""
+    return proteins.parsimony(read(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey", 2, 0)
+
+
+@query("""SELECT year(l_shipdate) AS run, count(*) FILTER (l_quantity >= 10) AS targets, count(*) FILTER (l_quantity < 10) AS decoys,
+  round(count(*) FILTER (l_quantity < 10) / count(*) FILTER (l_quantity >= 10) / 0.5::DOUBLE, 6) AS error_rate FROM lineitem GROUP BY 1 HAVING targets > 0 AND decoys > 0""")
+def run_pairs(spark, sf_dir):
+    """Runs that have targets and decoys, with how many, and the error rate that they tell."""
+    d = matches(spark, sf_dir).withColumn("run", F.year("l_shipdate").cast("long"))
+    got = merging.paired_runs(d.where("NOT is_decoy"), d.where("is_decoy"), "run")
+    return got.withColumn("error_rate", F.round(reports.error_rate(c("decoys"), c("targets"), 0.5), 6))
+
+
+@query("""WITH m AS (SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS search, * FROM lineitem),
+b AS (SELECT l_orderkey, l_partkey, search, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_extendedprice DESC, search, l_linenumber) AS n FROM m),
+s AS (SELECT l_orderkey, l_partkey, string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), ',' ORDER BY CAST(l_suppkey AS VARCHAR)) AS proteins FROM m GROUP BY 1, 2)
+SELECT l_orderkey, l_partkey, CAST(search AS INTEGER) AS search, l_extendedprice, proteins FROM b JOIN s USING (l_orderkey, l_partkey) WHERE n = 1""")
+def merged_searches(spark, sf_dir):
+    """Three searches of the same spectra, and the best match of each peptide with the proteins of all."""
+    d = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_returnflag", F.array(c("l_suppkey").cast("string")).alias("proteins"))
+    every = merging.merged_runs([d.where(c("l_returnflag") == f) for f in "ANR"])
+    best = merging.best_of_peptide(every, ["l_orderkey"], "l_partkey", "l_extendedprice", "proteins", ties=("search", "l_linenumber"))
+    return best.select("l_orderkey", "l_partkey", "search", "l_extendedprice", F.array_join("proteins", ",").alias("proteins"))
 
 
 @query("""WITH k AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_returnflag, l_linestatus) AS consensus FROM lineitem),
@@ -551,12 +599,15 @@ def run_counts(spark, sf_dir):
     return run_rows(spark, sf_dir).withColumn("balanced", F.round("balanced", 6))
 
 
-@query(RUNS + """, w AS (SELECT l_suppkey, max(CASE WHEN run = 1995 THEN total_spectra ELSE 0 END) AS a, max(CASE WHEN run = 1996 THEN total_spectra ELSE 0 END) AS b FROM r GROUP BY 1)
-SELECT l_suppkey, a AS spectra_1995, b AS spectra_1996, coalesce(CASE WHEN s_nationkey < 12 THEN s_name END, 'N/A') AS description, 'T' AS target_match FROM w JOIN supplier ON s_suppkey = l_suppkey""")
+YEARS = [1995, 1996, 1997, 1998, 1999, 2000, 2001]
+
+
+@query(RUNS + f""", w AS (SELECT l_suppkey, {", ".join(f"max(CASE WHEN run = {y} THEN total_spectra ELSE 0 END) AS spectra_{y}" for y in YEARS)} FROM r GROUP BY 1)
+SELECT w.*, coalesce(CASE WHEN s_nationkey < 12 THEN s_name END, 'N/A') AS description, 'T' AS target_match FROM w JOIN supplier ON s_suppkey = l_suppkey""")
 def protein_table(spark, sf_dir):
     known = read(spark, sf_dir, "supplier").where("s_nationkey < 12").select(c("s_suppkey").alias("protein_id"), c("s_name").alias("description"))
-    got = reports.protein_table(run_rows(spark, sf_dir), "l_suppkey", "run", [1995, 1996], known)
-    return got.select("l_suppkey", c("1995_total_spectra").alias("spectra_1995"), c("1996_total_spectra").alias("spectra_1996"), "description", "target_match")
+    got = reports.protein_table(run_rows(spark, sf_dir), "l_suppkey", "run", YEARS, known)
+    return got.select("l_suppkey", *(c(f"{y}_total_spectra").alias(f"spectra_{y}") for y in YEARS), "description", "target_match")
 
 
 @query("""WITH n AS (SELECT DISTINCT o_custkey, o_orderpriority FROM orders), a AS (SELECT o_custkey, string_agg(o_orderpriority, ',' ORDER BY o_orderpriority) AS proteins FROM n GROUP BY 1)
@@ -566,12 +617,13 @@ def back_filled(spark, sf_dir):
     return reports.back_filled(o, "o_custkey", "proteins").select("o_orderkey", F.array_join("proteins", ",").alias("proteins"))
 
 
-@query("""WITH w AS (SELECT DISTINCT lower(substr(p_type, 1, 4)) AS word FROM part UNION SELECT DISTINCT lower(substr(p_name, 2, 7)) FROM part WHERE p_partkey % 10 = 0)
+@query("""WITH w AS (SELECT DISTINCT lower(p_type) AS word FROM part UNION SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) FROM part UNION SELECT DISTINCT lower(p_name) FROM part)
 SELECT word, p_partkey FROM w JOIN part ON contains(lower(p_name), word) WHERE word <> ''""")
 def containing(spark, sf_dir):
     p = read(spark, sf_dir, "part")
-    words = p.select(F.lower(F.substring("p_type", 1, 4)).alias("word")).union(p.where("p_partkey % 10 = 0").select(F.lower(F.substring("p_name", 2, 7)))).distinct()
-    return reports.containing(words, p.select("p_partkey", F.lower("p_name").alias("name")), "word", "name").select("word", "p_partkey")
+    name = F.lower("p_name")
+    words = p.select(F.lower("p_type").alias("word")).union(p.select(F.explode(F.split(name, " ")))).union(p.select(name)).distinct()
+    return reports.containing(words, p.select("p_partkey", name.alias("name")), "word", "name").select("word", "p_partkey")
 
 
 @query("""SELECT o_orderkey, c_mktsegment FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_nationkey < 10) ON o_custkey = c_custkey""")
@@ -599,10 +651,10 @@ def filtered_matches(spark, sf_dir):
     return reports.within_error(d, "l_extendedprice", "guess", 200000.0, ppm=True).select(*ITEM)
 
 
-@query("""WITH s AS (SELECT l_suppkey, l_linestatus, list_sort(list(DISTINCT l_linenumber)) AS s FROM lineitem WHERE l_quantity > 45 GROUP BY 1, 2)
+@query("""WITH s AS (SELECT l_suppkey, l_linestatus, list_sort(list(DISTINCT l_linenumber)) AS s FROM lineitem GROUP BY 1, 2)
 SELECT string_agg(k, ',' ORDER BY k) AS clusters, CAST(len(s) AS INTEGER) AS spectra FROM (SELECT CAST(l_suppkey AS VARCHAR) || l_linestatus AS k, s FROM s) GROUP BY s""")
 def same_spectra(spark, sf_dir):
-    d = read(spark, sf_dir, "lineitem").where("l_quantity > 45").withColumn("cluster", F.concat(c("l_suppkey").cast("string"), "l_linestatus"))
+    d = read(spark, sf_dir, "lineitem").withColumn("cluster", F.concat(c("l_suppkey").cast("string"), "l_linestatus"))
     return reports.same_spectra(d, "cluster", "l_linenumber").select(F.array_join("clusters", ",").alias("clusters"), "spectra")
 
 
@@ -624,18 +676,20 @@ def task_list(spark, sf_dir):
     return reports.task_list(read(spark, sf_dir, "region").select("r_name"), read(spark, sf_dir, "nation").select("n_name"), kinds)
 
 
-@query(f"""WITH p AS (SELECT p_partkey, {PEPTIDE} AS s FROM part), i AS (SELECT p_partkey, s, unnest(range(1, length(s) + 1)) AS position FROM p), r AS (SELECT *, unnest(['A', 'G', 'W']) AS residue FROM i)
-SELECT p_partkey, CAST(position AS INTEGER) AS position, residue, substr(s, 1, position - 1) || residue || substr(s, position + 1) AS mutant FROM r WHERE substr(s, position, 1) <> residue""")
+@query(f"""WITH p AS (SELECT p_partkey, {PEPTIDE} AS s FROM part), i AS (SELECT p_partkey, s, unnest(range(1, length(s) + 1)) AS position FROM p), r AS (SELECT *, unnest(string_split('ACDEFGHIKLMNPQRSTVWY', '')) AS residue FROM i)
+SELECT p_partkey, CAST(position AS INTEGER) AS position, residue, mutant,
+  unnest(CASE WHEN residue IN ('K', 'R') AND position < length(s) THEN list_filter(string_split(regexp_replace(mutant, '([KR])', '\\1|', 'g'), '|'), lambda x: x <> '') ELSE [mutant] END) AS piece
+FROM (SELECT *, substr(s, 1, position - 1) || residue || substr(s, position + 1) AS mutant FROM r WHERE substr(s, position, 1) <> residue)""".replace("\\\\", "\\"))
 def substitutions(spark, sf_dir):
-    got = variants.substituted(as_peptides(spark, sf_dir).select("p_partkey", "peptide"), "peptide", "AGW")
-    return got.select("p_partkey", "position", "residue", "mutant")
+    got = variants.substituted(as_peptides(spark, sf_dir).select("p_partkey", "peptide"), "peptide")
+    return got.select("p_partkey", "position", "residue", "mutant", "piece")
 
 
 @query(f"""WITH p AS (SELECT p_partkey, list_filter(string_split(regexp_replace(regexp_replace({PEPTIDE}, '^M', ''), '([KR])', '\\1|', 'g'), '|'), lambda x: x <> '') AS p FROM part),
-i AS (SELECT p_partkey, p, unnest(range(len(p))) AS cut FROM p), r AS (SELECT *, unnest(['A', 'G']) AS residue FROM i WHERE cut < len(p) - 1 AND length(p[cut + 1]) + length(p[cut + 2]) BETWEEN 5 AND 60)
+i AS (SELECT p_partkey, p, unnest(range(len(p))) AS cut FROM p), r AS (SELECT *, unnest(string_split('ACDEFGHILMNPQSTVWY', '')) AS residue FROM i WHERE cut < len(p) - 1 AND length(p[cut + 1]) + length(p[cut + 2]) BETWEEN 5 AND 60)
 SELECT p_partkey, CAST(cut AS INTEGER) AS cut, residue, substr(p[cut + 1], 1, length(p[cut + 1]) - 1) || residue || p[cut + 2] AS mutant FROM r""".replace("\\\\", "\\"))
 def silenced_cuts(spark, sf_dir):
-    return variants.silenced(as_peptides(spark, sf_dir).select("p_partkey", "peptide"), "peptide", "AGK", least=5).select("p_partkey", "cut", "residue", "mutant")
+    return variants.silenced(as_peptides(spark, sf_dir).select("p_partkey", "peptide"), "peptide", least=5).select("p_partkey", "cut", "residue", "mutant")
 
 
 @query(f"""SELECT p_partkey, replace(replace({PEPTIDE}, 'S', 'S~'), 'ES~', 'E') AS peptide FROM part""")
@@ -702,7 +756,7 @@ def survey_envelopes(spark, sf_dir):
     peak = lambda k: F.struct((c("l_extendedprice") / 100 + k * 1.003355 / 2).alias("mz"), (c("l_quantity") * (4 - k)).alias("intensity"), F.lit(0).alias("z"))
     surveys = d.groupBy(F.lit("run").alias("file"), c("l_suppkey").alias("scan")).agg(F.flatten(F.collect_list(F.array(*(peak(k) for k in range(4))))).alias("peaks"))
     mass = (c("l_extendedprice") / 100 - peptides.PROTON) * 2
-    asked = d.where("l_linenumber = 1").select(c("l_orderkey").alias("key"), F.lit("run").alias("file"), c("l_suppkey").alias("parent_scan"), F.lit(2).alias("charge"), mass.alias("observed_mass"), mass.alias("calculated_mass"), F.lit("PEPTIDEK").alias("naked"))
+    asked = d.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"), F.lit("run").alias("file"), c("l_suppkey").alias("parent_scan"), F.lit(2).alias("charge"), mass.alias("observed_mass"), mass.alias("calculated_mass"), F.lit("PEPTIDEK").alias("naked"))
     got = envelopes.precursor_envelopes(asked, surveys, "key")
     return got.select("key", "ms1_scan", F.round("precursor_intensity", 4).alias("precursor_intensity"), F.size("isotopic_peaks").alias("peaks"), F.round("ms1_abundance", 4).alias("ms1_abundance"))
 
@@ -710,7 +764,7 @@ def survey_envelopes(spark, sf_dir):
 @query()
 def peptide_search(spark, sf_dir):
     """Every part name is a peptide and a spectrum of its own ions; each spectrum is searched among all."""
-    p = as_peptides(spark, sf_dir).where("length(peptide) >= 6").select("p_partkey", "peptide")
+    p = as_peptides(spark, sf_dir).where("length(peptide) > 1").select("p_partkey", "peptide")  # one residue has no bond
     light = scoring.monoisotopic()
     masses = F.create_map(*(F.lit(x) for r, m in light.items() for x in (r, m)))
     each = F.transform(F.split("peptide", ""), lambda r: F.coalesce(F.try_element_at(masses, r), F.lit(0.0)))

@@ -150,7 +150,3 @@ def write_tsv(df: DataFrame, path: str) -> None:
     """Arrays become {a,b}."""
     flat = [F.concat(F.lit("{"), F.array_join(c, ","), F.lit("}")).alias(c) if k.startswith("array") else F.col(c) for c, k in df.dtypes]
     df.select(*flat).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
-
-
-def fill_forward(df: DataFrame, order: str, value: str, group: list[str]) -> DataFrame:
-    return df.withColumn(value, F.last(value, True).over(Window.partitionBy(*group).orderBy(order)))
