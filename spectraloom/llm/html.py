@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from spectraloom.llm.common import map_rows, pick, table
 
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|title|textarea)(?![a-z0-9:-])[^>]*+>.*?(?:</\1\s*+>|\Z)|<(/?)([a-z][a-z0-9:-]*+)((?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)>|<[!?/][^>]*+>|<[a-z/!?][^>]*+\Z""",
+    r"""<!--.*?(?:-->|\Z)|<(script|style|title|textarea)(?![a-z0-9:-])[^>]*+>.*?(?:</\1(?=[\s/>])[^>]*+>|\Z)|<(/?)([a-z][a-z0-9:-]*+)((?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)>|<[!?/][^>]*+>|<[a-z/!?][^>]*+\Z""",
     re.S | re.I,
 )
 BLOCKS = frozenset("html body article aside section main nav header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr blockquote pre figure figcaption form fieldset address details summary dialog center hgroup menu caption noscript".split())

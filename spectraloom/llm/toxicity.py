@@ -2,11 +2,13 @@
 
 Categories are predicted one after the other by linear (logistic) models; the model of a later
 category also gets the probabilities of the earlier ones. For its training these are predicted
-out of fold, by models that did not see the document, so it learns how far they can be trusted.
+out of fold, by models that did not see the document, nor chose their features by it, so it learns how
+far they can be trusted.
 
 Features are the presence of words, of words' first four and five letters, and of marks. They
-are hashed to 32 bits; those kept are all whose chi-square in some category reaches CHI_SQUARE, found by
-an aggregation over the features. Training uses a bounded sample: the LABELLED labelled documents
+are hashed to 32 bits; those kept are all whose chi-square in some category reaches CHI_SQUARE over all
+folds, or over all but one for the models of that fold: one aggregation over the features counts them
+by fold. Training uses a bounded sample: the LABELLED labelled documents
 with the least hash of their id. Their features are a table in the shared folder; only the kept ones
 come to the driver, where the chain is fitted. All documents are then scored in one pass.
 
@@ -86,61 +88,74 @@ def fit_one(rows, cols, n, width, y, extra):
     return w, v, b
 
 
-def fit(lists: list[list[int]], labels: list[tuple[int, ...]], names: list[int], categories=CATEGORIES) -> dict:
-    """The chain, from the places of each document's features in ``names``: for each category weights,
-    weights of earlier probabilities, bias."""
+def fit(lists: list[list[int]], labels: list[tuple[int, ...]], folds: list[int], names: list[int], told: list[int], categories=CATEGORIES) -> dict:
+    """The chain, from the places of each document's features in ``names``, its labels and its fold, and by
+    feature the folds without which it was chosen (bits; bit FOLDS: with all of them): for each category
+    weights, weights of earlier probabilities, bias."""
     import numpy as np
 
     n, width = len(lists), len(names)
     y = np.array(labels, float).reshape(n, len(categories))
     rows = np.repeat(np.arange(n), [len(x) for x in lists])
     cols = np.array([f for x in lists for f in x], np.int64)
-    fold = np.arange(n) % FOLDS
+    fold, bits = np.array(folds, np.int64), np.array(told, np.int64)
+    whole = bits[cols] >> FOLDS & 1 == 1
     earlier, models = np.zeros((n, 0)), []
     for k in range(len(categories)):
-        models.append(fit_one(rows, cols, n, width, y[:, k], earlier))
+        models.append(fit_one(rows[whole], cols[whole], n, width, y[:, k], earlier))
         if k + 1 == len(categories):
             break
         out = np.zeros(n)
         for f in range(FOLDS):
             renumber = np.cumsum(fold != f) - 1
-            inside = fold[rows] != f
+            chosen = bits[cols] >> f & 1 == 1
+            inside = chosen & (fold[rows] != f)
             w, v, b = fit_one(renumber[rows[inside]], cols[inside], int((fold != f).sum()), width, y[fold != f, k], earlier[fold != f])
-            score = np.bincount(rows, w[cols], n) + earlier @ v + b if len(rows) else earlier @ v + b
+            score = np.bincount(rows[chosen], w[cols[chosen]], n) + earlier @ v + b
             out[fold == f] = _sigmoid(score)[fold == f]
         earlier = np.column_stack([earlier, out])
-    weights = {int(f): tuple(float(m[0][j]) for m in models) for j, f in enumerate(names)}
+    weights = {int(f): tuple(float(m[0][j]) for m in models) for j, f in enumerate(names) if bits[j] >> FOLDS & 1}
     return {"weights": weights, "earlier": [tuple(map(float, m[1])) for m in models], "bias": [float(m[2]) for m in models]}
 
 
-def telling(rows: DataFrame, categories=CATEGORIES) -> list[int]:
-    """From (f: packed features, y): the features that occur in several documents, not in all, and whose
-    presence depends on some category, ascending."""
-    k = len(categories)
-    sums = rows.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(F.col("y")[i]), F.lit(0)).alias(f"s{i}") for i in range(k))).first()
-    n = sums["n"]
-    if not n:
-        return []
+def telling(rows: DataFrame, categories=CATEGORIES) -> dict[int, int]:
+    """From (f: packed features, y, fold): the features that occur in several documents, not in all, and
+    whose presence depends on some category, ascending, with the folds (bits) without which that is so;
+    bit FOLDS tells that it is so with all of them."""
+    k, at = len(categories), range(FOLDS)
+    counts = [F.count(F.lit(1)).alias("n"), *(F.coalesce(F.sum(F.col("y")[i]), F.lit(0)).alias(f"s{i}") for i in range(k))]
+    sums = {r["fold"]: r for r in rows.groupBy("fold").agg(*counts).collect()}
+    if not sums:
+        return {}
 
     def setup():
         import numpy as np
 
         def batch(columns):
             parts = [np.frombuffer(f, "<u4").astype(np.int64) for f in columns[0]]
-            counts = [len(p) for p in parts]
-            return [np.concatenate(parts), *(np.repeat([y[i] for y in columns[1]], counts) for i in range(k))] if sum(counts) else []
+            sizes = [len(p) for p in parts]
+            return [np.concatenate(parts), np.repeat(columns[2], sizes), *(np.repeat([y[i] for y in columns[1]], sizes) for i in range(k))] if sum(sizes) else []
 
         return batch
 
-    each = map_batches(rows.select("f", "y"), "f long, " + ", ".join(f"y{i} int" for i in range(k)), setup)
-    by = each.groupBy("f").agg(F.count("*").alias("df"), *(F.sum(f"y{i}").alias(f"h{i}") for i in range(k)))
-    chi = []
-    for i in range(k):
-        share = sums[f"s{i}"] / n
-        want = F.col("df") * share
-        chi.append(F.pow(F.col(f"h{i}") - want, 2) / F.greatest(want * (1 - share) * (1 - F.col("df") / n), F.lit(1e-9)))
-    best = F.greatest(*chi) if k > 1 else chi[0]
-    return sorted(r.f for r in by.where((F.col("df") >= 2) & (F.col("df") < n) & (best >= CHI_SQUARE)).select("f").collect())
+    each = map_batches(rows.select("f", "y", "fold"), "f long, fold int, " + ", ".join(f"y{i} int" for i in range(k)), setup)
+    of = lambda f, value: F.coalesce(F.sum(F.when(F.col("fold") == f, value)), F.lit(0))
+    by = each.groupBy("f").agg(*(of(f, F.lit(1)).alias(f"d{f}") for f in at), *(of(f, F.col(f"y{i}")).alias(f"h{i}_{f}") for f in at for i in range(k)))
+
+    def passing(used: list[int]):
+        n = sum(sums[f]["n"] for f in used if f in sums)
+        df = sum((F.col(f"d{f}") for f in used), F.lit(0))
+        chi = []
+        for i in range(k):
+            share = sum(sums[f][f"s{i}"] for f in used if f in sums) / n if n else 0.0
+            hit, want = sum((F.col(f"h{i}_{f}") for f in used), F.lit(0)), df * share
+            chi.append(F.pow(hit - want, 2) / F.greatest(want * (1 - share) * (1 - df / max(n, 1)), F.lit(1e-9)))
+        best = F.greatest(*chi) if k > 1 else chi[0]
+        return (df >= 2) & (df < n) & (best >= CHI_SQUARE)
+
+    bits = sum((F.when(passing([g for g in at if g != f]), 1 << f).otherwise(0) for f in at), F.when(passing(list(at)), 1 << FOLDS).otherwise(0))
+    found = by.select("f", bits.alias("bits")).where("bits > 0").collect()
+    return dict(sorted((r.f, r.bits) for r in found))
 
 
 def predict(found: set[int], model: dict) -> list[float]:
@@ -170,18 +185,20 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, text: str =
 
     store = Tables(docs.sparkSession, "toxicity")
     rows = store.save(map_rows(chosen, "doc_id long, f binary, y array<int>", setup), "all")
-    rows = store.save(rows.groupBy("doc_id").agg(F.min(F.struct("f", "y")).alias("r")).select("doc_id", "r.*"), "sample")
-    names = telling(rows, categories)
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
+    rows = store.save(rows.groupBy("doc_id").agg(F.min(F.struct("f", "y")).alias("r")).select("doc_id", "r.*", fold), "sample")
+    told = telling(rows, categories)
+    names = list(told)
 
     def shorten():
         import numpy as np
 
         known = np.array(names, np.int64)
-        return lambda key, f, y: (key, np.flatnonzero(np.isin(known, np.frombuffer(f, "<u4"))).astype(np.int32), y)
+        return lambda key, f, y, fold: (key, np.flatnonzero(np.isin(known, np.frombuffer(f, "<u4"))).astype(np.int32), y, fold)
 
-    few = sorted(map_rows(rows, "doc_id long, f array<int>, y array<int>", shorten).collect())
+    few = sorted(map_rows(rows, "doc_id long, f array<int>, y array<int>, fold int", shorten).collect())
     store.drop("all", "sample")
-    return fit([r.f for r in few], [tuple(r.y) for r in few], names, categories)
+    return fit([r.f for r in few], [tuple(r.y) for r in few], [r.fold for r in few], names, list(told.values()), categories)
 
 
 def scorer(model: dict):

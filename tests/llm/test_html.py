@@ -85,3 +85,13 @@ def test_time_is_linear():
         began = time.time()
         H.extract(page)
         assert time.time() - began < 6, page[:40]
+
+
+def test_end_tags_with_more_in_them():
+    from spectraloom.llm import html
+
+    for end in ("</script foo>", "</script/>", "</SCRIPT\n>", "</script>"):
+        page = f"<html><body><script>var a = '<p>';{end}<article><h1>Title of it</h1>" + "<p>One long paragraph of the article, with words and words, and a full stop.</p>" * 4 + "</article></body></html>"
+        text = html.TOKEN.sub(lambda m: "" if m[0].lower().startswith("<script") else m[0], page)
+        assert "var a" not in text and "One long paragraph" in text
+    assert html.TOKEN.match("<script>x</scripted>y</script>")[0].endswith("y</script>")

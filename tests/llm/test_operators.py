@@ -253,23 +253,93 @@ def test_mixing_targets_and_copies(spark):
     assert mixing.report(df.limit(0)).collect() == []
 
 
+def told_by_brute_force(every, labels, fold):
+    """feature -> bits of the folds without which it is told, bit FOLDS for all of them."""
+    want = {}
+    for f in set().union(*every):
+        for left in range(toxicity.FOLDS + 1):
+            own = [k for k in range(len(every)) if fold[k] != left]
+            n, has = len(own), [f in every[k] for k in own]
+            df = sum(has)
+            for c in range(len(labels[0])):
+                share = sum(labels[k][c] for k in own) / n if n else 0
+                hit, expect = sum(h and labels[k][c] for h, k in zip(has, own)), df * share
+                if 2 <= df < n and (hit - expect) ** 2 / max(expect * (1 - share) * (1 - df / n), 1e-9) >= toxicity.CHI_SQUARE:
+                    want[f] = want.get(f, 0) | 1 << left
+    return want
+
+
 def test_telling_features_equal_brute_force(spark):
     r = random.Random(3)
-    docs = [(i, " ".join(r.choice(["a", "b", "cc", "ddddd", "eeeeee"][: 2 + i % 4]) for _ in range(5)) + (" vile" if i % 4 == 0 and i % 12 else "")) for i in range(300)]
-    labels = [(i, int(i % 3 == 0), int(i % 4 == 0)) for i, _ in docs]
-    rows = spark.createDataFrame([(bytearray(b"".join(f.to_bytes(4, "little") for f in sorted(toxicity.features(t)))), list(y)) for (_, t), (_, *y) in zip(docs, labels)], "f binary, y array<int>")
-    want = []
+    docs = [(i, " ".join(r.choice(["a", "b", "cc", "ddddd", "eeeeee"][: 2 + i % 4]) for _ in range(5)) + (" vile" if i % 4 == 0 and i % 12 else "") + (" rare" if i % 4 == 0 and i < 40 else "")) for i in range(300)]
+    labels = [(int(i % 3 == 0), int(i % 4 == 0)) for i, _ in docs]
+    fold = [i // 60 for i, _ in docs]
     every = [toxicity.features(t) for _, t in docs]
-    for f in set().union(*every):
-        has = [f in x for x in every]
-        n, df = len(docs), sum(has)
-        for k in (1, 2):
-            share = sum(y[k] for y in labels) / n
-            hit, expect = sum(h and y[k] for h, y in zip(has, labels)), df * share
-            if 2 <= df < n and (hit - expect) ** 2 / max(expect * (1 - share) * (1 - df / n), 1e-9) >= toxicity.CHI_SQUARE:
-                want.append(f)
-    assert toxicity.telling(rows) == sorted(set(want)) and want
-    assert toxicity.telling(rows.limit(0)) == []
+    rows = spark.createDataFrame([(bytearray(b"".join(f.to_bytes(4, "little") for f in sorted(e))), list(y), k) for e, y, k in zip(every, labels, fold)], "f binary, y array<int>, fold int")
+    got, want = toxicity.telling(rows), told_by_brute_force(every, labels, fold)
+    assert got == want and list(got) == sorted(got) and len(set(want.values())) > 1  # "rare" is told by one fold alone
+    assert toxicity.telling(rows.limit(0)) == {}
+
+
+def plain_chain(docs, labels, fold, categories=2):
+    """Training and scoring in plain Python: each document's probabilities."""
+    from math import exp, log
+
+    every = [toxicity.features(t) for t in docs]
+    told = told_by_brute_force(every, labels, fold)
+    sigmoid = lambda x: 1 / (1 + exp(-max(-30.0, min(30.0, x))))
+
+    def model(own, names, extra, y):
+        if not own or len({y[k] for k in own}) == 1:
+            return dict.fromkeys(names, 0.0), [0.0] * len(extra[0]) if extra else [], -30.0 if not own or not y[own[0]] else 30.0
+        mean = sum(y[k] for k in own) / len(own)
+        w, v, b = dict.fromkeys(names, 0.0), [0.0] * len(extra[0]), log(mean / (1 - mean))
+        sw, sv, sb = dict.fromkeys(names, 1e-6), [1e-6] * len(v), 1e-6
+        for _ in range(toxicity.ROUNDS):
+            d = {k: sigmoid(sum(w[f] for f in every[k] if f in w) + sum(a * x for a, x in zip(v, extra[k])) + b) - y[k] for k in own}
+            gw = {f: sum(d[k] for k in own if f in every[k]) + toxicity.RIDGE * w[f] for f in names}
+            gv = [sum(extra[k][j] * d[k] for k in own) + toxicity.RIDGE * v[j] for j in range(len(v))]
+            gb = sum(d.values())
+            for f in names:
+                sw[f] += gw[f] ** 2
+                w[f] -= 0.5 * gw[f] / sw[f] ** 0.5
+            for j in range(len(v)):
+                sv[j] += gv[j] ** 2
+                v[j] -= 0.5 * gv[j] / sv[j] ** 0.5
+            sb += gb**2
+            b -= 0.5 * gb / sb**0.5
+        return w, v, b
+
+    score = lambda m, k, extra: sigmoid(sum(m[0].get(f, 0) for f in every[k]) + sum(a * x for a, x in zip(m[1], extra)) + m[2])
+    everyone, final, extra = range(len(docs)), [[] for _ in docs], [[] for _ in docs]
+    for c in range(categories):
+        y = [x[c] for x in labels]
+        m = model(list(everyone), [f for f, bits in told.items() if bits >> toxicity.FOLDS & 1], extra, y)
+        for k in everyone:
+            final[k].append(score(m, k, final[k]))
+        held = []
+        for f in range(toxicity.FOLDS):
+            m = model([k for k in everyone if fold[k] != f], [x for x, bits in told.items() if bits >> f & 1], extra, y)
+            held.append({k: score(m, k, extra[k]) for k in everyone if fold[k] == f})
+        for k in everyone:
+            extra[k] = [*extra[k], held[fold[k]][k]]
+    return final
+
+
+def test_chain_equals_plain_python(spark):
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(12)]
+    docs = [" ".join([r.choice(words) for _ in range(8)] + ["bad"] * (i % 4 == 0) + ["good"] * (i % 3 == 0 and i % 2)) for i in range(90)] + [""]
+    labels = [(int(i % 3 == 0), int(i % 4 == 0)) for i in range(91)]
+    ids = spark.createDataFrame([(i,) for i in range(91)], "doc_id long")
+    fold = [x.fold for x in ids.select("doc_id", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(toxicity.FOLDS)).cast("int").alias("fold")).orderBy("doc_id").collect()]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)
+    model = toxicity.train(df, spark.createDataFrame([(i, *y) for i, y in enumerate(labels)], "doc_id long, quality int, toxic int"))
+    want = plain_chain(docs, labels, fold)
+    got = {x.doc_id: x for x in toxicity.scored(df, model).collect()}
+    assert model["weights"] and any(p[1] > 0.9 for p in want) and any(p[1] < 0.1 for p in want)
+    for i, (quality, toxic) in enumerate(want):
+        assert (got[i].p_quality, got[i].p_toxic) == (pytest.approx(quality, abs=1e-7), pytest.approx(toxic, abs=1e-7)) and got[i].toxic == (toxic >= toxicity.THRESHOLD)
 
 
 def test_toxicity_cases(spark):
