@@ -13,7 +13,7 @@ extended both ways, is a maximal repeat, so this removes exactly the bytes asked
 Documents equal to an earlier one are covered whole without taking part. Cases: null counts as
 empty; texts under 100 bytes lose nothing; rows that repeat an id and a text count as one
 document and give equal rows; rows of one id with different texts are documents of their own, in
-the order of their texts' SHA-256 (``sub``, its first 60 bits, is 0 for all other documents); long
+the order of their texts' SHA-256 (``sub``, its first 60 bits, which only such tables carry); long
 periodic texts are one stretch; empty tables stay empty. Columns are found by place, so others whose
 names differ in case only do no harm.
 """
@@ -203,22 +203,22 @@ def scan(lcp: list[int], sa: list[int], left: list[int], place: list[int], cover
             pending, mark = [i + 1], left[i + 1]
 
 
-def found_keys(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, sub, places) for the chosen places. Of a key that occurs several times in a batch only the
-    first place is to be counted with those of other batches, for all of them; the others are known to be
-    repeated and have places 0, so a key that many documents have is counted over few rows."""
+def found_keys(docs: DataFrame, at: list[str]) -> DataFrame:
+    """(key, *at, places) for the chosen places; ``at`` are the columns that name a document. Of a key that
+    occurs several times in a batch only the first place is to be counted with those of other batches, for
+    all of them; the others are known to be repeated and have places 0, so a key that many documents have is
+    counted over few rows."""
 
     def setup():
         import numpy as np
 
         def batch(columns):
-            keys, ids, subs, counts = [], [], [], []
-            for doc, sub, text in zip(*columns):
+            keys, names, counts = [], [], []
+            for *name, text in zip(*columns):
                 data = text.encode("utf-8", "surrogatepass") if text else b""
                 if len(data) >= WIDTH:
                     keys.append(window_keys(data)[1].view(np.int64))
-                    ids.append(doc)
-                    subs.append(sub)
+                    names.append(name)
                     counts.append(len(keys[-1]))
             if not keys:
                 return []
@@ -226,25 +226,26 @@ def found_keys(docs: DataFrame) -> DataFrame:
             _, first, n = np.unique(every, return_index=True, return_counts=True)
             places = np.zeros(len(every), np.int32)
             places[first] = n
-            return [every, np.repeat(np.array(ids, np.int64), counts), np.repeat(np.array(subs, np.int64), counts), places]
+            return [every, *(np.repeat(np.array(c, np.int64), counts) for c in zip(*names)), places]
 
         return batch
 
-    return map_batches(docs, "key long, doc_id long, sub long, places int", setup, 128)
+    ddl = ", ".join(["key long", *(f"{c} long" for c in at), "places int"])
+    return map_batches(docs.select(*at, "text"), ddl, setup, 128)
 
 
-def repeated_stretches(marked: DataFrame) -> DataFrame:
-    """(key, s, doc_id, sub, start) of stretches whose key is repeated. A task passes a stretch on only
+def repeated_stretches(marked: DataFrame, at: list[str]) -> DataFrame:
+    """(key, s, *at, start) of stretches whose key is repeated. A task passes a stretch on only
     if it has not passed on an earlier equal one, as far as it remembers."""
 
     def setup():
         import numpy as np
 
-        seen: dict[bytes, tuple[int, int, int]] = {}
+        seen: dict[bytes, tuple] = {}
 
         def batch(columns):
             out = []
-            for doc, sub, text, wanted in zip(*columns):
+            for *name, text, wanted in zip(*columns):
                 data = text.encode("utf-8", "surrogatepass")
                 low, _ = window_keys(data)
                 begin, end = stretches(low)
@@ -252,28 +253,29 @@ def repeated_stretches(marked: DataFrame) -> DataFrame:
                 for i in np.flatnonzero(np.isin(value, np.array(wanted, np.int64).view(np.uint64))).tolist():
                     b = int(begin[i])
                     s = data[b : int(end[i]) + WIDTH - 1]
-                    if (old := seen.get(s)) is None or (doc, sub, b) < old:
+                    if (old := seen.get(s)) is None or (*name, b) < old:
                         if len(seen) >= REMEMBER:
                             seen.clear()
-                        seen[s] = (doc, sub, b)
-                        out.append((int(value[i].view(np.int64)), s, doc, sub, b))
+                        seen[s] = (*name, b)
+                        out.append((int(value[i].view(np.int64)), s, *name, b))
             return list(zip(*out)) if out else []
 
         return batch
 
-    return map_batches(marked, "key long, s binary, doc_id long, sub long, start int", setup, 128)
+    ddl = ", ".join(["key long", "s binary", *(f"{c} long" for c in at), "start int"])
+    return map_batches(marked.select(*at, "text", "wanted"), ddl, setup, 128)
 
 
-def leaders(dealt: DataFrame) -> DataFrame:
-    """From stretches sorted by (s, doc_id, sub, start): the first of each with its covered ranges."""
+def leaders(dealt: DataFrame, at: list[str]) -> DataFrame:
+    """From stretches sorted by (s, *at, start): the first of each with its covered ranges."""
 
     def run(batches):
         import pyarrow as pa
 
-        schema = pa.schema([("doc_id", pa.int64()), ("sub", pa.int64()), ("start", pa.int32()), ("ranges", pa.list_(pa.int32()))])
+        schema = pa.schema([*((c, pa.int64()) for c in at), ("start", pa.int32()), ("ranges", pa.list_(pa.int32()))])
 
         def rows(group, ranges):
-            columns = [[g[k] for g in group] for k in (1, 2, 3)] + [[[g[3] + x for x in r] for g, r in zip(group, ranges)]]
+            columns = [[g[k] for g in group] for k in range(1, len(at) + 2)] + [[[g[-1] + x for x in r] for g, r in zip(group, ranges)]]
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, schema)], schema=schema)
 
         def solved(group):
@@ -303,7 +305,7 @@ def leaders(dealt: DataFrame) -> DataFrame:
             key_group.clear()
 
         for batch in batches:
-            for key, s, doc, sub, start in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, s, *place in zip(*(c.to_pylist() for c in batch.columns)):
                 if key != last_key:
                     close()
                     if size >= BATCH:
@@ -314,7 +316,7 @@ def leaders(dealt: DataFrame) -> DataFrame:
                         yield rows(alone, [()] * len(alone))
                         alone.clear()
                 if s != last or key != last_key:
-                    key_group.append((s, doc, sub, start))
+                    key_group.append((s, *place))
                 last_key, last = key, s
         close()
         if group:
@@ -322,7 +324,7 @@ def leaders(dealt: DataFrame) -> DataFrame:
         if alone:
             yield rows(alone, [()] * len(alone))
 
-    return dealt.mapInArrow(run, "doc_id long, sub long, start int, ranges array<int>")
+    return dealt.mapInArrow(run, ", ".join([*(f"{c} long" for c in at), "start int", "ranges array<int>"]))
 
 
 def settle(rows: DataFrame) -> DataFrame:
@@ -360,38 +362,39 @@ def settle(rows: DataFrame) -> DataFrame:
     return map_rows(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", setup, 128)
 
 
-def told_apart(docs: DataFrame, store: Tables) -> tuple[DataFrame, DataFrame]:
-    """docs with ``sub``, which tells texts of one id apart, and (doc_id, sub) of the documents whose text
-    an earlier id has. Digests are saved once; ids with several texts are as a rule none."""
+def told_apart(docs: DataFrame, store: Tables) -> tuple[DataFrame, DataFrame, list[str]]:
+    """docs, the documents whose text an earlier id has, and the columns that name a document: doc_id, and
+    ``sub`` where some id has several texts. Digests are saved once; such ids are as a rule none."""
     digests = store.save(docs.where("text <> ''").select("doc_id", F.sha2("text", 256).alias("d")), "digests")
     twins = store.save(digests.groupBy("doc_id").agg((F.min("d") < F.max("d")).alias("t")).where("t").select("doc_id"), "twins")
     n, part = twins.count(), lambda d: F.conv(F.substring(d, 1, 15), 16, 10).cast("long")
 
     def with_sub(df, digest):
         if not n:
-            return df.withColumn("sub", F.lit(0).cast("long"))
+            return df
         marked = twins.withColumn("_t", F.lit(True))
         joined = df.join(F.broadcast(marked) if n <= BROADCAST_IDS else marked, "doc_id", "left")
         return joined.withColumn("sub", F.coalesce(F.when(F.col("_t"), part(digest)), F.lit(0).cast("long"))).drop("_t")
 
+    at = ["doc_id", "sub"] if n else ["doc_id"]
     firsts = digests.groupBy("d").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("d", "first")
     later = digests.join(firsts, "d").where("doc_id > first").select("doc_id", "d")
-    copies = store.save(with_sub(later, F.col("d")).select("doc_id", "sub").distinct(), "copies")
-    return with_sub(docs, F.sha2("text", 256)).select("doc_id", "sub", "text"), copies
+    copies = store.save(with_sub(later, F.col("d")).select(*at).distinct(), "copies")
+    return with_sub(docs, F.sha2("text", 256)).select(*at, "text"), copies, at
 
 
 def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs."""
-    store, at = Tables(docs.sparkSession, "suffixes"), ["doc_id", "sub"]
-    docs, copies = told_apart(pick(docs, doc_id=doc_id, text=text), store)
+    store = Tables(docs.sparkSession, "suffixes")
+    docs, copies, at = told_apart(pick(docs, doc_id=doc_id, text=text), store)
     few = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
     own = docs.where(F.octet_length("text") >= WIDTH).join(few, at, "left_anti")
     alone = F.when(F.col("places") == 0, F.col("doc_id"))  # known to be repeated: in partitions of their own
-    keys = found_keys(own).withColumn("n", F.sum("places").over(Window.partitionBy("key", alone))).where("n <> 1")
+    keys = found_keys(own, at).withColumn("n", F.sum("places").over(Window.partitionBy("key", alone))).where("n <> 1")
     wanted = store.save(keys.groupBy(*at).agg(F.collect_set("key").alias("wanted")), "wanted")
-    dealt = repeated_stretches(own.join(wanted, at).select(*at, "text", "wanted"))
+    dealt = repeated_stretches(own.join(wanted, at), at)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    led = leaders(dealt.repartition(parts, "key").sortWithinPartitions("key", "s", *at, "start"))
+    led = leaders(dealt.repartition(parts, "key").sortWithinPartitions("key", "s", *at, "start"), at)
     led = store.save(led, "leaders").groupBy(*at).agg(F.collect_list(F.struct("start", "ranges")).alias("led"))
     marks = wanted.join(led, at, "left").select(*at, "wanted", "led", F.lit(False).alias("copy"))
     gone = copies.select(*at, F.lit(None).cast("array<long>").alias("wanted"), F.lit(None).cast(led.schema["led"].dataType).alias("led"), F.lit(True).alias("copy"))
