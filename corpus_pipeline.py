@@ -58,7 +58,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store, docs = Tables(spark, "corpus"), table(spark, sf_dir, "documents")
+    store, docs, before = Tables(spark, "corpus"), table(spark, sf_dir, "documents"), ()
     for name, stage in STAGES:
         docs = store.save(stage(spark, docs, sf_dir), name)
+        store.drop(*before)
+        before = (name,)
     return docs
