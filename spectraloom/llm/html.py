@@ -298,7 +298,11 @@ def labelled_pages(n: int = 320, seed: int = 3) -> list[list[tuple[str, bool]]]:
         return f'{r.choice(("class", "class", "id"))}="{r.choice(names)}"'
 
     def aside():
-        kind = r.choice((0, 1, 2, 3, 4, 5, 6, 6, 6, 7, 8, 9, 10))
+        kind = r.choice((0, 1, 2, 3, 4, 5, 6, 6, 6, 7, 8, 9, 10, 11))
+        if kind == 11:
+            role = r.choice(("navigation", "banner", "contentinfo", "complementary", "search"))
+            inner = menu() if role == "navigation" else r.choice((f"<p>{sentence(1, 6)}</p>", menu(4), f"<p>&copy; {sentence(1, 6)}</p>{prose(2)}"))
+            return f'<{(t := r.choice(("div", "div", "section")))} role="{role}">{inner}</{t}>'
         if kind == 0:
             return f"<nav>{menu()}</nav>"
         if kind == 1:
@@ -324,8 +328,10 @@ def labelled_pages(n: int = 320, seed: int = 3) -> list[list[tuple[str, bool]]]:
 
     def body():
         out = [f"<h1>{sentence(3, 12)}</h1>"]
+        if r.random() < 0.25:
+            out = [f"<header><h1>{sentence(3, 12)}</h1>{r.choice(('', f'<p>{sentence(6, 18)}</p>'))}</header>"]
         for _ in range(r.randint(1, 10)):
-            kind = r.randrange(14)
+            kind = r.randrange(16)
             out.append(
                 f"<h2>{sentence(2, 8)}</h2>" if kind == 0
                 else "<ul>" + "".join(f"<li>{sentence()}</li>" for _ in range(r.randint(2, 5))) + "</ul>" if kind == 1
@@ -337,6 +343,8 @@ def labelled_pages(n: int = 320, seed: int = 3) -> list[list[tuple[str, bool]]]:
                 else f'<p>{sentence()} <a href="#">{sentence(1, 3)}</a> {prose()}</p>' if kind == 7
                 else f"<p><b>{sentence(1, 8)}<br></p>" if kind == 8
                 else f"<p>{sentence(1, 5)}</p>" if kind == 9
+                else f'<p><a href="#">{sentence(8, 18)}</a> {sentence(1, 5)}</p>' if kind == 14
+                else f'<p>{sentence(1, 5)} <a href="#">{prose(2)}</a></p>' if kind == 15
                 else f"<p>{prose(8)}</p>"
             )
         return out
@@ -350,7 +358,7 @@ def labelled_pages(n: int = 320, seed: int = 3) -> list[list[tuple[str, bool]]]:
         if r.random() < 0.35:
             page.append((f"<header {r.choice(('', named('site-header', 'masthead', 'header')))}><p>{sentence(1, 5)}</p>{menu(4)}</header>", False))
         page += [(aside(), False) for _ in range(r.randint(0, 4))]
-        start, end = r.choice((("<article>", "</article>"),) * 4 + (("<main>", "</main>"), ("<main><article>", "</article></main>"), (f"<div {named('content', 'post', 'entry', 'article', 'article-body', 'entry-content', 'main', 'story', 'text', 'post-content')}>", "</div>"), (f"<section {named('content', 'story', 'article', 'post')}>", "</section>")))
+        start, end = r.choice((("<article>", "</article>"),) * 4 + (("<main>", "</main>"), ('<div role="main">', "</div>"), ('<div role="article">', "</div>"), ("<main><article>", "</article></main>"), (f"<div {named('content', 'post', 'entry', 'article', 'article-body', 'entry-content', 'main', 'story', 'text', 'post-content')}>", "</div>"), (f"<section {named('content', 'story', 'article', 'post')}>", "</section>")))
         page.append((start, False))
         for x in body():
             page.append((x, True))

@@ -95,3 +95,21 @@ def test_end_tags_with_more_in_them():
         text = html.TOKEN.sub(lambda m: "" if m[0].lower().startswith("<script") else m[0], page)
         assert "var a" not in text and "One long paragraph" in text
     assert html.TOKEN.match("<script>x</scripted>y</script>")[0].endswith("y</script>")
+
+
+STORY = "<p>A first paragraph of the story, which goes on for a while and has some words.</p><p>And a second one, with more of them, for the reader of the story.</p>"
+SAID = "A first paragraph of the story, which goes on for a while and has some words.\n\nAnd a second one, with more of them, for the reader of the story."
+
+
+def test_pages_of_another_writer():
+    linked = "<p><a href=x>See the whole report of the commission on the matter of roads and bridges</a> here.</p>"
+    menu = "<ul><li><a href=a>Home</a></li><li><a href=b>Sport</a></li></ul>"
+    pages = [
+        (f"<body><nav>{menu}</nav><article><h1>The head of it</h1>{STORY}{linked}{STORY}</article></body>", f"The head of it\n\n{SAID}\n\nSee the whole report of the commission on the matter of roads and bridges here.\n\n{SAID}"),
+        (f"<body><header><p>The Daily</p></header><article><header><h1>The head of the story</h1></header>{STORY}</article></body>", f"The head of the story\n\n{SAID}"),
+        (f"<body><div role=main><h1>The head</h1>{STORY}</div><div role=contentinfo><p>Imprint</p></div></body>", f"The head\n\n{SAID}"),
+        (f"<body><article><h1>The head</h1>{STORY}</article><div role=contentinfo><p>Imprint of the house, all rights reserved.</p></div><div role=navigation>{menu}</div></body>", f"The head\n\n{SAID}"),
+        (f"<body><script>x('<p>no</p>')</script foo><main><h1>The head</h1>{STORY}</main><aside><h3>Related</h3>{menu}</aside></body>", f"The head\n\n{SAID}"),
+    ]
+    for page, want in pages:
+        assert H.extract(page) == want
