@@ -54,6 +54,51 @@ def silenced(df: DataFrame, seq: str, alphabet: str = "ACDEFGHIKLMNPQRSTVWY", af
     return p.withColumn("mutant", F.concat(F.substring("_a", F.lit(1), F.length("_a") - 1), F.col("residue"), F.col("_b"))).drop("_a", "_b")
 
 
+def mutants(df: DataFrame, seq: str, alphabet: str = "ACDEFGHIKLMNPQRSTVWY", after: str = "KR", before: str = "ACDEFGHIJKLMNPQRSTVWY", missed: int = 2, least: int = 7, most: int = 60, drop_first_m: bool = True) -> DataFrame:
+    """A row for each peptide that a single substitution in a sequence adds to its digest: those that hold
+    the new residue, across up to ``missed`` cuts as they are after it, and those beside a cut that it makes.
+    position (from 1 in what is cut), residue, peptide, original (what stood there), prefix and suffix.
+
+    A substitution reaches no further than the pieces that a peptide can span, so each piece is cut anew
+    within a window of its neighbours: the work follows the residues of the sequences, not their square.
+    Empty and null sequences have no mutants."""
+    reach = missed + 2
+    p = df.withColumn("_p", pieces(F.col(seq), after, before, drop_first_m)).where(F.length(seq) > 0)
+    starts = F.transform(F.sequence(F.lit(0), F.size("_p") - 1), lambda k: F.length(F.array_join(F.slice("_p", F.lit(1), k), "")))
+    p = p.withColumn("_s", starts).select(*df.columns, "_p", "_s", F.posexplode("_p").alias("_k", "_piece"))
+    low = F.greatest(F.col("_k") - reach, F.lit(0))
+    window = F.array_join(F.slice("_p", low + 1, F.least(F.col("_k") + reach + 1, F.size("_p")) - low), "")
+    offset, at = F.element_at("_s", low + 1), F.element_at("_s", F.col("_k") + 1)
+    p = p.select(*df.columns, window.alias("_w"), offset.alias("_o"), (at - offset).alias("_b"), F.length("_piece").alias("_n"), (low == 0).alias("_first"), (F.col("_k") + reach + 1 >= F.size("_p")).alias("_last"))
+    q, w, r = F.col("_q"), F.col("_w"), F.col("residue")
+    one = lambda text, place: F.substring(text, place, F.lit(1))
+    p = p.withColumn("_q", F.explode(F.sequence(F.col("_b") + 1, F.col("_b") + F.col("_n"))))
+    p = p.withColumn("residue", F.explode(F.array(*map(F.lit, alphabet)))).where(one(w, q) != r)
+    p = p.withColumn("_m", F.concat(F.substring(w, F.lit(1), q - 1), r, F.substring(w, q + 1, F.length(w))))
+    p = p.withColumn("_c", pieces(F.col("_m"), after, before, False))
+    p = p.withColumn("_e", F.transform(F.sequence(F.lit(1), F.size("_c")), lambda k: F.length(F.array_join(F.slice("_c", F.lit(1), k), ""))))
+    cuts = lambda a, b: a.isin(*after) & b.isin(*before)
+    text = F.col("_m")
+    made_after = cuts(one(text, q), one(text, q + 1)) & ~cuts(one(w, q), one(w, q + 1))
+    made_before = (q > 1) & cuts(one(text, q - 1), one(text, q)) & ~cuts(one(w, q - 1), one(w, q))
+
+    def run(i, m):
+        start, end = F.when(i == 0, 0).otherwise(F.get("_e", i - 1)) + 1, F.get("_e", i + m)
+        return F.struct(start.alias("start"), end.alias("end"))
+
+    runs = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_c") - 1), lambda i: F.transform(F.sequence(F.lit(0), F.least(F.lit(missed), F.size("_c") - 1 - i)), lambda m: run(i, m))))
+    touches = lambda x: ((x["start"] <= q) & (x["end"] >= q)) | ((x["start"] == q + 1) & made_after) | ((x["end"] == q - 1) & made_before)
+    found = F.filter(runs, lambda x: touches(x) & (x["end"] - x["start"] + 1).between(least, most))
+    p = p.withColumn("_x", F.explode(found))
+    start, end = F.col("_x.start"), F.col("_x.end")
+    size = end - start + 1
+    ends = lambda here, open_, char: F.when(here & open_, "-").otherwise(char)
+    return p.select(
+        *df.columns, (F.col("_o") + q).alias("position"), "residue", F.substring(text, start, size).alias("peptide"), F.substring(w, start, size).alias("original"),
+        ends(start == 1, F.col("_first"), one(text, start - 1)).alias("prefix"), ends(end == F.length(text), F.col("_last"), one(text, end + 1)).alias("suffix"),
+    )
+
+
 def neutral_loss(peptide: Column, losses: dict[str, str]) -> Column:
     """Symbols replaced by others, or removed, for scoring only."""
     for old, new in losses.items():

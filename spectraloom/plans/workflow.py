@@ -22,6 +22,7 @@ class Settings:
     chemistry: Chemistry
     name: str
     labelled: bool
+    mutated: bool
     windows: list[tuple[float, float]]
     fragment_tolerance: float
     parent_tolerance: float
@@ -37,19 +38,19 @@ class Settings:
 
     @classmethod
     def from_config(cls, text: str) -> Settings:
-        """Search_Type is Regular or SIP; modifications are searched in Regular only."""
+        """Search_Type is Regular, Mutation or SIP; modifications are searched in Regular only."""
         config = readers.config(text)
 
         def value(key: str, default: str) -> str:
             return config.get(f"[Peptide_Identification]{key}", default)
 
         kind = value("Search_Type", "Regular")
-        if kind not in ("Regular", "SIP"):
+        if kind not in ("Regular", "Mutation", "SIP"):
             raise ValueError(f"no search of type {kind}")
         chemistry, parent = Chemistry.from_config(config), float(value("Search_Mass_Tolerance_Parent_Ion", "0.01"))
         windows = [int(w) for w in numbers(value("Parent_Mass_Windows", "0"))]
         return cls(
-            chemistry, value("Search_Name", "SE"), kind == "SIP", joins.mass_windows(windows, parent, chemistry.spacing),
+            chemistry, value("Search_Name", "SE"), kind == "SIP", kind == "Mutation", joins.mass_windows(windows, parent, chemistry.spacing),
             float(value("Mass_Tolerance_Fragment_Ions", "0.01")), parent, int(value("Minimum_Peptide_Length", "7")), int(value("Maximum_Peptide_Length", "60")),
             int(value("Maximum_Missed_Cleavages", "2")), value("Cleave_After_Residues", "KR"), value("Cleave_Before_Residues", "ACDEFGHIJKLMNPQRSTVWY"),
             value("Try_First_Methionine", "true") in ("TRUE", "True", "true", "T"), chemistry.symbols(config) if kind == "Regular" else {}, int(value("Max_PTM_Count", "0")) if kind == "Regular" else 0, elements.losses(config),
@@ -58,15 +59,24 @@ class Settings:
 
 def candidates(proteins: DataFrame, settings: Settings) -> DataFrame:
     """The peptides of a digest in all of their forms: peptide ([..] with symbols), original ([..]),
-    prefix and suffix (of the first protein by name), text (what is scored), mass, proteins (sorted).
+    prefix and suffix (of the first protein by name), text (what is scored), mass, proteins (sorted). A
+    search for mutations adds all peptides of single substitutions that are in no protein as they are.
     Residues that the configuration does not name are left out of a sequence."""
     clean = proteins.select("protein_id", peptides.clean(F.col("sequence"), settings.chemistry.letters).alias("sequence"))
     cut = peptides.digest(clean, "sequence", settings.missed, settings.least, settings.most, flanked=True, after=settings.after, before=settings.before, drop_first_m=settings.drop_first_m)
     first = F.min(F.struct("protein_id", "first_piece", "prefix", "suffix"))
-    merged = cut.groupBy("peptide").agg(first.alias("_f"), F.array_sort(F.collect_set("protein_id")).alias("proteins"))
-    merged = merged.select(F.concat(F.lit("["), "peptide", F.lit("]")).alias("original"), "_f.prefix", "_f.suffix", "proteins")
+    names = F.array_sort(F.collect_set("protein_id")).alias("proteins")
+    boxed = lambda x: F.concat(F.lit("["), x, F.lit("]"))
+    merged = cut.groupBy("peptide").agg(first.alias("_f"), names)
+    merged = merged.select(boxed("peptide").alias("original"), "_f.prefix", "_f.suffix", "proteins")
     forms = variants.modified(F.col("original"), settings.symbols, settings.most_symbols) if settings.symbols and settings.most_symbols else F.array("original")
-    rows = merged.withColumn("peptide", F.explode(forms))
+    rows = merged.withColumn("peptide", F.explode(forms)).select("peptide", "original", "prefix", "suffix", "proteins")
+    if settings.mutated:
+        alphabet = "".join(r for r in settings.chemistry.letters if r != "J")
+        changed = variants.mutants(clean, "sequence", alphabet, settings.after, settings.before, settings.missed, settings.least, settings.most, settings.drop_first_m)
+        best = F.min(F.struct("protein_id", "position", "original", "prefix", "suffix")).alias("_f")
+        changed = changed.groupBy("peptide").agg(best, names).join(cut.select("peptide").distinct(), "peptide", "left_anti")
+        rows = rows.union(changed.select(boxed("peptide"), boxed("_f.original"), "_f.prefix", "_f.suffix", "proteins"))
     bare = F.translate("peptide", "[]", "")
     return rows.withColumns({"text": variants.neutral_loss(bare, settings.losses), "mass": elements.peptide_mass(bare, settings.chemistry)})
 

@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -177,3 +178,39 @@ def test_ranks_over_all_precursors_of_a_scan(spark):
     known = spark.createDataFrame([("SAMPLEPEPTIDEK", mass), ("SAMPLEPETPIDEK", mass)], "peptide string, mass double")
     got = scoring.search(s, known, [(-0.05, 0.05)]).collect()
     assert sorted(r.rank_wdp for r in got) == [1, 2, 3, 4] and {r.z for r in got} == {2, 3}
+
+
+def cut_places(text, after, before):
+    return [0, *(k + 1 for k in range(len(text) - 1) if text[k] in after and text[k + 1] in before), len(text)]
+
+
+def brute_mutants(seq, alphabet, after, before, missed, least, most):
+    """Every substitution, the whole sequence digested anew: peptides that hold the residue or stand beside
+    a cut that was not there."""
+    out = []
+    old = set(cut_places(seq, after, before))
+    for p in range(len(seq)):
+        for r in alphabet:
+            if r == seq[p]:
+                continue
+            text = seq[:p] + r + seq[p + 1 :]
+            cuts = cut_places(text, after, before)
+            for i in range(len(cuts) - 1):
+                for j in range(i + 1, min(i + missed + 2, len(cuts))):
+                    a, b = cuts[i], cuts[j]
+                    beside = a == p + 1 and p + 1 not in old or b == p and p not in old
+                    if least <= b - a <= most and (a <= p < b or beside):
+                        out.append((p + 1, r, text[a:b], seq[a:b], text[a - 1] if a else "-", text[b] if b < len(text) else "-"))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("before,missed", [("ACDEFGHIJKLMNPQRSTVWY", 2), ("ACDEFGHIKLMNQRSTVWY", 1)])
+def test_mutants_equal_brute_force(spark, before, missed):
+    r = random.Random(5)
+    sequences = ["".join(r.choice("AAGGPPLKRKM") for _ in range(r.randint(1, 45))) for _ in range(20)] + ["K", "PEPTIDE", "KKKKRRR"]
+    df = spark.createDataFrame(list(enumerate(sequences)) + [(99, ""), (98, None)], "id int, seq string")
+    got = variants.mutants(df, "seq", "AGKPR", "KR", before, missed, 3, 20, False).collect()
+    for i, s in enumerate(sequences):
+        own = sorted((x.position, x.residue, x.peptide, x.original, x.prefix, x.suffix) for x in got if x.id == i)
+        assert own == brute_mutants(s, "AGKPR", "KR", before, missed, 3, 20), s
+    assert not [x for x in got if x.id > 90]

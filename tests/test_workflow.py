@@ -83,7 +83,17 @@ def test_labelled_search_and_settings(spark, folder):
     row = workflow.search(scan, readers.fasta(spark, f"{at}/db.fasta"), settings).where("rank_wdp = 1").collect()
     assert [r.identified for r in row] == [f"K[{peptide}]"] and row[0].mvh > 50 and row[0].xcorr > 0.5 and row[0].calculated_mass == mass
     with pytest.raises(ValueError):
-        workflow.Settings.from_config(REGULAR.replace("= Regular", "= Mutation"))
+        workflow.Settings.from_config(REGULAR.replace("= Regular", "= Other"))
+
+
+def test_search_for_mutations(spark, tmp_path):
+    config = REGULAR.replace("= Regular", "= Mutation")
+    text, _ = ft2(7, "GGGWYEVASR", 2, config)
+    (tmp_path / "run.FT2").write_text("H\tx\n" + text + "\n")
+    (tmp_path / "db.fasta").write_text("".join(f">{n}\n{s}\n" for n, s in list(PROTEINS.items())[:2]))
+    settings = workflow.Settings.from_config(config)
+    got = workflow.search(readers.scans(spark, f"{tmp_path}/run.FT2"), readers.fasta(spark, f"{tmp_path}/db.fasta"), settings).where("rank_wdp = 1").collect()
+    assert settings.symbols == {} and [(r.identified, r.original, r.proteins) for r in got] == [("K[GGGWYEVASR]", "K[GGGWYTVASR]", ["one", "two"])]
 
 
 def test_features_from_files(spark, folder):
