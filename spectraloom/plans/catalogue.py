@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spectraloom.functions import chemistry, elements, isotopes, peptides, scoring, variants
-from spectraloom.operators import envelopes, features, joins, merging, proteins, ranking, reports, rescoring
+from spectraloom.operators import assembly, envelopes, features, joins, merging, proteins, ranking, reports, rescoring
 from spectraloom.sources import readers, sinks
 
 QUERIES = {}
@@ -252,8 +252,22 @@ def explode_list(spark, sf_dir):
 SELECT l_orderkey, len(list_filter(a, lambda x: NOT list_contains(b, x))) AS missing, len(list_distinct(list_concat(a, b))) AS united, len(list_filter(a, lambda x: NOT list_contains(b, x))) = 0 AS is_subset FROM s""")
 def set_operations(spark, sf_dir):
     s = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_linenumber").alias("a"), F.collect_set(c("l_quantity").cast("int") % 7).alias("b"))
-    left = F.size(F.array_except("a", "b"))
-    return s.select("l_orderkey", left.cast("long").alias("missing"), F.size(F.array_union("a", "b")).cast("long").alias("united"), (left == 0).alias("is_subset"))
+    missing, united = F.size(F.array_except("a", "b")).cast("long"), F.size(peptides.union_lists(c("a"), c("b"))).cast("long")
+    return s.select("l_orderkey", missing.alias("missing"), united.alias("united"), peptides.is_subset(c("a"), c("b")).alias("is_subset"))
+
+
+@query("""WITH m AS (SELECT l_suppkey, l_returnflag, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_orderkey, l_linenumber, CAST(l_quantity AS VARCHAR)) AS peptides, string_agg(CAST(l_quantity AS VARCHAR), ',' ORDER BY l_orderkey, l_linenumber, CAST(l_quantity AS VARCHAR)) AS found FROM lineitem WHERE l_quantity >= 10 GROUP BY 1, 2)
+SELECT CAST(s_suppkey AS VARCHAR) AS protein, s_name, a.peptides AS a_peptides, a.found AS a_abundances, r.peptides AS r_peptides, r.found AS r_abundances FROM supplier
+LEFT JOIN m a ON a.l_suppkey = s_suppkey AND a.l_returnflag = 'A' LEFT JOIN m r ON r.l_suppkey = s_suppkey AND r.l_returnflag = 'R'""")
+def proteins_with_matches(spark, sf_dir):
+    """Suppliers as proteins, beside each the lines of two samples in the order of their scans."""
+    d = matches(spark, sf_dir).select(
+        F.when(c("is_decoy"), -1).otherwise(1).alias("Label"), c("l_returnflag").alias("SampleName"), F.concat(F.lit("["), c("l_linenumber").cast("string"), F.lit("]")).alias("Peptide"), F.concat(F.lit("{"), c("l_suppkey").cast("string"), F.lit("}")).alias("Proteins"),
+        c("l_orderkey").alias("ScanNr"), c("l_linenumber").alias("PSMId"), c("l_quantity").alias("MS1IsotopicAbundances"), c("l_discount").alias("MS2IsotopicAbundances"), c("l_tax").alias("log10_precursorIntensities"),
+    )
+    known = read(spark, sf_dir, "supplier").select(c("s_suppkey").cast("string").alias("Protein"), "s_name")
+    got = assembly.with_matches(known, d, ["A", "R"])
+    return got.select(c("Protein").alias("protein"), "s_name", c("A_PeptideSequences").alias("a_peptides"), c("A_MS1IsotopicAbundances").alias("a_abundances"), c("R_PeptideSequences").alias("r_peptides"), c("R_MS1IsotopicAbundances").alias("r_abundances"))
 
 
 @query("""WITH r AS (SELECT *, sum(l_extendedprice) OVER (PARTITION BY l_orderkey) AS total, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS n,
