@@ -14,8 +14,8 @@ brute force and repeats, which extend from character to character, so the time i
 Cases: null counts as empty; empty text has no spans; positions count code points; equal spans
 of one kind occur once; spans of different kinds may overlap; rows that repeat are scanned each; an
 empty table stays empty; very long texts and values are scanned whole; columns are found by place, so
-others whose names differ in case only do no harm. Without the vocabularies the dictionary is empty,
-and rarer words that follow "is" are taken for secrets.
+others whose names differ in case only do no harm. Where the vocabularies are not installed a scan fails;
+one that is asked for without any (``vocabularies=()``) takes rarer words that follow "is" for secrets.
 """
 
 from __future__ import annotations
@@ -88,11 +88,10 @@ def words_of(path: str) -> list[str]:
 
 
 def default_vocabularies() -> tuple[str, ...]:
-    """The paths of VOCABULARIES; none where they are not installed."""
-    try:
-        import public_tokenizers
-    except ModuleNotFoundError:
-        return ()
+    """The paths of VOCABULARIES. Where they are not installed that is an error: a scan without them gives other
+    spans. ``vocabularies=()`` asks for one."""
+    import public_tokenizers
+
     return tuple(str(public_tokenizers.path(name)) for name in VOCABULARIES)
 
 
