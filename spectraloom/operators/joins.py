@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from spectraloom.operators.ranking import small, top_k
+from spectraloom.store import saved
 
 NEUTRON = 1.003355
 
@@ -35,16 +37,45 @@ def band_join(left: DataFrame, right: DataFrame, left_value: str, right_value: s
     return a.join(b, "_bin").where(inside).drop("_bin")
 
 
+def best_in_band(left: DataFrame, right: DataFrame, left_key: str, left_value: str, right_value: str, windows: list[tuple[float, float]], first: Column | None, order: list[Column], best: Column | None = None, inside: Column | None = None) -> DataFrame:
+    """For each left row the first of the right rows in its windows (and ``inside``, a condition on both
+    values): by ``first``, a column of both values, or by ``best``, one of the right row; then by the smaller
+    right value, then by ``order``, columns of the right row.
+
+    Rows of one value are alike but for their order, so pairs are made of distinct values alone, each right one
+    with its least ``best``: they do not grow with the rows that share a value. The rows of chosen values
+    are then read again. Right values beyond all windows are left out by the scan."""
+    least, most = left.agg(F.min(left_value), F.max(left_value)).first()
+    if least is None:
+        return left.join(right, F.lit(False))
+    low, high = F.lit(least) + min(lo for lo, _ in windows), F.lit(most) + max(hi for _, hi in windows)
+    near = right.where(F.col(right_value).between(low, high))
+    values = near.select(right_value).distinct()
+    if best is not None:
+        values = near.withColumn("_o", best).groupBy(right_value).agg(F.when(~F.max(F.col("_o").isNull()), F.min("_o")).alias("_o"))
+        first = F.col("_o")
+    pairs = band_join(left.select(left_value).distinct(), values, left_value, right_value, windows)
+    if inside is not None:
+        pairs = pairs.where(inside)
+    chosen = saved(pairs.groupBy(left_value).agg(F.min(F.struct(first.alias("_f"), F.col(right_value).alias("_r"))).alias("_c")).select(F.col(left_value).alias("_l"), "_c.*"))
+    few = saved(chosen.select(F.col("_r").alias("_v"), *([F.col("_f").alias("_b")] if best is not None else [])).distinct())
+    same = F.col(right_value) == F.col("_v")
+    rows = near.join(small(few, few.count()), same if best is None else same & best.eqNullSafe(F.col("_b"))).select(*right.columns)
+    if order:
+        rows = top_k(rows, [right_value], order, 1, "_n").drop("_n")
+    else:
+        rows = rows.dropDuplicates([right_value])
+    met = left.join(small(chosen, chosen.count()), F.col(left_value) == F.col("_l")).join(rows, F.col("_r") == F.col(right_value))
+    return top_k(met, [left_key], [F.col("_f"), F.col("_r"), *order], 1, "_n").select(*left.columns, *right.columns)
+
+
 def nearest_join(left: DataFrame, right: DataFrame, left_key: str, left_value: str, right_value: str, tolerance: float, order: Column | None = None, best: str = "nearest") -> DataFrame:
     """For each left row the nearest right value within a strict tolerance, or with best='largest'
     the one with the largest ``order``, which must be given; ties go to the smaller right value."""
     if best == "largest" and order is None:
         raise ValueError("best='largest' needs an order")
-    pairs = band_join(left, right, left_value, right_value, [(-tolerance, tolerance)])
-    gap = F.abs(F.col(right_value) - F.col(left_value))
-    first = gap if best == "nearest" else -order
-    w = Window.partitionBy(left_key).orderBy(first, right_value, *([order] if order is not None else []))
-    return pairs.where(gap < tolerance).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    gap, ties = F.abs(F.col(right_value) - F.col(left_value)), [order] if order is not None else []
+    return best_in_band(left, right, left_key, left_value, right_value, [(-tolerance, tolerance)], gap, ties, None if best == "nearest" else -order, gap < tolerance)
 
 
 def back_off(left: DataFrame, right: DataFrame, left_at: str, right_at: str, value: Column, steps: int = 3) -> DataFrame:
