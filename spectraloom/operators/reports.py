@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from spectraloom.functions.peptides import any_target
 from spectraloom.operators import ranking
 from spectraloom.operators.proteins import normalised
+from spectraloom.store import saved
 
 
 def roll_up(df: DataFrame, keys: list[str], score: str, run: str, scan: str, target: Column, proteins: str | None = None, lists: tuple[str, ...] = ()) -> DataFrame:
@@ -125,16 +126,20 @@ def back_filled(psms: DataFrame, peptide: str, proteins: str) -> DataFrame:
 
 def containing(peptides: DataFrame, proteins: DataFrame, peptide: str, seq: str, k: int = 5) -> DataFrame:
     """Pairs of a peptide and a protein that contains it: an equi-join on the first k letters (all of a
-    shorter peptide) with the distinct strings of that length of each protein, and an exact test. Only the
-    lengths that peptides have (k numbers at most) are cut out of proteins, and no pair is tried that does not
-    share such a string. Empty peptides are in no protein."""
+    shorter peptide) with the distinct strings of that length of each sequence, and an exact test. Only the
+    lengths that peptides have (k numbers at most) are cut out of sequences, no pair is tried that does not
+    share such a string, and equal sequences are one until proteins get their pairs. No side is broadcast
+    but after a count: what strings a sequence has is far more than its file tells. Empty peptides are in no protein."""
     sized = peptides.where(F.length(peptide) > 0).withColumn("_k", F.least(F.length(peptide), F.lit(k))).withColumn("_w", F.expr(f"substring(`{peptide}`, 1, _k)"))
+    sized = saved(sized)
     lengths = sorted(r[0] for r in sized.select("_k").distinct().collect())
     starts = lambda n: F.transform(F.sequence(F.lit(1), F.length(seq) - n + 1), lambda i: F.substring(F.col(seq), i, F.lit(n)))
     none = F.array().cast("array<string>")
     each = F.concat(none, *(F.when(F.length(seq) >= n, F.array_distinct(starts(n))).otherwise(none) for n in lengths))
-    grams = proteins.where(F.col(seq).isNotNull()).withColumn("_w", F.explode(each))
-    return sized.join(grams, "_w").where(F.contains(F.col(seq), F.col(peptide))).drop("_w", "_k")
+    grams = proteins.select(seq).where(F.col(seq).isNotNull()).distinct().withColumn("_w", F.explode(each))
+    few = lambda df: F.broadcast(df) if df.count() <= ranking.BROADCAST else df.hint("merge")
+    pairs = saved(few(sized).join(grams, "_w").where(F.contains(F.col(seq), F.col(peptide))).select(*peptides.columns, F.col(seq).alias("_s")))
+    return few(pairs).join(proteins, F.col("_s") == F.col(seq)).select(*peptides.columns, *proteins.columns)
 
 
 def with_features(filtered: DataFrame, features: DataFrame, left: str = "PSMId", right: str = "SpecId") -> DataFrame:
