@@ -23,6 +23,7 @@ from spectraloom.functions.chemistry import REGULAR, Chemistry
 from spectraloom.functions.isotopes import convolve_peaks
 from spectraloom.functions.peptides import PROTON
 from spectraloom.operators.joins import band_join
+from spectraloom.store import saved
 
 WATER = 18.0105647
 #: Isotopic peaks less likely than this are no part of an envelope.
@@ -443,10 +444,17 @@ def search(scans: DataFrame, peptides: DataFrame, windows, tol: float = 0.01, pa
     all of its precursors, with three scores and their ranks, those with any rank up to 10. Scans without
     peaks or m/z, and peptides without mass or with unknown characters, match nothing; repeated peptides
     count once. The candidates of a scan are counted and dealt to blocks of about ``block``, so no list
-    grows with the database."""
+    grows with the database. Spectra that a run repeats (peaks, charge and m/z; told by 128 bits of hash) are
+    scored once, and their matches go to all scans that have them."""
     keep, own = keep or (10 if labelled else 50), ["run", "scan", "z"]
     s = scans.withColumn("run", F.col(run).cast("string") if run else F.lit(""))
     s = s.where(F.col("parent_mz").isNotNull() & (F.size("peaks") > 0)).withColumn("parent_mass", F.col("parent_mz") * F.col("z") - F.col("z") * PROTON)
+    same = ["run", "z", "parent_mz", "_a", "_b"]
+    s = s.withColumns({"_a": F.xxhash64(F.lit(1), "peaks"), "_b": F.xxhash64(F.lit(2), "peaks")})
+    who = saved(s.select("scan", *same))
+    # each distinct spectrum with a number in place of its scan
+    s = saved(s.drop("scan").dropDuplicates(same).withColumn("scan", F.monotonically_increasing_id()))
+    who = who.join(s.select(*same, F.col("scan").alias("_id")), same).select("_id", F.col("scan").alias("_scan"))
     ends = s.groupBy("run").agg(F.min(F.array_min("peaks.mz")).alias("lo"), F.max(F.array_max("peaks.mz")).alias("hi"))
     named = peptides.select("peptide", "mass", F.col("text" if "text" in peptides.columns else "peptide").alias("text"))
     pairs = band_join(named, s.select(*own, "parent_mz", "parent_mass"), "mass", "parent_mass", windows).select(*own, "parent_mz", "peptide", "text").distinct()
@@ -458,6 +466,7 @@ def search(scans: DataFrame, peptides: DataFrame, windows, tol: float = 0.01, pa
     # dealt by block and in a stated number of partitions: few bytes would be joined to one task, and they are slow to score
     parts = int(scans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     scored = score_blocks(grouped.join(spectra, own).repartition(parts, *own, "block"), tol, parent_tol, chemistry, labelled, keep)
+    scored = scored.join(who, F.col("scan") == F.col("_id")).withColumn("scan", F.col("_scan")).drop("_id", "_scan")
     by = lambda c: Window.partitionBy("run", "scan").orderBy(F.desc(c), "peptide", "z", "parent_mass")
     best = scored.withColumn("_n", F.row_number().over(by("wdp" if labelled else "mvh"))).where(F.col("_n") <= keep).drop("_n")
     for score in ("mvh", "xcorr", "wdp"):
