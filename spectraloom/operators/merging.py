@@ -43,11 +43,18 @@ def paired_runs(targets: DataFrame, decoys: DataFrame, run: str) -> DataFrame:
     return a.join(decoys.groupBy(run).agg(F.count("*").alias("decoys")), run)
 
 
+#: Rows of a partition whose spectra are sorted in memory.
+ROWS = 250_000
+
+
 def purged(df: DataFrame, group: list[str], scores: list[str], ties: list[str], trigger: int = 100, keep: int = 20) -> DataFrame:
-    """In spectra of more than ``trigger`` rows, those that any score ranks up to ``keep``."""
-    out = df.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*group)))
+    """In spectra of more than ``trigger`` rows, those that any score ranks up to ``keep``. Partitions follow
+    the rows, so what a task sorts does not grow with them; sizes are counted in the order of the last score."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // ROWS)
+    out = df.repartition(parts, *group)
     for i, s in enumerate(scores):
         out = out.withColumn(f"_r{i}", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(s), *ties)))
+    out = out.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*group)))
     least = F.least(*(f"_r{i}" for i in range(len(scores)))) if len(scores) > 1 else F.col("_r0")
     return out.where((F.col("_size") <= trigger) | (least <= keep)).drop("_size", *(f"_r{i}" for i in range(len(scores))))
 
