@@ -41,7 +41,7 @@ def relabelled(df: DataFrame, sample: str, controls: list[str], label: str = "la
 def clusters(df: DataFrame, group: str, value: str, threshold: float, least: int = 1) -> DataFrame:
     """Centroid clustering: the closest neighbours no more than ``threshold`` apart merge, again and
     again. Values with a larger gap between them never meet, so a group is first cut at such gaps
-    and each stretch is solved alone. group, cluster (by value), n, mean, deviation (population);
+    and each stretch is solved alone, from value to value (``Merger``). group, cluster (by value), n, mean, deviation (population);
     equal values count each, null values not at all."""
     rows = df.where(F.col(value).isNotNull()).groupBy(group, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
     w = Window.partitionBy(group).orderBy("_v")
@@ -55,58 +55,84 @@ def clusters(df: DataFrame, group: str, value: str, threshold: float, least: int
         import pyarrow as pa
 
         schema = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in kind.fields])
-        last, values, counts = None, [], []
+        last, merger, found = None, Merger(threshold), []
 
-        def rows(key):
-            found = _merged(values, counts, threshold)
-            return pa.RecordBatch.from_arrays([pa.array([key] * len(found), schema[0].type), *(pa.array([f[k] for f in found], schema[k + 1].type) for k in range(3))], schema=schema)
+        def rows(done):
+            keys, found = [k for k, _ in done], [f for _, f in done]
+            return pa.RecordBatch.from_arrays([pa.array(keys, schema[0].type), *(pa.array([f[k] for f in found], schema[k + 1].type) for k in range(3))], schema=schema)
 
         for batch in batches:
             for g, s, v, n in zip(*(c.to_pylist() for c in batch.columns)):
-                if (g, s) != last and values:
-                    yield rows(last[0])
-                    values.clear()
-                    counts.clear()
-                last = g, s
-                values.append(v)
-                counts.append(n)
-        if values:
-            yield rows(last[0])
+                if (g, s) != last:
+                    found += [(last and last[0], f) for f in merger.settle()]
+                    last = g, s
+                found += [(g, f) for f in merger.add(v, n)]
+            if found:
+                yield rows(found)
+                found = []
+        found += [(last and last[0], f) for f in merger.settle()]
+        if found:
+            yield rows(found)
 
     out = dealt.mapInArrow(run, kind)
     number = F.row_number().over(Window.partitionBy(group).orderBy("mean"))
     return out.where(F.col("n") >= least).withColumn("cluster", number)
 
 
-def _merged(v: list[float], k: list[int], threshold: float) -> list[tuple[int, float, float]]:
-    """(n, mean, deviation) of the clusters of ascending values, each of which occurs so many times."""
-    import heapq
-
-    n = len(v)
-    size, total, spread = list(k), [a * b for a, b in zip(v, k)], [0.0] * n  # spread: squares about the mean
-    after, before, version = list(range(1, n + 1)), list(range(-1, n - 1)), [0] * n
-    heap = [(v[i + 1] - v[i], i, i + 1, 0, 0) for i in range(n - 1)]
-    heapq.heapify(heap)
-    alive = [True] * n
-    mean = lambda i: total[i] / size[i]
-    while heap:
-        gap, i, j, a, b = heapq.heappop(heap)
-        if gap > threshold:
-            break
-        if not (alive[i] and alive[j]) or version[i] != a or version[j] != b:
-            continue
-        alive[j] = False
-        apart = mean(j) - mean(i)
-        spread[i] += spread[j] + apart * apart * size[i] * size[j] / (size[i] + size[j])
-        size[i], total[i] = size[i] + size[j], total[i] + total[j]
-        version[i] += 1
-        after[i] = after[j]
-        if after[i] < n:
-            before[after[i]] = i
-            heapq.heappush(heap, (mean(after[i]) - mean(i), i, after[i], version[i], version[after[i]]))
-        if before[i] >= 0:
-            heapq.heappush(heap, (mean(i) - mean(before[i]), before[i], i, version[before[i]], version[i]))
-    return [(size[i], mean(i), (spread[i] / size[i]) ** 0.5) for i in range(n) if alive[i]]
+class Merger:
+    """Clusters of ascending values, given one by one. Two neighbours merge when their gap is less than that
+    before them and no more than that behind: gaps beside them only grow when others merge, so this is what
+    merging the closest first, the leftmost of equals, gives. Held are clusters whose gaps descend; those
+    before a gap over the threshold are done, so a long stretch is not held."""
+
+    def __init__(self, threshold: float):
+        self.threshold, self.held = threshold, []  # size, total, squares about the mean, gap before it, value (None once merged)
+
+    def gap(self, a, b) -> float:
+        if a[4] is not None and b[4] is not None:
+            return b[4] - a[4]
+        return b[1] / b[0] - a[1] / a[0]
+
+    def merge(self, at: int) -> None:
+        """Cluster ``at`` into the one before it."""
+        held = self.held
+        a, b = held[at - 1], held.pop(at)
+        apart = b[1] / b[0] - a[1] / a[0]
+        a[2] += b[2] + apart * apart * a[0] * b[0] / (a[0] + b[0])
+        a[0], a[1], a[4] = a[0] + b[0], a[1] + b[1], None
+        if at > 1:
+            a[3] = self.gap(held[at - 2], a)
+        if at < len(held):
+            held[at][3] = self.gap(a, held[at])
+
+    def settle(self, new=None) -> list[tuple[int, float, float]]:
+        """Merges what can be with ``new`` to come; the clusters that are done."""
+        held = self.held
+        while len(held) > 1 and held[-1][3] <= self.threshold and (new is None or held[-1][3] <= self.gap(held[-1], new)):
+            self.merge(len(held) - 1)
+            at = max(len(held) - 2, 1)
+            while at < len(held) - 1:  # gaps beside a merged cluster have grown: those before them may come first now
+                if held[at][3] <= min(held[at + 1][3], self.threshold):
+                    self.merge(at)
+                    at = max(at - 2, 1)
+                else:
+                    at += 1
+        done = 0
+        while done + 1 < len(held) and held[done + 1][3] > self.threshold:
+            done += 1
+        if new is None:
+            done = len(held)
+        out = [(n, total / n, (spread / n) ** 0.5) for n, total, spread, *_ in held[:done]]
+        del held[:done]
+        return out
+
+    def add(self, value: float, count: int) -> list[tuple[int, float, float]]:
+        new = [count, value * count, 0.0, 0.0, value]
+        out = self.settle(new)
+        if self.held:
+            new[3] = self.gap(self.held[-1], new)
+        self.held.append(new)
+        return out
 
 
 def levelled(df: DataFrame, score: str, decoy: str, at: float) -> DataFrame:
