@@ -8,6 +8,9 @@ these that has the peak counts.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from math import floor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
@@ -17,21 +20,21 @@ from spectraloom.functions.chemistry import ELEMENTS, NEUTRONS, REGULAR, Chemist
 from spectraloom.functions.peptides import NEUTRON, PROTON
 
 STEPS, SIDE, TOLERANCE = 3, 20, 0.01
+#: Peptides whose lightest masses a task remembers.
+REMEMBER = 100_000
 
 
 def ladder(mz, intensity, apex: int, z: int, side: int = SIDE, tol: float = TOLERANCE, spacing: float = NEUTRON) -> list[int]:
     """Indices, by m/z, of a peak and of those a whole number of neutrons from it, up to the first gap
     on either side: the highest within the tolerance (of the mass, not of m/z)."""
-    import numpy as np
-
     out = [apex]
     for way in (-1, 1):
         for k in range(1, side + 1):
             want = mz[apex] + way * k * spacing / z
-            lo, hi = np.searchsorted(mz, want - tol / z, "right"), np.searchsorted(mz, want + tol / z)
+            lo, hi = bisect_right(mz, want - tol / z), bisect_left(mz, want + tol / z)
             if hi <= lo:
                 break
-            out.append(int(lo + intensity[lo:hi].argmax()))
+            out.append(lo if hi == lo + 1 else max(range(lo, hi), key=intensity.__getitem__))
     return sorted(out)
 
 
@@ -49,23 +52,32 @@ def envelope(mz, intensity, at: float) -> tuple[int, int]:
     return lo, hi
 
 
-def enrichment(peptide: str, mz, intensity, z: int, chemistry: Chemistry = REGULAR) -> float:
-    """Per cent of the labelled element's atoms that are heavy: the mean number of neutrons over the
-    peptide's lightest mass, by intensity, over the atoms that could have them. 0 without peaks, and for
-    peptides with characters that the configuration does not name."""
-    import numpy as np
-
+def lightest(peptide: str, z: int, chemistry: Chemistry = REGULAR) -> tuple[float, float] | None:
+    """m/z of a peptide's lightest mass, and the neutrons that the labelled element's atoms could have; None
+    for peptides with characters that the configuration does not name."""
     if not chemistry.knows(peptide):
-        return 0.0
+        return None
     counts = dict(zip(ELEMENTS, chemistry.atoms(peptide)))
     base = sum(chemistry.isotopes[e][0][0] * n for e, n in counts.items()) / z + PROTON
-    used = np.asarray(mz) > base - 0.5 / z
-    if not used.any() or not counts[chemistry.label]:
+    return base, counts[chemistry.label] * NEUTRONS[chemistry.label]
+
+
+def enrichment(peptide: str, mz, intensity, z: int, chemistry: Chemistry = REGULAR, light=None) -> float:
+    """Per cent of the labelled element's atoms that are heavy: the mean number of neutrons over the
+    peptide's lightest mass, by intensity, over the atoms that could have them. 0 without peaks, and for
+    peptides with characters that the configuration does not name. light: ``lightest``, if at hand."""
+    light = light or lightest(peptide, z, chemistry)
+    if light is None:
+        return 0.0
+    base, most = light
+    used = [k for k in range(len(mz)) if mz[k] > base - 0.5 / z]
+    if not used or not most:
         return 0.0
-    first = int(np.floor((np.asarray(mz)[used][0] - base) / chemistry.spacing * z + 0.5))
-    height = np.asarray(intensity)[used]
-    mean = float((height * (np.arange(len(height)) + first)).sum() / height.sum())
-    return mean / (counts[chemistry.label] * NEUTRONS[chemistry.label]) * 100
+    first, total, weighted = floor((mz[used[0]] - base) / chemistry.spacing * z + 0.5), 0.0, 0.0
+    for n, k in enumerate(used, first):
+        total += intensity[k]
+        weighted += intensity[k] * n
+    return float(weighted / total / most * 100)
 
 
 FOUND = "key string, step int, ms1_scan int, precursor_intensity double, isotopic_peaks array<struct<mz:double,intensity:double,z:int>>, ms1_abundance double"
@@ -86,6 +98,7 @@ def precursor_envelopes(matches: DataFrame, surveys: DataFrame, key: str, chemis
     by_scan = asked.groupBy("file", "_at").agg(F.collect_list(F.struct("key", "step", "charge", "observed_mass", "calculated_mass", "naked")).alias("asked"))
     ready = by_scan.join(numbers, ["file", "_at"]).join(surveys.select("file", "scan", "peaks"), ["file", "scan"]).select("scan", "peaks", "asked")
     kind = _parse_datatype_string(FOUND)
+    charged = "z" in surveys.schema["peaks"].dataType.elementType.names
 
     def run(batches):
         import numpy as np
@@ -93,27 +106,37 @@ def precursor_envelopes(matches: DataFrame, surveys: DataFrame, key: str, chemis
         from pyspark.sql.pandas.types import to_arrow_type
 
         schema = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in kind.fields])
+        light: dict = {}
         for batch in batches:
             for at in range(batch.num_rows):
-                scan, peaks, wanted = (c[at].as_py() for c in batch.columns)
-                mz, height = np.array([p["mz"] for p in peaks], float), np.array([p["intensity"] for p in peaks], float)
+                scan, peaks, wanted = batch.column(0)[at].as_py(), batch.column(1)[at].values, batch.column(2)[at].values
+                mz, height = (peaks.field(n).cast(pa.float64()).to_numpy(zero_copy_only=False) for n in ("mz", "intensity"))
                 by = np.argsort(mz, kind="stable")
-                mz, height, charges = mz[by], height[by], [peaks[k].get("z") or 0 for k in by]
+                mz, height = mz[by], height[by]
+                charges = [x or 0 for x in peaks.field("z").take(pa.array(by)).to_pylist()] if charged else [0] * len(mz)
+                zs, observed = (wanted.field(n).cast(pa.float64()).to_numpy(zero_copy_only=False) for n in ("charge", "observed_mass"))
+                want = observed / zs + PROTON
+                los, his = np.searchsorted(mz, want - TOLERANCE / zs), np.searchsorted(mz, want + TOLERANCE / zs, "right")
+                hit = np.flatnonzero(his > los)
+                asked = zip(los[hit].tolist(), his[hit].tolist(), wanted.take(pa.array(hit)).to_pylist())
+                mz, height = mz.tolist(), height.tolist()
                 rows = []
-                for w in wanted:
-                    z = w["charge"]
-                    want = w["observed_mass"] / z + PROTON
-                    lo, hi = np.searchsorted(mz, want - TOLERANCE / z), np.searchsorted(mz, want + TOLERANCE / z, "right")
-                    if hi <= lo:
-                        continue
-                    apex = int(lo + height[lo:hi].argmax())
+                for lo, hi, w in asked:
+                    z, naked = w["charge"], w["naked"] or ""
+                    apex = max(range(lo, hi), key=height.__getitem__)
                     found = ladder(mz, height, apex, z, spacing=chemistry.spacing)
                     if len(found) > 2:
                         target = (w["calculated_mass"] or w["observed_mass"]) / z + PROTON
-                        a, b = envelope(mz[found], height[found], target)
+                        a, b = envelope([mz[k] for k in found], [height[k] for k in found], target)
                         found = found[a:b]
-                    listed = [{"mz": float(mz[k]), "intensity": float(height[k]), "z": int(charges[k])} for k in found]
-                    rows.append((w["key"], w["step"], scan, float(height[found].sum()), listed, enrichment(w["naked"] or "", mz[found], height[found], z, chemistry)))
+                    tall, places = [height[k] for k in found], [mz[k] for k in found]
+                    listed = [{"mz": m, "intensity": t, "z": int(charges[k])} for k, m, t in zip(found, places, tall)]
+                    if (naked, z) not in light:
+                        if len(light) > REMEMBER:
+                            light.clear()
+                        light[naked, z] = lightest(naked, z, chemistry)
+                    share = enrichment(naked, places, tall, z, chemistry, light[naked, z]) if light[naked, z] else 0.0
+                    rows.append((w["key"], w["step"], scan, float(sum(tall)), listed, share))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
 
