@@ -33,13 +33,20 @@ def modified(peptide: Column, symbols: dict[str, str], most: int = 2) -> Column:
 def substituted(df: DataFrame, peptide: str, alphabet: str = "ACDEFGHIKLMNPQRSTVWY", after: str = "KR") -> DataFrame:
     """A row for each single substitution: position, residue, mutant; a mutant in which the new
     residue cuts gives its pieces, so ``piece`` is what a digest would yield."""
-    p = F.col(peptide)
-    out = df.withColumn("position", F.explode(F.sequence(F.lit(1), F.length(p)))).where(F.length(p) > 0)
-    out = out.withColumn("residue", F.explode(F.array(*map(F.lit, alphabet)))).where(F.substring(p, F.col("position"), F.lit(1)) != F.col("residue"))
-    mutant = F.concat(F.substring(p, F.lit(1), F.col("position") - 1), F.col("residue"), F.substring(p, F.col("position") + 1, F.length(p)))
-    out = out.withColumn("mutant", mutant)
-    cuts = F.col("residue").isin(*after) & (F.col("position") < F.length("mutant"))
-    return out.withColumn("piece", F.explode(F.when(cuts, pieces(F.col("mutant"), after=after, drop_first_m=False)).otherwise(F.array("mutant"))))
+    p, at = F.col(peptide), F.col("position")
+    spots = df.withColumn("position", F.explode(F.sequence(F.lit(1), F.length(p)))).where(F.length(p) > 0)
+    # what stands before and after a place is cut out once for all residues
+    spots = spots.withColumns({"_a": F.substring(p, F.lit(1), at - 1), "_r": F.substring(p, at, F.lit(1)), "_b": F.substring(p, at + 1, F.length(p))})
+
+    def rows(residues):
+        new = F.filter(F.array(*map(F.lit, residues)), lambda r: r != F.col("_r"))
+        out = spots.withColumn("residue", F.explode(new)).withColumn("mutant", F.concat("_a", "residue", "_b"))
+        return out.drop("_a", "_r", "_b")
+
+    whole = rows([r for r in alphabet if r not in after]).withColumn("piece", F.col("mutant"))
+    cut = rows([r for r in alphabet if r in after])
+    cuts = at < F.length("mutant")
+    return whole.unionByName(cut.withColumn("piece", F.explode(F.when(cuts, pieces(F.col("mutant"), after=after, drop_first_m=False)).otherwise(F.array("mutant")))))
 
 
 def silenced(df: DataFrame, seq: str, alphabet: str = "ACDEFGHIKLMNPQRSTVWY", after: str = "KR", least: int = 7, most: int = 60) -> DataFrame:
