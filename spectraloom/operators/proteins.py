@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from spectraloom.store import saved
 
 
-#: Edges that one task goes through in order.
-IN_ORDER = 200_000
+#: Edges that one task goes through in order, and proteins whose probabilities (a name and a number) are broadcast.
+IN_ORDER, BROADCAST = 200_000, 1_000_000
 
 
 def merge_indistinguishable(edges: DataFrame, protein: str, peptide: str) -> DataFrame:
@@ -113,7 +113,8 @@ def probabilities(edges: DataFrame, protein: str, peptide: str, probability: str
     now = saved(pairs.join(degree, "b").select("a", "b", "p", (1 / F.col("n")).alias("w"), F.lit(-1.0).alias("old")))
     for _ in range(rounds):
         whole = now.groupBy("a").agg((1 - F.product(1 - F.col("w") * F.col("p"))).alias("whole"))
-        with_p = now.join(whole, "a")
+        whole = saved(whole)
+        with_p = now.join(F.broadcast(whole) if whole.count() <= BROADCAST else whole, "a")
         sums = with_p.groupBy("b").agg(F.sum("whole").alias("total"), F.count(F.lit(1)).alias("n"))
         weight = F.when(F.col("total") > 0, F.col("whole") / F.col("total")).otherwise(1 / F.col("n"))
         now = saved(with_p.join(sums, "b").select("a", "b", "p", weight.alias("w"), F.col("whole").alias("new"), F.abs(F.col("whole") - F.col("old")).alias("moved")))
