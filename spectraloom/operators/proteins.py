@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spectraloom.store import saved
 
 
-#: Edges that one task goes through in order, and proteins whose probabilities (a name and a number) are broadcast.
+#: Edges that one task goes through in order, and rows of a name or a number or two that are broadcast.
 IN_ORDER, BROADCAST = 200_000, 1_000_000
 
 
@@ -48,30 +48,47 @@ def parsimony(edges: DataFrame, protein: str, peptide: str, least: int = 1, uniq
     a peptide with it.
 
     The second part goes in rounds: every group that comes before all others of each of its peptides
-    is accepted at once, which is what the order gives, and edges of those taken away leave the table. Rounds
+    is accepted at once, which is what the order gives, and those taken away leave the table. Rounds
     follow the longest chain of groups that wait for each other, not the number of groups; nothing is
     gathered by component, so one giant component is as good as many small ones. When no more than
-    ``IN_ORDER`` edges are left, one task goes through them in order."""
+    ``IN_ORDER`` edges are left, one task goes through them in order.
+
+    A group is one row, numbered by its place in the order, so rounds move numbers and peptides, not names."""
     group = F.concat(F.lit("{"), F.array_join("proteins", ","), F.lit("}"))
     merged = merge_indistinguishable(edges.withColumn(protein, F.col(protein).cast("string")), protein, peptide)
-    pairs = saved(merged.select(F.when(F.size("proteins") > 1, group).otherwise(F.col("proteins")[0]).alias("g"), F.explode("peptides").alias("q")))
-    owners = pairs.groupBy("q").agg(F.count(F.lit(1)).alias("owners"))
-    with_n = saved(pairs.join(owners, "q"))
-    sizes = saved(with_n.groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("owners") == 1).alias("own")))
-    first = saved(sizes.where((F.col("size") >= least) & (F.col("own") >= max(unique, 1))).select("g"))
-    others = with_n.join(sizes.where("own = 0"), "g").join(first, "g", "left_anti")
-    gone = saved(subsets(others, pairs.join(first, "g", "left_semi")))
-    left = sizes.where((F.col("size") >= least) & (F.col("own") >= unique)).join(first, "g", "left_anti").join(gone, "g", "left_anti")
-    left = saved(pairs.join(left, "g").select("g", "q", "size"))
-    accepted = first
-    while left.count() > IN_ORDER:
-        best = left.groupBy("q").agg(F.min_by("g", F.struct(-F.col("size"), "g")).alias("best"))
-        won = saved(left.join(best, "q").groupBy("g").agg(F.bool_and(F.col("best") == F.col("g")).alias("won")).where("won").select("g"))
-        taken = left.join(won, "g", "left_semi").select("q").distinct()
-        left = saved(left.join(left.join(taken, "q", "left_semi").select("g").distinct(), "g", "left_anti"))
-        accepted = accepted.union(won)
-    rest = left.groupBy("g", "size").agg(F.collect_list("q").alias("qs")).repartition(1).sortWithinPartitions(F.desc("size"), "g")
-    return accepted.union(rest.mapInArrow(in_order, "g string")).withColumnRenamed("g", "protein_group")
+    named = merged.select(F.when(F.size("proteins") > 1, group).otherwise(F.col("proteins")[0]).alias("g"), F.col("peptides").alias("qs"), F.size("peptides").alias("size")).where("size > 0")
+    order = F.desc("size"), F.asc("g")
+    groups = saved(named.repartitionByRange(*order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("id"), "g", "qs", "size"))
+    pairs = lambda df: df.select("id", "size", F.explode("qs").alias("q"))
+    left = groups.where(F.col("size") >= least).drop("g")
+    alone = pairs(groups).groupBy("q").agg(F.count(F.lit(1)).alias("owners"), F.min("id").alias("id")).where("owners = 1")
+    own = saved(alone.groupBy("id").agg(F.count(F.lit(1)).alias("own")).where(F.col("own") >= max(unique, 1)))
+    first = saved(left.join(few(own), "id").drop("own"))
+    accepted = first.select("id")
+    if unique > 0:
+        left = left.limit(0)  # those with enough peptides of their own are accepted, and others have too few
+    elif not first.isEmpty():
+        left = left.join(few(accepted), "id", "left_anti")
+        chosen = saved(pairs(first).select(F.col("id").alias("g"), "q"))
+        owners = saved(chosen.groupBy("q").agg(F.count(F.lit(1)).alias("owners")))
+        covered = saved(pairs(left).join(few(owners), "q"))
+        whole = covered.groupBy("id", "size").agg(F.count(F.lit(1)).alias("n")).where("n = size").select("id")
+        gone = saved(subsets(covered.join(whole, "id", "left_semi").withColumnRenamed("id", "g"), chosen))
+        left = left.join(few(gone.withColumnRenamed("g", "id")), "id", "left_anti")
+    left = saved(left)
+    while (left.agg(F.sum("size")).first()[0] or 0) > IN_ORDER:
+        wins = saved(pairs(left).groupBy("q").agg(F.min("id").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("wins")))
+        won = saved(left.join(few(wins), "id").where("wins = size").drop("wins"))
+        taken = few(saved(pairs(won).select("q")))
+        left = saved(left.join(pairs(left).join(taken, "q", "left_semi").select("id").distinct(), "id", "left_anti"))
+        accepted = accepted.union(won.select("id"))
+    rest = left.select("id", "qs").repartition(1).sortWithinPartitions("id").mapInArrow(in_order, "id long")
+    return groups.join(few(saved(accepted.union(rest))), "id", "left_semi").select(F.col("g").alias("protein_group"))
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A saved frame to be broadcast, if its rows are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
 
 
 def in_order(batches):
@@ -81,11 +98,11 @@ def in_order(batches):
     taken: set = set()
     for batch in batches:
         won = []
-        for g, qs in zip(batch.column("g").to_pylist(), batch.column("qs").to_pylist()):
+        for number, qs in zip(batch.column("id").to_pylist(), batch.column("qs").to_pylist()):
             if taken.isdisjoint(qs):
-                won.append(g)
+                won.append(number)
                 taken.update(qs)
-        yield pa.RecordBatch.from_arrays([pa.array(won, pa.string())], ["g"])
+        yield pa.RecordBatch.from_arrays([pa.array(won, pa.int64())], ["id"])
 
 
 def subsets(others: DataFrame, chosen: DataFrame) -> DataFrame:
